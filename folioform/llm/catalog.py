@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, mixing, near_dedup, sharding
+from . import decontamination, embedding_dedup, mixing, near_dedup, sharding, substring_dedup
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_simhash": near_dedup.op6_simhash,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
@@ -14,4 +15,5 @@ QUERIES = {
 
 SQL = {
     "op1_embedding_dedup": embedding_dedup.OP1_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
 }
