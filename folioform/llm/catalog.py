@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, mixing, near_dedup, sharding, substring_dedup
+from . import decontamination, embedding_dedup, mixing, near_dedup, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -11,9 +11,11 @@ QUERIES = {
     "op6_simhash": near_dedup.op6_simhash,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 SQL = {
     "op1_embedding_dedup": embedding_dedup.OP1_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op9_secret_scan": secret_scan.OP9_SQL,
 }
