@@ -130,6 +130,17 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return all_rows.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def repeat(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The documents' rows as often as mix takes them (0 to MOST_COPIES times); columns as in docs.
+
+    Rows are told apart by doc_id; where it repeats, all its rows are taken as often as the one that is taken most. A row with a
+    null doc_id is taken as such rows together are.
+    """
+    taken = mix(docs, seed).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
+    each = docs.join(taken.where("__copies > 0"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    return each.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
