@@ -64,14 +64,18 @@ def train(texts: list[bytes | None], labels: np.ndarray, l2: float = 1e-6, steps
     weight = np.zeros(1 << BITS, dtype=np.float32)
     if len(y) == 0 or y.min() == y.max():
         return Model(weight, 0.0 if len(y) == 0 else 4 * (2 * y[0] - 1))
-    held = [np.unique(slots(t)) for t in texts]
-    every, doc = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
-    docs = np.bincount(every, minlength=1 << BITS)
-    toxic = np.bincount(every, weights=y[doc], minlength=1 << BITS)
+    docs, toxic = np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
+    for t, label in zip(texts, y):
+        found = np.unique(slots(t))
+        docs[found] += 1
+        toxic[found] += int(label)
     r = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((docs - toxic + 0.5) / (len(y) - y.sum() + 1))
     r[(docs < least_docs) | (np.abs(r) < LEAST_RATIO)] = 0
-    keep = (r != 0)[every]
-    every, doc = every[keep], doc[keep]
+    held = []  # only the learned slots of each text, so that memory goes with these
+    for t in texts:
+        found = slots(t)
+        held.append(np.unique(found[r[found] != 0]))
+    every, doc = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
     names, every = np.unique(every, return_inverse=True)
     r = r[names]
     weigh = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
