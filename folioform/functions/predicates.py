@@ -20,18 +20,14 @@ MEASURE = r"(?:^|[^\p{L}\p{N}_])\p{Nd}+(?:\.\p{Nd}+)? *(?:(?:mg|kg|mL|m2)(?:$|[^
 
 def native_text(c: Column) -> Column:
     """Worth translating: two letters at least, and more letters than digits."""
-    s = T.strip(c)
-    n, d = T.letters(s), T.digits(s)
-    return (F.length(s) >= 2) & (n >= 2) & ~((d > 0) & (n <= d))
+    counts = lambda s: F.struct(F.length(s).alias("n"), T.letters(s).alias("l"), T.digits(s).alias("d"))
+    return T.let(T.let(T.strip(c), counts), lambda x: (x["n"] >= 2) & (x["l"] >= 2) & ~((x["d"] > 0) & (x["l"] <= x["d"])))
 
 
 def html_text(c: Column) -> Column:
     """Worth translating in HTML: not blank, an entity, a number or very short."""
-    s = T.strip(c)
-    bare = F.regexp_replace(s, "[.,-]", "")
-    entity = s.rlike(r"^&(?:[\p{L}\p{N}_]+|#\p{Nd}+);$")
-    number = bare.rlike(f"^{T.DIGIT}+$")
-    return (s != "") & ~entity & ~number & (F.length(s) >= 3) & (T.letters(s) >= 2)
+    entity = r"^&(?:[\p{L}\p{N}_]+|#\p{Nd}+);$"
+    return T.let(T.strip(c), lambda s: (F.length(s) >= 3) & (T.letters(s) >= 2) & ~s.rlike(entity) & ~F.regexp_replace(s, "[.,-]", "").rlike(f"^{T.DIGIT}+$"))
 
 
 def has_mask(c: Column) -> Column:
@@ -45,23 +41,19 @@ def unmasked_text(c: Column) -> Column:
 
 def contact_identity(c: Column) -> Column:
     """A mask among two to eight words, of which all but label words start with a capital."""
-    rest = F.regexp_replace(c, MASK, " ")
-    found = F.regexp_extract_all(rest, F.lit(r"\p{L}+(?:[-']\p{L}+)?"), F.lit(0))
-    named = F.filter(found, lambda w: ~F.lower(w).isin(*fixed.CONTACT_WORDS))
-    return has_mask(c) & F.size(found).between(2, 8) & F.forall(named, lambda w: w.rlike(r"^\p{Lu}"))
+    found = F.regexp_extract_all(F.regexp_replace(c, MASK, " "), F.lit(r"\p{L}+(?:[-']\p{L}+)?"), F.lit(0))
+    named = lambda f: F.forall(f, lambda w: F.lower(w).isin(*fixed.CONTACT_WORDS) | w.rlike(r"^\p{Lu}"))
+    return has_mask(c) & T.let(found, lambda f: F.size(f).between(2, 8) & named(f))
 
 
 def table_row(c: Column) -> Column:
     """A tab in the text after its bullet, or a number with a unit."""
-    body = T.without_bullet(c)
-    flat = T.collapse(body)
-    return (flat != "") & (F.contains(body, F.lit("\t")) | flat.rlike(MEASURE))
+    return T.let(T.without_bullet(c), lambda body: T.let(T.collapse(body), lambda flat: (flat != "") & (F.contains(body, F.lit("\t")) | flat.rlike(MEASURE))))
 
 
 def reference_line(c: Column) -> Column:
-    s = T.collapse(c)
-    dated = s.rlike(r"\(\p{Nd}{4}[a-z]?\)") & F.lower(s).rlike(r"(?:^|[^\p{L}\p{N}_])(?:https?://|doi[: ])")
-    return s.rlike(r"^\[\p{Nd}+\]") | s.rlike(r"^\p{Nd}+\. +[A-Z]") | dated
+    dated = lambda s: s.rlike(r"\(\p{Nd}{4}[a-z]?\)") & F.lower(s).rlike(r"(?:^|[^\p{L}\p{N}_])(?:https?://|doi[: ])")
+    return T.let(T.collapse(c), lambda s: s.rlike(r"^\[\p{Nd}+\]") | s.rlike(r"^\p{Nd}+\. +[A-Z]") | dated(s))
 
 
 def reference_heading(c: Column) -> Column:
@@ -69,9 +61,8 @@ def reference_heading(c: Column) -> Column:
 
 
 def starts_structure(c: Column) -> Column:
-    s = T.lstrip(c)
-    heading = s.rlike(r"(?i)^(?:(?:figure|table|abstract|keywords|references)" + _END + r"|fig\.[\p{L}\p{N}_])")
-    return T.is_bullet(s) | heading | s.rlike(r"^\p{Nd}+(?:\.\p{Nd}+)*" + T.SPACE + r"+[A-Z]")
+    heading = r"(?i)^(?:(?:figure|table|abstract|keywords|references)" + _END + r"|fig\.[\p{L}\p{N}_])"
+    return T.let(T.lstrip(c), lambda s: T.is_bullet(s) | s.rlike(heading) | s.rlike(r"^\p{Nd}+(?:\.\p{Nd}+)*" + T.SPACE + r"+[A-Z]"))
 
 
 def sentence_boundary(before: Column, after: Column) -> Column:
@@ -79,40 +70,52 @@ def sentence_boundary(before: Column, after: Column) -> Column:
 
 
 def header_or_footer(c: Column) -> Column:
-    s = T.collapse(c)
-    low = F.lower(s)
-    page = (F.length(s) <= 18) & low.rlike(r"(?:^|[^\p{L}\p{N}_])page +\p{Nd}+" + _END)
-    return page | s.rlike(r"^\p{Nd}+$") | low.rlike(r"(?:^|[^\p{L}\p{N}_])doi[: ]") | F.startswith(s, F.lit("http"))
+    page = r"(?:^|[^\p{L}\p{N}_])page +\p{Nd}+" + _END
+    return T.let(
+        F.struct(T.collapse(c).alias("s"), F.lower(T.collapse(c)).alias("low")),
+        lambda x: ((F.length(x["s"]) <= 18) & x["low"].rlike(page)) | x["s"].rlike(r"^\p{Nd}+$") | x["low"].rlike(r"(?:^|[^\p{L}\p{N}_])doi[: ]") | F.startswith(x["s"], F.lit("http")),
+    )
 
 
 def not_sampled(c: Column, kind: Column) -> Column:
     """Text (white space collapsed) that says little about its language."""
-    n, d = T.letters(c), T.digits(c)
-    loud = T.times(c, T.UPPER) >= F.greatest(F.lit(10), F.floor(F.length(c) * 0.55))
-    web = F.contains(c, F.lit("@")) | F.contains(F.lower(c), F.lit("http"))
-    return F.endswith(c, F.lit(":")) | kind.isin(*fixed.NOT_SAMPLED_KINDS) | header_or_footer(c) | web | (n < 12) | ((d > 0) & (d >= F.greatest(F.lit(3.0), n * 0.35))) | loud
+
+    def rule(t: Column) -> Column:
+        web = F.contains(t, F.lit("@")) | F.contains(F.lower(t), F.lit("http"))
+        numbers = T.let(F.struct(T.letters(t).alias("n"), T.digits(t).alias("d")), lambda x: (x["n"] < 12) | ((x["d"] > 0) & (x["d"] >= F.greatest(F.lit(3.0), x["n"] * 0.35))))
+        loud = T.times(t, T.UPPER) >= F.greatest(F.lit(10), F.floor(F.length(t) * 0.55))
+        return F.endswith(t, F.lit(":")) | web | numbers | header_or_footer(t) | loud
+
+    return kind.isin(*fixed.NOT_SAMPLED_KINDS) | T.let(c, rule)
 
 
 def noisy_sample(c: Column) -> Column:
     """Text (white space collapsed) that is no use for detecting a language in HTML."""
-    n, d = T.letters(c), T.digits(c)
-    web = F.lower(c).rlike(r"(?:^|[^\p{L}\p{N}_])(?:https?://|www\.)|@")
-    return (F.length(c) < 24) | web | (n < 12) | (d >= F.greatest(F.lit(4), F.floor(n * 0.35)))
+
+    def rule(t: Column) -> Column:
+        web = F.lower(t).rlike(r"(?:^|[^\p{L}\p{N}_])(?:https?://|www\.)|@")
+        return (F.length(t) < 24) | web | T.let(T.letters(t), lambda n: (n < 12) | (T.digits(t) >= F.greatest(F.lit(4), F.floor(n * 0.35))))
+
+    return T.let(c, rule)
 
 
 def formula_line(c: Column) -> Column:
     """A line (white space collapsed) that is mostly mathematics."""
-    s = T.strip(c)
-    symbols, d, n = T.times(s, SYMBOL), T.digits(s), T.letters(s)
-    named = F.size(F.filter(T.tokens(s), lambda w: w.rlike(LATIN_WORD)))
-    dense = (symbols + d) / F.length(F.regexp_replace(s, T.SPACE, "")) >= 0.35
-    return (F.length(s) >= 3) & (
-        (s.rlike(EQUATION_NUMBER) & ((symbols >= 1) | (d >= 2)))
-        | (s.rlike(MATH_FUNCTION) & ((symbols >= 1) | (d >= 1)))
-        | (symbols >= 3)
-        | ((symbols >= 1) & dense & (named <= 3))
-        | ((symbols >= 2) & (n <= d + symbols) & (named <= 4))
-    )
+
+    def rule(x: Column) -> Column:
+        s, sym, d, n = x["s"], x["sym"], x["d"], x["n"]
+        named = F.size(F.filter(T.tokens(s), lambda w: w.rlike(LATIN_WORD)))
+        dense = (sym + d) / F.length(F.regexp_replace(s, T.SPACE, "")) >= 0.35
+        return (F.length(s) >= 3) & (
+            (sym >= 3)
+            | (((sym >= 1) | (d >= 2)) & s.rlike(EQUATION_NUMBER))
+            | (((sym >= 1) | (d >= 1)) & s.rlike(MATH_FUNCTION))
+            | ((sym >= 1) & dense & (named <= 3))
+            | ((sym >= 2) & (n <= d + sym) & (named <= 4))
+        )
+
+    counts = lambda s: F.struct(s.alias("s"), T.times(s, SYMBOL).alias("sym"), T.digits(s).alias("d"), T.letters(s).alias("n"))
+    return T.let(T.let(T.strip(c), counts), rule)
 
 
 def word_hyphen_end(c: Column) -> Column:
@@ -121,20 +124,21 @@ def word_hyphen_end(c: Column) -> Column:
 
 def degenerate(src: Column, dst: Column) -> Column:
     """Runaway length, few distinct words, or four words in a row three times."""
-    w = T.words(dst)
-    n = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 4)))
-    ordered = F.array_sort(grams)
-    thrice = F.exists(F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1))), lambda i: F.get(ordered, i - 1) == F.get(ordered, i + 1))
-    long = F.length(dst) > F.greatest(F.length(src) * 2.4, F.length(src) + 120.0)
-    return long | ((n >= 16) & ((F.size(F.array_distinct(w)) / n < 0.4) | thrice))
+
+    def repeats(w: Column) -> Column:
+        n = F.size(w)
+        grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 4))))
+        thrice = T.let(grams, lambda g: F.exists(F.sequence(F.lit(2), F.greatest(F.size(g) - 1, F.lit(2))), lambda i: F.get(g, i - 2) == F.get(g, i)))
+        return (n >= 16) & ((F.size(F.array_distinct(w)) / n < 0.4) | thrice)
+
+    return (F.length(dst) > F.greatest(F.length(src) * 2.4, F.length(src) + 120.0)) | T.let(T.words(dst), repeats)
 
 
 def english_left(dst: Column) -> Column:
     """Many English stopwords among ten tokens at least."""
     found = F.regexp_extract_all(dst, F.lit("[a-zA-Z']+"), F.lit(0))
-    hits = F.size(F.filter(found, lambda t: t.isin(*fixed.STOPWORDS)))
-    return (F.size(found) >= 10) & (hits >= 6) & (hits / F.size(found) >= 0.22)
+    both = lambda f: F.struct(F.size(f).alias("n"), F.size(F.filter(f, lambda t: t.isin(*fixed.STOPWORDS))).alias("hits"))
+    return T.let(T.let(found, both), lambda x: (x["n"] >= 10) & (x["hits"] >= 6) & (x["hits"] / x["n"] >= 0.22))
 
 
 def allowed_suffix(name: Column) -> Column:

@@ -88,15 +88,18 @@ def mergeable(p: Column, c: Column) -> Column:
     alike = (p["rotation"] == 0) & (c["rotation"] == 0) & p["font_name"].eqNullSafe(c["font_name"]) & p["raw_block_id"].eqNullSafe(c["raw_block_id"]) & ~G.colors_apart(p, c)
     near = (F.abs(size - c["font_size"]) <= F.greatest(F.lit(0.75), size * 0.08)) & gap.between(-F.greatest(F.lit(2.0), size * 0.55), F.greatest(size * 0.7, F.lit(4.0)))
     aligned = (F.abs(c["x0"] - p["x0"]) <= F.greatest(size * 1.5, F.lit(18.0))) & (G.width(p) > 0) & (G.width(c) > 0) & (shared >= F.least(G.width(p), G.width(c)) * 0.35)
-    plain = ~T.rstrip(p["text"]).rlike(":$") & ~P.starts_structure(c["text"])
-    for rule in (P.table_row, P.reference_line, P.header_or_footer):
-        plain = plain & ~rule(p["text"]) & ~rule(c["text"])
-    apart = P.sentence_boundary(p["text"], c["text"]) & (gap > F.greatest(F.lit(1.5), size * 0.18))
+    plain = c["plain"] & ~c["starts"] & p["plain"] & ~p["text"].rlike(f":{T.SPACE}*$")
+    apart = (gap > F.greatest(F.lit(1.5), size * 0.18)) & P.sentence_boundary(p["text"], c["text"])
     column = ~p["multi_column"] | p["column_index"].eqNullSafe(c["column_index"])
     return F.coalesce(alike & near & aligned & column, F.lit(False)) & plain & ~apart
 
 
-_FIELDS = ["x0", "y0", "x1", "y1", "text", "font_name", "font_size", "r", "g", "b", "raw_block_id", "rotation", "confidence", "page_width", "multi_column", "column_index", "line_count", "boxes"]
+_FIELDS = ["x0", "y0", "x1", "y1", "text", "font_name", "font_size", "r", "g", "b", "raw_block_id", "rotation", "confidence", "page_width", "multi_column", "column_index", "line_count", "boxes", "plain", "starts"]
+
+
+def _plain(text: Column) -> Column:
+    """No table row, reference or page header: such lines stay by themselves."""
+    return T.let(T.collapse(text), lambda s: ~P.table_row(s) & ~P.reference_line(s) & ~P.header_or_footer(s))
 
 
 def _merged(p: Column, c: Column) -> Column:
@@ -104,8 +107,9 @@ def _merged(p: Column, c: Column) -> Column:
     new = {k: p[k] for k in _FIELDS}
     for k, op in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest), ("confidence", F.least)):
         new[k] = op(p[k], c[k])
-    new |= {"text": T.join_hyphened(p["text"], c["text"]), "line_count": p["line_count"] + c["line_count"], "boxes": F.concat(p["boxes"], c["boxes"])}
-    return F.struct(*[new[k].alias(k) for k in _FIELDS])
+    new |= {"line_count": p["line_count"] + c["line_count"], "boxes": F.concat(p["boxes"], c["boxes"])}
+    made = lambda text: F.struct(*[(text if k == "text" else _plain(text) if k == "plain" else new[k]).alias(k) for k in _FIELDS])
+    return T.let(T.join_hyphened(p["text"], c["text"]), made)
 
 
 def _folded(items: Column, joins) -> Column:
@@ -157,7 +161,9 @@ def blocks(lines: DataFrame, hyphens: bool = True) -> DataFrame:
     each line is tried against what was merged so far; then blocks that break off in the middle of a word take the next one.
     """
     box = F.array(F.struct("x0", "y0", "x1", "y1"))
-    item = F.struct("order_no", *[F.col(k) for k in _FIELDS[:-2]], F.lit(1).alias("line_count"), box.alias("boxes"))
+    # What does not depend on merging is worked out once a line, before the fold. A tab shows a table row, but not at a bullet.
+    plain = _plain(F.col("text")) & ~P.table_row(F.col("text"))
+    item = F.struct("order_no", *[F.col(k) for k in _FIELDS[:-4]], F.lit(1).alias("line_count"), box.alias("boxes"), plain.alias("plain"), P.starts_structure(F.col("text")).alias("starts"))
     page = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
     items = F.transform("items", lambda x: F.struct(*[x[k].alias(k) for k in _FIELDS]))
     page = page.select(*PAGE, _folded(items, mergeable).alias("items"))
@@ -166,7 +172,7 @@ def blocks(lines: DataFrame, hyphens: bool = True) -> DataFrame:
     each = page.select(*PAGE, F.posexplode("items").alias("block_no", "b")).select(*PAGE, "block_no", "b.*")
     kind = block_kind(F.col("text"), F.col("line_count"), F.col("y0"), F.col("font_size"), F.col("page_width"), F.col("x1") - F.col("x0"))
     each = each.withColumn("kind", kind)
-    return each.withColumn("alignment", alignment(F.col("boxes"), F.col("text"), F.col("kind"))).drop("boxes", "multi_column")
+    return each.withColumn("alignment", alignment(F.col("boxes"), F.col("text"), F.col("kind"))).drop("boxes", "multi_column", "plain", "starts")
 
 
 def mark_references(rows: DataFrame, order: list[str]) -> DataFrame:

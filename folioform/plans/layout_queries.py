@@ -193,13 +193,13 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT o_orderkey, (o_custkey % 50)::INTEGER AS grp, (o_orderkey % 7)::INTEGER AS rot, 6.0 + (o_orderkey * 13 % 32) * 0.25 AS size FROM orders),
-t AS (SELECT grp, count(*) AS n, greatest(min(size), median(size) * 0.85) AS target FROM p WHERE rot <> 0 GROUP BY grp)
-SELECT o_orderkey, CASE WHEN rot <> 0 AND n >= 3 AND size > target THEN round_even(target, 2) ELSE size END::DOUBLE AS size FROM p JOIN t USING (grp)
+WITH p AS (SELECT o_orderkey, (o_custkey % 50)::INTEGER AS grp, (o_orderkey % 7)::INTEGER AS rot, 6.0::DOUBLE + (o_orderkey * 13 % 32) / 7.0::DOUBLE AS size FROM orders),
+t AS (SELECT grp, count(*) AS n, greatest(min(size)::DOUBLE, median(size)::DOUBLE * 0.85::DOUBLE) AS target FROM p WHERE rot <> 0 GROUP BY grp)
+SELECT o_orderkey, CASE WHEN rot <> 0 AND n >= 3 AND size > target THEN round(target, 2) ELSE size END::DOUBLE AS size FROM p JOIN t USING (grp)
 """)
 def harmonize_sizes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    p = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("int").alias("grp"), (k % 7).alias("rot"), (6.0 + (k * 13 % 32) * 0.25).alias("font_size"))
+    p = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("int").alias("grp"), (k % 7).alias("rot"), (6.0 + (k * 13 % 32) / 7.0).alias("font_size"))
     p = p.withColumn("key", F.when(F.col("rot") != 0, F.col("grp")))
     return Y.harmonize(p, []).select("o_orderkey", F.col("harmonized").alias("size"))
 

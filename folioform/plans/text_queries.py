@@ -181,8 +181,8 @@ def sample_noise_filter(spark: SparkSession, d: str) -> DataFrame:
     return _numbered(spark, d).select("doc_id", "line_no", (~P.noisy_sample(T.collapse(F.col("line")))).alias("kept"))
 
 
-# Every third line end doubled, so that there are blank lines.
-_SPARSE = r"regexp_replace(text, '([^\n]*\n[^\n]*\n[^\n]*)\n', '\1' || chr(10) || chr(10), 'g')"
+# A blank line after some sentences.
+_SPARSE = "replace(text, 'n. ', 'n.' || chr(10) || chr(10))"
 
 
 @query(rf"""
@@ -194,7 +194,7 @@ n AS (SELECT *, (sum(starts) OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::I
 SELECT doc_id, seg_no, sum(length(line))::BIGINT AS seg_len, bool_or(blank) AS is_blank FROM n GROUP BY doc_id, seg_no
 """)
 def segment_islands(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"([^\n]*\n[^\n]*\n[^\n]*)\n", "$1\n\n").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("n. "), F.lit("n.\n\n")).alias("text"))
     return L.segments(docs).select("doc_id", "seg_no", F.length("segment").cast("long").alias("seg_len"), "is_blank")
 
 
