@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from difflib import SequenceMatcher
 from typing import Protocol
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
+from ..functions.fixed import STOPWORDS
 from .lines import batches
 
 
@@ -131,15 +134,10 @@ def should_retry(src: str, dst: str | None, source: str, target: str) -> bool:
     if not b or a == b:
         return True
     w = b.split()
-    grams = [tuple(w[i : i + 4]) for i in range(len(w) - 3)]
-    if len(b) > max(len(a) * 2.4, len(a) + 120.0) or len(w) >= 16 and (len(set(w)) / len(w) < 0.4 or max(map(grams.count, grams)) >= 3):
+    if len(b) > max(len(a) * 2.4, len(a) + 120.0) or len(w) >= 16 and (len(set(w)) / len(w) < 0.4 or max(Counter(zip(w, w[1:], w[2:], w[3:])).values()) >= 3):
         return True
     if leaks(a, b):
         return True
-    import re
-
-    from ..functions.fixed import STOPWORDS
-
     found = re.findall("[a-zA-Z']+", b)
     hits = sum(t in STOPWORDS for t in found)
     return source == "en" and target != "en" and len(found) >= 10 and hits >= 6 and hits / len(found) >= 0.22
@@ -168,6 +166,8 @@ def translate_batches(rows: DataFrame, key: str, order: str, name: str, source:
         return pdf[[key, order, "text"]].assign(final_text=final, state=state, calls=calls)
 
     kind = dict(rows.dtypes)
+    # Calls take long whatever their size, so small partitions are not put together.
+    some = some.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "batch_no")
     done = some.groupBy(key, "batch_no").applyInPandas(call, f"`{key}` {kind[key]}, `{order}` {kind[order]}, text string, final_text string, state string, calls int")
     blank = rows.where(F.coalesce(T.strip(F.col("text")) == "", F.lit(True))).select(key, order, "text", F.col("text").alias("final_text"), F.lit("blank").alias("state"), F.lit(0).alias("calls"))
     return done.unionByName(blank)
