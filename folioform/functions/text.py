@@ -258,3 +258,9 @@ def needs_unicode_font(c: Column) -> Column:
 
 def prompt(source: Column, target: Column, text: Column) -> Column:
     return F.concat(F.lit("Translate from "), source, F.lit(" to "), target, F.lit(". Return only the translation:\n\n"), text)
+
+
+def batch_prompt(source: Column, target: Column, ids: Column, texts: Column) -> Column:
+    """A prompt of numbered JSON strings to translate one by one."""
+    quoted = F.zip_with(ids, texts, lambda i, t: F.concat(F.lit('"'), i.cast("string"), F.lit('": '), F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2)))
+    return F.concat(F.lit("Translate from "), source, F.lit(" to "), target, F.lit(". Reply with JSON only.\n\n{\n  "), F.array_join(quoted, ",\n  "), F.lit("\n}"))

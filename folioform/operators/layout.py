@@ -278,3 +278,17 @@ def missing_links(links: DataFrame, present: DataFrame) -> DataFrame:
     for k in want.columns:
         on = on & F.col(f"w.{k}").eqNullSafe(F.col(f"h.{k}"))
     return want.join(have, on, "left_anti")
+
+
+def covering_font(texts: DataFrame, coverage: DataFrame, key: str) -> DataFrame:
+    """(key, font): the first font, by priority, that covers all characters of a text but white space, else the first of all.
+
+    coverage (font, priority, first, last) lists ranges of code points; it is a small table of the fonts that are installed.
+    """
+    chars = texts.select(key, F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("c")).where((F.col("c") != "") & ~F.col("c").rlike(f"^{T.SPACE}$"))
+    need = chars.select(key, F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long").alias("point"))
+    total = need.groupBy(key).agg(F.count("*").alias("total"))
+    covered = need.join(F.broadcast(coverage), F.col("point").between(F.col("first"), F.col("last"))).groupBy(key, "font", "priority").agg(F.countDistinct("point").alias("n"))
+    full = covered.join(total, key).where("n = total").groupBy(key).agg(F.min_by("font", "priority").alias("font"))
+    spare = coverage.agg(F.min_by("font", "priority").alias("spare"))
+    return texts.select(key).distinct().join(full, key, "left").crossJoin(F.broadcast(spare)).select(key, F.coalesce("font", "spare").alias("font"))

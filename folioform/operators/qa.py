@@ -59,3 +59,13 @@ def token_hits(c: Column, wanted: tuple[str, ...]) -> Column:
 
 def bounding_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("members"))
+
+
+def image_stats(regions: DataFrame, key: str) -> DataFrame:
+    """(key, image_regions_processed, image_blocks_translated, image_blocks_rejected, api_calls) from one row a recognised block.
+
+    Rows are (key, region, placed, rejected, calls); blocks that did not fit count as neither.
+    """
+    return regions.groupBy(key).agg(
+        F.countDistinct("region").alias("image_regions_processed"), F.count_if("placed").alias("image_blocks_translated"), F.count_if("rejected").alias("image_blocks_rejected"), F.sum("calls").cast("long").alias("api_calls")
+    )

@@ -251,3 +251,36 @@ def metadata_language(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 4
     a, b = F.when(k == 0, "fr-FR").when(k == 1, ""), F.when(k == 1, "lang: DE").when(k == 3, "french only").otherwise("report EN_us")
     return table(spark, d, "documents").select("doc_id", T.metadata_language(a, b).alias("code"))
+
+
+@query("""
+SELECT user_id, count(DISTINCT event_id // 10) AS image_regions_processed, count(*) FILTER (event_type = 'view') AS image_blocks_translated, count(*) FILTER (event_type = 'error') AS image_blocks_rejected, sum(1 + event_id % 2)::BIGINT AS api_calls FROM events GROUP BY user_id
+""")
+def image_stats(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    e = table(spark, d, "events").select("user_id", F.floor(k / 10).alias("region"), (F.col("event_type") == "view").alias("placed"), (F.col("event_type") == "error").alias("rejected"), (1 + k % 2).alias("calls"))
+    return qa.image_stats(e, "user_id")
+
+
+_NAMED = ["a.PDF", "b c.txt", "ünï.docx", "x.pptx", "y.doc", "z.ppt", "q.xyz"]
+_FONTS = ["Arial-BoldItalic", "TimesBd", "HelveticaOblique", "Plain", "Georgiait"]
+
+
+@query(f"""
+SELECT doc_id, CASE {" ".join(f"WHEN lower(f) LIKE '%{k}' THEN '{v}'" for k, v in sorted(fixed.MEDIA_TYPES.items(), key=lambda x: -len(x[0])))} ELSE 'application/octet-stream' END AS media_type,
+  {S.sub(S.stem("f"), r"[^\p{L}\p{N}_-]", "_")} AS safe, CASE doc_id % 5 WHEN 0 THEN 'hebi' WHEN 1 THEN 'hebo' WHEN 2 THEN 'heit' WHEN 3 THEN 'helv' ELSE 'heit' END AS font
+FROM (SELECT doc_id, list_extract([{", ".join(map(S.lit, _NAMED))}], (doc_id % 7 + 1)::INTEGER) AS f FROM documents)
+""")
+def file_types(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    f = F.get(F.array(*map(F.lit, _NAMED)), (k % 7).cast("int"))
+    font = F.get(F.array(*map(F.lit, _FONTS)), (k % 5).cast("int"))
+    return table(spark, d, "documents").select("doc_id", T.media_type(f).alias("media_type"), T.safe_stem(f).alias("safe"), T.base_font(font).alias("font"))
+
+
+@query("""
+SELECT conv_id, turn, 'Translate from en to fr. Return only the translation:' || chr(10) || chr(10) || text AS single, sha256('Translate from en to fr. Reply with JSON only.' || chr(10) || chr(10) || '{' || chr(10) || '  "' || turn || '": ' || to_json(text)::VARCHAR || chr(10) || '}') AS batch FROM conversations
+""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    s, t = F.lit("en"), F.lit("fr")
+    return table(spark, d, "conversations").select("conv_id", "turn", T.prompt(s, t, F.col("text")).alias("single"), F.sha2(T.batch_prompt(s, t, F.array("turn"), F.array("text")), 256).alias("batch"))

@@ -264,3 +264,47 @@ def links_missing(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, page_index, line_id, {S.native_text('text')} AS ok, x0, y0 FROM ({_BOXES}) WHERE NOT {S.native_text('text')}")
 def untranslatable_lines(spark: SparkSession, d: str) -> DataFrame:
     return placed(spark, d).where(~P.native_text(F.col("text"))).select("doc_id", "page_index", "line_id", P.native_text(F.col("text")).alias("ok"), "x0", "y0")
+
+
+@query("""
+SELECT event_id, greatest(0.0, x - 2) AS "left", greatest(0.0, y - 2) AS top, round(greatest(36.0, w * 1.18), 6)::DOUBLE AS width, round(greatest(18.0, h * 1.35), 6)::DOUBLE AS height, round(greatest(10.0, least(24.0, h * 0.72)), 6)::DOUBLE AS font_size
+FROM (SELECT event_id, (event_id % 100)::DOUBLE AS x, (event_id % 7)::DOUBLE AS y, (event_id % 90)::DOUBLE AS w, (event_id % 40)::DOUBLE AS h FROM events)
+""")
+def overlay_geometry(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    b = table(spark, d, "events").select("event_id", F.struct((k % 100).cast("double").alias("x0"), (k % 7).cast("double").alias("y0"), (k % 100 + k % 90).cast("double").alias("x1"), (k % 7 + k % 40).cast("double").alias("y1")).alias("b"))
+    o = b.select("event_id", G.overlay(F.col("b")).alias("o"))
+    return o.select("event_id", "o.left", "o.top", *[F.round(f"o.{n}", 6).alias(n) for n in ("width", "height", "font_size")])
+
+
+_RANGES = [("latin", 1, 0, 255), ("wide", 2, 0, 0x24F), ("symbols", 3, 0x2000, 0x2BFF)]
+
+
+@query("""
+SELECT doc_id, CASE WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{ff}]') THEN 'latin' WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{24f}]') THEN 'wide' ELSE 'latin' END AS font FROM (SELECT doc_id, left(text, 200) || list_extract(['', 'ł', '→', 'ж'], (doc_id % 4 + 1)::INTEGER) AS t FROM documents)
+""")
+def font_coverage(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(200)), F.get(F.array(*map(F.lit, ("", "ł", "→", "ж"))), (F.col("doc_id") % 4).cast("int"))).alias("text"))
+    return Y.covering_font(t, spark.createDataFrame(_RANGES, "font string, priority int, first long, last long"), "doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, list_extract(['a', 'bb', 'ccc'], 3) AS text, (l_quantity % 4)::DOUBLE AS size FROM lineitem")
+def style_spans(spark: SparkSession, d: str) -> DataFrame:
+    span = lambda text, size: F.struct(F.lit(text).alias("text"), size.alias("size"))
+    q = F.col("l_quantity") % 4
+    s = Y.style_span(F.array(span("a", q + 9), span(" bb  ", q + 5), span("ccc", q - 1), span("ccc", q), span("ccc", q)))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s["text"].alias("text"), s["size"].alias("size"))
+
+
+@query("""
+SELECT n_nationkey, (n_nationkey * 12.5)::DOUBLE AS width, n_nationkey % 3 AS pages FROM (SELECT n_nationkey::INTEGER AS n_nationkey FROM nation) WHERE n_nationkey > 0 AND n_nationkey % 3 > 0
+""")
+def image_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of converted files that have a size and a background image."""
+    from ..sources import html
+
+    k = F.col("n_nationkey")
+    div = F.concat(F.lit('<div id="page1-div" style="position:relative;width:'), (k * 12.5).cast("string"), F.lit('px;height:100px;">\n<img src="b.png"/></div>'))
+    page = F.concat(F.lit("<body>"), F.repeat(div, (k % 3).cast("int")), F.lit('<div id="page9-div" style="width:5px;height:5px;">text</div></body>'))
+    found = html.image_pages(table(spark, d, "nation").select("n_nationkey", page.alias("html")), "n_nationkey")
+    return found.groupBy("n_nationkey", "width").agg(F.count("*").cast("int").alias("pages"))
