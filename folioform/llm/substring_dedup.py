@@ -4,7 +4,7 @@ What is looked for are windows of WINDOW words that also start earlier in the co
 BASE words inside it: the one with the smallest hash stands for it, so equal windows are stood for by equal ones, and only about
 one position in eight is looked up. A short window that occurs once in the corpus cannot lie in a repeated long one; positions
 whose short window repeats are extended to twice the length and judged again among themselves, and so on, until the windows of
-the full length that are left are compared by 128-bit hashes and the first place of each is known. All others go.
+the full length that are left are compared by 96-bit hashes and the first place of each is known. All others go.
 
 Texts that equal that of a smaller doc_id need no search: every window of theirs starts earlier. Every lookup is an aggregation
 with map-side sums, followed by a join that can be split; the texts are dealt out by doc_id once and read again at each level.
@@ -102,7 +102,7 @@ class Piece:
 
     def stands(self, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each short window, smallest of these in each window)."""
-        h = self.grams(length)
+        h = self.grams(length) >> _U(16)  # 48 bits: where these clash a window is only judged at the next level too
         return h, _slide(h, window - length + 1, np.minimum)
 
     def chosen(self, length: int, window: int, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def _last(length: int, window: int):
                     continue
                 at = np.flatnonzero(piece.among(length, window, doc, f.view(_U)))
                 doc = piece.doc[at]
-                h = [pa.array(piece.grams(window, k)[at].view(np.int64)) for k in (0, 1)]
+                h = [pa.array((piece.grams(window, k)[at] >> _U(32 * k)).view(np.int64)) for k in (0, 1)]  # 96 bits
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc)), pa.array((at - piece.first[doc]).astype(np.int32)), *h], names=["doc_id", "pos", "h1", "h2"])
 
     return scan
