@@ -43,33 +43,47 @@ def signatures(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
 
-def links_in(part: pd.DataFrame, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(members, links of each to rows that it meets first in this table, spanning forest of member ids) of one part."""
-    ids, copies, side = part["member"].to_numpy(), part["copies"].to_numpy(), part["side"].to_numpy()
-    t = int(part["tab"].iloc[0])
-    x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-    norm = np.sqrt((x * x).sum(axis=1))
-    earlier = np.stack(part["sigs"].to_numpy())[:, :t]
-    count = np.zeros(len(ids), dtype=np.int64)
-    forest = [np.zeros((0, 2), dtype=np.int64)]
-    one, two = (np.arange(len(ids)),) * 2 if side[0] == 0 else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-    for i in range(0, len(one), step):
-        rows = one[i : i + step]
-        near = (x[rows] @ x[two].T) / (norm[rows][:, None] * norm[two][None, :]) >= threshold
-        a, b = np.nonzero(near)
-        a, b = rows[a], two[b]
-        if side[0] == 0:
-            a, b = a[a < b], b[a < b]
-        new = np.ones(len(a), dtype=bool)
-        for k in range(t):
-            new &= earlier[a, k] != earlier[b, k]
-        a, b = a[new], b[new]
-        if len(a):
-            np.add.at(count, a, copies[b])
-            np.add.at(count, b, copies[a])
-            forest.append(spanning(np.stack([ids[a], ids[b]], axis=1)))
-    edges = np.concatenate(forest)
-    return ids[count > 0], count[count > 0], spanning(edges) if len(edges) else edges
+def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each row to rows that it meets first in this table, spanning forest of row numbers) within groups of sorted rows."""
+    side, copies, tab = rows["side"].to_numpy(), rows["copies"].to_numpy(), rows["tab"].to_numpy()
+    size = rows["embedding"].map(len).to_numpy()  # equal within a group
+    sigs = np.stack(rows["sigs"].to_numpy())
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    length = np.diff(np.append(first, len(group)))
+    end = np.repeat(first + length, length)
+    links, forest = np.zeros(len(rows), dtype=np.int64), [np.zeros((0, 2), dtype=np.int64)]
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        for t in np.unique(tab[a]) if len(a) else ():
+            here = tab[a] == t
+            x, y = a[here], b[here]
+            new = ~(sigs[x, :t] == sigs[y, :t]).any(axis=1)
+            x, y = x[new], y[new]
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            if len(x):
+                forest.append(spanning(np.stack([x, y], axis=1)))
+
+    for d in np.unique(size):
+        mine = np.flatnonzero(size == d)
+        x = np.zeros((len(rows), d)) if len(mine) < len(rows) else np.empty((len(rows), d))
+        x[mine] = np.stack(rows["embedding"].to_numpy()[mine]).astype(np.float64)
+        norm = np.sqrt((x * x).sum(axis=1))
+        at, k = mine[np.repeat(length <= 64, length)[mine]], 1
+        while len(at := at[at + k < end[at]]):
+            i = at[(side[at] == 0) | (side[at] != side[at + k])]
+            near = np.einsum("nd,nd->n", x[i], x[i + k]) / (norm[i] * norm[i + k]) >= threshold
+            take(i[near], i[near] + k)
+            k += 1
+        for g in np.flatnonzero((length > 64) & (size[first] == d)):
+            whole = np.arange(first[g], first[g] + length[g])
+            one, two = (whole, whole) if side[whole[0]] == 0 else (whole[side[whole] == 1], whole[side[whole] == 2])
+            for i in range(0, len(one), step):
+                part = one[i : i + step]
+                a, b = np.nonzero((x[part] @ x[two].T) / (norm[part][:, None] * norm[two][None, :]) >= threshold)
+                a, b = part[a], two[b]
+                take(*((a[a < b], b[a < b]) if one is two else (a, b)))
+    return links, spanning(np.concatenate(forest))
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -87,11 +101,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
     rows = rows.withColumn("usable", usable)
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     rows = rows.where("usable").drop("usable")
-    # A class of equal vectors is named by a hash of what is equal; its rows are counted before they are shuffled.
     classes = rows.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    classes = classes.withColumn("member", F.xxhash64("label", "embedding"))
-    n = rows.count()
-    bits, tables = plan(n, threshold, miss)
+    n, labels = rows.agg(F.count("*"), F.approx_count_distinct("label")).first()
+    bits, tables = plan(n // max(1, labels), threshold, miss)
 
     def sign(batches):
         for pdf in batches:
@@ -102,23 +114,32 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
                 sigs[at] = signatures(np.stack(pdf["embedding"].iloc[at].to_numpy()).astype(np.float64), bits, tables)
             yield pdf.assign(sigs=list(sigs))
 
-    signed = checkpointed(classes.mapInPandas(sign, "label string, embedding array<double>, copies long, least long, member long, sigs array<int>"))
-    keyed = signed.select("member", "copies", F.col("embedding").cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else "embedding", "sigs", "label", F.size("embedding").alias("dims"), F.posexplode("sigs").alias("tab", "sig"))
-    keyed = keyed.withColumn("key", F.xxhash64("label", "dims", "tab", "sig"))
-    dealt = in_blocks(keyed.select("member", "copies", "embedding", "sigs", "tab", "key"), ["key"], "member", block)
+    signed = classes.mapInPandas(sign, "label string, embedding array<double>, copies long, least long, sigs array<int>")
+    signed = checkpointed(signed.withColumn("member", F.monotonically_increasing_id()))  # the numbers stay, as the rows are written
+    # Buckets are dealt out by keys alone; the vectors come in once, after that.
+    keyed = signed.select("member", "label", F.size("embedding").alias("dims"), F.posexplode("sigs").alias("tab", "sig"))
+    keyed = keyed.select("member", "tab", F.xxhash64("label", "dims", "tab", "sig").alias("key"))
+    narrow = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    payload = signed.select(F.col("member").alias("member2"), "copies", F.col("embedding").cast(narrow).alias("embedding"), "sigs", F.col("label").alias("kind"))
+    dealt = in_blocks(keyed, ["key"], "member", block).join(payload, F.col("member") == F.col("member2")).drop("member2")
+    dealt = dealt.withColumn("dims", F.size("embedding"))
+    order = ["key", "part", "tab", "kind", "dims"]  # the last three tell apart what a clash of hashes puts together
 
     def compare(batches):
         held: list[pd.DataFrame] = []
 
         def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            kinds, a, b = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for _, part in pdf.groupby(["key", "part"], sort=False):
-                if len(part) > 1:
-                    ids, count, edges = links_in(part, threshold)
-                    kinds += [np.zeros(len(ids), dtype=np.int32), np.ones(len(edges), dtype=np.int32)]
-                    a += [ids, edges[:, 0]]
-                    b += [count, edges[:, 1]]
-            return pd.DataFrame({"edge": np.concatenate(kinds), "a": np.concatenate(a), "b": np.concatenate(b)})
+            pdf = pdf.reset_index(drop=True)
+            if not len(pdf):
+                return pd.DataFrame({"edge": np.zeros(0, dtype=np.int32), "a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+            new = np.zeros(len(pdf) - 1, dtype=bool)
+            for k in order:
+                column = pdf[k].to_numpy()
+                new |= column[1:] != column[:-1]
+            links, edges = links_in(np.cumsum(np.concatenate([[0], new])), pdf, threshold)
+            ids, some = pdf["member"].to_numpy(), np.flatnonzero(links)
+            edge = np.repeat(np.array([0, 1], dtype=np.int32), [len(some), len(edges)])
+            return pd.DataFrame({"edge": edge, "a": np.concatenate([ids[some], ids[edges[:, 0]]]), "b": np.concatenate([links[some], ids[edges[:, 1]]])})
 
         for pdf in batches:
             held.append(pdf)
@@ -129,16 +150,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
         if held:
             yield flush(pd.concat(held, ignore_index=True))
 
-    # Vectors of one key whose hashes clash are still compared exactly, so a clash only costs time.
-    found = checkpointed(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side", "member").mapInPandas(compare, "edge int, a long, b long"))
+    found = checkpointed(dealt.repartition("key", "part").sortWithinPartitions(*order, "side", "member").mapInPandas(compare, "edge int, a long, b long"))
     counts = found.where("edge = 0").groupBy(F.col("a").alias("member2")).agg(F.sum("b").alias("others"))
     nodes = connected_components(found.where("edge = 1").select("a", "b"))
     named = signed.select("member", "label", "embedding", "copies", "least").join(nodes, F.col("member") == F.col("node"), "left").withColumn("root", F.coalesce("root", "member"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
     named = named.join(least, F.col("root") == F.col("root2")).join(counts, F.col("member") == F.col("member2"), "left")
-    named = named.select(F.col("label").alias("label2"), F.col("embedding").alias("embedding2"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id", F.col("member").alias("member3"))
-    rows = rows.withColumn("member", F.xxhash64("label", "embedding"))
-    out = rows.join(named, (F.col("member") == F.col("member3")) & (F.col("label") == F.col("label2")) & (F.col("embedding") == F.col("embedding2")))
+    named = named.select(F.col("label").alias("label2"), F.col("embedding").alias("embedding2"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    named = named.withColumn("hash2", F.xxhash64("label2", "embedding2"))
+    rows = rows.withColumn("hash", F.xxhash64("label", "embedding"))
+    out = rows.join(named, (F.col("hash") == F.col("hash2")) & (F.col("label") == F.col("label2")) & (F.col("embedding") == F.col("embedding2")))
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")).unionByName(alone)
 
 
