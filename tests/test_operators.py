@@ -321,3 +321,28 @@ def test_streaming_route_is_the_batch_route(spark, tmp_path):
     q.stop()
     want = R.route(df, "user_id", "event_id", F.col("failed"), F.col("unsupported")).select("event_id", "route").collect()
     assert sorted(map(tuple, spark.table("routes").select("event_id", "route").collect())) == sorted(map(tuple, want))
+
+
+def test_boxes_apart(spark):
+    boxes = [(0.0, 0.0, 10.0, 10.0), (0.4, 0.0, 10.0, 10.0), (0.8, 0.0, 10.0, 10.0), (50.0, 0.0, 60.0, 10.0)]
+    df = spark.createDataFrame([(boxes,)], "b array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    assert [tuple(x)[0] for x in df.select(Y.apart_boxes(F.col("b"))).first()[0]] == [0.0, 0.8, 50.0]
+
+
+def test_colours_and_directions(spark):
+    df = spark.createDataFrame([(0xFF8000, 0.0, -1.0), (0, 1.0, 0.0), (0, -1.0, 0.0), (0, 0.0, 1.0)], "c int, dx double, dy double")
+    got = df.select(G.rgb(F.col("c")).alias("c"), G.rotation(F.col("dx"), F.col("dy")).alias("r")).collect()
+    assert tuple(got[0]["c"]) == (1.0, 128 / 255, 0.0) and [r["r"] for r in got] == [90, 0, 180, 270]
+
+
+def test_streamed_jobs_and_manifest(spark, tmp_path):
+    from folioform.streaming.jobs import keep_manifest, new_jobs
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 02:00:00")]
+    df = spark.createDataFrame(rows, "output_name string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = new_jobs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = keep_manifest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["output_name"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["a", "b"]
