@@ -164,7 +164,9 @@ def blocks(lines: DataFrame, hyphens: bool = True) -> DataFrame:
     # What does not depend on merging is worked out once a line, before the fold. A tab shows a table row, but not at a bullet.
     plain = _plain(F.col("text")) & ~P.table_row(F.col("text"))
     item = F.struct("order_no", *[F.col(k) for k in _FIELDS[:-4]], F.lit(1).alias("line_count"), box.alias("boxes"), plain.alias("plain"), P.starts_structure(F.col("text")).alias("starts"))
-    page = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # The fold takes long for its bytes, so small partitions are not put together here.
+    spread = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
+    page = spread.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
     items = F.transform("items", lambda x: F.struct(*[x[k].alias(k) for k in _FIELDS]))
     page = page.select(*PAGE, _folded(items, mergeable).alias("items"))
     if hyphens:
