@@ -200,14 +200,15 @@ def score_documents(docs: DataFrame, net: Network, threshold: float = THRESHOLD)
 def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The documents' rows whose text reaches the threshold; columns as in docs."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
-
-        return pd.Series([shared.value.score([None if t is None else bytes(t)])[0] >= threshold for t in texts], dtype=bool)
+    def scan(batches):
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            yield batch.filter(pa.array([bool(model.score([t.as_py()])[0] >= threshold) for t in texts], pa.bool_()))
 
-    return docs.where(good(F.col("text").cast("binary")))
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
