@@ -36,6 +36,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def joined_back(rows: DataFrame, totals: DataFrame, on: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """rows joined with an aggregate of them by its keys, (name in rows, name in totals).
+
+    A hash of the keys is one more join key. Without it the join would take over the aggregate's partitioning, and the engine
+    could not split the rows of a hot key: it can only where both sides are shuffled for the join.
+    """
+    match = F.xxhash64(*[a for a, _ in on]) == F.xxhash64(*[b for _, b in on])
+    for a, b in on:
+        match = match & (F.col(a) == F.col(b))
+    return rows.join(totals, match, how)
+
+
 def spanning(pairs: np.ndarray) -> np.ndarray:
     """Edges (child, smallest node of its tree) that connect the same nodes as pairs do."""
     nodes, flat = np.unique(pairs, return_inverse=True)
@@ -87,10 +99,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Large star: every neighbour above a node moves to the node's smallest neighbour (or to the node itself).
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(low, F.col("u") == F.col("u2")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        e = joined_back(both.where("v > u"), low, [("u", "u2")]).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.
         low = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a2"), "m")
-        moved = e.join(low, F.col("a") == F.col("a2")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = joined_back(e, low, [("a", "a2")]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = checkpointed(moved.where("a <> b").union(low.select(F.col("a2").alias("a"), F.col("m").alias("b"))).distinct())
         now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if now == state:

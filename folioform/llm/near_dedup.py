@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, connected_components, spanning, table
+from .common import LOWER, checkpointed, connected_components, joined_back, spanning, table
 
 SHINGLE = 3
 RADIUS = 3
@@ -125,10 +125,7 @@ def in_blocks(members: DataFrame, keys: list[str], member: str, most: int) -> Da
     """
     large = members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most)
     large = large.select(*[F.col(k).alias(f"{k}_2") for k in keys], F.ceil(F.col("n") / most).alias("blocks"))
-    on = None
-    for k in keys:
-        on = (F.col(k) == F.col(f"{k}_2")) if on is None else on & (F.col(k) == F.col(f"{k}_2"))
-    dealt = members.join(large, on, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = joined_back(members, large, [(k, f"{k}_2") for k in keys], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(7), member), F.col("blocks"))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")

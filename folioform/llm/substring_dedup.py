@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, table
+from .common import IS_SPACE, joined_back, table
 
 WINDOW = 20
 BASE = 5
@@ -223,7 +223,7 @@ def _finish(length: int, window: int, with_text: bool):
 def _repeated(rows: DataFrame) -> DataFrame:
     """The rows (doc_id, f, times) whose f occurs more than once."""
     twice = rows.groupBy("f").agg(F.sum("times").alias("n")).where("n >= 2").select(F.col("f").alias("f2"))
-    return rows.select("doc_id", "f").join(twice, F.col("f") == F.col("f2")).select("doc_id", "f")
+    return joined_back(rows.select("doc_id", "f"), twice, [("f", "f2")]).select("doc_id", "f")
 
 
 def _lists(rows: DataFrame, value: str) -> DataFrame:
@@ -247,7 +247,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, base: int = BASE, wi
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")).distinct()
     least = texts.groupBy(F.col("sha").alias("sha2")).agg(F.min("doc_id").alias("least"))
-    copies = texts.join(least, F.col("sha") == F.col("sha2")).where("doc_id > least").select("doc_id")
+    copies = joined_back(texts, least, [("sha", "sha2")]).where("doc_id > least").select("doc_id")
     unclear = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     found = docs.where("doc_id is not null").mapInArrow(_level(lengths[0], None, window), "doc_id long, f long, times int")
     found = _repeated(found).join(copies.union(unclear), "doc_id", "left_anti")
