@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from . import text as T
 
+# The patterns of what is masked.
 EMAIL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _STOP = r"[^\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}<>()\"']"
 URL = r"https?://" + _STOP + r"+|www\." + _STOP + "+"

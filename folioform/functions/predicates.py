@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from . import text as T
 
+# The patterns that decide what a line is. They must be these for the results to be right.
 MASK = r"(?i:(?:^|(?<=[^\p{L}\p{N}_]))(?:ZXQNT" + T.SPACE + r"*\p{Nd}+(?:" + T.SPACE + r"*QXZ)?|OLPRO[\p{L}\p{N}_]*" + T.SPACE + r"*\p{Nd}+)(?![\p{L}\p{N}_]))"
 SYMBOL = r"[=∑∫√≤≥≈≠∞∂∆∇±×÷→←↔⇒⇔^_{}<>|]"
 EQUATION_NUMBER = r"(?:^| )\(\p{Nd}+(?:\.\p{Nd}+)*\) *$"

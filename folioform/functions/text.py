@@ -201,6 +201,7 @@ def base_font(name: Column) -> Column:
     return F.when(bold & italic, "hebi").when(bold, "hebo").when(italic, "heit").otherwise("helv")
 
 
+# The patterns of a reply's parts.
 FENCED_JSON = r"(?s)```(?:json)?[ \t\r\n]*(\{.*?\})[ \t\r\n]*```"
 PAIRS = r'"(\d+)"[ \t\r\n]*:[ \t\r\n]*"([^"]*(?:\\"[^"]*)*)"'
 
