@@ -1,8 +1,9 @@
-"""Near duplicates by similarity of shingle sets, found and judged by wide SimHash fingerprints.
+"""Near duplicates by similarity of shingle sets: found by wide SimHash fingerprints, decided by the sets.
 
 A fingerprint has WORDS_OF_64 words of 64 bits over the distinct word shingles. The share of bits in which two fingerprints differ
 is the angle between their shingle sets over pi, so a least Jaccard similarity s gives a radius: sets of equal size with that
-similarity have the cosine 2s / (1 + s). At 768 bits the judged similarity is within about 0.03 of the true one.
+similarity have the cosine 2s / (1 + s). At 768 bits that shows the similarity within about 0.03, so fingerprints only propose: pairs
+within three standard deviations beyond the radius go on, and the exact Jaccard similarity of the two shingle sets decides.
 
 Candidates share the value of some table's sample of bits; the number of tables follows from the number of bits sampled and the
 radius. A candidate pair is pruned by one word first. Of each bucket only the lightest spanning forest goes on, so a large group
@@ -29,7 +30,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 WORDS_OF_64 = 12
 #: Chance that a pair exactly at the radius meets in no table; closer pairs are missed far more rarely.
-MISS = 0.02
+MISS = 0.005
 #: Members of a bucket that are compared in one piece.
 BLOCK = 4096
 SEED = 23
@@ -42,6 +43,12 @@ def radius_of(similarity: float, bits: int = _BITS) -> int:
     return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def farthest(similarity: float, bits: int = _BITS) -> int:
+    """Three standard deviations beyond the radius: pairs that similar are seldom farther apart."""
+    radius = radius_of(similarity, bits)
+    return radius + math.ceil(3 * math.sqrt(radius * (1 - radius / bits)))
+
+
 def plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
     """(bits sampled a table, tables) for n fingerprints."""
     bits = min(28, max(12, math.ceil(math.log2(max(n, 1) / 4)) if n > 4 else 12))
@@ -49,17 +56,21 @@ def plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[in
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
-    """WORDS_OF_64 words, little-endian: a bit is 1 if it is set in over half of the hashes of the distinct shingles."""
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; a shorter text is one shingle."""
     seq = text.translate(LOWER).split() if text else []
     if not seq:
-        return bytes(8 * WORDS_OF_64)
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(seq)
     h = xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, seq), dtype=np.int64, count=len(seq)) + 1)
     k = min(shingle, len(seq))
     spans = zip([0, *ends[:-k].tolist()], (ends[k - 1 :] - 1).tolist())
-    own = np.fromiter({h(line[a:b]) for a, b in spans}, dtype=np.uint64)
+    return np.sort(np.fromiter({h(line[a:b]) for a, b in spans}, dtype=np.uint64))
+
+
+def _wide(own: np.ndarray) -> bytes:
+    """WORDS_OF_64 words, little-endian: a bit is 1 if it is set in over half of the hashes."""
     votes = np.zeros(_BITS, dtype=np.int64)
     for at in range(0, len(own), 1 << 12):
         x = own[at : at + (1 << 12), None] ^ _KEYS[None, :]
@@ -70,6 +81,10 @@ def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
     return np.packbits(2 * votes > len(own), bitorder="little").tobytes()
 
 
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
+    return _wide(shingles(text, shingle))
+
+
 def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Which rows of words (n, WORDS_OF_64) differ in at most radius bits: by chains of words round the ring, then in full."""
     d = np.bitwise_count(a ^ b).astype(np.int64)
@@ -203,8 +218,8 @@ def candidates(classes: DataFrame, n: int, similarity: float, block: int = BLOCK
 
 
 def judged(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose fingerprints are within the radius."""
-    radius = radius_of(similarity)
+    """The edges (a, b) whose fingerprints do not rule the similarity out."""
+    radius = farthest(similarity)
     one = classes.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
     two = classes.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
 
@@ -217,10 +232,38 @@ def judged(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return edges.join(one, "a").join(two, "b").select("a", "b", "wide_a", "wide_b").mapInArrow(judge, "a long, b long")
 
 
+def alike(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The edges (a, b) of doc_ids whose shingle sets have at least that Jaccard similarity; only their texts are hashed."""
+    ids = edges.select(F.col("a").alias("__id")).union(edges.select("b")).distinct()
+    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = texts.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").distinct()
+
+    def sets(batches):
+        for batch in batches:
+            own = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
+
+    def decide(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    own = texts.mapInArrow(sets, "node long, own binary")
+    one, two = (own.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
+    return edges.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, component_id) for every document row with a doc_id.
 
-    Rows link if their shingle sets are as similar, judged by wide fingerprints, or if their plain fingerprints differ in at most
+    Rows link if the Jaccard similarity of their shingle sets is as high, or if their plain fingerprints differ in at most
     near_dedup.RADIUS bits. component_id is the smallest doc_id reachable. Texts without words are alike; rows of one doc_id are
     one document; rows with a null doc_id are left out; an empty table gives no rows; other columns are ignored.
     """
@@ -229,14 +272,18 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
             plain = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain), pa.array([wide_fingerprint(t, shingle) for t in texts], pa.binary())], names=["doc_id", "fp", "wide"])
+            own = [shingles(t, shingle) for t in texts]
+            same = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain), pa.array(same), pa.array([_wide(x) for x in own], pa.binary())], names=["doc_id", "fp", "same", "wide"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "doc_id long, fp long, wide binary")
+    rows = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "doc_id long, fp long, same long, wide binary")
     rows = checkpointed(rows)
-    classes = checkpointed(rows.groupBy("wide").agg(F.min("doc_id").alias("node")))
-    similar = judged(candidates(classes, classes.count(), similarity), classes, similarity)
-    # A plain fingerprint's rows belong together, and so do those of a wide one: both are nodes, told apart by a bit.
-    named = rows.join(classes.withColumnRenamed("wide", "wide2"), F.col("wide") == F.col("wide2")).select("doc_id", "fp", "node")
+    # A class has one shingle set, so that deciding on its first document decides on all.
+    classes = checkpointed(rows.groupBy("same", "wide").agg(F.min("doc_id").alias("node")))
+    edges = checkpointed(judged(candidates(classes, classes.count(), similarity), classes, similarity).distinct())
+    similar = alike(edges, docs, similarity, shingle)
+    # A plain fingerprint's rows belong together, and so do those of a shingle set: both are nodes, told apart by a bit.
+    named = rows.join(classes.select(F.col("same").alias("same2"), "node"), F.col("same") == F.col("same2")).select("doc_id", "fp", "node")
     named = checkpointed(named)
     plain = named.groupBy("fp").agg(F.min("node").alias("least"))
     ties = named.select("fp", "node").distinct().join(plain.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2")).select(F.col("node").alias("a"), F.col("least").alias("b"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from folioform.llm import similar
+from folioform.llm.near_dedup import RADIUS, fingerprint
 
 from .test_small_operators import ODD, prose
 
@@ -73,6 +74,26 @@ def test_similar_documents(spark, make, block, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_pairs_are_decided_by_their_shingle_sets(spark, make):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        w = [f"u{i}x{k}" for k in range(304)]
+        v = list(w)
+        for k in range(1, rng.choice([6, 7, 8, 9])):
+            v[k * 31] = "changed"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(make(*rows)).collect()}
+    text = dict(rows)
+    alike = {i: jaccard(text[2 * i], text[2 * i + 1]) >= 0.8 for i in range(60)}
+    linked = {i: got[2 * i] == got[2 * i + 1] for i in range(60)}
+    assert 10 < sum(alike.values()) < 50
+    plain = {i: fingerprint(text[i].encode()) for i in text}
+    apart = [i for i in range(60) if (plain[2 * i] ^ plain[2 * i + 1]).bit_count() > RADIUS]
+    assert len(apart) > 20 and not any(linked[i] and not alike[i] for i in apart)
+    assert sum(alike[i] and not linked[i] for i in range(60)) <= 1
+
+
 def test_odd_rows(spark, make):
     got = similar.similar_documents(make(*ODD)).collect()
     assert len(got) == len(ODD) - 1
