@@ -6,10 +6,13 @@ similarity have the cosine 2s / (1 + s). At 768 bits that shows the similarity w
 within three standard deviations beyond the radius go on, and the exact Jaccard similarity of the two shingle sets decides.
 
 Candidates share the value of some table's sample of bits; the number of tables follows from the number of bits sampled and the
-radius. A candidate pair is pruned by one word first. Of each bucket only the lightest spanning forest goes on, so a large group
-of copies never becomes all of its pairs; its edges are then judged in full. By the pigeonring principle, two fingerprints within
-the radius have a word from which on every chain of l consecutive words (round the ring) holds at most l / WORDS_OF_64 of the
-radius: pairs without such a chain are dropped before their whole distance is counted.
+radius. Of a small bucket every pair goes on whose first look, by one word, does not rule it out. A large one (a crowd) is compared
+by whole fingerprints, and twice: first only a spanning forest of its pairs goes on, lightest by distance, which joins most of a
+group of copies; then, where an edge of a forest was refused, every pair of members that are not connected yet. So a large group of
+copies never becomes all of its pairs, and no refused edge stands for another pair. (A crowd of texts that are nearly, but not,
+similar enough does become its pairs: nothing else decides them.) By the pigeonring principle, two fingerprints within the radius
+have a word from which on every chain of l consecutive words (round the ring) holds at most l / WORDS_OF_64 of the radius: pairs
+without such a chain are dropped before their whole distance is counted.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SIMILARITY = 0.8
 WORDS_OF_64 = 12
 #: Chance that a pair exactly at the radius meets in no table; closer pairs are missed far more rarely.
 MISS = 0.005
+#: Most members of a bucket whose pairs all go on.
+FEW = 16
 #: Members of a bucket that are compared in one piece.
 BLOCK = 4096
 SEED = 23
@@ -100,6 +105,12 @@ def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row of differences: of one word (n) or of many (n, words)."""
+    bits = np.bitwise_count(x).astype(np.int64)
+    return bits.sum(axis=1) if bits.ndim > 1 else bits
+
+
 def lightest_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Indexes of the edges of a spanning forest of least weight."""
     nodes, flat = np.unique(np.stack([a, b]), return_inverse=True)
@@ -124,13 +135,14 @@ def lightest_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndar
 def _forest_of_block(word: np.ndarray, side: np.ndarray, most: int) -> np.ndarray:
     """Edges (i, j) of a lightest spanning forest of a large bucket's close pairs, by growing trees node by node."""
     n = len(word)
-    best, link, outside = np.full(n, 255, dtype=np.int64), np.full(n, -1), np.ones(n, dtype=bool)
+    none = 64 * word[:1].size + 1
+    best, link, outside = np.full(n, none, dtype=np.int64), np.full(n, -1), np.ones(n, dtype=bool)
     edges, at = [], 0
     for _ in range(n):
         outside[at] = False
-        d = np.bitwise_count(word ^ word[at]).astype(np.int64)
+        d = _apart(word ^ word[at])
         if side[at]:
-            d[side == side[at]] = 255  # pairs within one block are compared elsewhere
+            d[side == side[at]] = none  # pairs within one block are compared elsewhere
         closer = outside & (d < best)
         best[closer], link[closer] = d[closer], at
         left = np.flatnonzero(outside)
@@ -142,35 +154,83 @@ def _forest_of_block(word: np.ndarray, side: np.ndarray, most: int) -> np.ndarra
     return np.array(edges, dtype=int).reshape(-1, 2)
 
 
-def _close_pairs(group: np.ndarray, side: np.ndarray, word: np.ndarray, most: int) -> np.ndarray:
-    """Edges (i, j) within groups of sorted rows: for each group a lightest forest of the pairs that differ in at most `most` bits."""
+def _spans(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, rows) of each group of sorted rows."""
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    count = np.diff(np.append(first, len(group)))
+    return first, np.diff(np.append(first, len(group)))
+
+
+def _all_close(first: np.ndarray, count: np.ndarray, side: np.ndarray, word: np.ndarray, most: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits) of the pairs that differ in at most `most` bits, within the groups of at most few rows."""
     end = np.repeat(first + count, count)
-    few = np.repeat(count <= 32, count)
-    a, b, w = [], [], []
-    at, d = np.flatnonzero(few), 1
+    a, b, w = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)]
+    at, d = np.flatnonzero(np.repeat(count <= few, count)), 1
     while len(at := at[at + d < end[at]]):
         i = at[(side[at] == 0) | (side[at] != side[at + d])]
-        bits = np.bitwise_count(word[i] ^ word[i + d])
+        bits = _apart(word[i] ^ word[i + d])
         good = bits <= most
         a.append(i[good])
         b.append(i[good] + d)
         w.append(bits[good])
         d += 1
-    found = []
-    if a:
-        a, b, w = map(np.concatenate, (a, b, w))
-        kept = lightest_forest(a, b, w)
-        found.append(np.stack([a[kept], b[kept]], axis=1))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(w)
+
+
+def _close_pairs(group: np.ndarray, side: np.ndarray, word: np.ndarray, most: int) -> np.ndarray:
+    """Edges (i, j) within groups of sorted rows: for each group a lightest forest of the pairs that differ in at most `most` bits."""
+    first, count = _spans(group)
+    a, b, w = _all_close(first, count, side, word, most, 32)
+    kept = lightest_forest(a, b, w)
+    found = [np.stack([a[kept], b[kept]], axis=1)]
     for g in np.flatnonzero(count > 32):
         rows = slice(first[g], first[g] + count[g])
         found.append(_forest_of_block(word[rows], side[rows], most) + first[g])
-    return np.concatenate(found) if found else np.zeros((0, 2), dtype=int)
+    return np.concatenate(found)
+
+
+def _unconnected_pairs(group: np.ndarray, side: np.ndarray, word: np.ndarray, root: np.ndarray, most: int, step: int = 256):
+    """Yields edges (i, j) within groups of sorted rows: all pairs of different roots that differ in at most `most` bits."""
+    for start, n in zip(*_spans(group)):
+        end = start + n
+        if (root[start:end] == root[start]).all():
+            continue
+        for at in range(start, end, step):
+            one = slice(at, min(at + step, end))
+            d = np.zeros((one.stop - at, end - at), dtype=np.int16)
+            for k in range(word.shape[1]):
+                d += np.bitwise_count(word[one, k][:, None] ^ word[None, at:end, k])
+            good = (d <= most) & (root[one][:, None] != root[None, at:end])
+            good &= (side[one][:, None] == 0) | (side[one][:, None] != side[None, at:end])
+            i, j = np.nonzero(np.triu(good, 1))
+            if len(i):
+                yield np.stack([i + at, j + at], axis=1)
+
+
+def _by_group(batches, flush):
+    """Feeds flush (rows, group numbers) with some 200,000 rows at a time; rows of one (key, part) stay together."""
+
+    def numbered(pdf: pd.DataFrame):
+        key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
+        yield from flush(pdf, np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])))
+
+    held: list[pd.DataFrame] = []
+    count = 0
+    for pdf in batches:
+        held.append(pdf)
+        count += len(pdf)
+        if count < 200_000:
+            continue
+        pdf = pd.concat(held, ignore_index=True)
+        last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])  # may go on in the next batch
+        held, count = [pdf[last]], int(last.sum())
+        if count < len(pdf):
+            yield from numbered(pdf[~last].reset_index(drop=True))
+    if count:
+        yield from numbered(pd.concat(held, ignore_index=True))
 
 
 def candidates(classes: DataFrame, n: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Distinct edges (a, b) of nodes worth judging, from classes (node long, wide binary)."""
+    """From classes (node long, wide binary): edges (a, b) of nodes worth judging, key null; members of crowds (a, key, part, side), b null."""
     bits, tables = plan(n, similarity)
     rng = np.random.default_rng([SEED, bits])
     sample = np.stack([rng.choice(_BITS, bits, replace=False) for _ in range(tables)])
@@ -190,31 +250,39 @@ def candidates(classes: DataFrame, n: int, similarity: float, block: int = BLOCK
     dealt = in_blocks(classes.select("node", "wide").mapInArrow(keys, "node long, key long, word long"), ["key"], "node", block)
     dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side", "node").select("key", "part", "side", "node", "word")
 
-    def compare(batches):
-        held: list[pd.DataFrame] = []
-        count = 0
-
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
-            group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-            node = pdf["node"].to_numpy()
-            e = node[_close_pairs(group, pdf["side"].to_numpy(), pdf["word"].to_numpy().view(np.uint64), far)]
-            return pd.DataFrame({"a": e.min(axis=1), "b": e.max(axis=1)}) if len(e) else pd.DataFrame({"a": node[:0], "b": node[:0]})
-
-        for pdf in batches:
-            held.append(pdf)
-            count += len(pdf)
-            if count < 200_000:
-                continue
-            pdf = pd.concat(held, ignore_index=True)
-            last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])  # may go on in the next batch
-            held, count = [pdf[last]], int(last.sum())
-            if count < len(pdf):
-                yield flush(pdf[~last].reset_index(drop=True))
-        if count:
-            yield flush(pd.concat(held, ignore_index=True))
-
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    def flush(pdf: pd.DataFrame, group: np.ndarray):
+        node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        first, count = _spans(group)
+        i, j, _ = _all_close(first, count, side, pdf["word"].to_numpy().view(np.uint64), far, FEW)
+        if len(i):
+            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "key": None, "part": None, "side": None})
+        crowd = pdf[np.repeat(count > FEW, count)]
+        if len(crowd):
+            yield pd.DataFrame({"a": crowd["node"], "b": None, "key": crowd["key"], "part": crowd["part"], "side": crowd["side"]})
+
+    return dealt.mapInPandas(lambda batches: _by_group(batches, flush), "a long, b long, key long, part long, side int")
+
+
+def crowd_edges(crowds: DataFrame, classes: DataFrame, similarity: float, roots: DataFrame | None = None) -> DataFrame:
+    """Distinct edges (a, b) within crowds (node, key, part, side) by whole fingerprints: forests, or with roots (node, root) all pairs
+    of nodes with different ones."""
+    most, whole = farthest(similarity), roots is not None
+    rows = crowds.join(classes.select(F.col("node").alias("node2"), "wide"), F.col("node") == F.col("node2"))
+    if whole:
+        rows = rows.join(roots.select(F.col("node").alias("node3"), "root"), F.col("node") == F.col("node3"))
+    else:
+        rows = rows.withColumn("root", F.col("node"))
+    rows = rows.select("key", "part", "side", "node", "root", "wide").repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
+
+    def flush(pdf: pd.DataFrame, group: np.ndarray):
+        node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        wide = np.frombuffer(b"".join(pdf["wide"]), dtype="<u8").reshape(-1, WORDS_OF_64)
+        found = _unconnected_pairs(group, side, wide, pdf["root"].to_numpy(), most) if whole else [_close_pairs(group, side, wide, most)]
+        for e in found:
+            e = node[e]
+            yield pd.DataFrame({"a": e.min(axis=1), "b": e.max(axis=1)})
+
+    return rows.mapInPandas(lambda batches: _by_group(batches, flush), "a long, b long").where("a <> b").distinct()
 
 
 def judged(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -280,8 +348,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     rows = checkpointed(rows)
     # A class has one shingle set, so that deciding on its first document decides on all.
     classes = checkpointed(rows.groupBy("same", "wide").agg(F.min("doc_id").alias("node")))
-    edges = checkpointed(judged(candidates(classes, classes.count(), similarity), classes, similarity).distinct())
-    similar = alike(edges, docs, similarity, shingle)
+    found = checkpointed(candidates(classes, classes.count(), similarity))
+    crowds = found.where("key is not null").select(F.col("a").alias("node"), "key", "part", "side")
+    forest = checkpointed(crowd_edges(crowds, classes, similarity))
+    edges = judged(found.where("key is null").select("a", "b").distinct(), classes, similarity).union(forest)
+    similar = checkpointed(alike(checkpointed(edges.distinct()), docs, similarity, shingle))
     # A plain fingerprint's rows belong together, and so do those of a shingle set: both are nodes, told apart by a bit.
     named = rows.join(classes.select(F.col("same").alias("same2"), "node"), F.col("same") == F.col("same2")).select("doc_id", "fp", "node")
     named = checkpointed(named)
@@ -291,6 +362,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     least = plain.select(F.col("fp").alias("key"), "least")
     near = near.join(least.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     roots = connected_components(similar.select("a", "b").unionByName(ties).unionByName(near))
+    if not forest.join(similar, ["a", "b"], "left_anti").isEmpty():
+        ids = forest.select(F.col("a").alias("id")).union(forest.select("b")).distinct()
+        known = checkpointed(ids.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root")))
+        rest = checkpointed(crowd_edges(crowds, classes, similarity, known))
+        if not rest.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(alike(rest, docs, similarity, shingle)))
     return named.join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
 
 

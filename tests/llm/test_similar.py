@@ -94,6 +94,29 @@ def test_pairs_are_decided_by_their_shingle_sets(spark, make):
     assert sum(alike[i] and not linked[i] for i in range(60)) <= 1
 
 
+def test_refused_edges_stand_for_no_other_pair(spark, make):
+    rng = random.Random(9)
+    shared = [f"t{k}" for k in range(300)]
+    rows = []
+    for i in range(80):  # a family at a similarity of some 0.7, within which pairs at some 0.85 hide
+        own = shared[:210] + [f"own{i}x{k}" for k in range(45)] if i % 2 == 0 else list(base)
+        if i % 2 == 0:
+            base = own
+        else:
+            for _ in range(4):
+                own[rng.randrange(len(own))] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(make(*rows)).collect()}
+    text = dict(rows)
+    true = [(i, j) for i in text for j in text if i < j and jaccard(text[i], text[j]) >= 0.8]
+    least = {i: i for i in text}
+    for _ in text:
+        for i, j in true:
+            least[i] = least[j] = min(least[i], least[j])
+    assert len(true) > 20 and sum(got[i] != got[j] for i, j in true) <= 1
+    assert sum(got[i] != least[i] for i in text) <= 2
+
+
 def test_odd_rows(spark, make):
     got = similar.similar_documents(make(*ODD)).collect()
     assert len(got) == len(ODD) - 1
