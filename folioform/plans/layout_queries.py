@@ -284,7 +284,7 @@ _RANGES = [("latin", 1, 0, 255), ("wide", 2, 0, 0x24F), ("symbols", 3, 0x2000, 0
 SELECT doc_id, CASE WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{ff}]') THEN 'latin' WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{24f}]') THEN 'wide' ELSE 'latin' END AS font FROM (SELECT doc_id, left(text, 200) || list_extract(['', 'ł', '→', 'ж'], (doc_id % 4 + 1)::INTEGER) AS t FROM documents)
 """)
 def font_coverage(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(200)), F.get(F.array(*map(F.lit, ("", "ł", "→", "ж"))), (F.col("doc_id") % 4).cast("int"))).alias("text"))
+    t = table(spark, d, "documents").select("doc_id", F.concat("text", F.get(F.array(*map(F.lit, ("", "ł", "→", "ж"))), (F.col("doc_id") % 4).cast("int"))).alias("text"))
     return Y.covering_font(t, spark.createDataFrame(_RANGES, "font string, priority int, first long, last long"), "doc_id")
 
 

@@ -346,3 +346,10 @@ def test_streamed_jobs_and_manifest(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["output_name"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_font_coverage_looks_at_whole_texts(spark, tmp_path):
+    from folioform.plans.layout_queries import font_coverage
+
+    spark.createDataFrame([(4, "a" * 250 + "\u0101"), (8, "a" * 250), (5, "a" * 250 + "\u0436")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["font"] for r in font_coverage(spark, str(tmp_path)).collect()} == {4: "wide", 8: "latin", 5: "latin"}
