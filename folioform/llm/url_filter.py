@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Path segments that a pattern can name after its host.
-SEGMENTS = 2
 END = "9999-12-31 00:00:00"
 
 
@@ -42,7 +40,7 @@ def lookups(url: Column) -> Column:
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
     parts = F.filter(F.split(F.lower(path), "/"), lambda s: s != "")
-    n = F.least(F.size(parts), F.lit(SEGMENTS))
+    n = F.size(parts)
     paths = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(domains, paths))
 

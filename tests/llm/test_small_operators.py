@@ -522,3 +522,11 @@ def test_allow_list(spark, make):
 def test_secrets_odd_rows(spark, make):
     assert secret_scan.scan_secrets(make(*ODD)).count() == len(ODD)
     assert secret_scan.scan_secrets(make((1, "x")).limit(0)).count() == 0
+
+
+def test_long_path_patterns_are_looked_up(spark):
+    from folioform.llm.url_filter import judge
+
+    log = spark.createDataFrame([("a.org/x/y/z", "add", "block", "2024-01-01 00:00:00")], "pattern string, op string, verdict string, at string")
+    captures = spark.createDataFrame([(1, "http://a.org/x/y/z/w", "2024-02-01 00:00:00"), (2, "http://a.org/x/y", "2024-02-01 00:00:00")], "page_id long, url string, fetched_at string")
+    assert {r["page_id"]: r["verdict"] for r in judge(captures, log).collect()} == {1: "block", 2: "allow"}
