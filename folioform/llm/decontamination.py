@@ -7,19 +7,24 @@ state to the nearest shorter item that ends there.
 
 Only words that can take part are fed to it: an exact pre-filter drops the words of a document that do not lie in a run of
 adjacent word pairs known from the items, long enough for the shortest window; before such a run the state is the root anyway.
+
+An automaton holds a bounded number of words; test items beyond that are matched by further automata, one pass over the documents
+each. Passes only differ in what they find: rows are told apart by a number of their own, never by what they hold.
 """
 
 from __future__ import annotations
 
 import hashlib
 from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import LOWER, table
+from .common import LOWER, checkpointed, table
 
 #: Words: runs of digits, letters and characters beyond ASCII; every other byte parts them.
 _FOLD = bytes(LOWER[b] if chr(b).isalnum() and b < 128 or b >= 128 else 0x20 for b in range(256))
@@ -30,59 +35,27 @@ WINDOW = 10
 #: Words of test items that one automaton holds; more items are matched in further automata, one pass each.
 MOST_WORDS = 250_000
 
+_LEAK = StructType(
+    [StructField("n_words", LongType()), StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("items", ArrayType(StringType())), StructField("longest", LongType()), StructField("kept", StringType())]
+)
+_ARROW_LEAK = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("kept", pa.string())])
+
 
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-class Automaton:
-    """Generalised suffix automaton of test items, with what is needed to name the items of a window."""
+class _Growing:
+    """States of an automaton while items are read; edges are dictionaries here and flat arrays in the finished Automaton."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
-        self.window = window
-        self.ids: list[object] = []
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = array("q", [-1]), array("q", [0])
-        self.short: dict[int, list[int]] = {}  # state: shorter items that are its longest string
-        self.of: list[set[int]] = [set()]  # state: items that contain its strings
-        self.least = window
-        pairs, ends = set(), []
-        for name, seq in items:
-            if not seq:
-                continue
-            k = len(self.ids)
-            self.ids.append(name)
-            self.least = min(self.least, len(seq))
-            coded = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in seq]
-            pairs.update(zip(coded, coded[1:]))
-            last = 0
-            for c in coded:
-                last = self._extend(last, c)
-                ends.append((last, k))
-            if len(coded) < window:
-                self.short.setdefault(last, []).append(k)
-        for state, k in ends:  # an item's strings are the suffixes of its prefixes
-            while state > 0 and k not in self.of[state]:
-                self.of[state].add(k)
-                state = self.link[state]
-        self.jump = array("q", [0] * len(self.link))  # nearest state by links, itself included, with a shorter item
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.jump[state] = state if state in self.short else self.jump[self.link[state]]
-        self.bits = max(16, int(len(pairs) * 16).bit_length())
-        self.pairs = np.zeros(1 << self.bits, dtype=bool)
-        if pairs:
-            a, b = np.array(sorted(pairs), dtype=np.uint64).T
-            self.pairs[self._slot(a, b)] = True
-
-    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)
+        self.link, self.length = array("i", [-1]), array("i", [0])
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.of.append(set())
         return len(self.link) - 1
 
     def _split(self, p: int, q: int, c: int) -> int:
@@ -94,7 +67,7 @@ class Automaton:
         self.link[q] = clone
         return clone
 
-    def _extend(self, last: int, c: int) -> int:
+    def extend(self, last: int, c: int) -> int:
         if c in self.next[last]:  # read before, in this or another item
             q = self.next[last][c]
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, c)
@@ -108,6 +81,68 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return new
 
+
+def _rows_of(pairs: set[tuple[int, int]], n: int) -> tuple[array, array]:
+    """(first, value): the values of row k are value[first[k] : first[k + 1]], in order."""
+    rows = np.array(sorted(pairs), dtype=np.int32).reshape(-1, 2)
+    first = np.searchsorted(rows[:, 0], np.arange(n + 1)).astype(np.int32)
+    return array("i", first.tobytes()), array("i", np.ascontiguousarray(rows[:, 1]).tobytes())
+
+
+class Automaton:
+    """Generalised suffix automaton of test items in flat arrays, with what is needed to name the items of a window."""
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
+        self.window = window
+        self.ids: list[object] = []
+        self.vocabulary: dict[bytes, int] = {}
+        self.least = window
+        grown, pairs, ends, short = _Growing(), set(), [], set()
+        for name, seq in items:
+            if not seq:
+                continue
+            k = len(self.ids)
+            self.ids.append(name)
+            self.least = min(self.least, len(seq))
+            coded = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in seq]
+            pairs.update(zip(coded, coded[1:]))
+            last = 0
+            for i, c in enumerate(coded, 1):
+                last = grown.extend(last, c)
+                if i >= window:
+                    ends.append((last, k))
+            if len(coded) < window:
+                short.add((last, k))
+        self.link, self.length = grown.link, grown.length
+        n = len(self.link)
+        self.edge = array("i", np.cumsum([0, *map(len, grown.next)]).astype(np.int32).tobytes())  # edges of state s: edge[s] to edge[s + 1]
+        self.symbol, self.target = array("i"), array("i")
+        for edges in grown.next:
+            for c in sorted(edges):
+                self.symbol.append(c)
+                self.target.append(edges[c])
+        del grown
+        self.item_first, self.item = _rows_of({(self.top(state), k) for state, k in ends}, n)
+        self.short_first, self.short = _rows_of(short, n)
+        shorter = {state for state, _ in short}
+        self.jump = array("i", bytes(4 * n))  # nearest state by links, itself included, whose longest string is a shorter item
+        for state in np.argsort(np.frombuffer(self.length, dtype=np.int32), kind="stable").tolist()[1:]:
+            self.jump[state] = state if state in shorter else self.jump[self.link[state]]
+        self.bits = max(16, int(len(pairs) * 16).bit_length())
+        self.pairs = np.zeros(1 << self.bits, dtype=bool)
+        if pairs:
+            a, b = np.array(sorted(pairs), dtype=np.uint64).T
+            self.pairs[self._slot(a, b)] = True
+
+    def top(self, state: int) -> int:
+        """The state that holds the last `window` words of the state's strings, which are that long at least."""
+        while self.length[self.link[state]] >= self.window:
+            state = self.link[state]
+        return state
+
+    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)
+
     def _runs(self, coded: np.ndarray):
         """Stretches [start, end) of words outside of which no window can lie."""
         if self.least == 1:
@@ -122,7 +157,7 @@ class Automaton:
         return zip(starts[long].tolist(), ends[long].tolist())
 
     def matches(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int], int]:
-        """(merged spans [start, end) of words inside windows, the items with windows, longest matching length)."""
+        """(merged spans [start, end) of words inside windows, the items with windows, longest match that ends a window)."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
         longest = 0
@@ -130,7 +165,8 @@ class Automaton:
             return spans, found, longest
         get = self.vocabulary.get
         coded = np.fromiter((get(w, 0) for w in text), dtype=np.uint64, count=len(text))
-        window, after, link, length, jump = self.window, self.next, self.link, self.length, self.jump
+        window, link, length, jump = self.window, self.link, self.length, self.jump
+        edge, symbol, target = self.edge, self.symbol, self.target
         seen: set[int] = set()
 
         def hit(start: int, end: int) -> None:
@@ -144,70 +180,72 @@ class Automaton:
         for first, end in self._runs(coded):
             state = n = 0
             for i, c in enumerate(coded[first:end].tolist(), first + 1):
-                while state and c not in after[state]:
+                while True:
+                    e = bisect_left(symbol, c, edge[state], edge[state + 1])
+                    if e < edge[state + 1] and symbol[e] == c:
+                        state, n = target[e], n + 1
+                        break
+                    if not state:
+                        n = 0
+                        break
                     state = link[state]
                     n = length[state]
-                if c in after[state]:
-                    state, n = after[state][c], n + 1
-                else:
-                    n = 0
-                longest = max(longest, n)
                 if n >= window:
+                    longest = max(longest, n)
                     hit(i - window, i)
-                    s = state
-                    while length[link[s]] >= window:
-                        s = link[s]
+                    s = self.top(state)
                     if s not in seen:
                         seen.add(s)
-                        found |= self.of[s]
+                        found.update(self.item[self.item_first[s] : self.item_first[s + 1]])
                 s = jump[state]
                 if s and length[s] > n:  # the state's longest string is longer than what was read
                     s = jump[link[s]]
                 if s:
+                    longest = max(longest, length[s])
                     hit(i - length[s], i)
                 while s:
-                    found.update(self.short[s])
+                    found.update(self.short[self.short_first[s] : self.short_first[s + 1]])
                     s = jump[link[s]]
         return spans, found, longest
 
 
 def automata(items: DataFrame, window: int, most_words: int = MOST_WORDS):
-    """Automata of the test items (item_id, text), each of at most most_words words (one item more at the end)."""
-    held, n = [], 0
+    """Automata of the test items (item_id, text), each of at most most_words words (one item more at the end); one at least."""
+    held, n, none = [], 0, True
     for row in items.select("item_id", F.col("text").cast("binary").alias("text")).orderBy("item_id", "text").toLocalIterator():
         seq = words(bytes(row["text"]) if row["text"] is not None else None)
         held.append((row["item_id"], seq))
         n += len(seq)
         if n >= most_words:
             yield Automaton(held, window)
-            held, n = [], 0
-    yield Automaton(held, window)
+            held, n, none = [], 0, False
+    if n or none:
+        yield Automaton(held, window)
 
 
-def _scan(docs: DataFrame, shared, with_text: bool) -> DataFrame:
-    """One row a document: id, n_words, starts and ends of the hit spans in words, items, longest, and the text without them."""
+def _scan(docs: DataFrame, carry: list[str], machine: Automaton, with_text: bool, only_hits: bool = False) -> DataFrame:
+    """The columns to carry of each document row, and __leak: n_words, starts and ends of the hit spans in words, items, longest,
+    and the text without them."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the words of one automaton
 
     def scan(batches):
-        machine = shared.value
+        own = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            out = {k: [] for k in ("n_words", "starts", "ends", "items", "longest", "kept")}
-            for text in texts:
+            out, keep = [], []
+            for at, text in enumerate(batch.column("__bytes")):
                 text = text.as_py()
                 seq = words(text)
-                spans, found, longest = machine.matches(seq)
-                out["n_words"].append(len(seq))
-                out["starts"].append([a for a, _ in spans])
-                out["ends"].append([b for _, b in spans])
-                out["items"].append(sorted({str(machine.ids[k]) for k in found}))
-                out["longest"].append(longest)
-                out["kept"].append(without(text, spans) if with_text and text is not None else None)
-            yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(out[k], t) for k, t in (("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("kept", pa.string())))],
-                names=["doc_id", "n_words", "starts", "ends", "items", "longest", "kept"],
-            )
+                spans, found, longest = own.matches(seq)
+                if spans or not only_hits:
+                    items = sorted({str(own.ids[k]) for k in found})
+                    kept = without(text, spans).decode() if with_text and text is not None else None
+                    out.append({"n_words": len(seq), "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": items, "longest": longest, "kept": kept})
+                    keep.append(at)
+            some = batch.select(carry) if len(keep) == batch.num_rows else batch.select(carry).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(out, _ARROW_LEAK)], names=[*carry, "__leak"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>, longest long, kept string")
+    schema = StructType([*docs.select(*carry).schema.fields, StructField("__leak", _LEAK)])
+    return docs.select(*carry, F.col("text").cast("binary").alias("__bytes")).mapInArrow(scan, schema)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -225,46 +263,52 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _leaks(docs: DataFrame, carry: list[str], items: DataFrame, window: int, most_words: int, with_text: bool) -> DataFrame:
+    """The columns to carry of every document row and its __leak from all automata."""
+    machines = automata(items, window, most_words)
+    first, second = next(machines), next(machines, None)
+    if second is None:
+        return _scan(docs, carry, first, with_text)
+    # Rows are numbered and written down once, so that the passes speak of the same ones; a pass leaves the rows that it hit.
+    rows = checkpointed(docs.select(*carry, F.col("text").cast("binary").alias("__text"), F.monotonically_increasing_id().alias("__row")))
+    texts = rows.select("__row", F.col("__text").alias("text"))
+    hits = None
+    for machine in (m for part in ([first, second], machines) for m in part):
+        some = checkpointed(_scan(texts, ["__row"], machine, False, only_hits=True))
+        hits = some if hits is None else hits.unionByName(some)
+    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("__leak.starts", "__leak.ends"))))
+    found = hits.groupBy(F.col("__row").alias("__hit")).agg(spans.alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__leak.items")))).alias("__items"), F.max("__leak.longest").alias("__longest"))
+
+    def finish(batches):
+        for batch in batches:
+            out = []
+            for text, spans, items, longest in zip(*(batch.column(k) for k in ("__text", "__spans", "__items", "__longest"))):
+                text, merged = text.as_py(), []
+                for s in spans.as_py() or []:
+                    if merged and s["starts"] <= merged[-1][1]:
+                        merged[-1] = (merged[-1][0], max(merged[-1][1], s["ends"]))
+                    else:
+                        merged.append((s["starts"], s["ends"]))
+                kept = without(text, merged).decode() if with_text and text is not None else None
+                out.append({"n_words": len(words(text)), "starts": [a for a, _ in merged], "ends": [b for _, b in merged], "items": items.as_py() or [], "longest": longest.as_py() or 0, "kept": kept})
+            yield pa.RecordBatch.from_arrays([*batch.select(carry).columns, pa.array(out, _ARROW_LEAK)], names=[*carry, "__leak"])
+
+    schema = StructType([*docs.select(*carry).schema.fields, StructField("__leak", _LEAK)])
+    joined = rows.join(found, F.col("__row") == F.col("__hit"), "left").select(*carry, "__text", "__spans", "__items", "__longest")
+    return joined.mapInArrow(finish, schema)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, starts, ends, items, longest, kept) for every document row.
 
     starts and ends are the word offsets of the merged spans covered by windows, items the sorted item_ids (as strings) with
-    windows in the document, longest the longest matching length in words, kept (with_text) the text without the spans. A null
+    windows in the document, longest the longest match in words that ends a window (0: none), kept (with_text) the text without the spans. A null
     or empty text has no words; an item without words matches nothing; an item shorter than the window is one window; repeated
-    items and items with a null id count each by its id (null: "None"); no items leave every document alone; other columns are
-    ignored. Test items beyond most_words words are matched by further automata: then the documents' rows are told apart by
-    doc_id and text, and equal rows give one.
+    items and items with a null id count each by its id (null: "None"); no items leave every document alone; each row is judged
+    by its own text, whatever its doc_id; other columns are ignored. Results do not depend on most_words, which only says how many
+    passes the test items take.
     """
-    spark = docs.sparkSession
-    parts = [_scan(docs, spark.sparkContext.broadcast(a), with_text) for a in automata(items, window, most_words)]
-    if len(parts) == 1:
-        return parts[0]
-    return _combined(docs, parts, with_text)
-
-
-def _combined(docs: DataFrame, parts: list[DataFrame], with_text: bool) -> DataFrame:
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.union(x)
-    found = every.where(F.size("starts") > 0).select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("s"), "items", "longest")
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("longest").alias("longest"))
-
-    def finish(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                spans: list[list[int]] = []
-                for s in r["s"] or []:
-                    if spans and s["starts"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], s["ends"])
-                    else:
-                        spans.append([s["starts"], s["ends"]])
-                text = r["text"]
-                rows.append({"doc_id": r["doc_id"], "n_words": len(words(text)), "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": r["items"] or [], "longest": r["longest"] or 0, "kept": without(text, spans).decode() if with_text and text is not None else None})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("kept", pa.string())]))
-
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).distinct().join(found.withColumnRenamed("doc_id", "doc_id2"), F.col("doc_id").eqNullSafe(F.col("doc_id2")), "left").select("doc_id", "text", "s", "items", "longest")
-    return joined.mapInArrow(finish, "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>, longest long, kept string")
+    return _leaks(docs, ["doc_id"], items, window, most_words, with_text).select("doc_id", "__leak.*")
 
 
 def covered(starts: Column | str = "starts", ends: Column | str = "ends") -> Column:
@@ -276,17 +320,14 @@ def covered(starts: Column | str = "starts", ends: Column | str = "ends") -> Col
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.0, most_words: int = MOST_WORDS) -> DataFrame:
     """The documents' rows without what they share with test items; columns as in docs.
 
-    A document of which more than max_coverage of the words lie in windows goes; from others the covered spans are cut. Rows
-    without a hit pass unchanged, nulls and empty texts included. Documents are told apart by doc_id: where it repeats, the
-    rows with equal doc_id must hold equal texts or all of them are judged by the most covered.
+    A row of whose words more than the share max_coverage lie in windows goes; from others the covered spans are cut. Rows without
+    a hit pass unchanged, nulls and empty texts included. Each row is judged by its own text, whatever its doc_id.
     """
-    leaks = find_leaks(docs, items, window, most_words, with_text=max_coverage > 0)
-    leaks = leaks.where(F.size("starts") > 0).select(F.col("doc_id").alias("__id"), (covered() / F.col("n_words")).alias("__part"), F.col("kept").alias("__kept"))
-    leaks = leaks.groupBy("__id").agg(F.max("__part").alias("__part"), F.max_by("__kept", "__part").alias("__kept"))
-    joined = docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    kept = joined.where(F.col("__part").isNull() | (F.col("__part") <= max_coverage))
+    found = _leaks(docs, docs.columns, items, window, most_words, with_text=max_coverage > 0)
+    hit = F.size("__leak.starts") > 0
+    kept = found.where(~hit | (covered("__leak.starts", "__leak.ends") <= max_coverage * F.col("__leak.n_words")))
     if max_coverage > 0:
-        kept = kept.withColumn("text", F.coalesce("__kept", "text"))
+        kept = kept.withColumn("text", F.when(hit, F.col("__leak.kept")).otherwise(F.col("text")))
     return kept.select(docs.columns)
 
 

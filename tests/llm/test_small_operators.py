@@ -462,6 +462,21 @@ def test_leaks_odd_rows(spark, make):
     assert twice["items"] == ["1", "None"]
 
 
+@pytest.mark.parametrize("with_text", [False, True])
+def test_leaks_do_not_depend_on_the_number_of_passes(spark, make, with_text):
+    items = [(1, " ".join(f"q{i}" for i in range(15))), (2, " ".join(f"q{i}" for i in range(9, 30))), (3, "short item"), (None, "q3 q4")]
+    text = " ".join(f"q{i}" for i in range(2, 25))
+    rows = [(1, text), (1, text), (1, "short, ITEM"), (1, None), (None, text), (None, "plain"), (2, "q3"), (3, "x q3 q4 y " + text), (4, "")]
+    docs, bench = make(*rows), _bench(spark, items)
+    one, many = ([tuple(r) for r in decontamination.find_leaks(docs, bench, most_words=n, with_text=with_text).collect()] for n in (250_000, 5))
+    assert len(one) == len(rows) and sorted(one, key=repr) == sorted(many, key=repr)
+    assert sum(bool(r[2]) for r in one) == 5
+    for limit in (0.0, 0.5):
+        one, many = ([tuple(r) for r in decontamination.decontaminate(docs, bench, max_coverage=limit, most_words=n).collect()] for n in (250_000, 5))
+        assert sorted(one, key=repr) == sorted(many, key=repr)
+    assert [r["text"] for r in decontamination.decontaminate(docs, bench).collect()].count("plain") == 1
+
+
 # op9
 
 
