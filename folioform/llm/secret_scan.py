@@ -10,6 +10,7 @@ threshold is a finding, unless the candidate matches the allow-list.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +37,10 @@ class EntropyRule:
     #: (class, pattern of a whole candidate, least entropy in bits of a window), narrowest first.
     classes: tuple[tuple[str, str, float], ...] = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("alnum", r"^[0-9A-Za-z]+$", 3.6), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8))
     #: Candidates that match one of these are no secrets: UUIDs, paths and slugs of words, placeholders, counting sequences.
+    #: Repeated groups must be possessive: Java matches others by recursion, and a long candidate would overflow its stack.
     allow: tuple[str, ...] = (
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-        r"^[a-z]+([-_/][a-z]+)*([-_/][0-9]{1,8})*$",
+        r"^[a-z]++(?:[-_/][a-z]++)*+(?:[-_/][0-9]{1,8}+)*+$",
         r"(?i:example|placeholder|changeme|xxxx|dummy)",
         r"0123456789|9876543210",
         r"(?i:abcdefghij)",
@@ -46,6 +48,47 @@ class EntropyRule:
     alphabet: str = field(default="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
 
+_SPAN = "struct<start:int,end:int,kind:string>"
+
+
+def _none(element: str = _SPAN) -> Column:
+    return F.array().cast(f"array<{element}>")
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: the optimizer would copy its expression to each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """A non-empty array cut into about as many pieces as each then has elements."""
+
+    def cut(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        pieces = F.floor((F.size(x) - 1) / width).cast("int")
+        return F.transform(F.sequence(F.lit(0), pieces), lambda k: F.slice(x, k * width + 1, width))
+
+    return _let(items, cut)
+
+
+def scan(items: Column, start: Column, step, result, empty: Column) -> Column:
+    """Array of what is left by going through items with a state: step(state, x) gives the next, result(state, x) an array to add.
+
+    An array grows by being copied, so results are gathered in pieces and put together once: n elements take about n ** 1.5 copies
+    of a reference at most, where appending to one array would take n ** 2.
+    """
+
+    def within(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], result(acc["state"], x)).alias("out"))
+
+    def over(acc: Column, piece: Column) -> Column:
+        inner = F.aggregate(piece, F.struct(acc["state"].alias("state"), empty.alias("out")), within)
+        return _let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    whole = F.struct(start.alias("state"), F.slice(F.array(empty), 1, 0).alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(_blocks(items), whole, over, lambda acc: acc["out"]))).otherwise(empty)
+
+
 def pattern_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """array<struct<start int, end int, kind string>> of the leftmost non-overlapping matches whose group is long enough.
 
@@ -54,17 +97,14 @@ def pattern_spans(text: Column, kind: str, pattern: str, group: int, least: int)
     between = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.zip_with(F.slice(between, 1, F.size(whole)), F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("w"), F.length(p).alias("p"))), lambda b, m: F.struct(b.alias("b"), m["w"].alias("w"), m["p"].alias("p")))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("out"))
+    sizes = F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("w"), F.length(p).alias("p")))
+    pieces = _let(sizes, lambda m: F.zip_with(F.slice(between, 1, F.size(m)), m, lambda b, m: F.struct(b.alias("b"), m["w"].alias("w"), m["p"].alias("p"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["b"]
-        b = a + x["w"]
-        span = F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(b.alias("at"), F.when(x["p"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(at: Column, x: Column) -> Column:
+        return F.when(x["p"] >= least, F.array(F.struct((at + x["b"]).alias("start"), (at + x["b"] + x["w"]).alias("end"), F.lit(kind).alias("kind")))).otherwise(_none())
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    found = _let(pieces, lambda p: scan(p, F.lit(0), lambda at, x: at + x["b"] + x["w"], span, _none()))
+    return F.when(text.rlike(pattern), found).otherwise(_none())
 
 
 def _term(c: Column) -> Column:
@@ -73,46 +113,68 @@ def _term(c: Column) -> Column:
 
 
 def entropy_span(value: Column, rule: EntropyRule) -> Column:
-    """struct<first int, last int> of the first and last window start at or above the class's threshold; null if there is none."""
+    """struct<first int, last int> of the first and last window start at or above the class's threshold; null if there is none.
+
+    The counts of a window are the characters of a string, one for each character of the candidate's class: a step replaces two.
+    """
     w = rule.window
-    chars = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(rule.alphabet), F.substring(value, i, F.lit(1))))
-    threshold = F.lit(None).cast("double")
+    known = F.lit(None).cast("struct<letters:string,most:double>")
     for _, pattern, least in reversed(rule.classes):
-        threshold = F.when(value.rlike(pattern), F.lit(least)).otherwise(threshold)
-    most = (math.log2(w) - threshold) * w  # of sum(c * log2(c)) in a window
-    zero = F.transform(F.sequence(F.lit(1), F.lit(len(rule.alphabet))), lambda _: F.lit(0))
-    start = F.struct(F.lit(0).alias("i"), zero.alias("counts"), F.lit(0.0).cast("double").alias("terms"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-
-    def step(chars: Column, most: Column):
-        def take(acc: Column, c: Column) -> Column:
-            i = acc["i"] + 1  # characters read, this one included
-            old = F.when(i > w, F.element_at(chars, F.greatest(i - w, F.lit(1)))).otherwise(0)
-            had = F.element_at(acc["counts"], c)
+        letters = "".join(c for c in rule.alphabet if re.search(pattern, c))
+        known = F.when(value.rlike(pattern), F.struct(F.lit(letters).alias("letters"), F.lit((math.log2(w) - least) * w).alias("most"))).otherwise(known)
+    base = ord("0")  # the character of a count of 0
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("counts"), F.lit(0.0).cast("double").alias("terms"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def take(acc: Column, c: Column, old: Column, letters: Column, most: Column) -> Column:
+        def counted(counts: Column, k: Column) -> Column:
+            return F.ascii(F.substring(counts, k, F.lit(1))) - base
+
+        def entered(x: Column) -> Column:
             # A character that leaves as the same one enters changes nothing.
-            lost = F.when((old > 0) & (old != c), F.element_at(acc["counts"], F.greatest(old, F.lit(1)))).otherwise(0)
-            gain = F.when(old == c, 0.0).otherwise(_term(had + 1) - _term(had))
-            drop = F.when(lost > 0, _term(lost) - _term(lost - 1)).otherwise(0.0)
-            terms = acc["terms"] + gain - drop
-            counts = F.transform(acc["counts"], lambda n, k: n + F.when(k + 1 == c, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0))
-            high = (i >= w) & (terms <= most + 1e-9)
-            return F.struct(i.alias("i"), counts.alias("counts"), terms.alias("terms"), F.when(acc["first"].isNull() & high, i - w).otherwise(acc["first"]).alias("first"), F.when(high, i - w).otherwise(acc["last"]).alias("last"))
+            gain = F.when(old == c, 0.0).otherwise(_term(x["had"] + 1) - _term(x["had"]))
+            drop = F.when((old > 0) & (old != c), _term(x["lost"]) - _term(x["lost"] - 1)).otherwise(0.0)
+            more = F.when(old == c, x["counts"]).otherwise(F.overlay(x["counts"], F.char(x["had"] + 1 + base), c, F.lit(1)))
+            fewer = F.when((old > 0) & (old != c), F.overlay(more, F.char(x["lost"] - 1 + base), old, F.lit(1))).otherwise(more)
+            return F.struct((acc["i"] + 1).alias("i"), fewer.alias("counts"), (acc["terms"] + gain - drop).alias("terms"))
+
+        def marked(x: Column) -> Column:
+            high = (x["i"] >= w) & (x["terms"] <= most + 1e-9)
+            return F.struct(x["i"].alias("i"), x["counts"].alias("counts"), x["terms"].alias("terms"), F.when(acc["first"].isNull() & high, x["i"] - w).otherwise(acc["first"]).alias("first"), F.when(high, x["i"] - w).otherwise(acc["last"]).alias("last"))
+
+        counts = F.coalesce(acc["counts"], F.repeat(F.lit(chr(base)), F.length(letters)))
+        now = _let(counts, lambda n: F.struct(n.alias("counts"), counted(n, c).alias("had"), counted(n, F.greatest(old, F.lit(1))).alias("lost")))
+        return _let(_let(now, entered), marked)
 
-        return take
+    def of(known: Column) -> Column:
+        codes = F.transform(F.split(value, ""), lambda ch: F.instr(known["letters"], ch))
+        return _let(codes, lambda codes: F.aggregate(
+            F.zip_with(codes, F.concat(F.array_repeat(F.lit(0), w), F.slice(codes, 1, F.greatest(F.size(codes) - w, F.lit(0)))), lambda c, old: F.struct(c.alias("c"), old.alias("old"))),
+            start, lambda acc, x: take(acc, x["c"], x["old"], known["letters"], known["most"]), lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))),
+        ))
 
-    # Bound as elements of arrays of one, so that they are worked out once a candidate.
-    return F.element_at(
-        F.transform(F.array(F.struct(chars.alias("chars"), most.alias("most"))), lambda x: F.aggregate(x["chars"], start, step(x["chars"], x["most"]), lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))), 1
-    )
+    return _let(known, of)
+
+
+def _untouched(found: Column, base: Column) -> Column:
+    """The candidates (s, v), in order, that no base span overlaps; one sweep over both."""
+    ends = F.transform(found, lambda x: F.struct(x["s"]["end"].alias("at"), F.lit(0).alias("base"), F.lit(0).alias("end")))
+    begins = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("end")))
+    # Where a candidate ends, the farthest end of the base spans that have begun says whether one reaches into it.
+    reach = _let(F.array_sort(F.concat(ends, begins)), lambda e: scan(e, F.lit(0), lambda far, x: F.greatest(far, x["end"]), lambda far, x: F.when(x["base"] == 0, F.array(far)).otherwise(_none("int")), _none("int")))
+    free = F.filter(F.zip_with(found, reach, lambda x, far: F.struct(x.alias("x"), far.alias("far"))), lambda z: z["far"] <= z["x"]["s"]["start"])
+    return F.when((F.size(base) > 0) & (F.size(found) > 0), F.transform(free, lambda z: z["x"])).otherwise(found)
 
 
 def _entropy_spans(text: Column, base: Column, rule: EntropyRule) -> Column:
-    found = F.arrays_zip(pattern_spans(text, "entropy", rule.candidate, 0, rule.window).alias("s"), F.regexp_extract_all(text, F.lit(rule.candidate), F.lit(0)).alias("v"))
+    spans = pattern_spans(text, "entropy", rule.candidate, 0, rule.window)
+    found = F.zip_with(spans, F.regexp_extract_all(text, F.lit(rule.candidate), F.lit(0)), lambda s, v: F.struct(s.alias("s"), v.alias("v")))
     allowed = lambda v: v.rlike("|".join(f"(?:{a})" for a in rule.allow)) if rule.allow else F.lit(False)
-    found = F.filter(found, lambda x: x["v"].rlike("[0-9]") & ~allowed(x["v"]) & ~F.exists(base, lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])))
-    scored = F.transform(found, lambda x: F.struct(x["s"]["start"].alias("start"), entropy_span(x["v"], rule).alias("e")))
+    found = F.filter(found, lambda x: x["v"].rlike("[0-9]") & ~allowed(x["v"]))
+    free = _let(found, lambda f: _untouched(f, base))
+    scored = F.transform(free, lambda x: F.struct(x["s"]["start"].alias("start"), entropy_span(x["v"], rule).alias("e")))
     kept = F.filter(scored, lambda x: x["e"].isNotNull())
     spans = F.transform(kept, lambda x: F.struct((x["start"] + x["e"]["first"]).alias("start"), (x["start"] + x["e"]["last"] + rule.window).alias("end"), F.lit("entropy").alias("kind")))
-    return F.when(text.rlike(rule.candidate), spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    return F.when(text.rlike(rule.candidate), spans).otherwise(_none())
 
 
 def _sorted(spans: Column) -> Column:
@@ -140,19 +202,36 @@ def joined(spans: Column | str) -> Column:
 
 
 def redact(docs: DataFrame, rule: EntropyRule = EntropyRule(), mark: str = "[secret]") -> DataFrame:
-    """The documents with every span of scan_secrets replaced by mark; columns as in docs. A null text stays null."""
+    """The documents with every span of scan_secrets replaced by mark; columns as in docs.
+
+    Spans that overlap give one mark. A null text stays null, a text without spans as it is; a null or repeated doc_id is a row
+    like any other.
+    """
     text = F.coalesce("text", F.lit(""))
-    base = _sorted(F.concat(*[pattern_spans(text, k, *rest) for k, rest in BASE.items()]))
-    d = docs.withColumn("__base", base)
-    spans = _sorted(F.concat("__base", _entropy_spans(text, F.col("__base"), rule)))
+    d = docs.withColumn("__base", _sorted(F.concat(*[pattern_spans(text, k, *rest) for k, rest in BASE.items()])))
+    d = d.withColumn("__spans", _sorted(F.concat("__base", _entropy_spans(text, F.col("__base"), rule))))
+
+    def cut(piece: Column, origin: Column, spans: Column) -> Column:
+        """What lies before each of the spans, with a mark, in a piece of the text that begins at origin and ends with them."""
+
+        def within(acc: Column, s: Column) -> Column:
+            before = F.substring(piece, acc["at"] - origin + 1, s["start"] - acc["at"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.array(before, F.lit(mark))).otherwise(_none("string"))).alias("out"))
+
+        return F.aggregate(spans, F.struct(origin.alias("at"), _none("string").alias("out")), within, lambda acc: F.array_join(acc["out"], ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def over(acc: Column, spans: Column) -> Column:
+        # The text is cut piece by piece, as finding a place in it means walking to it. A span that began in the piece before is done.
+        ahead = F.filter(spans, lambda s: s["start"] >= acc["at"])
+        end = F.greatest(acc["at"], F.array_max(F.transform(spans, lambda s: s["end"])))
+        return _let(end, lambda end: F.struct(
+            end.alias("at"), F.substring(acc["rest"], end - acc["at"] + 1, F.length(acc["rest"])).alias("rest"),
+            F.concat(acc["out"], F.array(cut(F.substring(acc["rest"], F.lit(1), end - acc["at"]), acc["at"], ahead))).alias("out"),
+        ))
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return d.withColumn("text", F.when(F.col("text").isNotNull() & (F.size(spans) > 0), whole).otherwise(F.col("text"))).select(docs.columns)
+    start = F.struct(F.lit(0).alias("at"), text.alias("rest"), _none("string").alias("out"))
+    whole = F.aggregate(_blocks(F.col("__spans")), start, over, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
+    return d.withColumn("text", F.when(F.col("text").isNotNull() & (F.size("__spans") > 0), whole).otherwise(F.col("text"))).select(docs.columns)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +251,7 @@ def _sql_base(kind: str) -> str:
 def _sql(rule: EntropyRule = EntropyRule()) -> str:
     w = rule.window
     threshold = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN {t}" for _, p, t in rule.classes) + " END"
-    allow = "|".join(f"(?:{a})" for a in rule.allow)
+    allow = "|".join(f"(?:{re.sub(r'(?<=[+*}])[+]', '', a)})" for a in rule.allow)  # the other engine never goes back
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS ({" UNION ALL ".join(_sql_base(k) for k in BASE)}),
