@@ -116,16 +116,30 @@ def links_within(key: np.ndarray, side: np.ndarray, fp: np.ndarray, rest: list[t
     return spanning(np.concatenate(found)) if found else np.zeros((0, 2), dtype=int)
 
 
+#: Large keys up to so many are made known to all tasks (a few MB).
+KNOWN = 50_000
+
+
 def in_blocks(members: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
     """Deal out each key's members: adds part (long) and side (0, 1 or 2), with a key's pairs all within one part.
 
     A key with at most `most` members is one part, side 0. A larger one is cut into hash blocks; a block's members go to the
     part of that block alone (side 0) and to a part with each other block (sides 1 and 2), so that every pair meets once and no
-    task holds more than about two blocks.
+    task holds more than about two blocks. How keys are cut decides on no pair, so their sizes are estimated, with a wide margin,
+    from a hash share of the members: a large key is one with half of `most` by estimate.
     """
-    large = members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    large = large.select(*[F.col(k).alias(f"{k}_2") for k in keys], F.ceil(F.col("n") / most).alias("blocks"))
-    dealt = joined_back(members, large, [(k, f"{k}_2") for k in keys], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    share = max(1, min(16, most // 256))
+    some = members.where(F.pmod(F.xxhash64(F.lit(5), member), F.lit(share)) == 0) if share > 1 else members
+    large = some.groupBy(*keys).agg((F.count("*") * share).alias("n")).where(F.col("n") > (most / 2 if share > 1 else most))
+    large = checkpointed(large.select(*[F.col(k).alias(f"{k}_2") for k in keys], F.ceil(F.col("n") / most).alias("blocks")))
+    n = large.count()
+    if n == 0:
+        return members.withColumn("part", F.lit(0).cast("long")).withColumn("side", F.lit(0))
+    if n <= KNOWN:
+        dealt = members.join(F.broadcast(large), [members[k] == large[f"{k}_2"] for k in keys], "left")
+    else:
+        dealt = joined_back(members, large, [(k, f"{k}_2") for k in keys], "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(7), member), F.col("blocks"))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")

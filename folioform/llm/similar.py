@@ -1,18 +1,20 @@
 """Near duplicates by similarity of shingle sets: found by wide SimHash fingerprints, decided by the sets.
 
-A fingerprint has WORDS_OF_64 words of 64 bits over the distinct word shingles. The share of bits in which two fingerprints differ
-is the angle between their shingle sets over pi, so a least Jaccard similarity s gives a radius: sets of equal size with that
-similarity have the cosine 2s / (1 + s). At 768 bits that shows the similarity within about 0.03, so fingerprints only propose: pairs
-within three standard deviations beyond the radius go on, and the exact Jaccard similarity of the two shingle sets decides.
-
-Candidates share the value of some table's sample of bits; the number of tables follows from the number of bits sampled and the
-radius. Of a small bucket every pair goes on whose first look, by one word, does not rule it out. A large one (a crowd) is compared
-by whole fingerprints, and twice: first only a spanning forest of its pairs goes on, lightest by distance, which joins most of a
-group of copies; then, where an edge of a forest was refused, every pair of members that are not connected yet. So a large group of
-copies never becomes all of its pairs, and no refused edge stands for another pair. (A crowd of texts that are nearly, but not,
-similar enough does become its pairs: nothing else decides them.) By the pigeonring principle, two fingerprints within the radius
-have a word from which on every chain of l consecutive words (round the ring) holds at most l / WORDS_OF_64 of the radius: pairs
-without such a chain are dropped before their whole distance is counted.
+The votes of a SimHash, BITS of them over the distinct word shingles, are a projection of the shingle set that keeps angles; their
+signs are the fingerprint. The share of bits in which two fingerprints differ is the angle between the sets over pi, so a least
+Jaccard similarity s gives a radius: sets of equal size with that similarity have the cosine 2s / (1 + s). Fingerprints only propose:
+pairs within three standard deviations beyond the radius go on, and the exact Jaccard similarity of the two shingle sets decides.
+
+Candidates share the key of some table. A key is made of symbols: the votes are turned by random signs and a Hadamard transform, and
+of each group of turned votes the place and sign of the largest is a symbol (cross-polytope hashing, Andoni and others 2015). That
+needs several times fewer tables than equal bits do. By the pigeonring principle, two fingerprints within the radius have a word from
+which on every chain of l consecutive words (round the ring) holds at most l / WORDS of the radius: pairs without such a chain are
+dropped before their whole distance is counted.
+
+Of a large group of copies not all pairs are decided. First every document proposes two partners, the smallest and the nearest that
+it met; then, where documents that met are not connected by these, all their pairs go on. So no refused pair stands for another, and
+a group that its partners connect costs two decisions a document. (A group of texts that are nearly, but not, similar enough does
+become its pairs: nothing else decides them.)
 """
 
 from __future__ import annotations
@@ -26,39 +28,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, connected_components
-from .near_dedup import RADIUS, fingerprint, in_blocks, links
+from .common import LOWER, checkpointed, connected_components, joined_back
+from .near_dedup import in_blocks
 
 SHINGLE = 5
 SIMILARITY = 0.8
-WORDS_OF_64 = 12
-#: Chance that a pair exactly at the radius meets in no table; closer pairs are missed far more rarely.
+#: 64-bit words of a fingerprint.
+WORDS = 8
+BITS = 64 * WORDS
+#: Chance that a pair exactly at the least similarity meets in no table; closer pairs are missed far more rarely.
 MISS = 0.005
-#: Most members of a bucket whose pairs all go on.
-FEW = 16
 #: Members of a bucket that are compared in one piece.
 BLOCK = 4096
+#: Members of a bucket up to which buckets are compared many at a time.
+FEW = 32
 SEED = 23
 
-_BITS = 64 * WORDS_OF_64
-_KEYS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS_OF_64, dtype=np.uint64)
+#: Chance that a symbol of a group of so many votes agrees at the similarity 0.8, the least measured over sets of 5 to 2,000 shingles.
+SAME = {16: 0.505, 32: 0.455, 64: 0.415, 128: 0.38, 256: 0.345}
 
+_KEYS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, dtype=np.uint64)
 
-def radius_of(similarity: float, bits: int = _BITS) -> int:
+
+def radius_of(similarity: float, bits: int = BITS) -> int:
     return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def farthest(similarity: float, bits: int = _BITS) -> int:
+def farthest(similarity: float, bits: int = BITS) -> int:
     """Three standard deviations beyond the radius: pairs that similar are seldom farther apart."""
     radius = radius_of(similarity, bits)
     return radius + math.ceil(3 * math.sqrt(radius * (1 - radius / bits)))
 
 
-def plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
-    """(bits sampled a table, tables) for n fingerprints."""
-    bits = min(28, max(12, math.ceil(math.log2(max(n, 1) / 4)) if n > 4 else 12))
-    same = (1 - radius_of(similarity) / _BITS) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - same))
+def plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int, int]:
+    """(votes a symbol, symbols a key, tables) for n documents: keys as long as spread unlike documents over buckets of some four."""
+    need = max(10, math.ceil(math.log2(max(n, 1) / 4)))
+    symbols = -(-need // 9)
+    group = 1 << max(4, -(-need // symbols) - 1)
+    # The chance falls with the squared distance of the sets (on the unit sphere) over its complement; SAME has it at 0.8.
+    power = _spread(similarity) / _spread(SIMILARITY)
+    return group, symbols, math.ceil(math.log(miss) / math.log(1 - SAME[group] ** (power * symbols)))
+
+
+def _spread(similarity: float) -> float:
+    cosine = 2 * similarity / (1 + similarity)
+    return (1 - cosine) / (1 + cosine)
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -74,84 +88,82 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.sort(np.fromiter({h(line[a:b]) for a, b in spans}, dtype=np.uint64))
 
 
-def _wide(own: np.ndarray) -> bytes:
-    """WORDS_OF_64 words, little-endian: a bit is 1 if it is set in over half of the hashes."""
-    votes = np.zeros(_BITS, dtype=np.int64)
-    for at in range(0, len(own), 1 << 12):
-        x = own[at : at + (1 << 12), None] ^ _KEYS[None, :]
+def votes(own: np.ndarray) -> np.ndarray:
+    """(BITS,) how many more of a set's hashes have a bit than not."""
+    total = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(own), 255):  # so many ones fit into a byte
+        x = own[at : at + 255, None] ^ _KEYS[None, :]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-        votes += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(own), bitorder="little").tobytes()
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return 2 * total - len(own)
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
-    return _wide(shingles(text, shingle))
+    """WORDS words, little-endian: a bit is 1 if it is set in over half of the hashes."""
+    return np.packbits(votes(shingles(text, shingle)) > 0, bitorder="little").tobytes()
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Hadamard transform of each row."""
+    half = 1
+    while half < x.shape[1]:
+        y = x.reshape(len(x), -1, 2, half)
+        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(x.shape)
+        half *= 2
+    return x
+
+
+def keys_of(rows: np.ndarray, group: int, symbols: int, tables: int) -> np.ndarray:
+    """(n, tables) keys of rows of votes; a key names its table too."""
+    rows = rows.astype(np.float32)
+    count, each = tables * symbols, BITS // group
+    found = np.empty((len(rows), -(-count // each) * each), dtype=np.int64)
+    for k in range(found.shape[1] // each):
+        signs = np.random.default_rng([SEED, k]).choice(np.array([-1, 1], dtype=np.float32), BITS)
+        x = _turned(rows * signs).reshape(len(rows), each, group)
+        at = np.abs(x).argmax(axis=2)
+        found[:, k * each : (k + 1) * each] = 2 * at + (np.take_along_axis(x, at[:, :, None], axis=2)[:, :, 0] > 0)
+    parts = found[:, :count].reshape(len(rows), tables, symbols)
+    return (parts << (np.arange(symbols) * group.bit_length())).sum(axis=2) + (np.arange(tables, dtype=np.int64) << 48)
 
 
 def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which rows of words (n, WORDS_OF_64) differ in at most radius bits: by chains of words round the ring, then in full."""
+    """Which rows of words (n, WORDS) differ in at most radius bits: by chains of words round the ring, then in full."""
     d = np.bitwise_count(a ^ b).astype(np.int64)
     ring = np.cumsum(np.concatenate([np.zeros((len(d), 1), dtype=np.int64), d, d[:, :-1]], axis=1), axis=1)
     chain = np.zeros(len(d), dtype=bool)
-    for start in range(WORDS_OF_64):
+    for start in range(WORDS):
         ok = np.ones(len(d), dtype=bool)
-        for k in range(1, WORDS_OF_64 + 1):
-            ok &= (ring[:, start + k] - ring[:, start]) * WORDS_OF_64 <= radius * k
+        for k in range(1, WORDS + 1):
+            ok &= (ring[:, start + k] - ring[:, start]) * WORDS <= radius * k
         chain |= ok
     out = chain.copy()
     out[chain] = d[chain].sum(axis=1) <= radius
     return out
 
 
-def _apart(x: np.ndarray) -> np.ndarray:
-    """Bits set in each row of differences: of one word (n) or of many (n, words)."""
-    bits = np.bitwise_count(x).astype(np.int64)
-    return bits.sum(axis=1) if bits.ndim > 1 else bits
-
-
-def lightest_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indexes of the edges of a spanning forest of least weight."""
-    nodes, flat = np.unique(np.stack([a, b]), return_inverse=True)
-    flat = flat.reshape(2, -1)
-    parent = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for e in np.argsort(weight, kind="stable").tolist():
-        x, y = find(int(flat[0, e])), find(int(flat[1, e]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(e)
-    return np.array(kept, dtype=int)
-
-
-def _forest_of_block(word: np.ndarray, side: np.ndarray, most: int) -> np.ndarray:
-    """Edges (i, j) of a lightest spanning forest of a large bucket's close pairs, by growing trees node by node."""
-    n = len(word)
-    none = 64 * word[:1].size + 1
-    best, link, outside = np.full(n, none, dtype=np.int64), np.full(n, -1), np.ones(n, dtype=bool)
-    edges, at = [], 0
-    for _ in range(n):
-        outside[at] = False
-        d = _apart(word ^ word[at])
-        if side[at]:
-            d[side == side[at]] = none  # pairs within one block are compared elsewhere
-        closer = outside & (d < best)
-        best[closer], link[closer] = d[closer], at
-        left = np.flatnonzero(outside)
-        if not len(left):
-            break
-        at = left[np.argmin(best[left])]
-        if best[at] <= most:
-            edges.append((link[at], at))
-    return np.array(edges, dtype=int).reshape(-1, 2)
+def _few_pairs(first: np.ndarray, count: np.ndarray, side: np.ndarray):
+    """Yields (i, j), rows that meet in groups of at most FEW rows, i before j; no row twice among the i or the j of one step."""
+    end = np.repeat(first + count, count)
+    at, d = np.flatnonzero(np.repeat(count <= FEW, count)), 1
+    while len(at := at[at + d < end[at]]):
+        i = at[(side[at] == 0) | (side[at] != side[at + d])]
+        yield i, i + d
+        d += 1
+
+
+def _many_pairs(first: np.ndarray, count: np.ndarray, side: np.ndarray, step: int = 256):
+    """Yields (rows, columns, meet) for groups of more rows: slices, and which of their pairs meet; every row meets all its others."""
+    for g in np.flatnonzero(count > FEW):
+        stop = first[g] + count[g]
+        whole = slice(first[g], stop)
+        for a in range(first[g], stop, step):
+            part = slice(a, min(a + step, stop))
+            meet = (side[part, None] == 0) | (side[part, None] != side[None, whole])
+            meet[np.arange(part.stop - a), np.arange(a, part.stop) - first[g]] = False
+            yield part, whole, meet
 
 
 def _spans(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,54 +172,8 @@ def _spans(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(group)))
 
 
-def _all_close(first: np.ndarray, count: np.ndarray, side: np.ndarray, word: np.ndarray, most: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits) of the pairs that differ in at most `most` bits, within the groups of at most few rows."""
-    end = np.repeat(first + count, count)
-    a, b, w = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)]
-    at, d = np.flatnonzero(np.repeat(count <= few, count)), 1
-    while len(at := at[at + d < end[at]]):
-        i = at[(side[at] == 0) | (side[at] != side[at + d])]
-        bits = _apart(word[i] ^ word[i + d])
-        good = bits <= most
-        a.append(i[good])
-        b.append(i[good] + d)
-        w.append(bits[good])
-        d += 1
-    return np.concatenate(a), np.concatenate(b), np.concatenate(w)
-
-
-def _close_pairs(group: np.ndarray, side: np.ndarray, word: np.ndarray, most: int) -> np.ndarray:
-    """Edges (i, j) within groups of sorted rows: for each group a lightest forest of the pairs that differ in at most `most` bits."""
-    first, count = _spans(group)
-    a, b, w = _all_close(first, count, side, word, most, 32)
-    kept = lightest_forest(a, b, w)
-    found = [np.stack([a[kept], b[kept]], axis=1)]
-    for g in np.flatnonzero(count > 32):
-        rows = slice(first[g], first[g] + count[g])
-        found.append(_forest_of_block(word[rows], side[rows], most) + first[g])
-    return np.concatenate(found)
-
-
-def _unconnected_pairs(group: np.ndarray, side: np.ndarray, word: np.ndarray, root: np.ndarray, most: int, step: int = 256):
-    """Yields edges (i, j) within groups of sorted rows: all pairs of different roots that differ in at most `most` bits."""
-    for start, n in zip(*_spans(group)):
-        end = start + n
-        if (root[start:end] == root[start]).all():
-            continue
-        for at in range(start, end, step):
-            one = slice(at, min(at + step, end))
-            d = np.zeros((one.stop - at, end - at), dtype=np.int16)
-            for k in range(word.shape[1]):
-                d += np.bitwise_count(word[one, k][:, None] ^ word[None, at:end, k])
-            good = (d <= most) & (root[one][:, None] != root[None, at:end])
-            good &= (side[one][:, None] == 0) | (side[one][:, None] != side[None, at:end])
-            i, j = np.nonzero(np.triu(good, 1))
-            if len(i):
-                yield np.stack([i + at, j + at], axis=1)
-
-
-def _by_group(batches, flush):
-    """Feeds flush (rows, group numbers) with some 200,000 rows at a time; rows of one (key, part) stay together."""
+def _by_group(batches, flush, most: int = 100_000):
+    """Feeds flush (rows, group numbers) with some `most` rows at a time; rows of one (key, part) stay together."""
 
     def numbered(pdf: pd.DataFrame):
         key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
@@ -218,7 +184,7 @@ def _by_group(batches, flush):
     for pdf in batches:
         held.append(pdf)
         count += len(pdf)
-        if count < 200_000:
+        if count < most:
             continue
         pdf = pd.concat(held, ignore_index=True)
         last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])  # may go on in the next batch
@@ -229,82 +195,101 @@ def _by_group(batches, flush):
         yield from numbered(pd.concat(held, ignore_index=True))
 
 
-def candidates(classes: DataFrame, n: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """From classes (node long, wide binary): edges (a, b) of nodes worth judging, key null; members of crowds (a, key, part, side), b null."""
-    bits, tables = plan(n, similarity)
-    rng = np.random.default_rng([SEED, bits])
-    sample = np.stack([rng.choice(_BITS, bits, replace=False) for _ in range(tables)])
-    far = radius_of(similarity, 64) + 9  # three standard deviations beyond the radius, for one word
-    step = 64
+def _in_buckets(members: DataFrame, block: int) -> DataFrame:
+    """Members (key, node, ...) dealt out and sorted by buckets (key, part)."""
+    return in_blocks(members, ["key"], "node", block).repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
+
+
+def _table(key: str = "key"):
+    return F.shiftright(key, 48).cast("int")
 
-    def keys(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, _BITS // 8)
-                values = (np.unpackbits(fps, axis=1, bitorder="little")[:, sample].astype(np.int64) << np.arange(bits)).sum(axis=2) + (np.arange(tables, dtype=np.int64) << 32)
-                words = fps.view("<u8")[:, np.arange(tables) % WORDS_OF_64].view(np.int64)
-                nodes = np.repeat(part.column(0).to_numpy(), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values.ravel()), pa.array(words.ravel())], names=["node", "key", "word"])
 
-    dealt = in_blocks(classes.select("node", "wide").mapInArrow(keys, "node long, key long, word long"), ["key"], "node", block)
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side", "node").select("key", "part", "side", "node", "word")
+def partners(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(node, least, nearest): the smallest and the nearest document that each of classes (node, words, keys) met, itself excluded.
+
+    Documents meet in a bucket if one word of their fingerprints, which depends on the table, does not rule the similarity out; a
+    document that met none has no row.
+    """
+    far = farthest(similarity, 64)
 
     def flush(pdf: pd.DataFrame, group: np.ndarray):
-        node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        node, side, word = pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["word"].to_numpy().view(np.uint64)
         first, count = _spans(group)
-        i, j, _ = _all_close(first, count, side, pdf["word"].to_numpy().view(np.uint64), far, FEW)
-        if len(i):
-            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "key": None, "part": None, "side": None})
-        crowd = pdf[np.repeat(count > FEW, count)]
-        if len(crowd):
-            yield pd.DataFrame({"a": crowd["node"], "b": None, "key": crowd["key"], "part": crowd["part"], "side": crowd["side"]})
-
-    return dealt.mapInPandas(lambda batches: _by_group(batches, flush), "a long, b long, key long, part long, side int")
-
-
-def crowd_edges(crowds: DataFrame, classes: DataFrame, similarity: float, roots: DataFrame | None = None) -> DataFrame:
-    """Distinct edges (a, b) within crowds (node, key, part, side) by whole fingerprints: forests, or with roots (node, root) all pairs
-    of nodes with different ones."""
-    most, whole = farthest(similarity), roots is not None
-    rows = crowds.join(classes.select(F.col("node").alias("node2"), "wide"), F.col("node") == F.col("node2"))
-    if whole:
-        rows = rows.join(roots.select(F.col("node").alias("node3"), "root"), F.col("node") == F.col("node3"))
-    else:
-        rows = rows.withColumn("root", F.col("node"))
-    rows = rows.select("key", "part", "side", "node", "root", "wide").repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
+        least, nearest, apart = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1), np.full(len(node), far + 1)
+        for i, j in _few_pairs(first, count, side):
+            d = np.bitwise_count(word[i] ^ word[j])
+            close = d <= far
+            for x, y in ((i[close], j[close]), (j[close], i[close])):
+                least[x] = np.minimum(least[x], node[y])
+                better = d[close] < apart[x]
+                nearest[x[better]], apart[x[better]] = node[y[better]], d[close][better]
+        for part, whole, meet in _many_pairs(first, count, side):
+            d = np.where(meet, np.bitwise_count(word[part, None] ^ word[None, whole]), far + 1)
+            least[part] = np.where(d <= far, node[None, whole], least[part, None]).min(axis=1)
+            at = d.argmin(axis=1)
+            nearest[part], apart[part] = node[whole][at], d[np.arange(len(d)), at]
+        met = apart <= far
+        yield pd.DataFrame({"node": node[met], "least": least[met], "apart": apart[met], "nearest": nearest[met]})
+
+    members = classes.select("node", F.explode("keys").alias("key"), "words").select("key", "node", F.element_at("words", F.pmod(_table(), F.lit(WORDS)) + 1).alias("word"))
+    met = _in_buckets(members, block).select("key", "part", "side", "node", "word").mapInPandas(lambda batches: _by_group(batches, flush), "node long, least long, apart long, nearest long")
+    return met.groupBy("node").agg(F.min("least").alias("least"), F.min_by("nearest", F.struct("apart", "nearest")).alias("nearest"))
+
+
+def unconnected(classes: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of classes (node, words, keys) that meet, have different roots (node, root) and are near by fingerprint."""
+    radius = farthest(similarity)
+    members = classes.join(roots.select(F.col("node").alias("node2"), "root"), F.col("node") == F.col("node2")).select("node", "root", F.explode("keys").alias("key"))
+    # A bucket of one root has no pairs to tell; fingerprints come in where there are several.
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("key2"))
+    members = checkpointed(joined_back(members, mixed, [("key", "key2")]).drop("key2"))
+    words = classes.select(F.col("node").alias("node2"), "words")
+    members = joined_back(members, words, [("node", "node2")]).drop("node2")
 
     def flush(pdf: pd.DataFrame, group: np.ndarray):
-        node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
-        wide = np.frombuffer(b"".join(pdf["wide"]), dtype="<u8").reshape(-1, WORDS_OF_64)
-        found = _unconnected_pairs(group, side, wide, pdf["root"].to_numpy(), most) if whole else [_close_pairs(group, side, wide, most)]
-        for e in found:
-            e = node[e]
-            yield pd.DataFrame({"a": e.min(axis=1), "b": e.max(axis=1)})
+        node, side, root = pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["root"].to_numpy()
+        words = np.stack(pdf["words"].to_numpy()).view(np.uint64)
+        first, count = _spans(group)
 
-    return rows.mapInPandas(lambda batches: _by_group(batches, flush), "a long, b long").where("a <> b").distinct()
+        def near(i: np.ndarray, j: np.ndarray):
+            keep = within(words[i], words[j], radius)
+            return pd.DataFrame({"a": np.minimum(node[i], node[j])[keep], "b": np.maximum(node[i], node[j])[keep]})
+
+        for i, j in _few_pairs(first, count, side):
+            other = root[i] != root[j]
+            if other.any():
+                yield near(i[other], j[other])
+        for part, whole, meet in _many_pairs(first, count, side, 64):
+            i, j = np.nonzero(meet & (root[part, None] != root[None, whole]) & (node[part, None] < node[None, whole]))
+            if len(i):
+                yield near(i + part.start, j + whole.start)
 
+    found = _in_buckets(members, block).select("key", "part", "side", "node", "root", "words").mapInPandas(lambda batches: _by_group(batches, flush, 20_000), "a long, b long")
+    return found.distinct()
 
-def judged(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose fingerprints do not rule the similarity out."""
+
+def _words_in(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def alike(edges: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The edges (a, b) of doc_ids that fingerprints and sizes do not rule out and whose shingle sets have that Jaccard similarity.
+
+    classes (node, words, size) has the fingerprint and size of each; only the texts of what is left are read again and hashed.
+    """
     radius = farthest(similarity)
-    one = classes.select(F.col("node").alias("a"), F.col("wide").alias("wide_a"))
-    two = classes.select(F.col("node").alias("b"), F.col("wide").alias("wide_b"))
+    one, two = (classes.select(F.col("node").alias(k), F.col("words").alias(f"words_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
 
     def judge(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u8").reshape(-1, WORDS_OF_64) for k in (2, 3))
-            keep = pa.array(within(x, y, radius))
+            keep = pa.array(within(_words_in(batch.column(2)), _words_in(batch.column(3)), radius))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return edges.join(one, "a").join(two, "b").select("a", "b", "wide_a", "wide_b").mapInArrow(judge, "a long, b long")
-
-
-def alike(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The edges (a, b) of doc_ids whose shingle sets have at least that Jaccard similarity; only their texts are hashed."""
-    ids = edges.select(F.col("a").alias("__id")).union(edges.select("b")).distinct()
-    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    texts = texts.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").distinct()
+    near = edges.join(one, "a").join(two, "b").where(small >= F.lit(similarity) * large).select("a", "b", "words_a", "words_b")
+    near = checkpointed(near.mapInArrow(judge, "a long, b long"))
+    ids = near.select(F.col("a").alias("__id")).union(near.select("b")).distinct()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
 
     def sets(batches):
         for batch in batches:
@@ -316,59 +301,56 @@ def alike(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int) ->
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                both = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     own = texts.mapInArrow(sets, "node long, own binary")
     one, two = (own.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
-    return edges.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long").distinct()
+    return checkpointed(near.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long").distinct())
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) for every document row with a doc_id.
 
-    Rows link if the Jaccard similarity of their shingle sets is as high, or if their plain fingerprints differ in at most
-    near_dedup.RADIUS bits. component_id is the smallest doc_id reachable. Texts without words are alike; rows of one doc_id are
-    one document; rows with a null doc_id are left out; an empty table gives no rows; other columns are ignored.
+    Rows link if the Jaccard similarity of their shingle sets is as high; component_id is the smallest doc_id reachable. A text of
+    fewer words than a shingle is one shingle; texts without words are alike; rows of one doc_id are one document, whatever their
+    texts; rows with a null doc_id are left out; an empty table gives no rows; other columns are ignored.
     """
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    group, symbols, tables = plan(docs.count(), similarity)
 
     def scan(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            plain = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            own = [shingles(t, shingle) for t in texts]
-            same = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain), pa.array(same), pa.array([_wide(x) for x in own], pa.binary())], names=["doc_id", "fp", "same", "wide"])
-
-    rows = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "doc_id long, fp long, same long, wide binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [shingles(t.as_py(), shingle) for t in part.column(1)]
+                same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())
+                rows = np.stack([votes(x) for x in own])
+                words = np.packbits(rows > 0, axis=1, bitorder="little").view("<i8")
+                keys = keys_of(rows, group, symbols, tables)
+                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (words, keys)]
+                yield pa.RecordBatch.from_arrays([part.column(0), same, pa.array([len(x) for x in own], pa.int32()), *lists], names=["doc_id", "same", "size", "words", "keys"])
+
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "doc_id long, same binary, size int, words array<long>, keys array<long>")
     rows = checkpointed(rows)
     # A class has one shingle set, so that deciding on its first document decides on all.
-    classes = checkpointed(rows.groupBy("same", "wide").agg(F.min("doc_id").alias("node")))
-    found = checkpointed(candidates(classes, classes.count(), similarity))
-    crowds = found.where("key is not null").select(F.col("a").alias("node"), "key", "part", "side")
-    forest = checkpointed(crowd_edges(crowds, classes, similarity))
-    edges = judged(found.where("key is null").select("a", "b").distinct(), classes, similarity).union(forest)
-    similar = checkpointed(alike(checkpointed(edges.distinct()), docs, similarity, shingle))
-    # A plain fingerprint's rows belong together, and so do those of a shingle set: both are nodes, told apart by a bit.
-    named = rows.join(classes.select(F.col("same").alias("same2"), "node"), F.col("same") == F.col("same2")).select("doc_id", "fp", "node")
+    classes = checkpointed(rows.groupBy("same").agg(F.min(F.struct("doc_id", "size", "words", "keys")).alias("x")).select("same", F.col("x.doc_id").alias("node"), "x.size", "x.words", "x.keys"))
+    met = checkpointed(partners(classes, similarity, block))
+    edges = met.select(F.col("node").alias("x"), F.explode(F.array("least", "nearest")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+    named = rows.select("doc_id", "same").join(classes.select(F.col("same").alias("same2"), F.col("node").alias("first")), F.col("same") == F.col("same2")).select("doc_id", "first")
     named = checkpointed(named)
-    plain = named.groupBy("fp").agg(F.min("node").alias("least"))
-    ties = named.select("fp", "node").distinct().join(plain.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    near = links(plain.select("fp"), RADIUS)
-    least = plain.select(F.col("fp").alias("key"), "least")
-    near = near.join(least.select(F.col("key").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("key").alias("b"), F.col("least").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    roots = connected_components(similar.select("a", "b").unionByName(ties).unionByName(near))
-    if not forest.join(similar, ["a", "b"], "left_anti").isEmpty():
-        ids = forest.select(F.col("a").alias("id")).union(forest.select("b")).distinct()
-        known = checkpointed(ids.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root")))
-        rest = checkpointed(crowd_edges(crowds, classes, similarity, known))
-        if not rest.isEmpty():
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(alike(rest, docs, similarity, shingle)))
-    return named.join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    least = named.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select(F.col("doc_id").alias("doc2"), "a")  # several texts
+    several = named.join(least, F.col("doc_id") == F.col("doc2")).select("a", F.col("first").alias("b"))
+    roots = connected_components(alike(edges, classes, docs, similarity, shingle).union(several))
+    # Those that met, but are not connected by their partners.
+    known = met.select(F.col("node").alias("met")).join(roots, F.col("met") == F.col("node"), "left").select(F.col("met").alias("node"), F.coalesce("root", "met").alias("root"))
+    rest = checkpointed(unconnected(classes, known, similarity, block))
+    if not rest.isEmpty():
+        more = alike(rest, classes, docs, similarity, shingle)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return named.join(roots, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("root", "first").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
