@@ -12,9 +12,8 @@ which on every chain of l consecutive words (round the ring) holds at most l / W
 dropped before their whole distance is counted.
 
 Of a large group of copies not all pairs are decided. First every document proposes two partners, the smallest and the nearest that
-it met; then, where documents that met are not connected by these, all their pairs go on. So no refused pair stands for another, and
-a group that its partners connect costs two decisions a document. (A group of texts that are nearly, but not, similar enough does
-become its pairs: nothing else decides them.)
+it met. Then, where documents that met are not connected by these, their pairs are decided where they meet, nearest first, until they
+are. So no refused pair stands for another, a group that is connected costs few decisions a document, and pairs never leave a task.
 """
 
 from __future__ import annotations
@@ -40,6 +39,8 @@ BITS = 64 * WORDS
 MISS = 0.005
 #: Members of a bucket that are compared in one piece.
 BLOCK = 4096
+#: The same where their shingle sets are at hand.
+SETS = 512
 #: Members of a bucket up to which buckets are compared many at a time.
 FEW = 32
 SEED = 23
@@ -236,36 +237,70 @@ def partners(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
     return met.groupBy("node").agg(F.min("least").alias("least"), F.min_by("nearest", F.struct("apart", "nearest")).alias("nearest"))
 
 
-def unconnected(classes: DataFrame, roots: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b) of classes (node, words, keys) that meet, have different roots (node, root) and are near by fingerprint."""
+def _jaccard(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets of hashes are that similar; two empty ones are."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return both >= least * (len(x) + len(y) - both)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(node, own): the shingle sets of the documents (doc_id, text) named in ids (id); only their texts are hashed."""
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+    def hashed(batches):
+        for batch in batches:
+            own = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
+
+    return texts.mapInArrow(hashed, "node long, own binary")
+
+
+def still_alike(classes: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, shingle: int, block: int = SETS) -> DataFrame:
+    """Edges (a, b) of roots that connect what partners left apart: classes (node, words, keys) that meet and have different roots
+    (node, root).
+
+    Their pairs are decided where they meet, nearest fingerprints first, and never leave the task: a pair that others have connected
+    meanwhile is passed over, and only the edges that connect go on.
+    """
     radius = farthest(similarity)
     members = classes.join(roots.select(F.col("node").alias("node2"), "root"), F.col("node") == F.col("node2")).select("node", "root", F.explode("keys").alias("key"))
-    # A bucket of one root has no pairs to tell; fingerprints come in where there are several.
+    # A bucket of one root has no pairs to tell; fingerprints and sets come in where there are several.
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("key2"))
     members = checkpointed(joined_back(members, mixed, [("key", "key2")]).drop("key2"))
-    words = classes.select(F.col("node").alias("node2"), "words")
-    members = joined_back(members, words, [("node", "node2")]).drop("node2")
+    own = _sets(docs, members.select(F.col("node").alias("id")).distinct(), shingle).join(classes.select(F.col("node").alias("node2"), "words"), F.col("node") == F.col("node2")).select("node2", "words", "own")
+    dealt = joined_back(in_blocks(members, ["key"], "node", block), own, [("node", "node2")])
+    dealt = dealt.select("key", "part", "side", "node", "root", "words", "own").repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
 
     def flush(pdf: pd.DataFrame, group: np.ndarray):
-        node, side, root = pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["root"].to_numpy()
-        words = np.stack(pdf["words"].to_numpy()).view(np.uint64)
-        first, count = _spans(group)
-
-        def near(i: np.ndarray, j: np.ndarray):
-            keep = within(words[i], words[j], radius)
-            return pd.DataFrame({"a": np.minimum(node[i], node[j])[keep], "b": np.maximum(node[i], node[j])[keep]})
+        side, words = pdf["side"].to_numpy(), np.stack(pdf["words"].to_numpy()).view(np.uint64)
+        names, label = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["own"]]
+        edges = []
+
+        def decide(i: np.ndarray, j: np.ndarray) -> None:
+            near = within(words[i], words[j], radius)
+            i, j = i[near], j[near]
+            order = np.argsort(np.bitwise_count(words[i] ^ words[j]).sum(axis=1), kind="stable")
+            for at in range(0, len(order), 64):
+                part = order[at : at + 64]
+                for x, y in zip(*(k[part[label[i[part]] != label[j[part]]]] for k in (i, j))):
+                    if label[x] != label[y] and _jaccard(sets[x], sets[y], similarity):
+                        edges.append((label[x], label[y]))
+                        label[label == label[x]] = label[y]
 
+        first, count = _spans(group)
         for i, j in _few_pairs(first, count, side):
-            other = root[i] != root[j]
-            if other.any():
-                yield near(i[other], j[other])
-        for part, whole, meet in _many_pairs(first, count, side, 64):
-            i, j = np.nonzero(meet & (root[part, None] != root[None, whole]) & (node[part, None] < node[None, whole]))
-            if len(i):
-                yield near(i + part.start, j + whole.start)
+            other = label[i] != label[j]
+            decide(i[other], j[other])
+        for part, whole, meet in _many_pairs(first, count, side):
+            i, j = np.nonzero(np.triu(meet, part.start - whole.start) & (label[part, None] != label[None, whole]))
+            decide(i + part.start, j + whole.start)
+        if edges:
+            yield pd.DataFrame(names[np.array(edges)], columns=["a", "b"])
 
-    found = _in_buckets(members, block).select("key", "part", "side", "node", "root", "words").mapInPandas(lambda batches: _by_group(batches, flush, 20_000), "a long, b long")
-    return found.distinct()
+    return dealt.mapInPandas(lambda batches: _by_group(batches, flush, 5_000), "a long, b long").distinct()
 
 
 def _words_in(column: pa.Array) -> np.ndarray:
@@ -288,25 +323,13 @@ def alike(edges: DataFrame, classes: DataFrame, docs: DataFrame, similarity: flo
 
     near = edges.join(one, "a").join(two, "b").where(small >= F.lit(similarity) * large).select("a", "b", "words_a", "words_b")
     near = checkpointed(near.mapInArrow(judge, "a long, b long"))
-    ids = near.select(F.col("a").alias("__id")).union(near.select("b")).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-
-    def sets(batches):
-        for batch in batches:
-            own = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
+    own = _sets(docs, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), shingle)
 
     def decide(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([_jaccard(*(np.frombuffer(v.as_py(), dtype=np.uint64) for v in pair), similarity) for pair in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    own = texts.mapInArrow(sets, "node long, own binary")
     one, two = (own.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
     return checkpointed(near.join(one, "a").join(two, "b").select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long").distinct())
 
@@ -346,10 +369,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     roots = connected_components(alike(edges, classes, docs, similarity, shingle).union(several))
     # Those that met, but are not connected by their partners.
     known = met.select(F.col("node").alias("met")).join(roots, F.col("met") == F.col("node"), "left").select(F.col("met").alias("node"), F.coalesce("root", "met").alias("root"))
-    rest = checkpointed(unconnected(classes, known, similarity, block))
+    rest = checkpointed(still_alike(classes, known, docs, similarity, shingle, min(block, SETS)))
     if not rest.isEmpty():
-        more = alike(rest, classes, docs, similarity, shingle)
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     return named.join(roots, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("root", "first").alias("component_id"))
 
 
