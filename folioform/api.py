@@ -11,7 +11,7 @@ from .functions import fixed
 from .functions import text as T
 from .operators import jobs, lines, qa
 from .operators import translate as R
-from .sources import files
+from .sources import files, html
 
 
 @dataclass(frozen=True)
@@ -38,11 +38,24 @@ class Texts:
     def segments(self) -> DataFrame:
         return lines.segments(self.docs)
 
-    def translate(self, provider: str, source: str, target: str, batch_size: int = 50) -> Texts:
-        """Segments translated in batches; what is rejected stays as it is. Equal languages are an error."""
+    def languages(self, provider: str) -> DataFrame:
+        """(doc_id, source_lang): the provider's word on samples of each document, null if it has none."""
+        blocks = self.segments().select("doc_id", "seg_no", F.col("segment").alias("text"), F.lit("line").alias("kind"))
+        return R.detect_languages(blocks, "seg_no", provider)
+
+    def translate(self, provider: str, source: str | None, target: str, batch_size: int = 50) -> Texts:
+        """Segments translated in batches; what is rejected stays as it is. Equal languages are an error.
+
+        Without a source language each document's own is detected, or is source_lang where docs bring that; documents in the target language or in an unknown one stay.
+        Providers can be named in order, as in "first>second".
+        """
         if source == target:
             raise ValueError(f"source and target language are the same: {source}")
         segs = self.segments().withColumnRenamed("segment", "text")
+        if source is None and "source_lang" in self.docs.columns:
+            segs = segs.join(self.docs.select(F.col("doc_id").alias("__id"), "source_lang"), F.col("doc_id") == F.col("__id")).drop("__id")
+        elif source is None:
+            segs = segs.join(self.languages(provider).withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
         done = R.translate_batches(segs, "doc_id", "seg_no", provider, source, target, batch_size)
         texts = lines.join_segments(done.select("doc_id", "seg_no", F.col("final_text").alias("segment")))
         return Texts(texts, done)
@@ -60,27 +73,85 @@ class Texts:
         return qa.segment_stats(self.done, "doc_id")
 
 
-def translate_office(found: DataFrame, provider: str, source: str, target: str, batch_size: int = 50) -> DataFrame:
-    """(path, content) of Word and PowerPoint files with their paragraphs translated; each goes into its first run."""
+@dataclass(frozen=True)
+class Pages:
+    """HTML pages (page_id, html) on their way."""
+
+    pages: DataFrame
+    done: DataFrame | None = None  # nodes with new_text, state, retried and calls
+
+    def nodes(self) -> DataFrame:
+        return html.text_nodes(self.pages)
+
+    def _with(self, nodes: DataFrame) -> Pages:
+        return Pages(html.rewritten_pages(self.pages, nodes).select("page_id", "html"), nodes)
+
+    def translate(self, provider: str, source: str, target: str, batch_size: int = 50) -> Pages:
+        """Translatable text nodes translated in batches and put back; markup and all other nodes stay."""
+        if source == target:
+            raise ValueError(f"source and target language are the same: {source}")
+        nodes = self.nodes()
+        asked = nodes.where("translatable").select("page_id", "node_id", F.col("core").alias("text"))
+        got = R.translate_batches(asked, "page_id", "node_id", provider, source, target, batch_size).select(F.col("page_id").alias("__page"), F.col("node_id").alias("__node"), "final_text", "state", "calls", "retried")
+        both = nodes.join(got, (F.col("page_id") == F.col("__page")) & (F.col("node_id") == F.col("__node")), "left").drop("__page", "__node")
+        return self._with(html.replaced_nodes(both.withColumn("translation", F.when(F.col("state") == "translated", F.col("final_text")))))
+
+    def mapped(self, mapping: DataFrame) -> Pages:
+        """Text nodes replaced where the mapping (key, value) holds their stripped text."""
+        nodes = self.nodes().withColumn("text", F.concat("prefix_ws", "core", "suffix_ws"))
+        out = R.replace_mapped(nodes, mapping)
+        return self._with(out.withColumn("new_text", F.when(F.col("replaced"), F.col("new_text"))).withColumn("state", F.when(F.col("replaced"), "translated").otherwise("skipped")).withColumn("calls", F.lit(0)).withColumn("retried", F.lit(False)))
+
+    def stats(self) -> DataFrame:
+        """Counters of each page after translate or mapped."""
+        if self.done is None:
+            raise ValueError("nothing is translated yet")
+        some = lambda c: F.coalesce(c, F.lit(False))
+        nodes = self.done.select("page_id", F.col("new_text").isNotNull().alias("applied"), some(F.col("retried")).alias("retried"), some(F.col("state") == "rejected").alias("rejected"), F.coalesce("calls", F.lit(0)).alias("calls"))
+        return qa.html_stats(nodes, "page_id")
+
+
+def translate_office(found: DataFrame, provider: str, source: str | None, target: str, batch_size: int = 50) -> DataFrame:
+    """(path, content) of Word and PowerPoint files with their paragraphs translated; each goes into its first run.
+
+    With source None the files bring source_lang.
+    """
     runs = files.office_runs(found)
     keyed = files.paragraphs(runs).withColumn("at", F.concat_ws("\n", "part", F.lpad(F.col("para").cast("string"), 9, "0")))
-    done = R.translate_batches(keyed.select("path", "at", "text"), "path", "at", provider, source, target, batch_size).where("state = 'translated'")
+    if source is None:
+        keyed = keyed.join(found.select("path", "source_lang"), "path")
+    done = R.translate_batches(keyed, "path", "at", provider, source, target, batch_size).where("state = 'translated'")
     spread = done.select("path", F.split("at", "\n")[0].alias("part"), F.split("at", "\n")[1].cast("int").alias("para"), F.col("final_text").alias("translation"))
     return files.rewritten(found, files.written_runs(runs, spread))
 
 
-def run(spark: SparkSession, source_dir: str, output_dir: str, targets: list[str], source: str, provider: str = "identity", batch_size: int = 50, overwrite: bool = False) -> DataFrame:
+def file_languages(found: DataFrame, provider: str) -> DataFrame:
+    """(path, source_lang) of text and office files (path, content), told by the provider from samples; null if it cannot tell."""
+    text = found.where(T.suffix(F.col("path")) == ".txt").select(F.col("path").alias("doc_id"), files.decoded(F.col("content")).alias("text"))
+    told = Texts(text).languages(provider)
+    paragraphs = files.paragraphs(files.office_runs(found.where(T.suffix(F.col("path")) != ".txt")))
+    blocks = paragraphs.select(F.col("path").alias("doc_id"), F.struct("part", "para").alias("at"), "text", F.lit("line").alias("kind"))
+    return told.unionByName(R.detect_languages(blocks, "at", provider)).withColumnRenamed("doc_id", "path")
+
+
+def run(spark: SparkSession, source_dir: str, output_dir: str, targets: list[str], source: str | None, provider: str = "identity", batch_size: int = 50, overwrite: bool = False) -> DataFrame:
     """Translate the text and office files of a folder into each target language; (path, target_lang, output_name, status).
 
     Results are Parquet tables under output_dir/target_lang, the jobs go to output_dir/manifest. With overwrite off, outputs named
-    in the manifest that is there are skipped; a file in the target language is copied.
+    in the manifest that is there are skipped; a file in the target language is copied. Without a source language each file's own is
+    detected; where the provider cannot tell, the job has failed.
     """
     asked = spark.createDataFrame([(t,) for t in targets], "code string")
     unknown = [r["code"] for r in jobs.unsupported_languages(asked).collect()]
     if unknown:
         raise ValueError(f"unsupported language codes: {', '.join(sorted(unknown))}")
     found = files.read_files(spark, source_dir, (".txt", ".docx", ".pptx"))
-    inputs = found.select(F.col("path").alias("doc_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), F.lit(source).alias("source_lang"))
+    inputs = found.select(F.col("path").alias("doc_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"))
+    if source is None:
+        told = file_languages(found, provider)
+        inputs = inputs.join(told.withColumnRenamed("path", "__path"), F.col("doc_id") == F.col("__path"), "left").drop("__path")
+    else:
+        inputs = inputs.withColumn("source_lang", F.lit(source))
     done = None
     if not overwrite:
         try:
@@ -89,16 +160,21 @@ def run(spark: SparkSession, source_dir: str, output_dir: str, targets: list[str
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
     matrix = jobs.job_matrix(inputs, asked, done)
+    matrix = matrix.withColumn("status", F.when(F.col("source_lang").isNull() & (F.col("status") == "pending"), "failed").otherwise(F.col("status")))
     for target in targets:
-        todo = found.join(matrix.where((F.col("target_lang") == target) & (F.col("status") != "skipped_existing")).select(F.col("doc_id").alias("path"), "output_name", "status"), "path")
-        text = todo.where(T.suffix(F.col("path")) == ".txt").select(F.col("path").alias("doc_id"), files.decoded(F.col("content")).alias("text"))
-        office = todo.where(T.suffix(F.col("path")) != ".txt").select("path", "content")
+        todo = found.join(matrix.where((F.col("target_lang") == target) & ~F.col("status").isin("skipped_existing", "failed")).select(F.col("doc_id").alias("path"), "source_lang", "output_name", "status"), "path")
+        text = todo.where(T.suffix(F.col("path")) == ".txt").select(F.col("path").alias("doc_id"), "source_lang", files.decoded(F.col("content")).alias("text"))
+        office = todo.where(T.suffix(F.col("path")) != ".txt").select("path", "content", "source_lang")
+        out = [text.where(F.col("source_lang") == target).select("doc_id", "text"), office.where(F.col("source_lang") == target).select("path", "content")]
         if target != source:
-            text = Texts(text).allowed().translate(provider, source, target, batch_size).docs
-            office = translate_office(office, provider, source, target, batch_size)
-        out = text.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")).unionByName(office)
-        out = out.withColumn("output_name", jobs.output_name(F.regexp_extract("path", "([^/]*)$", 1), F.lit(target)))
-        out.write.mode("append").parquet(f"{output_dir}/{target}")
+            out.append(Texts(text.where(F.col("source_lang") != target)).allowed().translate(provider, source, target, batch_size).docs)
+            out.append(translate_office(office.where(F.col("source_lang") != target), provider, source, target, batch_size))
+        content = [x.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")) if "text" in x.columns else x for x in out]
+        whole = content[0]
+        for x in content[1:]:
+            whole = whole.unionByName(x)
+        whole = whole.withColumn("output_name", jobs.output_name(F.regexp_extract("path", "([^/]*)$", 1), F.lit(target)))
+        whole.write.mode("append").parquet(f"{output_dir}/{target}")
     status = F.when(F.col("status") == "pending", "translated").otherwise(F.col("status"))
     result = matrix.select(F.col("doc_id").alias("path"), "target_lang", "output_name", status.alias("status"))
     result.where("status <> 'skipped_existing'").write.mode("append").json(f"{output_dir}/manifest")
@@ -112,8 +188,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--target-lang", required=True, action="append", choices=sorted(fixed.LANGUAGES))
-    p.add_argument("--source-lang", default="en", choices=sorted(fixed.LANGUAGES))
-    p.add_argument("--provider", default="identity", choices=sorted(R.PROVIDERS))
+    p.add_argument("--source-lang", choices=sorted(fixed.LANGUAGES), help="detected where it is left out")
+    p.add_argument("--provider", default="identity", help="one of " + ", ".join(sorted(R.PROVIDERS)) + ", or several in order, parted by '>'")
     p.add_argument("--batch-size", type=int, default=50)
     p.add_argument("--overwrite", action="store_true")
     a = p.parse_args(argv)

@@ -14,6 +14,17 @@ def segment_stats(done: DataFrame, key: str) -> DataFrame:
     return done.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("state") == "translated").alias("translated"), F.count_if(F.col("state") == "rejected").alias("rejected"), F.sum("calls").cast("long").alias("calls"))
 
 
+def html_stats(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, nodes_translated, nodes_skipped, nodes_retried, nodes_rejected, api_calls) from one row a text node.
+
+    Rows are (key, applied, retried, rejected booleans, calls); every node that no translation was put into counts as skipped.
+    """
+    applied = F.count_if("applied")
+    return nodes.groupBy(key).agg(
+        applied.alias("nodes_translated"), (F.count("*") - applied).alias("nodes_skipped"), F.count_if("retried").alias("nodes_retried"), F.count_if("rejected").alias("nodes_rejected"), F.sum("calls").cast("long").alias("api_calls")
+    )
+
+
 def direct_stats(blocks: DataFrame, key: str) -> DataFrame:
     """One row a document from blocks (key, status 'fit', 'unplaced' or 'skipped', retried, rejected, calls, residual booleans and ints).
 

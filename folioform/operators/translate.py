@@ -1,9 +1,14 @@
-"""Translation of segments and blocks through providers: batching, validation, one retry, fallback, and what is left over."""
+"""Translation of segments and blocks as a dataflow, and what is left over.
+
+Rows go through five steps without a branch: a provider is asked for a call's rows at a time, its replies are judged by Column rules,
+what is suspicious is asked for once more by itself, judged again, and the better of reply and source is chosen. Providers stand in
+an order; which of them a call goes to follows from a table of what each kind of failure means.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from typing import Protocol
 
@@ -14,44 +19,50 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as T
 from ..functions.fixed import STOPWORDS
-from .lines import batches
+from .lines import detection_samples
 
+#: Rows of one call at most, whatever a provider would take.
+MOST_ROWS = 40
 
-class Provider(Protocol):
-    """What a translation provider offers; made once a partition."""
 
-    batch_size: int
+class Unavailable(Exception):
+    """The provider is down: quota, connection, credentials."""
 
-    def translate_single(self, text: str, source: str, target: str) -> str | None: ...
 
-    def translate_batch(self, texts: list[str], source: str, target: str) -> dict[int, str]: ...
+class UnsupportedLanguage(Exception):
+    """The provider lacks the language; it stays usable for others."""
 
 
-class ServiceError(Exception):
-    """The provider is down: quota, connection, credentials."""
+#: What a failure means: True if the provider is not asked again for the same document, False if only this call goes to the next.
+FAILURES: dict[type[Exception], bool] = {Unavailable: True, OSError: True, UnsupportedLanguage: False}
 
 
-class UnsupportedLanguage(Exception):
-    """The provider lacks the language; it stays usable for others."""
+class Provider(Protocol):
+    """Where translations come from; one is made for a partition when it is first needed there."""
 
+    def translate(self, texts: list[str], source: str, target: str) -> list[str | None]:
+        """A reply to each text, or None."""
+
+    def detect(self, samples: list[str]) -> str | None:
+        """The language code of the samples, None if they do not tell."""
 
-class Identity:
-    """Gives every text back."""
 
-    batch_size = 50
+class Identity:
+    """Gives every text back. Its samples are English if they hold as many function words as English does."""
 
-    def translate_single(self, text: str, source: str, target: str) -> str | None:
-        return text
+    def translate(self, texts: list[str], source: str, target: str) -> list[str | None]:
+        return list(texts)
 
-    def translate_batch(self, texts: list[str], source: str, target: str) -> dict[int, str]:
-        return {i: x for i, x in enumerate(t and self.translate_single(t, source, target) for t in texts) if x}
+    def detect(self, samples: list[str]) -> str | None:
+        found = re.findall("[a-z']+", " ".join(samples).lower())
+        return "en" if found and sum(w in STOPWORDS for w in found) >= 0.22 * len(found) else None
 
 
 class Marking(Identity):
     """Deterministic stand-in for a translation: reverses each word."""
 
-    def translate_single(self, text: str, source: str, target: str) -> str | None:
-        return " ".join(w[::-1] for w in text.split()) or None
+    def translate(self, texts: list[str], source: str, target: str) -> list[str | None]:
+        return [" ".join(w[::-1] for w in t.split()) or None for t in texts]
 
 
 class Dictionary(Identity):
@@ -60,117 +71,163 @@ class Dictionary(Identity):
     def __init__(self, entries: dict[str, str]):
         self.entries = entries
 
-    def translate_single(self, text: str, source: str, target: str) -> str | None:
-        return self.entries.get(text.strip())
-
-
-class Adaptive(Identity):
-    """Tries one provider and falls back to another, built when first needed; after a service error it stays with that."""
-
-    def __init__(self, first: Provider, make_second):
-        self.first, self.make_second, self.second, self.down = first, make_second, None, False
-        self.batch_size = getattr(first, "batch_size", 50)
-
-    def _run(self, name: str, *args):
-        if not self.down:
-            try:
-                return getattr(self.first, name)(*args)
-            except UnsupportedLanguage:
-                pass
-            except (ServiceError, OSError):
-                self.down = True
-        if self.second is None:
-            self.second = self.make_second()
-        return getattr(self.second, name)(*args)
+    def translate(self, texts: list[str], source: str, target: str) -> list[str | None]:
+        return [self.entries.get(t.strip()) for t in texts]
 
-    def translate_single(self, text: str, source: str, target: str) -> str | None:
-        return self._run("translate_single", text, source, target)
 
-    def translate_batch(self, texts: list[str], source: str, target: str) -> dict[int, str]:
-        return self._run("translate_batch", texts, source, target)
+#: Makers of providers by name.
+PROVIDERS: dict[str, Callable[[], Provider]] = {"identity": Identity, "marking": Marking}
 
 
-PROVIDERS = {"identity": Identity, "marking": Marking}
+def makers(names: str) -> list[Callable[[], Provider]]:
+    """Makers for names parted by '>': each is asked where those before it fail."""
+    wanted = [n.strip() for n in names.split(">")]
+    for n in wanted:
+        if n not in PROVIDERS:
+            raise ValueError(f"unknown provider {n!r}; known: {', '.join(sorted(PROVIDERS))}")
+    return [PROVIDERS[n] for n in wanted]
 
 
-def provider(name: str) -> Provider:
-    if name not in PROVIDERS:
-        raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(PROVIDERS))}")
-    return PROVIDERS[name]()
+class Desk:
+    """Sends calls to the first provider that may serve them; makes providers as they are needed."""
 
+    def __init__(self, chain: list[Callable[[], Provider]]):
+        self.chain = chain
+        self.made: dict[int, Provider] = {}
+        self.document: object = None
+        self.closed: set[int] = set()
 
-def leaks(src: str, dst: str) -> bool:
-    """Whether much of src, compared as it stands, is left in dst."""
-    if len(src) < 40:
-        return False
-    m = SequenceMatcher(None, src, dst)
-    if m.find_longest_match(0, len(src), 0, len(dst)).size >= max(28, int(len(src) * 0.45)):
-        return True
-    return m.quick_ratio() > 0.82 and m.ratio() > 0.82
-
-
-def suspicious(rows: DataFrame, source: str = "source_lang", target: str = "target_lang") -> DataFrame:
-    """Adds suspicious to rows (src, dst): the translation is empty, the source itself, degenerate, leaks the source or stays English.
-
-    All but the leak test are Column expressions; only the rows these leave open reach Python.
+    def call(self, document: object, method: str, *args):
+        """(result, number of the provider that gave it). The last provider's failure is the caller's."""
+        if document != self.document:
+            self.document, self.closed = document, set()
+        serving = [k for k in range(len(self.chain)) if k not in self.closed] or [len(self.chain) - 1]
+        for k in serving:
+            try:
+                if k not in self.made:
+                    self.made[k] = self.chain[k]()
+                return getattr(self.made[k], method)(*args), k
+            except tuple(FAILURES) as e:
+                if k == serving[-1]:
+                    raise
+                if next(lasting for kind, lasting in FAILURES.items() if isinstance(e, kind)):
+                    self.closed.add(k)
+
+
+def ask(rows: DataFrame, key: str, order: str, text: str, call: str, names: str, reply: str) -> DataFrame:
+    """Adds reply and its number of calls, `reply`_calls (1 at a call's first row), to rows; columns source_lang and target_lang say
+    what is asked.
+
+    A key's rows with the same number in `call` go in one call; a negative number is not asked. A key's rows must be in one
+    partition, as they are after a window over the key.
+    """
+    chain = makers(names)
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        desk, held = Desk(chain), None
+
+        def answered(pdf: pd.DataFrame) -> pd.DataFrame:
+            out, calls = [None] * len(pdf), [0] * len(pdf)
+            at = 0
+            numbers, keys, texts = pdf[call].tolist(), pdf[key].tolist(), pdf[text].tolist()
+            langs = list(zip(pdf["source_lang"], pdf["target_lang"]))
+            while at < len(pdf):
+                end = at + 1
+                while end < len(pdf) and numbers[end] == numbers[at] and keys[end] == keys[at]:
+                    end += 1
+                if numbers[at] >= 0:
+                    out[at:end], _ = desk.call(keys[at], "translate", texts[at:end], *langs[at])
+                    calls[at] = 1
+                at = end
+            return pdf.assign(**{reply: out, f"{reply}_calls": calls})
+
+        for pdf in batches:
+            pdf = pd.concat([held, pdf], ignore_index=True) if held is not None and len(held) else pdf
+            same = (pdf[key] == pdf[key].iloc[-1]) & (pdf[call] == pdf[call].iloc[-1])  # the last call may go on in the next batch
+            held = pdf[same]
+            if (~same).any():
+                yield answered(pdf[~same].reset_index(drop=True))
+        if held is not None and len(held):
+            yield answered(held.reset_index(drop=True))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.sortWithinPartitions(key, call, order).mapInPandas(serve, f"{schema}, `{reply}` string, `{reply}_calls` int")
+
+
+#: A reply leaks its source if a stretch of this share of it, and so many characters at least, stays, or if both are that much alike.
+LEAK_SHARE, LEAK_CHARS, LEAK_RATIO = 0.45, 28, 0.82
+
+
+def overlap(src: Column, dst: Column) -> Column:
+    """struct<longest int, ratio double> of two texts: their longest common stretch, and how alike they are if more than LEAK_RATIO."""
+
+    @F.pandas_udf("struct<longest:int,ratio:double>")
+    def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = []
+        for x, y in zip(a, b):
+            longest, ratio = 0, 0.0
+            if x and y:
+                m = SequenceMatcher(None, x, y)
+                longest = m.find_longest_match().size
+                if min(m.real_quick_ratio(), m.quick_ratio()) > LEAK_RATIO:  # both are upper bounds
+                    ratio = m.ratio()
+            found.append((longest, ratio))
+        return pd.DataFrame(found, columns=["longest", "ratio"])
+
+    return measure(src, dst)
+
+
+def suspicious(rows: DataFrame, source: str = "source_lang", target: str = "target_lang", src: str = "src", dst: str = "dst", out: str = "suspicious") -> DataFrame:
+    """Adds a boolean to rows: the translation is empty, the source itself, degenerate, leaks the source or stays English.
+
+    Only rows that no other rule decides, and whose source is long enough, reach Python for the measure of what they share.
     """
-    src, dst = T.comparable(F.col("src")), T.comparable(F.coalesce("dst", F.lit("")))
-    same = F.col(source) == F.col(target)
-    clear = (dst == "") | (src == dst) | P.degenerate(src, dst) | ((F.col(source) == "en") & (F.col(target) != "en") & P.english_left(dst))
-    rows = rows.withColumn("__clear", F.when(same, False).when(clear, True)).withColumn("__src", F.when(F.col("__clear").isNull(), src)).withColumn("__dst", F.when(F.col("__clear").isNull(), dst))
-
-    @F.pandas_udf("boolean")
-    def leak(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x is not None and leaks(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    return rows.withColumn("suspicious", F.coalesce("__clear", leak("__src", "__dst"))).drop("__clear", "__src", "__dst")
-
-
-def should_retry(src: str, dst: str | None, source: str, target: str) -> bool:
-    """The same test for one pair, where a provider is called."""
-    if source == target:
-        return False
-    a, b = (" ".join((x or "").split()).lower() for x in (src, dst))
-    if not b or a == b:
-        return True
-    w = b.split()
-    if len(b) > max(len(a) * 2.4, len(a) + 120.0) or len(w) >= 16 and (len(set(w)) / len(w) < 0.4 or max(Counter(zip(w, w[1:], w[2:], w[3:])).values()) >= 3):
-        return True
-    if leaks(a, b):
-        return True
-    found = re.findall("[a-zA-Z']+", b)
-    hits = sum(t in STOPWORDS for t in found)
-    return source == "en" and target != "en" and len(found) >= 10 and hits >= 6 and hits / len(found) >= 0.22
-
-
-def translate_batches(rows: DataFrame, key: str, order: str, name: str, source: str, target: str, batch_size: int = 50) -> DataFrame:
-    """(key, order, text, final_text, state, calls) of rows (key, order, text), in batches of a key's rows.
-
-    state is blank, translated or rejected (then the text stays); calls counts the provider calls of a batch at its first row and
-    one more for a row that was tried again. A batch is one group of bounded size.
+    a, b = T.comparable(F.col(src)), T.comparable(F.coalesce(dst, F.lit("")))
+    rows = rows.withColumn("__a", a).withColumn("__b", b)
+    a, b = F.col("__a"), F.col("__b")
+    clear = (b == "") | (a == b) | P.degenerate(a, b) | ((F.col(source) == "en") & (F.col(target) != "en") & P.english_left(b))
+    rows = rows.withColumn("__clear", F.when(F.col(source) == F.col(target), False).when(clear, True).when(F.length(a) < 40, False))
+    rows = rows.withColumn("__shared", overlap(F.when(F.col("__clear").isNull(), a), F.when(F.col("__clear").isNull(), b)))
+    least = F.greatest(F.lit(LEAK_CHARS), F.floor(F.length(a) * LEAK_SHARE))
+    leak = (F.col("__shared.longest") >= least) | (F.col("__shared.ratio") > LEAK_RATIO)
+    return rows.withColumn(out, F.coalesce("__clear", leak)).drop("__a", "__b", "__clear", "__shared")
+
+
+def translate_batches(rows: DataFrame, key: str, order: str, names: str, source: str | None, target: str, batch_size: int = 50) -> DataFrame:
+    """(key, order, text, final_text, state, calls, retried) of rows (key, order, text), asked for in calls of a key's rows.
+
+    With source None the rows bring source_lang. state is blank, translated, rejected or (where the source language is the target or
+    unknown) skipped; then the text stays. calls counts a call at its first row, and one more for a row that was tried again.
     """
-    some = batches(rows.select(key, order, "text"), key, order, batch_size)
-
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset")
-        p = provider(name)
-        texts = pdf["text"].tolist()
-        got, out = p.translate_batch(texts, source, target), []
-        for i, text in enumerate(texts):
-            calls, new = int(i == 0), got.get(i)
-            if new and should_retry(text, new, source, target):
-                new, calls = p.translate_single(text, source, target), calls + 1
-                new = None if not new or should_retry(text, new, source, target) else new
-            out.append((new or text, "translated" if new else "rejected", calls))
-        final, state, calls = zip(*out)
-        return pdf[[key, order, "text"]].assign(final_text=final, state=state, calls=calls)
-
-    kind = dict(rows.dtypes)
-    # Calls take long whatever their size, so small partitions are not put together.
-    some = some.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "batch_no")
-    done = some.groupBy(key, "batch_no").applyInPandas(call, f"`{key}` {kind[key]}, `{order}` {kind[order]}, text string, final_text string, state string, calls int")
-    blank = rows.where(F.coalesce(T.strip(F.col("text")) == "", F.lit(True))).select(key, order, "text", F.col("text").alias("final_text"), F.lit("blank").alias("state"), F.lit(0).alias("calls"))
-    return done.unionByName(blank)
+    lang = F.col("source_lang") if source is None else F.lit(source)
+    rows = rows.select(key, order, "text", lang.alias("source_lang"), F.lit(target).alias("target_lang"))
+    asked = F.coalesce((T.strip(F.col("text")) != "") & (F.col("source_lang") != F.col("target_lang")), F.lit(False))
+    at = F.sum(asked.cast("int")).over(Window.partitionBy(key).orderBy(order)) - 1
+    size = max(1, min(batch_size, MOST_ROWS))
+    rows = rows.withColumn("__at", at).withColumn("__call", F.when(asked, F.floor(F.col("__at") / size)).otherwise(-1))
+    once = suspicious(ask(rows, key, order, "text", "__call", names, "__first"), src="text", dst="__first", out="__doubtful")
+    once = once.withColumn("__call", F.when((F.col("__first") != "") & F.col("__doubtful"), F.col("__at")).otherwise(-1))
+    twice = suspicious(ask(once, key, order, "text", "__call", names, "__second"), src="text", dst="__second", out="__refused")
+    usable = lambda reply, bad: F.when((F.col(reply) != "") & ~F.col(bad), F.col(reply))
+    best = F.coalesce(usable("__first", "__doubtful"), F.when(F.col("__call") >= 0, usable("__second", "__refused")))
+    blank = F.coalesce(T.strip(F.col("text")) == "", F.lit(True))
+    state = F.when(blank, "blank").when(F.coalesce(F.col("source_lang") == F.col("target_lang"), F.lit(True)), "skipped").when(best.isNotNull(), "translated").otherwise("rejected")
+    calls = (F.col("__first_calls") + F.col("__second_calls")).alias("calls")
+    return twice.select(key, order, "text", F.when(state == "translated", best).otherwise(F.col("text")).alias("final_text"), state.alias("state"), calls, (F.col("__call") >= 0).alias("retried"))
+
+
+def detect_languages(blocks: DataFrame, order: str, names: str) -> DataFrame:
+    """(doc_id, source_lang) of every document of blocks (doc_id, text, kind): the provider's word on its samples, null if it has none."""
+    samples = detection_samples(blocks, order).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]).alias("samples"))
+    chain, kind = makers(names), dict(blocks.dtypes)["doc_id"]
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        desk = Desk(chain)
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source_lang": [desk.call(k, "detect", list(s))[0] for k, s in zip(pdf["doc_id"], pdf["samples"])]})
+
+    told = samples.mapInPandas(serve, f"doc_id {kind}, source_lang string").withColumn("source_lang", T.detected_code(F.col("source_lang")))
+    return blocks.select("doc_id").distinct().join(told, "doc_id", "left")
 
 
 def apply_replies(rows: DataFrame, replies: DataFrame, on: list[str]) -> DataFrame:
@@ -192,9 +249,10 @@ def replace_mapped(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def route(calls: DataFrame, key: str, order: str, failed: Column, unsupported: Column) -> DataFrame:
     """Adds route to ordered calls: 'first', 'fallback' for this call alone, or 'down' after a key's first service failure."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    down = F.coalesce(F.max(failed.cast("int")).over(before), F.lit(0)) == 1
-    return calls.withColumn("route", F.when(down, "down").when(failed | unsupported, "fallback").otherwise("first"))
+    since = calls.where(failed).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__since"))
+    down = F.coalesce(F.col(order) > F.col("__since"), F.lit(False))
+    joined = calls.join(since, F.col(key) == F.col("__key"), "left")
+    return joined.withColumn("route", F.when(down, "down").when(failed | unsupported, "fallback").otherwise("first")).drop("__key", "__since")
 
 
 def residual_blocks(blocks: DataFrame, placed: DataFrame, on: list[str], samples: int = 5, length: int = 80) -> DataFrame:

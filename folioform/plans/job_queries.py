@@ -64,6 +64,25 @@ def segment_stats(spark: SparkSession, d: str) -> DataFrame:
     return qa.segment_stats(done, "conv_id")
 
 
+_NODES = "SELECT user_id, event_type = 'purchase' OR event_id % 3 = 0 AS applied, event_id % 7 = 0 AS retried, event_type = 'error' AS rejected, (event_id % 3)::INTEGER AS calls FROM events"
+
+
+@query(f"SELECT user_id, count(*) FILTER (applied) AS nodes_translated, count(*) FILTER (NOT applied) AS nodes_skipped, count(*) FILTER (retried) AS nodes_retried, count(*) FILTER (rejected) AS nodes_rejected, sum(calls)::BIGINT AS api_calls FROM ({_NODES}) GROUP BY user_id")
+def html_counters(spark: SparkSession, d: str) -> DataFrame:
+    k, kind = F.col("event_id"), F.col("event_type")
+    nodes = table(spark, d, "events").select("user_id", ((kind == "purchase") | (k % 3 == 0)).alias("applied"), (k % 7 == 0).alias("retried"), (kind == "error").alias("rejected"), (k % 3).cast("int").alias("calls"))
+    return qa.html_stats(nodes, "user_id")
+
+
+@query()
+def html_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with their text nodes translated by a stand-in and put back, and the counters."""
+    from ..api import Pages
+
+    done = Pages(table(spark, d, "pages").select("page_id", "html")).translate("marking", "en", "fr")
+    return done.pages.select("page_id", F.sha2("html", 256).alias("html_sha256")).join(done.stats(), "page_id", "left")
+
+
 _TRIED = "SELECT event_id, user_id, CASE WHEN value > 0 AND event_id % 5 < 3 THEN 'fit' WHEN event_id % 5 = 3 THEN 'unplaced' ELSE 'skipped' END AS status, event_id % 7 = 0 AS retried, event_type = 'error' AS rejected, (1 + event_id % 3)::INTEGER AS calls, event_id % 4 = 0 AS residual FROM events"
 
 

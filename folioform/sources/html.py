@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,17 +20,29 @@ _ALONE = frozenset(("p", "li", "td", "th", "tr", "option", "dt", "dd"))
 
 
 class _Nodes(HTMLParser):
-    """Collects (tag, text) of every text node; neighbouring character data is one node, comments are none."""
+    """Collects (tag, text, start, end) of every text node; neighbouring character data is one node, markup of any kind is none.
 
-    def __init__(self) -> None:
+    start and end are offsets of the node's source, in which characters may be written as references.
+    """
+
+    def __init__(self, source: str) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
-        self.nodes: list[tuple[str, str]] = []
+        self.nodes: list[tuple[str, str, int, int]] = []
         self.held: list[str] = []
+        self.start = 0
+        self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
+        self.size = len(source)
+        self.feed(source)
+        self.close()
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
 
-    def _flush(self) -> None:
+    def _flush(self, end: int | None = None) -> None:
         if self.held:
-            self.nodes.append((self.open[-1] if self.open else "", "".join(self.held)))
+            self.nodes.append((self.open[-1] if self.open else "", "".join(self.held), self.start, self._at() if end is None else end))
             self.held = []
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -50,19 +64,38 @@ class _Nodes(HTMLParser):
     def handle_comment(self, data: str) -> None:
         self._flush()
 
+    def handle_decl(self, decl: str) -> None:
+        self._flush()
+
+    def handle_pi(self, data: str) -> None:
+        self._flush()
+
+    def unknown_decl(self, data: str) -> None:
+        self._flush()
+
     def handle_data(self, data: str) -> None:
+        if not self.held:
+            self.start = self._at()
         self.held.append(data)
 
     def close(self) -> None:
         super().close()
-        self._flush()
+        self._flush(self.size)
 
 
 def nodes_of(html: str | None) -> list[tuple[str, str]]:
-    parser = _Nodes()
-    parser.feed(html or "")
-    parser.close()
-    return parser.nodes
+    return [(tag, text) for tag, text, _, _ in _Nodes(html or "").nodes]
+
+
+def with_nodes(html: str, texts: dict[int, str], skip: tuple[str, ...] = fixed.SKIPPED_TAGS) -> str:
+    """The page with new texts for some nodes, numbered as text_nodes does; everything else stays as it is written."""
+    out, at = [], 0
+    nodes = [x for x in _Nodes(html).nodes if x[0] not in skip]
+    for k, (_, _, start, end) in enumerate(nodes):
+        if k in texts:
+            out += [html[at:start], escape(texts[k], quote=False)]
+            at = end
+    return "".join([*out, html[at:]])
 
 
 def text_nodes(pages: DataFrame, skip: tuple[str, ...] = fixed.SKIPPED_TAGS, key: str = "page_id") -> DataFrame:
@@ -78,6 +111,30 @@ def text_nodes(pages: DataFrame, skip: tuple[str, ...] = fixed.SKIPPED_TAGS, key
     return nodes.select(key, "node_id", "tag", before.alias("prefix_ws"), core.alias("core"), after.alias("suffix_ws"), P.html_text(core).alias("translatable"))
 
 
+def replaced_nodes(nodes: DataFrame) -> DataFrame:
+    """Adds new_text to nodes (prefix_ws, core, suffix_ws, translation): the translation on one line in the core's white space; null
+    for a missing or empty one, whose node stays."""
+    line = T.strip(T.one_line(F.col("translation")))
+    return nodes.withColumn("new_text", F.when(F.col("translation") != "", F.concat("prefix_ws", line, "suffix_ws")))
+
+
+def rewritten_pages(pages: DataFrame, nodes: DataFrame, skip: tuple[str, ...] = fixed.SKIPPED_TAGS, key: str = "page_id") -> DataFrame:
+    """(key, html, applied) of pages (key, html) with the new texts of nodes (key, node_id, new_text) put in.
+
+    Nodes without a new text stay. Markup is copied as it is; a new text's '&', '<' and '>' become references. A null page stays null.
+    """
+    some = nodes.where("new_text is not null").groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("node_id", "new_text"))).alias("texts"))
+    both = pages.select(key, "html").join(some, F.col(key) == F.col("__key"), "left").select(key, "html", "texts")
+
+    def write(batches):
+        for pdf in batches:
+            texts = [dict(t) if t is not None else {} for t in pdf["texts"]]
+            html = [None if h is None else with_nodes(h, t, skip) for h, t in zip(pdf["html"], texts)]
+            yield pd.DataFrame({key: pdf[key], "html": html, "applied": [len(t) for t in texts]})
+
+    return both.mapInPandas(write, f"{key} {dict(pages.dtypes)[key]}, html string, applied long")
+
+
 def image_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, page_no, width, height) of the divs of converted pages that have a size and a background image."""
     div = r"(?s)<div[^>]*id=\"page(\d+)-div\"[^>]*style=\"([^\"]*)\"[^>]*>[ \t\r\n]*<img"

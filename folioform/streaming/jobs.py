@@ -34,10 +34,10 @@ def sticky_route(calls: DataFrame, key: str = "user_id", order: str = "event_id"
     def go(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         down = bool(state.getOption[0]) if state.exists else False
         pdf = pd.concat(list(pdfs)).sort_values(order)
-        routes = []
-        for failed, unsupported in zip(pdf["failed"], pdf["unsupported"]):
-            routes.append("down" if down else "fallback" if failed or unsupported else "first")
-            down = down or bool(failed)
+        failed, unsupported = pdf["failed"].astype(bool), pdf["unsupported"].astype(bool)
+        after = failed.cummax().shift(fill_value=False) | down
+        routes = after.map({True: "down", False: "first"}).mask(~after & (failed | unsupported), "fallback")
+        down = down or bool(failed.any())
         state.update((down,))
         yield pd.DataFrame({key: pdf[key], order: pdf[order], "route": routes})
 

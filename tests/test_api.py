@@ -39,3 +39,16 @@ def test_folder(spark, tmp_path):
     with pytest.raises(ValueError):
         api.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["xx"], "en")
     assert spark.read.json(str(tmp_path / "out/manifest")).where(F.col("status") == "translated").count() == 2
+
+
+def test_folder_of_unknown_languages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    english = "This is the story of a house that is on the hill and of all that was in it"
+    (tmp_path / "in/a.txt").write_text(english)
+    (tmp_path / "in/b.docx").write_bytes(_docx([[english]]))
+    (tmp_path / "in/c.txt").write_text("Voici une histoire assez longue pour dire quelque chose de sa langue")
+    got = api.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["fr", "en"], None, "marking")
+    assert {r["output_name"]: r["status"] for r in got.collect()} == {"a_en.txt": "copied_source_language", "a_fr.txt": "translated", "b_en.docx": "copied_source_language", "b_fr.docx": "translated", "c_en.txt": "failed", "c_fr.txt": "failed"}
+    made = {r["output_name"]: bytes(r["content"]) for r in spark.read.parquet(str(tmp_path / "out/fr")).collect()}
+    assert sorted(made) == ["a_fr.txt", "b_fr.docx"] and made["a_fr.txt"].startswith(b"sihT si eht")
+    assert sorted(r["output_name"] for r in spark.read.parquet(str(tmp_path / "out/en")).collect()) == ["a_en.txt", "b_en.docx"]

@@ -1,6 +1,10 @@
 """Operators on hand-made rows."""
 
+import collections
+import difflib
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -8,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioform import api
+from folioform.functions import fixed, masking
 from folioform.functions import geometry as G
-from folioform.functions import masking
 from folioform.functions import predicates as P
 from folioform.functions import text as T
 from folioform.operators import layout as Y
@@ -222,31 +227,63 @@ def test_ocr_box_in_image(spark):
 
 
 class Scripted(R.Identity):
+    """Fails as told, call by call, then serves."""
+
     def __init__(self, *errors):
         self.errors, self.calls = list(errors), 0
 
-    def translate_single(self, text, source, target):
+    def translate(self, texts, source, target):
         self.calls += 1
         error = self.errors.pop(0) if self.errors else None
         if error:
             raise error
-        return "first"
-
+        return ["first"] * len(texts)
 
-def test_adaptive_provider():
-    made = []
 
+def _desk(first, made):
     def second():
         made.append(1)
         return R.Dictionary({"x": "second"})
 
-    assert R.Adaptive(Scripted(), second).translate_single("x", "en", "fr") == "first" and not made
-    p = R.Adaptive(Scripted(R.ServiceError()), second)
-    assert [p.translate_single("x", "en", "fr") for _ in range(2)] == ["second", "second"] and p.first.calls == 1
-    p = R.Adaptive(Scripted(R.UnsupportedLanguage()), second)
-    assert [p.translate_single("x", "en", "fr") for _ in range(2)] == ["second", "first"]
+    return R.Desk([lambda: first, second])
+
+
+def _asked(desk, document="d"):
+    return desk.call(document, "translate", ["x"], "en", "fr")
+
+
+def test_providers_in_order():
+    made = []
+    assert _asked(_desk(Scripted(), made)) == (["first"], 0) and not made  # the second is made when it is needed
+    for error in (R.Unavailable(), ConnectionError()):
+        p = Scripted(error)
+        desk = _desk(p, made)
+        assert [_asked(desk), _asked(desk)] == [(["second"], 1)] * 2 and p.calls == 1  # down for the rest of the document
+        assert _asked(desk, "other") == (["first"], 0)
+    p = Scripted(R.UnsupportedLanguage())
+    desk = _desk(p, made)
+    assert [_asked(desk), _asked(desk)] == [(["second"], 1), (["first"], 0)]  # this call alone
+    assert len(made) == 3
+    with pytest.raises(R.Unavailable):
+        _asked(R.Desk([lambda: Scripted(R.Unavailable())]))
+    with pytest.raises(KeyError):
+        _asked(R.Desk([lambda: Scripted(KeyError()), R.Identity]))
     with pytest.raises(ValueError):
-        R.provider("none")
+        R.makers("identity>none")
+
+
+def test_fallback_in_the_dataflow(spark, monkeypatch):
+    monkeypatch.setitem(R.PROVIDERS, "down", lambda: Scripted(R.Unavailable()))
+    rows = spark.createDataFrame([(1, i, f"some words {i}") for i in range(5)], "k int, no int, text string")
+    got = [r["final_text"] for r in R.translate_batches(rows, "k", "no", "down>marking", "en", "fr", 2).orderBy("no").collect()]
+    assert got == [f"emos sdrow {i}" for i in range(5)]
+
+
+def test_languages_are_detected(spark):
+    english = "This is the story of a house that is on the hill and of all that was in it"
+    other = "Voici une histoire assez longue pour dire quelque chose de sa langue"
+    rows = spark.createDataFrame([("a", 0, english, "line"), ("a", 1, english, "line"), ("b", 0, other, "line"), ("c", 0, "", "line")], "doc_id string, no int, text string, kind string")
+    assert {r["doc_id"]: r["source_lang"] for r in R.detect_languages(rows, "no", "identity").collect()} == {"a": "en", "b": None, "c": None}
 
 
 def test_batches_call_counts(spark):
@@ -258,11 +295,53 @@ def test_batches_call_counts(spark):
     assert got[4] == ("erom sdrow", "translated", 1)
 
 
-def test_suspicious_agrees_with_the_scalar_form(spark):
+def _must_retry(src, dst, source, target):
+    """The rule in plain Python."""
+    if source == target:
+        return False
+    a, b = (" ".join((x or "").split()).lower() for x in (src, dst))
+    words, m = b.split(), difflib.SequenceMatcher(None, a, b)
+    grams = collections.Counter(tuple(words[i : i + 4]) for i in range(len(words) - 3))
+    tokens = re.findall("[a-zA-Z']+", b)
+    english = sum(t in fixed.STOPWORDS for t in tokens)
+    return any((
+        b in ("", a),
+        len(b) > max(2.4 * len(a), len(a) + 120),
+        len(words) >= 16 and (len(set(words)) / len(words) < 0.4 or max(grams.values()) >= 3),
+        len(a) >= 40 and (m.find_longest_match().size >= max(28, int(0.45 * len(a))) or m.ratio() > 0.82),
+        source == "en" != target and len(tokens) >= 10 and english >= 6 and english / len(tokens) >= 0.22,
+    ))
+
+
+def test_suspicious_is_the_plain_rule(spark):
+    rng = random.Random(4)
+    words = "the house is red and big so we like it very much indeed la maison rouge est grande nous aimons of to in for with on by as".split()
     pairs = [("The house is red and big, so we like it very much indeed", d) for d in ("La maison est rouge", "The house is red and big, so we like it very much", "", None, "x " * 20, "the of to in for with on by as is")]
-    df = spark.createDataFrame([(s, d, "en", "fr") for s, d in pairs], "src string, dst string, source_lang string, target_lang string")
-    got = [(r["src"], r["dst"], r["suspicious"]) for r in R.suspicious(df).collect()]
-    assert all(x == R.should_retry(s, d, "en", "fr") for s, d, x in got) and len(got) == len(pairs)
+    for _ in range(300):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 30))]
+        b = [w if rng.random() < rng.choice([0, 0.5, 0.9]) else rng.choice(words) for w in a] + [rng.choice(words)] * rng.choice([0, 0, 0, 5])
+        pairs.append((" ".join(a), " ".join(b)))
+    rows = [(s, d, rng.choice(["en", "fr"]), "fr") for s, d in pairs]
+    got = R.suspicious(spark.createDataFrame(rows, "src string, dst string, source_lang string, target_lang string")).collect()
+    wrong = [r for r in got if r["suspicious"] != _must_retry(r["src"], r["dst"], r["source_lang"], r["target_lang"])]
+    assert not wrong and len(got) == len(rows)
+    assert 50 < sum(r["suspicious"] for r in got) < 250
+
+
+def test_batches_as_one_by_one(spark, data):
+    """translate_batches over the conversations, against the same steps in plain Python."""
+    rows = spark.read.parquet(f"{data}/conversations.parquet").where("conv_id < 60").select("conv_id", "turn", "text")
+    got = {(r["conv_id"], r["turn"]): (r["final_text"], r["state"], r["calls"]) for r in R.translate_batches(rows, "conv_id", "turn", "marking", "en", "fr", 3).collect()}
+    want, at = {}, collections.Counter()
+    for k, turn, text in sorted(tuple(r) for r in rows.collect()):
+        if not text.strip():
+            want[k, turn] = (text, "blank", 0)
+            continue
+        reply, calls = R.Marking().translate([text], "en", "fr")[0], int(at[k] % 3 == 0)
+        at[k] += 1
+        bad = _must_retry(text, reply, "en", "fr")
+        want[k, turn] = (text, "rejected", calls + bool(reply)) if bad else (reply, "translated", calls)
+    assert got == want and len(want) > 50
 
 
 def test_quality_flags(spark):
@@ -278,6 +357,24 @@ def test_html_nodes(spark):
     assert [(r["tag"], r["prefix_ws"], r["core"], r["suffix_ws"], r["translatable"]) for r in got] == [("p", " ", "one", " ", True), ("b", "", "two", "", True), ("p", " ", "three", "", True), ("p", "", "four", "", True), ("p", "", "five", "", True)]
 
 
+def test_html_is_written_back(spark):
+    page = "<!DOCTYPE html>\n<html><head><title>a &amp; b</title><style>p > q {}</style></head>\n<body><p id='x' > one <b>t&lt;wo</b> three<!-- no --> <br/>four&nbsp;<p>five</body></html>\n"
+    nodes = [x for x in html.nodes_of(page) if x[0] not in fixed.SKIPPED_TAGS]
+    same = html.with_nodes(page, {})
+    assert same == page
+    assert html.nodes_of(html.with_nodes(page, {k: t for k, (_, t) in enumerate(nodes)})) == html.nodes_of(page)
+    changed = html.with_nodes(page, {k: f"<{k}>" for k in range(len(nodes))})
+    assert [t for tag, t in html.nodes_of(changed) if tag not in fixed.SKIPPED_TAGS] == [f"<{k}>" for k in range(len(nodes))]
+    assert "<!-- no -->" in changed and "<p id='x' >" in changed and "p > q {}" in changed
+    pages = api.Pages(spark.createDataFrame([(1, "<p> hello there <b>big world</b></p><script>var x</script>"), (2, None), (3, "")], "page_id long, html string"))
+    done = pages.translate("marking", "en", "fr")
+    assert {r["page_id"]: r["html"] for r in done.pages.collect()} == {1: "<p> olleh ereht <b>gib dlrow</b></p><script>var x</script>", 2: None, 3: ""}
+    assert [tuple(r) for r in done.stats().collect()] == [(1, 2, 0, 0, 0, 1)]
+    mapped = pages.mapped(spark.createDataFrame([("big world", "W & <w>")], "key string, value string"))
+    assert mapped.pages.where("page_id = 1").first()["html"] == "<p> hello there <b>W &amp; &lt;w&gt;</b></p><script>var x</script>"
+    assert [tuple(r) for r in mapped.stats().collect()] == [(1, 1, 1, 0, 0, 0)]
+
+
 def _docx(paragraphs):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "".join("<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{t}</w:t></w:r>' for t in p) + "</w:p>" for p in paragraphs)
