@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of characters other than ASCII white space.
@@ -56,6 +56,32 @@ def joined_back(rows: DataFrame, totals: DataFrame, on: list[tuple[str, str]], h
     return rows.join(totals, match, how)
 
 
+def running_totals(rows: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    """Adds, for each name in totals, the sum of its column over all rows before a row in that order (0 for the first).
+
+    Rows are dealt out by ranges of the order, so no task has more than a range of them; only one row a range is put in one place.
+    The order must tell rows apart.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__sum_{k}") for k, c in totals.items()])
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("__range").alias("__range2"), *[F.coalesce(F.sum(f"__sum_{k}").over(earlier), F.lit(0)).alias(f"__sum_{k}") for k in totals])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(k) for k, c in totals.items()])
+    joined = own.join(sums, F.col("__range") == F.col("__range2"))
+    return joined.select(*rows.columns, *[(F.col(k) + F.col(f"__sum_{k}")).alias(k) for k in totals])
+
+
+def repeated(groups: DataFrame, count: str, most: int = 4096) -> DataFrame:
+    """Each row as often as `count` (a long, 1 at least) says, with nth, from 0 up; large counts are spread over tasks."""
+    last = lambda first: F.least(first + most, F.col(count)) - 1
+    zero = F.lit(0).cast("long")
+    few = groups.where(F.col(count) <= most).withColumn("nth", F.explode(F.sequence(zero, F.col(count) - 1)))
+    many = groups.where(F.col(count) > most).withColumn("__first", F.explode(F.sequence(zero, F.col(count) - 1, F.lit(most).cast("long"))))
+    many = many.repartition(*groups.columns, "__first").withColumn("nth", F.explode(F.sequence(F.col("__first"), last(F.col("__first"))))).drop("__first")
+    return few.unionByName(many)
+
+
 def spanning(pairs: np.ndarray) -> np.ndarray:
     """Edges (child, smallest node of its tree) that connect the same nodes as pairs do."""
     nodes, flat = np.unique(pairs, return_inverse=True)
