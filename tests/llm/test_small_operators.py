@@ -240,6 +240,44 @@ def test_mix_odd_rows(spark, make):
     assert [r["taken"] for r in mixing.mix(make((1, ""))).collect()] == [0]
 
 
+def test_running_totals_and_repeated(spark):
+    rng = random.Random(3)
+    values = rng.sample(range(10_000), 500)
+    df = spark.createDataFrame([(v, v % 7) for v in values], "k int, x long").repartition(9)
+    want, total = {}, 0
+    for v in sorted(values):
+        want[v], total = total, total + v % 7
+    got = common.running_totals(df, [F.col("k")], {"before": F.col("x")})
+    assert got.columns == ["k", "x", "before"] and {r["k"]: r["before"] for r in got.collect()} == want
+    assert common.running_totals(df.limit(0), [F.col("k")], {"before": F.col("x")}).count() == 0
+    groups = spark.createDataFrame([(1, 1), (2, 25), (3, 10)], "k int, n long")
+    assert sorted((r["k"], r["nth"]) for r in common.repeated(groups, "n", 10).collect()) == [(k, i) for k, n in ((1, 1), (2, 25), (3, 10)) for i in range(n)]
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = {f"s{i}": rng.choice([0, 1, 5, 1000, 10**6]) * rng.randint(1, 9) for i in range(200)} | {None: 77}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(k, 1, v) for k, v in sizes.items()], "source string, n long, source_size long").repartition(6)).collect()}
+    want = _targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in want)
+
+
+def test_mix_of_equal_rows(spark, make):
+    """A hot group of equal rows without an id, and doc_ids with several texts."""
+    hot = " ".join(["hot"] * 7)
+    rows = [(None, hot, "a")] * 9000 + [(i % 40, prose(1 + i % 9), "b") for i in range(200)] + [(None, prose(3), None)] * 3 + [(i, prose(20), "c") for i in range(50)]
+    docs = make(*rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
+    assert sorted(map(repr, mixing.mix(docs.repartition(5)).collect())) == sorted(map(repr, got))
+    again = mixing.repeat(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()
+    assert {r["source"]: r["words"] for r in again} == {s: w for s in {r["source"] for r in got} if (w := sum(r["taken"] for r in got if r["source"] == s))}
+    assert mixing.repeat(docs).columns == docs.columns
+
+
 # op5
 
 
@@ -393,6 +431,48 @@ def test_smallest_capacity_is_the_smallest():
         assert all(sizes[a:b].sum() <= cap for a, b in zip(ends, ends[1:]))
 
 
+def test_cells_are_cut_finer_where_it_matters():
+    """Cells of random cuts, refined as asked, end with the capacity of the single groups."""
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        sizes = rng.integers(1, 60, rng.integers(1, 200))
+        if trial % 3 == 0:
+            sizes[rng.integers(len(sizes))] = sizes.sum()
+        n = int(rng.integers(1, 9))
+        want = sharding.smallest_capacity(sizes, n)
+        bounds = sorted({0, len(sizes), *rng.integers(0, len(sizes) + 1, 12).tolist()})
+        while True:
+            cells = np.array([sizes[a:b].sum() for a, b in zip(bounds, bounds[1:])])
+            single = np.array([b - a == 1 for a, b in zip(bounds, bounds[1:])])
+            at = sharding.where_cuts_can_be(cells, single, n)
+            if not len(at):
+                break
+            assert not single[at].any()
+            bounds = sorted({*bounds, *((bounds[k] + bounds[k + 1]) // 2 for k in at)})
+        assert sharding.smallest_capacity(cells, n) == want
+
+
+@pytest.mark.parametrize("bits", [2, 14])
+def test_capacity_is_that_of_single_groups(spark, make, monkeypatch, bits):
+    monkeypatch.setattr(sharding, "CELL_BITS", bits)
+    rng = random.Random(11)
+    docs = make(*[(i, prose(rng.randint(1, 300), rng)) for i in range(4000)])
+    got = sharding.shard(docs, 10)
+    sums = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    groups = docs.groupBy(F.shiftrightunsigned(F.xxhash64("text"), 64 - sharding.HASH_BITS).alias("h")).agg(F.sum(F.octet_length("text") + 16).alias("b")).orderBy("h").collect()
+    assert max(sums) <= sharding.smallest_capacity(np.array([r["b"] for r in groups]), 10)
+
+
+def test_slots_of_a_hot_row(spark, make):
+    rows = [(None, "hot")] * 9000 + [(1, "x"), (1, "x"), (1, "y"), (None, None), (None, "")]
+    got = sharding.shard(make(*rows), 3).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 def test_shards(spark, make):
     rng = random.Random(4)
     rows = [(100 + i, prose(rng.randint(1, 80), rng)) for i in range(3000)] + [(5000 + i, "hot text of many copies") for i in range(400)] + ODD
