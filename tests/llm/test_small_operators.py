@@ -674,3 +674,15 @@ def test_allow_list_of_shapes(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.col("v").rlike(pattern).alias("hit"))
     plain = re.compile(r"^[a-z]+([-_/][a-z]+)*([-_/][0-9]{1,8})*$")
     assert {r["v"]: r["hit"] for r in df.collect()} == {v: bool(plain.search(v)) for v in values}
+
+
+@pytest.mark.parametrize("known", [50_000, 0])
+def test_captures_of_odd_urls(spark, known, monkeypatch):
+    monkeypatch.setattr(url_filter, "KNOWN", known)
+    log = spark.createDataFrame([("a.org", "add", "block", "2024-01-01"), ("a.org/x", "add", "allow", "2024-01-01"), ("a.org", "add", "allow", "2024-03-01")], "pattern string, op string, verdict string, at string")
+    long = "http://a.org/x/" + "/".join(f"p{i}" for i in range(2000))
+    rows = [(1, "http://a.org/y", "2024-02-01")] * 3 + [(None, "http://b.a.org/", "2024-04-01"), (2, long, "2024-02-01"), (3, "", None), (4, "http:///x", "2024-02-01"), (5, "http://a.org/x", None)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, fetched_at string").withColumn("row", F.lit("clash")), log).collect()
+    assert sorted(((r["page_id"], r["n_active"], r["pattern"], r["verdict"]) for r in got), key=repr) == sorted(
+        [(1, 1, "a.org", "block")] * 3 + [(None, 1, "a.org", "allow"), (2, 2, "a.org/x", "allow"), (3, 0, None, "allow"), (4, 0, None, "allow"), (5, 0, None, "allow")], key=repr
+    )
