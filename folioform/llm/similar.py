@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, checkpointed, connected_components, joined_back
@@ -201,8 +201,9 @@ def _in_buckets(members: DataFrame, block: int) -> DataFrame:
     return in_blocks(members, ["key"], "node", block).repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
 
 
-def _table(key: str = "key"):
-    return F.shiftright(key, 48).cast("int")
+def _word() -> Column:
+    """The word of the fingerprint that a key's table looks at first."""
+    return F.element_at("words", F.pmod(F.shiftright("key", 48).cast("int"), F.lit(WORDS)) + 1).alias("word")
 
 
 def partners(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -232,7 +233,7 @@ def partners(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
         met = apart <= far
         yield pd.DataFrame({"node": node[met], "least": least[met], "apart": apart[met], "nearest": nearest[met]})
 
-    members = classes.select("node", F.explode("keys").alias("key"), "words").select("key", "node", F.element_at("words", F.pmod(_table(), F.lit(WORDS)) + 1).alias("word"))
+    members = classes.select("node", F.explode("keys").alias("key"), "words").select("key", "node", _word())
     met = _in_buckets(members, block).select("key", "part", "side", "node", "word").mapInPandas(lambda batches: _by_group(batches, flush), "node long, least long, apart long, nearest long")
     return met.groupBy("node").agg(F.min("least").alias("least"), F.min_by("nearest", F.struct("apart", "nearest")).alias("nearest"))
 
@@ -264,11 +265,24 @@ def still_alike(classes: DataFrame, roots: DataFrame, docs: DataFrame, similarit
     Their pairs are decided where they meet, nearest fingerprints first, and never leave the task: a pair that others have connected
     meanwhile is passed over, and only the edges that connect go on.
     """
-    radius = farthest(similarity)
-    members = classes.join(roots.select(F.col("node").alias("node2"), "root"), F.col("node") == F.col("node2")).select("node", "root", F.explode("keys").alias("key"))
-    # A bucket of one root has no pairs to tell; fingerprints and sets come in where there are several.
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("key2"))
-    members = checkpointed(joined_back(members, mixed, [("key", "key2")]).drop("key2"))
+    radius, far = farthest(similarity), farthest(similarity, 64)
+    members = classes.join(roots.select(F.col("node").alias("node2"), "root"), F.col("node") == F.col("node2")).select("node", "root", "words", F.explode("keys").alias("key"))
+    members = members.select("key", "node", "root", _word())
+    members = _in_buckets(members, BLOCK).select("key", "part", "side", "node", "root", "word")
+
+    def apart(pdf: pd.DataFrame, group: np.ndarray):
+        side, root, word = pdf["side"].to_numpy(), pdf["root"].to_numpy(), pdf["word"].to_numpy().view(np.uint64)
+        some = np.zeros(len(pdf), dtype=bool)
+        first, count = _spans(group)
+        for i, j in _few_pairs(first, count, side):
+            other = (root[i] != root[j]) & (np.bitwise_count(word[i] ^ word[j]) <= far)
+            some[i[other]] = some[j[other]] = True
+        for part, whole, meet in _many_pairs(first, count, side):
+            some[part] |= (meet & (root[part, None] != root[None, whole]) & (np.bitwise_count(word[part, None] ^ word[None, whole]) <= far)).any(axis=1)
+        yield pdf[["key", "node", "root"]][some]
+
+    # Fingerprints and sets come in for those that meet another root; a member of several parts of a bucket is one again.
+    members = checkpointed(members.mapInPandas(lambda batches: _by_group(batches, apart), "key long, node long, root long").distinct())
     own = _sets(docs, members.select(F.col("node").alias("id")).distinct(), shingle).join(classes.select(F.col("node").alias("node2"), "words"), F.col("node") == F.col("node2")).select("node2", "words", "own")
     dealt = joined_back(in_blocks(members, ["key"], "node", block), own, [("node", "node2")])
     dealt = dealt.select("key", "part", "side", "node", "root", "words", "own").repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
