@@ -3,8 +3,8 @@
 A document's bytes are cut into overlapping chunks that cover all of it. Learned filters slide over each chunk (a learned vector
 for each byte value, WIDTH bytes at a time, every second position), the largest response of each filter in the chunk passes a
 rectifier, and the chunks' values are combined (mean, largest and smallest over the chunks) into one probability. The network is
-trained by back-propagation on a bounded sample of labelled rows; through the max-pooling only one window a chunk and filter
-gets a gradient. Scoring streams Arrow batches, each document on its own, without a shuffle.
+trained by back-propagation on whole texts of a bounded sample of labelled rows; through the max-pooling only one window a chunk and
+filter gets a gradient. Scoring streams Arrow batches, each document on its own, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 CHUNK = 512
 #: Bytes that neighbouring chunks share.
@@ -24,28 +24,23 @@ OVERLAP = 64
 WIDTH = 8
 DEPTH = 8
 FILTERS = 32
-#: Labelled rows of each class that are drawn for training, by a hash of doc_id, and the longest text drawn.
+#: Labelled rows of each class that are drawn for training, by a hash of doc_id, and the bytes that their texts may have together.
 SAMPLE = 2000
-MOST_BYTES = 1 << 17
-#: Chunks of a training document that are looked at in one pass, spread over all of it.
-TRAIN_CHUNKS = 12
-EPOCHS = 6
-#: Share of the training steps that show a random short piece of the text.
-CROPS = 0.25
+SAMPLE_BYTES = 8 << 20
+EPOCHS = 8
+#: Share of the training texts of which a random short piece is shown as well: short texts are rare.
+PIECES = 0.25
 THRESHOLD = 0.3
 
 
-def chunks_of(text: bytes | None, most: int = 0, shift: int = 0) -> np.ndarray:
-    """(n, CHUNK) bytes of the chunks that cover the text, the last filled up with zeros; at most `most` of them, evenly spread."""
+def chunks_of(text: bytes | None) -> np.ndarray:
+    """(n, CHUNK) bytes of the chunks that cover the text, the last filled up with zeros."""
     data = np.frombuffer(text or b"", dtype=np.uint8)
     step = CHUNK - OVERLAP
     n = 1 + max(0, -(-(len(data) - CHUNK) // step))
     padded = np.zeros((n - 1) * step + CHUNK, dtype=np.uint8)
     padded[: len(data)] = data
-    rows = np.arange(n)
-    if most and n > most:
-        rows = (np.arange(most) * n + shift % n) // most
-    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[rows * step]
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
 @dataclass
@@ -65,17 +60,12 @@ class Network:
 
     def responses(self, chunks: np.ndarray) -> np.ndarray:
         """(n, positions, FILTERS) of the filters at every second byte of each chunk."""
-        n, half = len(chunks), WIDTH // 2
-        pairs = self.embed[chunks].reshape(n * (CHUNK // 2), 2 * DEPTH)
-        parts = self.filters.reshape(half, 2 * DEPTH, FILTERS).transpose(1, 0, 2).reshape(2 * DEPTH, half * FILTERS)
-        z = (pairs @ parts).reshape(n, CHUNK // 2, half, FILTERS)
-        last = CHUNK // 2 - half + 1
-        out = z[:, :last, 0].copy()
-        for k in range(1, half):
-            out += z[:, k : k + last, k]
-        return out
+        seen = self.embed[chunks].reshape(len(chunks), CHUNK * DEPTH)
+        shape = len(chunks), (CHUNK - WIDTH) // 2 + 1, WIDTH * DEPTH
+        windows = np.lib.stride_tricks.as_strided(seen, shape, (seen.strides[0], 2 * DEPTH * seen.itemsize, seen.itemsize), writeable=False)
+        return windows @ self.filters
 
-    def pooled(self, chunks: np.ndarray, piece: int = 32) -> np.ndarray:
+    def pooled(self, chunks: np.ndarray, piece: int = 16) -> np.ndarray:
         return np.concatenate([self.responses(chunks[i : i + piece]).max(axis=1) for i in range(0, len(chunks), piece)])
 
     def combine(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +84,42 @@ class Network:
         return out
 
 
+PARTS = ("embed", "filters", "bias", "out", "shift")
+
+
+def add_gradient(net: Network, text: bytes | None, label: float, weight: float, grads: dict[str, np.ndarray], piece: int = 16) -> float:
+    """Adds the gradient of weight * (log loss of the text) by each part of the network to grads; returns the text's probability.
+
+    Chunks pass `piece` at a time, so that a long text takes no more room than its pooled values.
+    """
+    chunks = chunks_of(text)
+    at, pooled = [], []
+    for i in range(0, len(chunks), piece):
+        z = net.responses(chunks[i : i + piece])
+        at.append(z.argmax(axis=1))  # (n, FILTERS)
+        pooled.append(np.take_along_axis(z, at[-1][:, None], axis=1)[:, 0])
+    at, pooled = np.concatenate(at), np.concatenate(pooled)
+    h, features = net.combine(pooled)
+    p = 1 / (1 + np.exp(-float(np.clip(features @ net.out + net.shift[0], -60, 60))))
+    g = net.out.dtype.type((p - label) * weight)
+    grads["out"] += g * features
+    grads["shift"] += g
+    mean, high, low = (net.out[k * FILTERS : (k + 1) * FILTERS] * g for k in range(3))
+    dh = np.repeat(mean[None] / len(h), len(h), axis=0)
+    cols = np.arange(FILTERS)
+    dh[h.argmax(axis=0), cols] += high
+    dh[h.argmin(axis=0), cols] += low
+    dz = dh * (h > 0)
+    grads["bias"] += dz.sum(axis=0)
+    bytes_at = chunks[np.arange(len(chunks))[:, None, None], 2 * at[:, :, None] + np.arange(WIDTH)]  # (n, FILTERS, WIDTH)
+    gz = dz[:, :, None]
+    grads["filters"] += (gz * net.embed[bytes_at].reshape(*dz.shape, WIDTH * DEPTH)).sum(axis=0).T
+    back = (gz * net.filters.T[None]).reshape(-1, DEPTH)
+    for k in range(DEPTH):
+        grads["embed"][:, k] += np.bincount(bytes_at.ravel(), weights=back[:, k], minlength=256)
+    return p
+
+
 def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 3, epochs: int = EPOCHS, batch: int = 16) -> Network:
     """Fit a network by Adam on the log loss; classes weigh the same. Without both classes the network gives the label's share."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
@@ -102,51 +128,26 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 3, epochs:
         net.shift[0] = 0 if len(y) == 0 else 4 * (2 * y[0] - 1)
         return net
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    names = ("embed", "filters", "bias", "out", "shift")
-    first = {k: np.zeros_like(getattr(net, k)) for k in names}
-    second = {k: np.zeros_like(getattr(net, k)) for k in names}
+    first = {k: np.zeros_like(getattr(net, k)) for k in PARTS}
+    second = {k: np.zeros_like(getattr(net, k)) for k in PARTS}
     step, steps = 0, epochs * -(-len(y) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(y), batch):
             docs = order[i : i + batch]
-            grads = {k: np.zeros_like(getattr(net, k)) for k in names}
+            shown = [(texts[d], d) for d in docs]
             for d in docs:
-                text = texts[d]
-                if text and rng.random() < CROPS:  # short texts are rare, so some rows are shown by a short piece
+                if texts[d] and rng.random() < PIECES:
                     n = int(rng.integers(16, 400))
-                    a = int(rng.integers(max(1, len(text) - n + 1)))
-                    text = text[a : a + n]
-                chunks = chunks_of(text, TRAIN_CHUNKS, int(rng.integers(1 << 30)))
-                z = net.responses(chunks)
-                at = z.argmax(axis=1)  # (n, FILTERS)
-                pooled = np.take_along_axis(z, at[:, None], axis=1)[:, 0]
-                h, features = net.combine(pooled)
-                p = 1 / (1 + np.exp(-float(np.clip(features @ net.out + net.shift[0], -60, 60))))
-                g = np.float32((p - y[d]) * weight[d] / len(docs))
-                grads["out"] += g * features
-                grads["shift"] += g
-                mean, high, low = (net.out[k * FILTERS : (k + 1) * FILTERS] * g for k in range(3))
-                dh = np.repeat(mean[None] / len(h), len(h), axis=0)
-                cols = np.arange(FILTERS)
-                dh[h.argmax(axis=0), cols] += high
-                dh[h.argmin(axis=0), cols] += low
-                dz = dh * (h > 0)
-                grads["bias"] += dz.sum(axis=0)
-                rows, cols = np.nonzero(dz)
-                if not len(rows):
-                    continue
-                bytes_at = chunks[rows[:, None], 2 * at[rows, cols][:, None] + np.arange(WIDTH)]
-                seen = net.embed[bytes_at].reshape(len(rows), WIDTH * DEPTH)
-                gz = dz[rows, cols][:, None]
-                spread = np.zeros((FILTERS, WIDTH * DEPTH), dtype=np.float32)
-                np.add.at(spread, cols, gz * seen)
-                grads["filters"] += spread.T
-                np.add.at(grads["embed"], bytes_at, (gz * net.filters.T[cols]).reshape(len(rows), WIDTH, DEPTH))
+                    a = int(rng.integers(max(1, len(texts[d]) - n + 1)))
+                    shown.append((texts[d][a : a + n], d))
+            grads = {k: np.zeros_like(getattr(net, k)) for k in PARTS}
+            for text, d in shown:
+                add_gradient(net, text, y[d], weight[d] / len(shown), grads)
             grads["embed"][0] = 0
             step += 1
             rate = 0.01 * (1 - step / (steps + 1))
-            for k in names:
+            for k in PARTS:
                 x, g = getattr(net, k), grads[k] + (1e-4 * getattr(net, k) if k in ("filters", "out") else 0)
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -160,23 +161,29 @@ def remainder(doc_id: Column | str, by: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: Column, per_class: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """(texts, labels) of at most per_class labelled documents of each class among those for which rows holds, by a hash of doc_id.
+    """(texts, labels) of a sample of the labelled documents for which rows holds; whole texts.
 
-    Only these, each of at most most_bytes, come to the driver. A doc_id that repeats gives one row: its largest label, its
-    smallest text.
+    Of each class at most per_class documents are drawn, by a hash of doc_id; of these, in that order, each is taken whose text still
+    fits into most_bytes. So at most twice that many bytes come to the driver. A doc_id that repeats gives one row: its largest
+    label, its smallest text.
     """
     known = labels.where(rows & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     drawn = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(drawn[0].union(drawn[1]).withColumnRenamed("doc_id", "id2"))  # 2 * per_class rows at most
-    texts = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    got = texts.join(ids, F.col("doc_id") == F.col("id2")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = got.select("doc_id", "y", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
-    return got["text"].to_pylist(), got["y"].to_numpy()
+    got = docs.where("text is not null").select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id2")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = checkpointed(got.select("doc_id", "y", F.col("text").cast("binary").alias("text")))
+    room, taken = {0: most_bytes, 1: most_bytes}, []
+    for r in got.select("doc_id", "y", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= room[r["y"]]:
+            room[r["y"]] -= r["n"]
+            taken.append(r["doc_id"])
+    sample = got.where(F.col("doc_id").isin(taken)).toArrow().sort_by("doc_id")
+    return sample["text"].to_pylist(), sample["y"].to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Network:
     """The network for labels.quality, from labelled rows that are not held out."""
-    return train(*labelled_sample(docs, labels, "quality", remainder("doc_id", 5) != 0, per_class, MOST_BYTES))
+    return train(*labelled_sample(docs, labels, "quality", remainder("doc_id", 5) != 0, per_class, SAMPLE_BYTES))
 
 
 def score_documents(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:

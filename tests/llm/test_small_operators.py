@@ -144,6 +144,97 @@ def test_gradient_goes_down_the_loss():
     assert quality.train([b"x"], np.array([1])).score([b"x"])[0] > 0.9
 
 
+def _network(rng):
+    net = quality.Network.fresh(1)
+    net.out, net.bias = rng.standard_normal(3 * quality.FILTERS), rng.standard_normal(quality.FILTERS)
+    for k in quality.PARTS:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    return net
+
+
+def _plain_score(net, text):
+    """The network's probability, filter by filter and window by window."""
+    pooled = []
+    for chunk in quality.chunks_of(text):
+        seen = net.embed[chunk]
+        windows = [seen[i : i + quality.WIDTH].reshape(-1) for i in range(0, quality.CHUNK - quality.WIDTH + 1, 2)]
+        pooled.append([max(float(w @ net.filters[:, f]) for w in windows) for f in range(quality.FILTERS)])
+    h = np.maximum(np.array(pooled) + net.bias, 0)
+    z = np.concatenate([h.mean(axis=0), h.max(axis=0), h.min(axis=0)]) @ net.out + net.shift[0]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_network_as_plain_loops():
+    rng = np.random.default_rng(2)
+    net = _network(rng)
+    texts = [None, b"", b"a", bytes(rng.integers(1, 256, 700, dtype=np.uint8)), b"word " * 300]
+    got = net.score(texts)
+    assert np.allclose(got, [_plain_score(net, t) for t in texts], atol=1e-9)
+    assert np.allclose(got, [net.score([t])[0] for t in texts], atol=1e-12)
+
+
+def test_gradients_as_differences():
+    rng = np.random.default_rng(3)
+    net = _network(rng)
+    text, label, weight = bytes(rng.integers(1, 256, 3000, dtype=np.uint8)), 1.0, 0.7
+    grads = {k: np.zeros_like(getattr(net, k)) for k in quality.PARTS}
+    p = quality.add_gradient(net, text, label, weight, grads, piece=3)
+    assert abs(p - net.score([text])[0]) < 1e-12
+    loss = lambda: -weight * math.log(net.score([text])[0])
+    for k in quality.PARTS:
+        part = getattr(net, k)
+        for at in {np.unravel_index(i, part.shape) for i in [*np.argsort(-np.abs(grads[k]).ravel())[:4].tolist(), *rng.integers(0, part.size, 4).tolist()]}:
+            was, step = part[at], 1e-6
+            part[at] = was + step
+            high = loss()
+            part[at] = was - step
+            low = loss()
+            part[at] = was
+            assert abs((high - low) / (2 * step) - grads[k][at]) < 1e-4 * max(1, abs(grads[k][at])), (k, at)
+
+
+def test_samples_are_bounded_by_bytes(spark, make):
+    docs = make(*[(i, "x" * (10 if i % 5 else 1000)) for i in range(200)], (7, "a"), (900, None))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(900, 1), (901, 0), (None, 1), (3, 1)], "doc_id long, quality int")
+    texts, y = quality.labelled_sample(docs, labels, "quality", F.col("doc_id") >= 0, 60, 2500)
+    for k in (0, 1):
+        mine = [t for t, label in zip(texts, y) if label == k]
+        assert sum(map(len, mine)) <= 2500 and len(mine) > 30 and any(len(t) == 1000 for t in mine)
+    assert len(quality.labelled_sample(docs, labels, "quality", F.col("doc_id") >= 0, 60, 10**6)[0]) >= 118  # null texts are none
+
+
+def _plain_slots(text):
+    out, text = [], " " + " ".join(text.lower().split()) + " "
+    for n in toxicity.SIZES:
+        for i in range(len(text) - n + 1):
+            h = ord(text[i])
+            for c in text[i + 1 : i + n]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            out.append(((h + n) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_character_grams_as_plain_loops():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.standard_normal(1 << toxicity.BITS).astype(np.float32) * (rng.random(1 << toxicity.BITS) < 0.5), -0.3)
+    for text in ("", "a", "ab", "You  FOOL\n é\U0001f600", "ÀÉ ÀÉ " * 30, prose(50)):
+        want = _plain_slots(text)
+        assert sorted(toxicity.slots(text.encode()).tolist()) == sorted(want)
+        z = sum(float(model.weight[k]) for k in set(want)) - 0.3
+        assert abs(model.score(text.encode()) - 1 / (1 + math.exp(-z))) < 1e-6
+    assert model.score(None) == model.score(b"")
+    assert 0 < model.score(b"\xff\xfe broken") < 1
+
+
+def test_ratios_of_a_tiny_sample():
+    """Learned n-grams are those of one class; the score follows them."""
+    texts = [b"awful words here", b"awful stuff there", b"nice words here", b"nice stuff there"] * 5
+    model = toxicity.train(texts, np.array([1, 1, 0, 0] * 5), least_docs=2)
+    assert model.score(b"awful") > 0.5 > model.score(b"nice")
+    shared = set(_plain_slots("words")[:2])
+    assert all(model.weight[k] == 0 for k in shared)
+
+
 def test_toxicity_learns(spark, make):
     docs, labels, truth = _labelled(spark, make, lambda r: " you rotten fool", "toxic")
     model = toxicity.fit(docs, labels, 150)
@@ -162,6 +253,15 @@ def test_scores_of_odd_rows(spark, make, op):
     assert op.score_documents(make((1, "x")).limit(0), op.fit(docs, labels)).count() == 0
 
 
+def test_keep_good_on_odd_rows(spark, make):
+    docs = make(*ODD)
+    net = quality.train([], np.array([]))
+    net.shift[0] = 9
+    assert sorted(map(repr, quality.keep_good(docs, net).collect())) == sorted(map(repr, docs.collect()))
+    net.shift[0] = -9
+    assert quality.keep_good(docs, net).count() == 0 and quality.keep_good(docs.limit(0), net).columns == docs.columns
+
+
 # op4
 
 
@@ -405,6 +505,13 @@ def test_simhash_odd_rows(spark, make):
     assert near_dedup.near_duplicates(make((1, "x")).limit(0)).count() == 0
 
 
+def test_drop_near_duplicates_on_odd_rows(spark, make):
+    docs = make(*ODD)
+    got = near_dedup.drop_near_duplicates(docs)
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 4, 5, 7, 8] and got.columns == docs.columns
+    assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 # op7
 
 
