@@ -1,7 +1,7 @@
-"""Toxicity: a linear classifier over byte n-grams scaled by naive Bayes log-count ratios (Wang and Manning, 2012).
+"""Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios (Wang and Manning, 2012).
 
-Features are the distinct n-grams (SIZES bytes) of the lower-cased text with runs of white space taken as one, hashed into
-SLOTS slots. Each slot's value is its log-count ratio r: the log of the share of toxic against other training documents that hold
+Features are the distinct n-grams (SIZES characters) of the lower-cased text with runs of white space taken as one, hashed into
+2**BITS slots. Each slot's value is its log-count ratio r: the log of the share of toxic against other training documents that hold
 it. A logistic regression on these scaled features is fitted on a bounded sample, and its weights are multiplied into r, so a
 text's score is the sum of one number for each distinct slot. Slots with hardly any weight are dropped after training. Scoring
 streams Arrow batches, each document on its own, without a shuffle.
@@ -16,27 +16,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, table
+from .common import table
 from .quality import labelled_sample, remainder
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-#: Labelled rows of each class that are drawn for training, by a hash of doc_id, and the longest text drawn.
+#: Labelled rows of each class that are drawn for training, by a hash of doc_id, and the bytes that their texts may have together.
 SAMPLE = 2500
-MOST_BYTES = 1 << 17
+SAMPLE_BYTES = 8 << 20
 #: Training documents that must hold a slot.
 LEAST_DOCS = 5
 #: Least log-count ratio, either way, of a slot that is learned.
 LEAST_RATIO = 0.7
 THRESHOLD = 0.7
 
-_SPACES = bytes(0x20 if c in b"\t\n\v\f\r" else c for c in LOWER)
 _U = np.uint64
 
 
+def characters(text: bytes | None) -> str:
+    """The text that n-grams are taken from: lower case, one space for each run of white space, one before and one after."""
+    return f" {' '.join((text or b'').decode('utf-8', 'replace').lower().split())} "
+
+
 def slots(text: bytes | None) -> np.ndarray:
-    """The slot of every n-gram of the text, one space put before and after it; n-grams repeat."""
-    data = np.frombuffer(b" " + b" ".join((text or b"").translate(_SPACES).split()) + b" ", dtype=np.uint8).astype(_U)
+    """The slot of every n-gram of the text's characters; n-grams repeat."""
+    data = np.frombuffer(characters(text).encode("utf-32-le"), dtype="<u4").astype(_U)
     out, h = [], data
     for n in range(2, max(SIZES) + 1):
         if len(data) < n:
@@ -96,7 +100,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, l2: float = 1e-6, steps
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
     """The classifier for labels.toxic, from labelled rows that are not held out."""
-    return train(*labelled_sample(docs, labels, "toxic", remainder("doc_id", 3) != 1, per_class, MOST_BYTES))
+    return train(*labelled_sample(docs, labels, "toxic", remainder("doc_id", 3) != 1, per_class, SAMPLE_BYTES))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
