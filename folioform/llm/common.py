@@ -20,6 +20,10 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = bytes(range(256)).lower()
 
 
+#: Members of a bucket up to which buckets are compared many at a time.
+FEW = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -145,6 +149,57 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def few_pairs(first: np.ndarray, count: np.ndarray, side: np.ndarray):
+    """Yields (i, j), rows that meet in groups of at most FEW rows, i before j; no row twice among the i or the j of one step."""
+    end = np.repeat(first + count, count)
+    at, d = np.flatnonzero(np.repeat(count <= FEW, count)), 1
+    while len(at := at[at + d < end[at]]):
+        i = at[(side[at] == 0) | (side[at] != side[at + d])]
+        yield i, i + d
+        d += 1
+
+
+def many_pairs(first: np.ndarray, count: np.ndarray, side: np.ndarray, step: int = 256):
+    """Yields (rows, columns, meet) for groups of more rows: slices, and which of their pairs meet; every row meets all its others."""
+    for g in np.flatnonzero(count > FEW):
+        stop = first[g] + count[g]
+        whole = slice(first[g], stop)
+        for a in range(first[g], stop, step):
+            part = slice(a, min(a + step, stop))
+            meet = (side[part, None] == 0) | (side[part, None] != side[None, whole])
+            meet[np.arange(part.stop - a), np.arange(a, part.stop) - first[g]] = False
+            yield part, whole, meet
+
+
+def spans_of(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, rows) of each group of sorted rows."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return first, np.diff(np.append(first, len(group)))
+
+
+def by_group(batches, flush, most: int = 100_000):
+    """Feeds flush (rows, group numbers) with some `most` rows at a time; rows of one (key, part) stay together."""
+
+    def numbered(pdf: pd.DataFrame):
+        key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
+        yield from flush(pdf, np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])))
+
+    held: list[pd.DataFrame] = []
+    count = 0
+    for pdf in batches:
+        held.append(pdf)
+        count += len(pdf)
+        if count < most:
+            continue
+        pdf = pd.concat(held, ignore_index=True)
+        last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])  # may go on in the next batch
+        held, count = [pdf[last]], int(last.sum())
+        if count < len(pdf):
+            yield from numbered(pdf[~last].reset_index(drop=True))
+    if count:
+        yield from numbered(pd.concat(held, ignore_index=True))
+
+
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of the words in a byte array."""
     inside = np.empty(len(data) + 2, dtype=bool)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, connected_components, joined_back
+from .common import LOWER, by_group, checkpointed, connected_components, few_pairs, joined_back, many_pairs, spans_of
 from .near_dedup import in_blocks
 
 SHINGLE = 5
@@ -41,8 +41,8 @@ MISS = 0.005
 BLOCK = 4096
 #: The same where their shingle sets are at hand.
 SETS = 512
-#: Members of a bucket up to which buckets are compared many at a time.
-FEW = 32
+#: Documents up to which their ids are made known to all tasks (32 MB); more are met by a shuffle.
+KNOWN = 4_000_000
 SEED = 23
 
 #: Chance that a symbol of a group of so many votes agrees at the similarity 0.8, the least measured over sets of 5 to 2,000 shingles.
@@ -117,7 +117,7 @@ def _turned(x: np.ndarray) -> np.ndarray:
 
 
 def keys_of(rows: np.ndarray, group: int, symbols: int, tables: int) -> np.ndarray:
-    """(n, tables) keys of rows of votes; a key names its table too."""
+    """(n, tables) keys of rows of votes."""
     rows = rows.astype(np.float32)
     count, each = tables * symbols, BITS // group
     found = np.empty((len(rows), -(-count // each) * each), dtype=np.int64)
@@ -127,7 +127,7 @@ def keys_of(rows: np.ndarray, group: int, symbols: int, tables: int) -> np.ndarr
         at = np.abs(x).argmax(axis=2)
         found[:, k * each : (k + 1) * each] = 2 * at + (np.take_along_axis(x, at[:, :, None], axis=2)[:, :, 0] > 0)
     parts = found[:, :count].reshape(len(rows), tables, symbols)
-    return (parts << (np.arange(symbols) * group.bit_length())).sum(axis=2) + (np.arange(tables, dtype=np.int64) << 48)
+    return (parts << (np.arange(symbols) * group.bit_length())).sum(axis=2)
 
 
 def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -145,65 +145,17 @@ def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def _few_pairs(first: np.ndarray, count: np.ndarray, side: np.ndarray):
-    """Yields (i, j), rows that meet in groups of at most FEW rows, i before j; no row twice among the i or the j of one step."""
-    end = np.repeat(first + count, count)
-    at, d = np.flatnonzero(np.repeat(count <= FEW, count)), 1
-    while len(at := at[at + d < end[at]]):
-        i = at[(side[at] == 0) | (side[at] != side[at + d])]
-        yield i, i + d
-        d += 1
-
-
-def _many_pairs(first: np.ndarray, count: np.ndarray, side: np.ndarray, step: int = 256):
-    """Yields (rows, columns, meet) for groups of more rows: slices, and which of their pairs meet; every row meets all its others."""
-    for g in np.flatnonzero(count > FEW):
-        stop = first[g] + count[g]
-        whole = slice(first[g], stop)
-        for a in range(first[g], stop, step):
-            part = slice(a, min(a + step, stop))
-            meet = (side[part, None] == 0) | (side[part, None] != side[None, whole])
-            meet[np.arange(part.stop - a), np.arange(a, part.stop) - first[g]] = False
-            yield part, whole, meet
-
-
-def _spans(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row, rows) of each group of sorted rows."""
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    return first, np.diff(np.append(first, len(group)))
-
-
-def _by_group(batches, flush, most: int = 100_000):
-    """Feeds flush (rows, group numbers) with some `most` rows at a time; rows of one (key, part) stay together."""
-
-    def numbered(pdf: pd.DataFrame):
-        key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
-        yield from flush(pdf, np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])))
-
-    held: list[pd.DataFrame] = []
-    count = 0
-    for pdf in batches:
-        held.append(pdf)
-        count += len(pdf)
-        if count < most:
-            continue
-        pdf = pd.concat(held, ignore_index=True)
-        last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])  # may go on in the next batch
-        held, count = [pdf[last]], int(last.sum())
-        if count < len(pdf):
-            yield from numbered(pdf[~last].reset_index(drop=True))
-    if count:
-        yield from numbered(pd.concat(held, ignore_index=True))
-
-
 def _in_buckets(members: DataFrame, block: int) -> DataFrame:
     """Members (key, node, ...) dealt out and sorted by buckets (key, part)."""
     return in_blocks(members, ["key"], "node", block).repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
 
 
-def _word() -> Column:
-    """The word of the fingerprint that a key's table looks at first."""
-    return F.element_at("words", F.pmod(F.shiftright("key", 48).cast("int"), F.lit(WORDS)) + 1).alias("word")
+def _members(classes: DataFrame, *columns: str) -> DataFrame:
+    """(key, node, columns, word): a row for each table of each class; key names the table too, and word is the one of the fingerprint
+    that the table looks at first."""
+    each = classes.select("node", *columns, "words", F.posexplode("keys").alias("table", "symbols"))
+    key = F.shiftleft(F.col("table").cast("long"), 48).bitwiseOR(F.col("symbols").cast("long"))
+    return each.select(key.alias("key"), "node", *columns, F.element_at("words", F.pmod("table", F.lit(WORDS)) + 1).alias("word"))
 
 
 def partners(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -216,16 +168,16 @@ def partners(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
 
     def flush(pdf: pd.DataFrame, group: np.ndarray):
         node, side, word = pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["word"].to_numpy().view(np.uint64)
-        first, count = _spans(group)
+        first, count = spans_of(group)
         least, nearest, apart = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1), np.full(len(node), far + 1)
-        for i, j in _few_pairs(first, count, side):
+        for i, j in few_pairs(first, count, side):
             d = np.bitwise_count(word[i] ^ word[j])
             close = d <= far
             for x, y in ((i[close], j[close]), (j[close], i[close])):
                 least[x] = np.minimum(least[x], node[y])
                 better = d[close] < apart[x]
                 nearest[x[better]], apart[x[better]] = node[y[better]], d[close][better]
-        for part, whole, meet in _many_pairs(first, count, side):
+        for part, whole, meet in many_pairs(first, count, side):
             d = np.where(meet, np.bitwise_count(word[part, None] ^ word[None, whole]), far + 1)
             least[part] = np.where(d <= far, node[None, whole], least[part, None]).min(axis=1)
             at = d.argmin(axis=1)
@@ -233,8 +185,7 @@ def partners(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataF
         met = apart <= far
         yield pd.DataFrame({"node": node[met], "least": least[met], "apart": apart[met], "nearest": nearest[met]})
 
-    members = classes.select("node", F.explode("keys").alias("key"), "words").select("key", "node", _word())
-    met = _in_buckets(members, block).select("key", "part", "side", "node", "word").mapInPandas(lambda batches: _by_group(batches, flush), "node long, least long, apart long, nearest long")
+    met = _in_buckets(_members(classes), block).select("key", "part", "side", "node", "word").mapInPandas(lambda batches: by_group(batches, flush), "node long, least long, apart long, nearest long")
     return met.groupBy("node").agg(F.min("least").alias("least"), F.min_by("nearest", F.struct("apart", "nearest")).alias("nearest"))
 
 
@@ -248,7 +199,9 @@ def _jaccard(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(node, own): the shingle sets of the documents (doc_id, text) named in ids (id); only their texts are hashed."""
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    ids = checkpointed(ids)
+    few = ids.count() <= KNOWN  # then texts stay where they are read
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
     def hashed(batches):
         for batch in batches:
@@ -266,23 +219,22 @@ def still_alike(classes: DataFrame, roots: DataFrame, docs: DataFrame, similarit
     meanwhile is passed over, and only the edges that connect go on.
     """
     radius, far = farthest(similarity), farthest(similarity, 64)
-    members = classes.join(roots.select(F.col("node").alias("node2"), "root"), F.col("node") == F.col("node2")).select("node", "root", "words", F.explode("keys").alias("key"))
-    members = members.select("key", "node", "root", _word())
-    members = _in_buckets(members, BLOCK).select("key", "part", "side", "node", "root", "word")
+    rooted = classes.join(roots.select(F.col("node").alias("node2"), "root"), F.col("node") == F.col("node2"))
+    members = _in_buckets(_members(rooted, "root"), BLOCK).select("key", "part", "side", "node", "root", "word")
 
     def apart(pdf: pd.DataFrame, group: np.ndarray):
         side, root, word = pdf["side"].to_numpy(), pdf["root"].to_numpy(), pdf["word"].to_numpy().view(np.uint64)
         some = np.zeros(len(pdf), dtype=bool)
-        first, count = _spans(group)
-        for i, j in _few_pairs(first, count, side):
+        first, count = spans_of(group)
+        for i, j in few_pairs(first, count, side):
             other = (root[i] != root[j]) & (np.bitwise_count(word[i] ^ word[j]) <= far)
             some[i[other]] = some[j[other]] = True
-        for part, whole, meet in _many_pairs(first, count, side):
+        for part, whole, meet in many_pairs(first, count, side):
             some[part] |= (meet & (root[part, None] != root[None, whole]) & (np.bitwise_count(word[part, None] ^ word[None, whole]) <= far)).any(axis=1)
         yield pdf[["key", "node", "root"]][some]
 
     # Fingerprints and sets come in for those that meet another root; a member of several parts of a bucket is one again.
-    members = checkpointed(members.mapInPandas(lambda batches: _by_group(batches, apart), "key long, node long, root long").distinct())
+    members = checkpointed(members.mapInPandas(lambda batches: by_group(batches, apart), "key long, node long, root long").distinct())
     own = _sets(docs, members.select(F.col("node").alias("id")).distinct(), shingle).join(classes.select(F.col("node").alias("node2"), "words"), F.col("node") == F.col("node2")).select("node2", "words", "own")
     dealt = joined_back(in_blocks(members, ["key"], "node", block), own, [("node", "node2")])
     dealt = dealt.select("key", "part", "side", "node", "root", "words", "own").repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
@@ -304,17 +256,17 @@ def still_alike(classes: DataFrame, roots: DataFrame, docs: DataFrame, similarit
                         edges.append((label[x], label[y]))
                         label[label == label[x]] = label[y]
 
-        first, count = _spans(group)
-        for i, j in _few_pairs(first, count, side):
+        first, count = spans_of(group)
+        for i, j in few_pairs(first, count, side):
             other = label[i] != label[j]
             decide(i[other], j[other])
-        for part, whole, meet in _many_pairs(first, count, side):
+        for part, whole, meet in many_pairs(first, count, side):
             i, j = np.nonzero(np.triu(meet, part.start - whole.start) & (label[part, None] != label[None, whole]))
             decide(i + part.start, j + whole.start)
         if edges:
             yield pd.DataFrame(names[np.array(edges)], columns=["a", "b"])
 
-    return dealt.mapInPandas(lambda batches: _by_group(batches, flush, 5_000), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda batches: by_group(batches, flush, 5_000), "a long, b long").distinct()
 
 
 def _words_in(column: pa.Array) -> np.ndarray:
@@ -357,6 +309,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     group, symbols, tables = plan(docs.count(), similarity)
+    wide = symbols * group.bit_length() > 31
 
     def scan(batches):
         for batch in batches:
@@ -367,10 +320,10 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
                 rows = np.stack([votes(x) for x in own])
                 words = np.packbits(rows > 0, axis=1, bitorder="little").view("<i8")
                 keys = keys_of(rows, group, symbols, tables)
-                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (words, keys)]
+                lists = [pa.array(list(x), pa.list_(t)) for x, t in ((words, pa.int64()), (keys, pa.int64() if wide else pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), same, pa.array([len(x) for x in own], pa.int32()), *lists], names=["doc_id", "same", "size", "words", "keys"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "doc_id long, same binary, size int, words array<long>, keys array<long>")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id long, same binary, size int, words array<long>, keys array<{'long' if wide else 'int'}>")
     rows = checkpointed(rows)
     # A class has one shingle set, so that deciding on its first document decides on all.
     classes = checkpointed(rows.groupBy("same").agg(F.min(F.struct("doc_id", "size", "words", "keys")).alias("x")).select("same", F.col("x.doc_id").alias("node"), "x.size", "x.words", "x.keys"))
