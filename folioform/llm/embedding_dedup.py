@@ -1,10 +1,12 @@
 """Embedding near-dedup: random-hyperplane signatures in several tables, exact cosines, distributed connected components.
 
 Equal vectors of a label are one member of the search. Each table cuts the members of a label by the signs of their products with
-its random hyperplanes; members that share a bucket in some table are compared exactly, in double precision, in blocks. A pair
-counts in the first table that brings it together (each member carries its signatures, so this is seen where the pair is), and
-tasks send on only each member's number of links and a spanning forest, never the pairs. A bucket with more members than a block
-is dealt out as pairs of blocks.
+its random hyperplanes. Members that share a bucket in some table are first compared by a sketch, the signs for 64 more hyperplanes:
+pairs whose sketches are farther apart than pairs at the threshold are by any real chance do not count. What is left connects members
+to clusters, of which a task sends on spanning forests only. All links of a member lie within its cluster, so its vector is sent
+there once, and the cluster's pairs are compared exactly, in double precision, in blocks. A cluster of very many members is compared
+by its buckets instead, where a pair counts in the first table that brings it together. Tasks send on only each member's number of
+links and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -16,31 +18,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, spanning, table
+from .common import by_group, checkpointed, connected_components, few_pairs, joined_back, many_pairs, spanning, spans_of, table
 from .near_dedup import in_blocks
 
 THRESHOLD = 0.98
-#: Chance that a pair exactly at the threshold meets in no table; pairs above it are missed more rarely.
+#: Chance that a pair exactly at the threshold meets in no table, or is told apart by its sketches; pairs above it are missed more rarely.
 MISS = 1e-6
-#: Members of a bucket that the number of hyperplanes aims at, were the vectors spread evenly.
+#: Members of a bucket that the number of hyperplanes aims at, were the vectors of the largest label spread evenly.
 BUCKET = 64
-#: Members of a bucket that are compared in one piece.
+#: Members of a bucket or cluster that are compared in one piece.
 BLOCK = 2048
+#: Members of a cluster up to which it is compared as a whole.
+CLUSTER = 8192
 SEED = 11
 
 
-def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(hyperplanes a table, tables) for n vectors."""
-    bits = min(24, max(6, math.ceil(math.log2(max(n, 1) / BUCKET)) if n > BUCKET else 6))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - same))
+def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int, int]:
+    """(hyperplanes a table, tables, most differing bits of sketches) for n vectors of a label."""
+    bits = min(31, max(4, math.ceil(math.log2(max(n, 1) / BUCKET)) if n > BUCKET else 4))
+    apart = math.acos(threshold) / math.pi
+    tables = math.ceil(math.log(miss / 2) / math.log(1 - (1 - apart) ** bits))
+    tail, most = 1.0, -1
+    while tail > miss / 2:
+        most += 1
+        tail -= math.comb(64, most) * apart**most * (1 - apart) ** (64 - most)
+    return bits, tables, most
+
+
+def signs(vectors: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """(n, count) signs of the products with so many random hyperplanes."""
+    planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], count))
+    return vectors @ planes > 0
 
 
 def signatures(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """int32 bucket of each vector in each table."""
-    planes = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((vectors.shape[1], tables, bits))
-    signs = np.einsum("nd,dtb->ntb", vectors, planes, optimize=True) > 0
-    return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+    found = signs(vectors, tables * bits, SEED).reshape(len(vectors), tables, bits)
+    return (found * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+
+
+def sketches(vectors: np.ndarray) -> np.ndarray:
+    return np.packbits(signs(vectors, 64, SEED + 1), axis=1, bitorder="little").view("<i8")[:, 0]
 
 
 def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +75,7 @@ def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int
         for t in np.unique(tab[a]) if len(a) else ():
             here = tab[a] == t
             x, y = a[here], b[here]
-            new = ~(sigs[x, :t] == sigs[y, :t]).any(axis=1)
+            new = ~(sigs[x, : max(t, 0)] == sigs[y, : max(t, 0)]).any(axis=1)  # none is earlier than a whole cluster
             x, y = x[new], y[new]
             np.add.at(links, x, copies[y])
             np.add.at(links, y, copies[x])
@@ -86,7 +104,31 @@ def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int
     return links, spanning(np.concatenate(forest))
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def clusters(signed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect the members of signed (member, label, dims, sigs, sketch) as their pairs do that share a bucket and
+    whose sketches differ in at most `most` bits."""
+    keyed = signed.select("member", "label", "dims", "sketch", F.posexplode("sigs").alias("tab", "sig"))
+    keyed = keyed.select("member", "sketch", F.xxhash64("label", "dims", "tab", "sig").alias("key"))
+    dealt = in_blocks(keyed, ["key"], "member", block).select("key", "part", "side", "member", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", "side", "member")
+
+    def flush(pdf: pd.DataFrame, group: np.ndarray):
+        member, side, sketch = pdf["member"].to_numpy(), pdf["side"].to_numpy(), pdf["sketch"].to_numpy().view(np.uint64)
+        first, count = spans_of(group)
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for i, j in few_pairs(first, count, side):
+            near = np.bitwise_count(sketch[i] ^ sketch[j]) <= most
+            if near.any():
+                found.append(np.stack([i[near], j[near]], axis=1))
+        for part, whole, meet in many_pairs(first, count, side):
+            i, j = np.nonzero(meet & (np.bitwise_count(sketch[part, None] ^ sketch[None, whole]) <= most))
+            if len(i):
+                found.append(spanning(np.stack([i + part.start, j + whole.start], axis=1)))
+        yield pd.DataFrame(member[spanning(np.concatenate(found))], columns=["a", "b"])
+
+    return dealt.mapInPandas(lambda batches: by_group(batches, flush), "a long, b long")
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, cluster: int = CLUSTER) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id long, embedding array, label).
 
     Rows link if their labels are equal and not null and their cosine is at least threshold. A vector that is null, empty, zero or
@@ -95,71 +137,61 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
     row's own. A null vec_id is never the smallest unless its component has no other, and is not kept. An empty table gives no
     rows; other columns are ignored.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    narrow = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(narrow).alias("embedding"), F.col("label").cast("string").alias("label"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    rows = rows.where("usable").drop("usable")
-    classes = rows.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    n, labels = rows.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    bits, tables = plan(n // max(1, labels), threshold, miss)
+    # Equal vectors of a label go by a hash of 128 bits, so that rows find their member again without their vectors.
+    same = [F.xxhash64("label", "embedding").alias("one"), F.xxhash64(F.lit(SEED), "embedding", "label").alias("two")]
+    rows = rows.where("usable").select("vec_id", "label", "embedding", *same)
+    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, tables, most = plan(largest, threshold, miss)
+    classes = rows.groupBy("one", "two").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
 
     def sign(batches):
         for pdf in batches:
             size = pdf["embedding"].map(len).to_numpy()
-            sigs = np.zeros((len(pdf), tables), dtype=np.int32)
+            sigs, sketch = np.zeros((len(pdf), tables), dtype=np.int32), np.zeros(len(pdf), dtype=np.int64)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                sigs[at] = signatures(np.stack(pdf["embedding"].iloc[at].to_numpy()).astype(np.float64), bits, tables)
-            yield pdf.assign(sigs=list(sigs))
+                x = np.stack(pdf["embedding"].iloc[at].to_numpy()).astype(np.float64)
+                sigs[at], sketch[at] = signatures(x, bits, tables), sketches(x)
+            yield pdf.assign(dims=size, sigs=list(sigs), sketch=sketch)
 
-    signed = classes.mapInPandas(sign, "label string, embedding array<double>, copies long, least long, sigs array<int>")
+    signed = classes.mapInPandas(sign, f"one long, two long, copies long, least long, label string, embedding {narrow}, dims int, sigs array<int>, sketch long")
     signed = checkpointed(signed.withColumn("member", F.monotonically_increasing_id()))  # the numbers stay, as the rows are written
-    # Buckets are dealt out by keys alone; the vectors come in once, after that.
-    keyed = signed.select("member", "label", F.size("embedding").alias("dims"), F.posexplode("sigs").alias("tab", "sig"))
-    keyed = keyed.select("member", "tab", F.xxhash64("label", "dims", "tab", "sig").alias("key"))
-    narrow = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
-    payload = signed.select(F.col("member").alias("member2"), "copies", F.col("embedding").cast(narrow).alias("embedding"), "sigs", F.col("label").alias("kind"))
-    dealt = in_blocks(keyed, ["key"], "member", block).join(payload, F.col("member") == F.col("member2")).drop("member2")
-    dealt = dealt.withColumn("dims", F.size("embedding"))
+    nodes = checkpointed(connected_components(clusters(signed, most, block)))
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "root2")
+    inside = checkpointed(joined_back(nodes, sizes, [("root", "root2")]).select("node", "root", (F.col("n") <= cluster).alias("whole")))
+    # A cluster is one place of comparison, or, where it is large, its buckets are; the vectors come in once these are dealt out.
+    places = inside.where("whole").select(F.col("node").alias("member"), F.lit(-1).alias("tab"), F.col("root").alias("key"))
+    buckets = signed.join(inside.where("not whole").select("node"), F.col("member") == F.col("node")).select("member", "label", "dims", F.posexplode("sigs").alias("tab", "sig"))
+    places = checkpointed(places.unionByName(buckets.select("member", "tab", F.xxhash64("label", "dims", "tab", "sig").alias("key"))))
+    payload = signed.select(F.col("member").alias("member2"), "copies", "embedding", "sigs", F.col("label").alias("kind"), "dims")
+    dealt = joined_back(in_blocks(places, ["tab", "key"], "member", block), payload, [("member", "member2")]).drop("member2")
     order = ["key", "part", "tab", "kind", "dims"]  # the last three tell apart what a clash of hashes puts together
 
-    def compare(batches):
-        held: list[pd.DataFrame] = []
-
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.reset_index(drop=True)
-            if not len(pdf):
-                return pd.DataFrame({"edge": np.zeros(0, dtype=np.int32), "a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-            new = np.zeros(len(pdf) - 1, dtype=bool)
-            for k in order:
-                column = pdf[k].to_numpy()
-                new |= column[1:] != column[:-1]
-            links, edges = links_in(np.cumsum(np.concatenate([[0], new])), pdf, threshold)
-            ids, some = pdf["member"].to_numpy(), np.flatnonzero(links)
-            edge = np.repeat(np.array([0, 1], dtype=np.int32), [len(some), len(edges)])
-            return pd.DataFrame({"edge": edge, "a": np.concatenate([ids[some], ids[edges[:, 0]]]), "b": np.concatenate([links[some], ids[edges[:, 1]]])})
-
-        for pdf in batches:
-            held.append(pdf)
-            pdf = pd.concat(held, ignore_index=True)
-            last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])  # may go on in the next batch
-            held = [pdf[last]]
-            yield flush(pdf[~last])
-        if held:
-            yield flush(pd.concat(held, ignore_index=True))
-
-    found = checkpointed(dealt.repartition("key", "part").sortWithinPartitions(*order, "side", "member").mapInPandas(compare, "edge int, a long, b long"))
+    def compare(pdf: pd.DataFrame, group: np.ndarray):
+        new = np.zeros(len(pdf) - 1, dtype=bool)
+        for k in order:
+            column = pdf[k].to_numpy()
+            new |= column[1:] != column[:-1]
+        links, edges = links_in(np.cumsum(np.concatenate([[0], new])), pdf, threshold)
+        ids, some = pdf["member"].to_numpy(), np.flatnonzero(links)
+        edge = np.repeat(np.array([0, 1], dtype=np.int32), [len(some), len(edges)])
+        yield pd.DataFrame({"edge": edge, "a": np.concatenate([ids[some], ids[edges[:, 0]]]), "b": np.concatenate([links[some], ids[edges[:, 1]]])})
+
+    dealt = dealt.repartition("key", "part").sortWithinPartitions(*order, "side", "member")
+    found = checkpointed(dealt.mapInPandas(lambda batches: by_group(batches, compare, 10_000), "edge int, a long, b long"))
     counts = found.where("edge = 0").groupBy(F.col("a").alias("member2")).agg(F.sum("b").alias("others"))
-    nodes = connected_components(found.where("edge = 1").select("a", "b"))
-    named = signed.select("member", "label", "embedding", "copies", "least").join(nodes, F.col("member") == F.col("node"), "left").withColumn("root", F.coalesce("root", "member"))
+    linked = connected_components(found.where("edge = 1").select("a", "b"))
+    named = signed.select("member", "one", "two", "copies", "least").join(linked, F.col("member") == F.col("node"), "left").withColumn("root", F.coalesce("root", "member"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
-    named = named.join(least, F.col("root") == F.col("root2")).join(counts, F.col("member") == F.col("member2"), "left")
-    named = named.select(F.col("label").alias("label2"), F.col("embedding").alias("embedding2"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    named = named.withColumn("hash2", F.xxhash64("label2", "embedding2"))
-    rows = rows.withColumn("hash", F.xxhash64("label", "embedding"))
-    out = rows.join(named, (F.col("hash") == F.col("hash2")) & (F.col("label") == F.col("label2")) & (F.col("embedding") == F.col("embedding2")))
+    named = joined_back(named, least, [("root", "root2")]).join(counts, F.col("member") == F.col("member2"), "left")
+    named = named.select(F.col("one").alias("one2"), F.col("two").alias("two2"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    out = joined_back(rows.select("vec_id", "one", "two"), named, [("one", "one2"), ("two", "two2")])
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")).unionByName(alone)
 
 

@@ -60,8 +60,8 @@ def _links(rows, threshold=0.98):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_embedding_links_are_those_of_brute_force(spark, block):
+@pytest.mark.parametrize("block, whole", [(2048, 8192), (7, 8192), (2048, 3), (7, 3)])
+def test_embedding_links_are_those_of_brute_force(spark, block, whole):
     rng = np.random.default_rng(3)
     rows = []
     for k in range(120):
@@ -72,7 +72,7 @@ def test_embedding_links_are_those_of_brute_force(spark, block):
     rows += [(len(rows) + c, (cluster + 0.02 * rng.standard_normal(8)).tolist(), 0) for c in range(40)]
     rows += [(900, rows[0][1], 0), (901, rows[0][1], 0), (902, rows[0][1], 1), (903, rows[0][1], None)]
     want = _links(rows)
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(_vectors(spark, rows), block=block).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(_vectors(spark, rows), block=block, cluster=whole).collect()}
     assert len(got) == len(rows)
     for i, (k, _, _) in enumerate(rows):
         seen, todo = {i}, [i]
@@ -83,6 +83,20 @@ def test_embedding_links_are_those_of_brute_force(spark, block):
         assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (len(want[i]), min(rows[j][0] for j in seen), k == min(rows[j][0] for j in seen)), k
 
 
+def test_embedding_plan_loses_no_pair_at_the_threshold():
+    rng = np.random.default_rng(6)
+    bits, tables, most = embedding_dedup.plan(100_000)
+    x = rng.standard_normal((4000, 32))
+    y = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    assert (embedding_dedup.signatures(x, bits, tables) == embedding_dedup.signatures(y, bits, tables)).any(axis=1).all()
+    apart = np.bitwise_count(embedding_dedup.sketches(x).view(np.uint64) ^ embedding_dedup.sketches(y).view(np.uint64))
+    assert (apart <= most).all() and most < 24
+    assert embedding_dedup.plan(10**12)[0] == 31
+
+
 def test_embedding_odd_rows(spark):
     rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [1.0, float("nan")], 0), (6, [1.0, float("inf")], 0), (7, [1.0, 1.0], None), (8, [1.0, 1.0], 0), (9, [2.0, 2.0], 0), (9, [2.0, 2.0], 0), (None, [3.0, 3.0], 0), (10, [1.0, 1.0, 0.0], 0)]
     got = [tuple(r) for r in embedding_dedup.near_duplicate_vectors(_vectors(spark, rows)).collect()]
