@@ -49,12 +49,18 @@ def contact_identity(c: Column) -> Column:
 
 def table_row(c: Column) -> Column:
     """A tab in the text after its bullet, or a number with a unit."""
-    return T.let(T.without_bullet(c), lambda body: T.let(T.collapse(body), lambda flat: (flat != "") & (F.contains(body, F.lit("\t")) | flat.rlike(MEASURE))))
+    tabbed = lambda body: F.contains(body, F.lit("\t")) & (T.strip(body) != "")
+    return T.let(T.without_bullet(c), lambda body: tabbed(body) | (body.rlike(r"\p{Nd}") & T.collapse(body).rlike(MEASURE)))
+
+
+def flat_reference_line(s: Column) -> Column:
+    """reference_line of a text whose white space is collapsed."""
+    dated = s.rlike(r"\(\p{Nd}{4}[a-z]?\)") & F.lower(s).rlike(r"(?:^|[^\p{L}\p{N}_])(?:https?://|doi[: ])")
+    return s.rlike(r"^\[\p{Nd}+\]") | s.rlike(r"^\p{Nd}+\. +[A-Z]") | (F.contains(s, F.lit("(")) & dated)
 
 
 def reference_line(c: Column) -> Column:
-    dated = lambda s: s.rlike(r"\(\p{Nd}{4}[a-z]?\)") & F.lower(s).rlike(r"(?:^|[^\p{L}\p{N}_])(?:https?://|doi[: ])")
-    return T.let(T.collapse(c), lambda s: s.rlike(r"^\[\p{Nd}+\]") | s.rlike(r"^\p{Nd}+\. +[A-Z]") | dated(s))
+    return T.let(T.collapse(c), flat_reference_line)
 
 
 def reference_heading(c: Column) -> Column:
@@ -70,12 +76,15 @@ def sentence_boundary(before: Column, after: Column) -> Column:
     return T.rstrip(before).rlike(r"[.!?;]$") & T.lstrip(after).rlike(r"^\p{Lu}")
 
 
-def header_or_footer(c: Column) -> Column:
+def flat_header_or_footer(s: Column) -> Column:
+    """header_or_footer of a text whose white space is collapsed."""
     page = r"(?:^|[^\p{L}\p{N}_])page +\p{Nd}+" + _END
-    return T.let(
-        F.struct(T.collapse(c).alias("s"), F.lower(T.collapse(c)).alias("low")),
-        lambda x: ((F.length(x["s"]) <= 18) & x["low"].rlike(page)) | x["s"].rlike(r"^\p{Nd}+$") | x["low"].rlike(r"(?:^|[^\p{L}\p{N}_])doi[: ]") | F.startswith(x["s"], F.lit("http")),
-    )
+    doi = T.let(F.lower(s), lambda low: F.contains(low, F.lit("doi")) & low.rlike(r"(?:^|[^\p{L}\p{N}_])doi[: ]"))
+    return F.startswith(s, F.lit("http")) | ((F.length(s) <= 18) & F.lower(s).rlike(page)) | s.rlike(r"^\p{Nd}+$") | doi
+
+
+def header_or_footer(c: Column) -> Column:
+    return T.let(T.collapse(c), flat_header_or_footer)
 
 
 def not_sampled(c: Column, kind: Column) -> Column:
@@ -85,7 +94,7 @@ def not_sampled(c: Column, kind: Column) -> Column:
         web = F.contains(t, F.lit("@")) | F.contains(F.lower(t), F.lit("http"))
         numbers = T.let(F.struct(T.letters(t).alias("n"), T.digits(t).alias("d")), lambda x: (x["n"] < 12) | ((x["d"] > 0) & (x["d"] >= F.greatest(F.lit(3.0), x["n"] * 0.35))))
         loud = T.times(t, T.UPPER) >= F.greatest(F.lit(10), F.floor(F.length(t) * 0.55))
-        return F.endswith(t, F.lit(":")) | web | numbers | header_or_footer(t) | loud
+        return F.endswith(t, F.lit(":")) | web | numbers | loud | flat_header_or_footer(t)
 
     return kind.isin(*fixed.NOT_SAMPLED_KINDS) | T.let(c, rule)
 
@@ -104,7 +113,7 @@ def formula_line(c: Column) -> Column:
     """A line (white space collapsed) that is mostly mathematics."""
 
     def rule(x: Column) -> Column:
-        s, sym, d, n = x["s"], x["sym"], x["d"], x["n"]
+        s, sym, d = x["s"], x["sym"], x["d"]
         named = F.size(F.filter(T.tokens(s), lambda w: w.rlike(LATIN_WORD)))
         dense = (sym + d) / F.length(F.regexp_replace(s, T.SPACE, "")) >= 0.35
         return (F.length(s) >= 3) & (
@@ -112,10 +121,10 @@ def formula_line(c: Column) -> Column:
             | (((sym >= 1) | (d >= 2)) & s.rlike(EQUATION_NUMBER))
             | (((sym >= 1) | (d >= 1)) & s.rlike(MATH_FUNCTION))
             | ((sym >= 1) & dense & (named <= 3))
-            | ((sym >= 2) & (n <= d + sym) & (named <= 4))
+            | ((sym >= 2) & (T.letters(s) <= d + sym) & (named <= 4))
         )
 
-    counts = lambda s: F.struct(s.alias("s"), T.times(s, SYMBOL).alias("sym"), T.digits(s).alias("d"), T.letters(s).alias("n"))
+    counts = lambda s: F.struct(s.alias("s"), T.times(s, SYMBOL).alias("sym"), T.digits(s).alias("d"))
     return T.let(T.let(T.strip(c), counts), rule)
 
 

@@ -48,7 +48,10 @@ def rstrip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(c, SPACES, " " * len(SPACES)), " {2,}", " "))
+    # Most texts need neither replacement, which two quick looks show.
+    spaced = lambda t: F.when(t.rlike(r"[^\x{20}-\x{7e}]"), F.translate(t, SPACES, " " * len(SPACES))).otherwise(t)
+    single = lambda t: F.trim(F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
+    return let(let(c, spaced), single)
 
 
 def comparable(c: Column) -> Column:
@@ -62,11 +65,12 @@ def one_line(c: Column) -> Column:
 
 def times(c: Column, pattern: str) -> Column:
     """Number of characters that match the one-character pattern."""
-    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    without = F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    return F.when(c.rlike(pattern), without).when(c.isNotNull(), 0)
 
 
 def letters(c: Column) -> Column:
-    return times(c, LETTER)
+    return F.length(c) - F.length(F.regexp_replace(c, f"{LETTER}+", ""))  # a word at once
 
 
 def digits(c: Column) -> Column:

@@ -99,7 +99,7 @@ _FIELDS = ["x0", "y0", "x1", "y1", "text", "font_name", "font_size", "r", "g", "
 
 def _plain(text: Column) -> Column:
     """No table row, reference or page header: such lines stay by themselves."""
-    return T.let(T.collapse(text), lambda s: ~P.table_row(s) & ~P.reference_line(s) & ~P.header_or_footer(s))
+    return T.let(T.collapse(text), lambda s: ~P.table_row(s) & ~P.flat_reference_line(s) & ~P.flat_header_or_footer(s))
 
 
 def _merged(p: Column, c: Column) -> Column:
@@ -130,13 +130,17 @@ def continues_word(p: Column, c: Column) -> Column:
 
 
 def block_kind(text: Column, line_count: Column, page_top: Column, font_size: Column, page_width: Column, block_width: Column) -> Column:
-    s = T.collapse(text)
-    low = F.lower(s)
-    starts = lambda *w: F.coalesce(low.rlike("^(?:" + "|".join(w) + ")"), F.lit(False))
     title = (block_width >= page_width * 0.45) & (((page_top < 120) & (font_size >= 14)) | ((page_top < F.greatest(F.lit(120.0), page_width * 0.18)) & (font_size >= 36)))
-    generic = F.when(T.is_bullet(text), "bullet").when(F.endswith(T.strip(text), F.lit(":")) & (line_count == 1), "label").when(line_count > 1, "paragraph").otherwise("line")
-    scholarly = F.when(P.table_row(s), "table").when(starts("abstract"), "abstract").when(starts("keyword"), "keywords").when(starts("references"), "reference").when(starts(r"fig\.", "figure ", "table "), "caption").when(title, "title").when(line_count > 1, "paragraph")
-    return F.when(s == "", generic).otherwise(F.coalesce(scholarly, generic))
+
+    def of(x: Column) -> Column:
+        text, s, n = x["text"], x["flat"], x["n"]
+        generic = F.when(T.is_bullet(text), "bullet").when(F.endswith(T.strip(text), F.lit(":")) & (n == 1), "label").when(n > 1, "paragraph").otherwise("line")
+        head = F.lower(F.left(s, F.lit(10)))
+        starts = lambda *w: F.greatest(*[F.startswith(head, F.lit(v)) for v in (*w, w[0])])
+        named = F.when(starts("abstract"), "abstract").when(starts("keyword"), "keywords").when(starts("references"), "reference").when(starts("fig.", "figure ", "table "), "caption").when(x["title"], "title").when(n > 1, "paragraph")
+        return F.when(s == "", generic).when(P.table_row(s), "table").otherwise(F.coalesce(named, generic))
+
+    return T.let(F.struct(text.alias("text"), T.collapse(text).alias("flat"), line_count.alias("n"), title.alias("title")), of)
 
 
 def alignment(boxes: Column, text: Column, kind: Column | None = None) -> Column:
@@ -164,9 +168,7 @@ def blocks(lines: DataFrame, hyphens: bool = True) -> DataFrame:
     # What does not depend on merging is worked out once a line, before the fold. A tab shows a table row, but not at a bullet.
     plain = _plain(F.col("text")) & ~P.table_row(F.col("text"))
     item = F.struct("order_no", *[F.col(k) for k in _FIELDS[:-4]], F.lit(1).alias("line_count"), box.alias("boxes"), plain.alias("plain"), P.starts_structure(F.col("text")).alias("starts"))
-    # The fold takes long for its bytes, so small partitions are not put together here.
-    spread = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
-    page = spread.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    page = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
     items = F.transform("items", lambda x: F.struct(*[x[k].alias(k) for k in _FIELDS]))
     page = page.select(*PAGE, _folded(items, mergeable).alias("items"))
     if hyphens:
