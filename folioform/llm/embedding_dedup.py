@@ -27,7 +27,7 @@ MISS = 1e-6
 #: Members of a bucket that the number of hyperplanes aims at, were the vectors of the largest label spread evenly.
 BUCKET = 64
 #: Members of a bucket or cluster that are compared in one piece.
-BLOCK = 2048
+BLOCK = 512
 #: Members of a cluster up to which it is compared as a whole.
 CLUSTER = 8192
 SEED = 11

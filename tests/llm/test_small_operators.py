@@ -60,7 +60,7 @@ def _links(rows, threshold=0.98):
     return out
 
 
-@pytest.mark.parametrize("block, whole", [(2048, 8192), (7, 8192), (2048, 3), (7, 3)])
+@pytest.mark.parametrize("block, whole", [(512, 8192), (7, 8192), (512, 3), (7, 3)])
 def test_embedding_links_are_those_of_brute_force(spark, block, whole):
     rng = np.random.default_rng(3)
     rows = []
