@@ -16,15 +16,15 @@ HANDLE = r"(?<![\p{L}\p{N}_.@])@[A-Za-z0-9_]{2,30}(?![\p{L}\p{N}_])"
 PROTECTED = f"{EMAIL}|{URL}|{HANDLE}"
 
 
-def mask(c: Column) -> Column:
+def mask(c: Column, pattern: str = PROTECTED) -> Column:
     """struct<masked string, replacements array<string>>; punctuation at a link's end stays outside of its token."""
-    found = F.regexp_extract_all(c, F.lit(PROTECTED), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     link = lambda v: ~v.rlike(f"^(?:{EMAIL})$") & v.rlike("^(?:https?://|www[.])")
     tail = r"""[.,;:!?)\]}"']+$"""
     kept = F.transform(found, lambda v: F.when(link(v), F.regexp_replace(v, tail, "")).otherwise(v))
     after = F.zip_with(found, kept, lambda v, k: F.substring(v, F.length(k) + 1, F.length(v)))
     tokens = F.transform(after, lambda a, i: F.concat(F.lit(fixed.MASK_PREFIX), i.cast("string"), F.lit(fixed.MASK_SUFFIX), a))
-    between = F.split(c, PROTECTED, -1)
+    between = F.split(c, pattern, -1)
     masked = F.concat_ws("", F.zip_with(between, tokens, lambda b, t: F.concat(b, F.coalesce(t, F.lit("")))))
     full = F.struct(masked.alias("masked"), kept.alias("replacements"))
     # Most text holds none of the marks without which nothing is masked; looking for these is far cheaper than the pattern.

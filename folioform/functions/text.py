@@ -198,11 +198,15 @@ def base_url(c: Column) -> Column:
     return F.when((url == "") | F.endswith(bare, F.lit("/v1")), url).otherwise(F.concat(bare, F.lit("/v1")))
 
 
+# Marks of bold and of slanted faces in font names, anywhere or at the end, and the base fonts plain, bold, slanted, both.
+BOLD_MARKS, SLANT_MARKS = "bold|bd$", "italic|oblique|it$"
+BASE_FONTS = ("helv", "hebo", "heit", "hebi")
+
+
 def base_font(name: Column) -> Column:
-    n = F.lower(name)
-    bold = F.contains(n, F.lit("bold")) | F.endswith(n, F.lit("bd"))
-    italic = F.contains(n, F.lit("italic")) | F.contains(n, F.lit("oblique")) | F.endswith(n, F.lit("it"))
-    return F.when(bold & italic, "hebi").when(bold, "hebo").when(italic, "heit").otherwise("helv")
+    """The base font of the same weight and slant."""
+    style = F.lower(name).rlike(BOLD_MARKS).cast("int") + 2 * F.lower(name).rlike(SLANT_MARKS).cast("int")
+    return F.get(F.array(*map(F.lit, BASE_FONTS)), style)
 
 
 # The patterns of a reply's parts.

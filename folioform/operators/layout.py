@@ -246,20 +246,44 @@ def harmonize(plans: DataFrame, by: list[str], key: str = "key", size: str = "fo
     return plans.withColumn("harmonized", F.when(shrink, F.bround(target, 2)).otherwise(F.col(size)))
 
 
-def fit_size(plans: DataFrame, least: float = 6.5, shrink: float = 0.92, char_width: float = 0.5) -> DataFrame:
-    """Adds fitted_size and fitted_line_height, null where nothing fits.
+#: Ems that a character takes where there is no font renderer to ask.
+CHAR_WIDTH = 0.5
 
-    Sizes go down by 8 % from the start size, for each of three line heights in turn; the first that fits counts. There is no
-    font renderer here: a text takes char_width ems a character, broken into lines of whole characters. So sizes are estimates.
+
+def first_fit(start: Column, least: float, heights: list[Column], width: Column, room: Column, text: Column, shrink: float = 0.92) -> Column:
+    """struct<size, line_height>: the first that fits of sizes that go down by 8 % from start, for each line height in turn.
+
+    There is no font renderer here: a text takes CHAR_WIDTH ems a character, broken into lines of whole characters. So sizes are
+    estimates. Null where nothing of least or more fits.
     """
-    start = F.col("start.size")
     floor_ = F.least(start, F.lit(least))
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log(start / floor_) / -F.log(F.lit(shrink))).cast("int"), F.lit(0)))
-    heights = F.array(*[F.least(F.col("start.line_height"), F.lit(h)) for h in (9.0, 1.0, 0.94)])
-    candidates = F.flatten(F.transform(heights, lambda h: F.transform(steps, lambda k: F.struct((start * F.pow(F.lit(shrink), k)).alias("size"), h.alias("line_height")))))
-    a_line = lambda c: F.greatest(F.floor((F.col("x1") - F.col("x0")) / (c["size"] * char_width)), F.lit(1))
-    fits = F.filter(candidates, lambda c: (c["size"] >= floor_ - 0.01) & (F.ceil(F.length("text") / a_line(c)) * c["size"] * c["line_height"] <= F.col("room")))
-    return plans.withColumn("fit", F.get(fits, F.lit(0))).withColumn("fitted_size", F.col("fit.size")).withColumn("fitted_line_height", F.col("fit.line_height")).drop("fit")
+    candidates = F.flatten(F.transform(F.array(*heights), lambda h: F.transform(steps, lambda k: F.struct((start * F.pow(F.lit(shrink), k)).alias("size"), h.alias("line_height")))))
+    a_line = lambda c: F.greatest(F.floor(width / (c["size"] * CHAR_WIDTH)), F.lit(1))
+    fits = F.filter(candidates, lambda c: (c["size"] >= floor_ - 0.01) & (F.ceil(F.length(text) / a_line(c)) * c["size"] * c["line_height"] <= room))
+    return F.get(fits, F.lit(0))
+
+
+def fit_size(plans: DataFrame, least: float = 6.5) -> DataFrame:
+    """Adds fitted_size and fitted_line_height to plans (start struct<size, line_height>, x0, x1, room, text), null where nothing fits."""
+    heights = [F.least(F.col("start.line_height"), F.lit(h)) for h in (9.0, 1.0, 0.94)]
+    fit = first_fit(F.col("start.size"), least, heights, F.col("x1") - F.col("x0"), F.col("room"), F.col("text"))
+    return plans.withColumn("fit", fit).withColumn("fitted_size", F.col("fit.size")).withColumn("fitted_line_height", F.col("fit.line_height")).drop("fit")
+
+
+def fit_overlay(boxes: DataFrame) -> DataFrame:
+    """Adds target (struct<x0, y0, x1, y1>) and overlay_size to boxes (x0, y0, x1, y1, text) of text in images.
+
+    The target is the box with a little room around, at least so large that a word is legible; the size starts at 72 % of its height,
+    within 7.5 and 18, and is null where nothing of 6 points fits.
+    """
+    wide = F.struct((F.col("x0") - 1.5).alias("x0"), (F.col("y0") - 1.5).alias("y0"), (F.col("x1") + 1.5).alias("x1"), (F.col("y1") + 1.5).alias("y1"))
+    small = lambda b: (G.width(b) < 12) | (G.height(b) < 8)
+    grown = lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), (b["x0"] + F.greatest(F.lit(24.0), G.width(b))).alias("x1"), (b["y0"] + F.greatest(F.lit(12.0), G.height(b))).alias("y1"))
+    boxes = boxes.withColumn("target", T.let(wide, lambda b: F.when(small(b), grown(b)).otherwise(b)))
+    height = G.height(F.col("target"))
+    start = F.greatest(F.lit(7.5), F.least(F.lit(18.0), height * 0.72))
+    return boxes.withColumn("overlay_size", first_fit(start, 6.0, [F.lit(1.08)], G.width(F.col("target")), height, F.col("text"))["size"])
 
 
 def distinct_boxes(boxes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -284,15 +308,26 @@ def missing_links(links: DataFrame, present: DataFrame) -> DataFrame:
     return want.join(have, on, "left_anti")
 
 
+#: Ranges of fonts up to which they are made known to all tasks.
+KNOWN_RANGES = 10_000
+
+
 def covering_font(texts: DataFrame, coverage: DataFrame, key: str) -> DataFrame:
     """(key, font): the first font, by priority, that covers all characters of a text but white space, else the first of all.
 
-    coverage (font, priority, first, last) lists ranges of code points; it is a small table of the fonts that are installed.
+    coverage (font, priority, first, last) lists ranges of code points. Each code point that occurs is looked up once, however many
+    texts hold it.
     """
     chars = texts.select(key, F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("c")).where((F.col("c") != "") & ~F.col("c").rlike(f"^{T.SPACE}$"))
     need = chars.select(key, F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long").alias("point"))
-    total = need.groupBy(key).agg(F.count("*").alias("total"))
-    covered = need.join(F.broadcast(coverage), F.col("point").between(F.col("first"), F.col("last"))).groupBy(key, "font", "priority").agg(F.countDistinct("point").alias("n"))
-    full = covered.join(total, key).where("n = total").groupBy(key).agg(F.min_by("font", "priority").alias("font"))
-    spare = coverage.agg(F.min_by("font", "priority").alias("spare"))
-    return texts.select(key).distinct().join(full, key, "left").crossJoin(F.broadcast(spare)).select(key, F.coalesce("font", "spare").alias("font"))
+    fonts = coverage.select("font", "priority").distinct()
+    some = coverage.limit(KNOWN_RANGES + 1).count() <= KNOWN_RANGES
+    met = need.select("point").distinct().join(F.broadcast(coverage) if some else coverage, F.col("point").between(F.col("first"), F.col("last")))
+    by_point = met.groupBy("point").agg(F.collect_set("font").alias("fonts")).withColumnRenamed("point", "point2")
+    each = need.join(by_point, F.col("point") == F.col("point2"), "left").select(key, F.coalesce("fonts", F.array().cast("array<string>")).alias("fonts"))
+    # The fonts that a text has in common to all of its characters: those that are named as often as it has characters.
+    total = each.groupBy(key).agg(F.count("*").alias("total")).withColumnRenamed(key, "__key")
+    named = each.select(key, F.explode("fonts").alias("font")).groupBy(key, "font").agg(F.count("*").alias("n"))
+    full = named.join(total, (F.col(key) == F.col("__key")) & (F.col("n") == F.col("total"))).join(fonts, "font").groupBy(F.col(key).alias("__key")).agg(F.min_by("font", "priority").alias("font"))
+    spare = fonts.agg(F.min_by("font", "priority")).first()[0]
+    return texts.select(key).distinct().join(full, F.col(key) == F.col("__key"), "left").select(key, F.coalesce("font", F.lit(spare)).alias("font"))

@@ -64,6 +64,13 @@ def segment_stats(spark: SparkSession, d: str) -> DataFrame:
     return qa.segment_stats(done, "conv_id")
 
 
+@query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS translated, count(*) FILTER (event_type = 'error') AS rejected, sum(event_id % 3)::BIGINT AS calls FROM events GROUP BY user_id")
+def segment_counters(spark: SparkSession, d: str) -> DataFrame:
+    k, kind = F.col("event_id"), F.col("event_type")
+    state = F.when(kind == "view", "translated").when(kind == "error", "rejected").otherwise("blank")
+    return qa.segment_stats(table(spark, d, "events").select("user_id", state.alias("state"), (k % 3).cast("int").alias("calls")), "user_id")
+
+
 _NODES = "SELECT user_id, event_type = 'purchase' OR event_id % 3 = 0 AS applied, event_id % 7 = 0 AS retried, event_type = 'error' AS rejected, (event_id % 3)::INTEGER AS calls FROM events"
 
 
@@ -219,27 +226,35 @@ def last_write_wins(spark: SparkSession, d: str) -> DataFrame:
     return J.upsert(e, ["user_id"], "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("""
-SELECT event_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), 'default') AS value, CASE WHEN trim(c) = '' THEN trim(c) WHEN regexp_replace(trim(c), '/+$', '') LIKE '%/v1' THEN trim(c) ELSE regexp_replace(trim(c), '/+$', '') || '/v1' END AS url
-FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '  ' WHEN event_id % 3 = 1 THEN ' own ' END AS a, CASE WHEN event_id % 2 = 0 THEN 'old' ELSE '' END AS b, list_extract(['http://x/', 'http://x/v1/', '  ', 'http://y/api'], (event_id % 4 + 1)::INTEGER) AS c FROM events)
+_CONFIG = """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '  ' WHEN page_id % 3 = 1 THEN ' ' || url || ' ' END AS a, CASE WHEN page_id % 2 = 0 THEN split_part(url, '/', 4) ELSE '' END AS b,
+  CASE WHEN page_id % 5 = 4 THEN '  ' ELSE ' ' || url || CASE WHEN page_id % 4 = 1 THEN '/v1' ELSE '' END || repeat('/', (page_id % 3)::INTEGER) END AS c FROM pages"""
+
+
+@query(f"""
+SELECT page_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), 'default') AS value, CASE WHEN trim(c) = '' OR regexp_replace(trim(c), '/+$', '') LIKE '%/v1' THEN trim(c) ELSE regexp_replace(trim(c), '/+$', '') || '/v1' END AS url FROM ({_CONFIG})
 """)
 def config_lookup(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id")
-    a, b = F.when(k % 3 == 0, "  ").when(k % 3 == 1, " own "), F.when(k % 2 == 0, "old").otherwise("")
-    c = F.get(F.array(*map(F.lit, ("http://x/", "http://x/v1/", "  ", "http://y/api"))), (k % 4).cast("int"))
-    return table(spark, d, "events").select("event_id", T.first_set(a, b, F.lit("default")).alias("value"), T.base_url(c).alias("url"))
+    k, url = F.col("page_id"), F.col("url")
+    a, b = F.when(k % 3 == 0, "  ").when(k % 3 == 1, F.concat(F.lit(" "), url, F.lit(" "))), F.when(k % 2 == 0, F.split_part(url, F.lit("/"), F.lit(4))).otherwise("")
+    c = F.when(k % 5 == 4, "  ").otherwise(F.concat(F.lit(" "), url, F.when(k % 4 == 1, "/v1").otherwise(""), F.repeat(F.lit("/"), (k % 3).cast("int"))))
+    return table(spark, d, "pages").select("page_id", T.first_set(a, b, F.lit("default")).alias("value"), T.base_url(c).alias("url"))
 
 
-_OCR = ["[100.4, 250, 600, 750]", "[-5, 0, 2000, 10]", "[9, 9, 9, 20]", "[1, 2, 3]"]
-_OCR_BOX = {0: (100, 250, 600, 750), 1: (0, 0, 1000, 10)}
+_OCR = """SELECT *, l_partkey % 1300 - 150 + 0.5 * (l_linenumber % 2) AS bx1, l_suppkey % 1200 - 100 + 0.25::DOUBLE AS by1, l_partkey % 1300 - 150 + l_orderkey % 400 - 50 + 0.75::DOUBLE AS bx2, l_suppkey % 1200 - 100 + l_partkey % 90 - 10 + 0.5 AS by2 FROM lineitem"""
 
 
-@query("SELECT doc_id, 'w' || doc_id AS text, x1, y1, x2, y2 FROM documents JOIN (VALUES " + ", ".join(f"({k}, {', '.join(map(str, v))})" for k, v in _OCR_BOX.items()) + ") t(n, x1, y1, x2, y2) ON doc_id % 4 = n")
+@query(f"""
+SELECT * FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linenumber AS text, {", ".join(f"greatest(0, least(1000, round_even(b{k}, 0)))::INTEGER AS {k}" for k in ("x1", "y1", "x2", "y2"))} FROM ({_OCR}) WHERE l_linenumber <> 4 AND l_linenumber <> 6) WHERE x2 > x1 AND y2 > y1
+""")
 def ocr_rows(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id")
-    box = F.get(F.array(*map(F.lit, _OCR)), (k % 4).cast("int"))
-    reply = F.concat(F.lit('```json\n{"blocks": [{"text": " w'), k.cast("string"), F.lit(' ", "bbox": '), box, F.lit('}, {"text": "", "bbox": [0, 0, 5, 5]}]}\n```'))
-    return table(spark, d, "documents").select("doc_id", F.explode(ocr_blocks(reply)).alias("b")).select("doc_id", "b.*")
+    """Replies about one image each: a block with a box worked out from the row, blank in every fourth line, of three numbers in every sixth."""
+    line = F.col("l_linenumber")
+    x1, y1 = F.col("l_partkey") % 1300 - 150 + 0.5 * (line % 2), F.col("l_suppkey") % 1200 - 100 + 0.25
+    box = F.array(x1, y1, F.col("l_partkey") % 1300 - 150 + F.col("l_orderkey") % 400 - 50 + 0.75, F.col("l_suppkey") % 1200 - 100 + F.col("l_partkey") % 90 - 10 + 0.5)
+    text = F.when(line == 4, " \n").otherwise(F.concat(F.lit(" "), "l_returnflag", line.cast("string"), F.lit(" ")))
+    block = F.struct(text.alias("text"), F.when(line == 6, F.slice(box, 1, 3)).otherwise(box).alias("bbox"))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(block).alias("blocks"))), F.lit("\n```"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(ocr_blocks(reply)).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
 
 
 def ocr_blocks(reply):
@@ -252,11 +267,17 @@ def ocr_blocks(reply):
     return F.filter(rows, lambda r: (r["x2"] > r["x1"]) & (r["y2"] > r["y1"]))
 
 
-@query("SELECT n_nationkey, n_name || '/' || r_name AS path FROM nation CROSS JOIN region WHERE n_regionkey = r_regionkey AND NOT n_name LIKE 'A%' ORDER BY path LIMIT 10")
+_SUFFIXES = [".txt", ".PDF", ".csv", ".docx", "", ".ppt", ".md", ".pptx.bak", ".Doc"]
+
+
+@query(f"""
+SELECT doc_id, path FROM (SELECT doc_id, 'in/' || coalesce(source, 'none') || '/' || lang || '.' || doc_id || list_extract([{", ".join(map(S.lit, _SUFFIXES))}], (doc_id % {len(_SUFFIXES)} + 1)::INTEGER) AS path FROM documents) WHERE {S.among(S.suffix("path"), fixed.DOCUMENT_SUFFIXES)}
+""")
 def directory_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten paths in order, as a report shows them."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).where(~F.startswith("n_name", F.lit("A"))).select("n_nationkey", F.concat("n_name", F.lit("/"), "r_name").alias("path")).orderBy("path").limit(10)
+    """The supported files of a folder with one for each document, in order."""
+    kind = F.get(F.array(*map(F.lit, _SUFFIXES)), (F.col("doc_id") % len(_SUFFIXES)).cast("int"))
+    path = F.concat(F.lit("in/"), F.coalesce("source", F.lit("none")), F.lit("/"), "lang", F.lit("."), F.col("doc_id").cast("string"), kind)
+    return J.discover(table(spark, d, "documents").select("doc_id", path.alias("path")))
 
 
 @query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || ',\"stats_kind\":\"text\"}' AS sidecar FROM documents")
@@ -265,11 +286,18 @@ def stats_sidecar(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", qa.sidecar(s, "text").alias("sidecar"))
 
 
-@query("SELECT doc_id, list_extract(['fr', 'de', 'en', NULL], (doc_id % 4 + 1)::INTEGER) AS code FROM documents")
+_CODE_IN = r"(?i:(?:^|[^\p{L}\p{N}_])([a-z][a-z])(?:[-_][a-z][a-z])?(?:$|[^\p{L}\p{N}_]))"
+
+
+@query(f"""
+SELECT doc_id, coalesce(nullif(lower(regexp_extract(a, {S.lit(_CODE_IN)}, 1)), ''), nullif(lower(regexp_extract(b, {S.lit(_CODE_IN)}, 1)), '')) AS code
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN upper(lang) || '_XX' WHEN 1 THEN 'language' || lang WHEN 2 THEN '(' || lang || ')' END AS a, text AS b FROM documents)
+""")
 def metadata_language(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    a, b = F.when(k == 0, "fr-FR").when(k == 1, ""), F.when(k == 1, "lang: DE").when(k == 3, "french only").otherwise("report EN_us")
-    return table(spark, d, "documents").select("doc_id", T.metadata_language(a, b).alias("code"))
+    """A field with the language in some form, or none, before the text itself."""
+    k, lang = F.col("doc_id") % 4, F.col("lang")
+    a = F.when(k == 0, F.concat(F.upper(lang), F.lit("_XX"))).when(k == 1, F.concat(F.lit("language"), lang)).when(k == 2, F.concat(F.lit("("), lang, F.lit(")")))
+    return table(spark, d, "documents").select("doc_id", T.metadata_language(a, F.col("text")).alias("code"))
 
 
 @query("""

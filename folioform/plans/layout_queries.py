@@ -141,7 +141,15 @@ def hyphen_merge(spark: SparkSession, d: str) -> DataFrame:
     return Y.blocks(Y.reading_order(Y.detect_columns(broken))).select("doc_id", "page_index", "block_no", F.length("text").cast("long").alias("text_len"), "line_count")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT doc_id, page_index, line_id, y0, y1 FROM ({_BOXES})),
+r(doc_id, page_index, line_no, heads, row_no) AS (
+  SELECT doc_id, page_index, 0, [{{'y0': y0, 'y1': y1}}], 0 FROM b WHERE line_id = 0
+  UNION ALL SELECT r.doc_id, r.page_index, r.line_no + 1, CASE WHEN place IS NULL THEN list_append(r.heads, {{'y0': b.y0, 'y1': b.y1}}) ELSE r.heads END, coalesce(place - 1, len(r.heads))
+  FROM r JOIN b ON b.doc_id = r.doc_id AND b.page_index = r.page_index AND b.line_id = r.line_no + 1,
+    LATERAL (SELECT list_position(list_transform(r.heads, lambda h: greatest(0.0, least(h.y1, b.y1) - greatest(h.y0, b.y0)) / greatest(1.0, least(h.y1 - h.y0, b.y1 - b.y0)) >= 0.6), true) AS place) l)
+SELECT doc_id, page_index, line_no::INTEGER AS line_no, row_no::INTEGER AS row_no FROM r
+""")
 def row_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Rows of lines by overlapping heights."""
     pages = placed(spark, d).groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("line_id", "y0", "y1"))).alias("b"))
@@ -173,12 +181,27 @@ def side_clearance(spark: SparkSession, d: str) -> DataFrame:
     return Y.room_beside(b, b)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT doc_id, page_index, line_id AS block_id, x0, y0, x1, y1 FROM ({_BOXES})),
+a AS (SELECT doc_id, page_index, block_id // 5 AS n, x0, y0, x1, y1 FROM b WHERE block_id % 5 = 0),
+r(doc_id, page_index, block_id, n, x0, y0, x1, y1) AS (
+  SELECT doc_id, page_index, block_id, 0, x0, y0 - 2.0, x1, y1 + 5.0 FROM b WHERE block_id % 5 <> 0
+  UNION ALL SELECT r.doc_id, r.page_index, r.block_id, r.n + 1,
+    CASE WHEN hit AND NOT stacked AND side AND NOT (r.x0 < a.x0 AND a.x0 < r.x1) AND r.x0 < a.x1 AND a.x1 < r.x1 THEN greatest(r.x0, a.x1 + 0.25) ELSE r.x0 END,
+    CASE WHEN hit AND stacked AND NOT (r.y0 < a.y0 AND a.y0 < r.y1) AND r.y0 < a.y1 AND a.y1 < r.y1 THEN greatest(r.y0, a.y1 + 0.25) ELSE r.y0 END,
+    CASE WHEN hit AND NOT stacked AND side AND r.x0 < a.x0 AND a.x0 < r.x1 THEN least(r.x1, a.x0 - 0.25) ELSE r.x1 END,
+    CASE WHEN hit AND stacked AND r.y0 < a.y0 AND a.y0 < r.y1 THEN least(r.y1, a.y0 - 0.25) ELSE r.y1 END
+  FROM r JOIN a ON a.doc_id = r.doc_id AND a.page_index = r.page_index AND a.n = r.n,
+    LATERAL (SELECT greatest(0.0, least(r.x1, a.x1) - greatest(r.x0, a.x0)) AS across, greatest(0.0, least(r.y1, a.y1) - greatest(r.y0, a.y0)) AS down) o,
+    LATERAL (SELECT across > 0 AND down > 0 AS hit, across / greatest(1.0, least(r.x1 - r.x0, a.x1 - a.x0)) >= 0.25 AS stacked, down / greatest(1.0, least(r.y1 - r.y0, a.y1 - a.y0)) >= 0.25 AS side) t),
+f AS (SELECT r.* FROM r LEFT JOIN a ON a.doc_id = r.doc_id AND a.page_index = r.page_index AND a.n = r.n WHERE a.n IS NULL)
+SELECT doc_id, page_index, block_id, x0, y0, x1, y1 FROM f
+""")
 def redaction_trim(spark: SparkSession, d: str) -> DataFrame:
     """Boxes grown a little and cut back from every fifth line's box."""
     b = placed(spark, d).withColumn("block_id", F.col("line_id"))
     grown = b.withColumn("y1", F.col("y1") + 5.0).withColumn("y0", F.col("y0") - 2.0)
-    return Y.trim_redactions(grown.where("block_id % 5 <> 0"), b.where("block_id % 5 = 0"))
+    return Y.trim_redactions(grown.where("block_id % 5 <> 0"), b.where("block_id % 5 = 0")).drop("usable")
 
 
 @query(f"""
@@ -235,13 +258,35 @@ def box_growth(spark: SparkSession, d: str) -> DataFrame:
     return b.select("p_partkey", F.round("g.extra_width", 6).alias("extra_width"), F.round("g.height", 6).alias("height"), "z.size", "z.line_height")
 
 
-@query()
+def _first_fit(start: str, least: str, heights: str, width: str, room: str, text: str) -> str:
+    sizes = f"list_transform(range(0, greatest(ceil(ln({start} / least({start}, {least})) / -ln(0.92::DOUBLE)), 0)::BIGINT + 1), lambda k: {start} * pow(0.92::DOUBLE, k))"
+    fits = f"list_filter(flatten(list_transform({heights}, lambda h: list_transform({sizes}, lambda z: {{'z': z, 'h': h}}))), lambda c: c.z >= least({start}, {least}) - 0.01 AND ceil(length({text}) / greatest(floor({width} / (c.z * 0.5::DOUBLE)), 1)) * c.z * c.h <= {room})"
+    return f"list_extract({fits}, 1)"
+
+
+@query(f"""
+SELECT doc_id, page_index, line_id, round(f.z, 4) AS fitted_size, f.h AS fitted_line_height FROM (
+  SELECT doc_id, page_index, line_id, {_first_fit("s", "6.5::DOUBLE", "[1.18::DOUBLE, 1.0::DOUBLE, 0.94::DOUBLE]", "w", "36.0::DOUBLE", "text")} AS f FROM (SELECT *, greatest(6.5, least(font_size, 28.0))::DOUBLE AS s FROM ({_BOXES})))
+""")
 def fitted_sizes_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Largest size at which a line's text, by an estimated width, fits a box of three lines' height."""
     p = placed(spark, d).withColumn("start", G.start_size(F.lit("paragraph"), F.col("font_size"))).withColumn("room", F.lit(36.0))
     return Y.fit_size(p).select("doc_id", "page_index", "line_id", F.round("fitted_size", 4).alias("fitted_size"), "fitted_line_height")
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, page_index, line_id, text, x0 - 1.5 AS x0, y0 - 1.5 AS y0, CASE WHEN w + 3 < 12 OR h + 3 < 8 THEN greatest(24.0, w + 3) ELSE w + 3 END::DOUBLE AS w, CASE WHEN w + 3 < 12 OR h + 3 < 8 THEN greatest(12.0, h + 3) ELSE h + 3 END::DOUBLE AS h
+  FROM (SELECT doc_id, page_index, line_id, text, x0, y0, CASE WHEN m % 4 = 0 THEN (m % 16)::DOUBLE ELSE w END AS w, (m % 60)::DOUBLE AS h FROM ({_BOXES})))
+SELECT doc_id, page_index, line_id, x0, y0, w, h, round(f.z, 4) AS overlay_size FROM (SELECT *, {_first_fit("s", "6.0::DOUBLE", "[1.08::DOUBLE]", "w", "h", "text")} AS f FROM (SELECT *, greatest(7.5, least(18.0, h * 0.72))::DOUBLE AS s FROM t))
+""")
+def overlay_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes at which lines fit boxes of many heights, as over text in images."""
+    m = F.col("m")
+    p = placed(spark, d).withColumn("x1", F.col("x0") + F.when(m % 4 == 0, (m % 16).cast("double")).otherwise(F.col("w"))).withColumn("y1", F.col("y0") + (m % 60).cast("double"))
+    o = Y.fit_overlay(p)
+    return o.select("doc_id", "page_index", "line_id", "target.x0", "target.y0", G.width(F.col("target")).alias("w"), G.height(F.col("target")).alias("h"), F.round("overlay_size", 4).alias("overlay_size"))
+
+
 @query("""
 SELECT event_id, round(CASE WHEN now > room + 1 THEN greatest(0.85, room / now) ELSE 1.0 END, 6)::DOUBLE AS squeeze, size, now * 0.85 > room + 1 AS clipped FROM (
   SELECT *, w * size / 20.0 AS now FROM (SELECT *, 20.0 - least(ceil((20.0 - 14.4) / 0.25), greatest(ceil((20.0 - (room + 1) * 20.0 / w) / 0.25), 0)) * 0.25 AS size FROM (SELECT event_id, (100 + event_id % 200)::DOUBLE AS w, 120.0::DOUBLE AS room FROM events)))
@@ -281,30 +326,34 @@ _RANGES = [("latin", 1, 0, 255), ("wide", 2, 0, 0x24F), ("symbols", 3, 0x2000, 0
 
 
 @query("""
-SELECT doc_id, CASE WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{ff}]') THEN 'latin' WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{24f}]') THEN 'wide' ELSE 'latin' END AS font FROM (SELECT doc_id, left(text, 200) || list_extract(['', 'ł', '→', 'ж'], (doc_id % 4 + 1)::INTEGER) AS t FROM documents)
+SELECT doc_id, CASE WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{ff}]') THEN 'latin' WHEN NOT regexp_matches(t, '[^\\x{0}-\\x{24f}]') THEN 'wide' ELSE 'latin' END AS font FROM (SELECT doc_id, text || list_extract(['', 'ł', '→', 'ж'], (doc_id % 4 + 1)::INTEGER) AS t FROM documents)
 """)
 def font_coverage(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", F.concat("text", F.get(F.array(*map(F.lit, ("", "ł", "→", "ж"))), (F.col("doc_id") % 4).cast("int"))).alias("text"))
     return Y.covering_font(t, spark.createDataFrame(_RANGES, "font string, priority int, first long, last long"), "doc_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, list_extract(['a', 'bb', 'ccc'], 3) AS text, (l_quantity % 4)::DOUBLE AS size FROM lineitem")
+@query(f"""
+SELECT conv_id, sha256(arg_max(text, (length({S.strip("text")}), size, -turn))) AS text, arg_max(size, (length({S.strip("text")}), size, -turn)) AS size, max(size) AS largest
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '  ' || text || ' ' ELSE text END AS text, (9 + (conv_id + turn) % 4)::DOUBLE AS size FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn + 100, text FROM conversations)) GROUP BY conv_id
+""")
 def style_spans(spark: SparkSession, d: str) -> DataFrame:
-    span = lambda text, size: F.struct(F.lit(text).alias("text"), size.alias("size"))
-    q = F.col("l_quantity") % 4
-    s = Y.style_span(F.array(span("a", q + 9), span(" bb  ", q + 5), span("ccc", q - 1), span("ccc", q), span("ccc", q)))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s["text"].alias("text"), s["size"].alias("size"))
+    """The turns of a conversation, each twice, as the spans of a block."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    c = c.union(c.withColumn("turn", F.col("turn") + 100)).withColumn("text", F.when(F.col("turn") % 3 == 1, F.concat(F.lit("  "), "text", F.lit(" "))).otherwise(F.col("text")))
+    spans = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", (9.0 + (F.col("conv_id") + F.col("turn")) % 4).alias("size")))).alias("s"))
+    span = Y.style_span(F.col("s"))
+    return spans.select("conv_id", F.sha2(span["text"], 256).alias("text"), span["size"].alias("size"), F.array_max(F.transform("s", lambda x: x["size"])).alias("largest"))
 
 
 @query("""
-SELECT n_nationkey, (n_nationkey * 12.5)::DOUBLE AS width, n_nationkey % 3 AS pages FROM (SELECT n_nationkey::INTEGER AS n_nationkey FROM nation) WHERE n_nationkey > 0 AND n_nationkey % 3 > 0
+SELECT l_orderkey, l_linenumber AS page_no, l_quantity * 12.5 AS width, (l_linenumber * 100 + l_suppkey % 7)::DOUBLE AS height FROM lineitem WHERE l_returnflag <> 'R' AND l_suppkey % 5 <> 0
 """)
 def image_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of converted files that have a size and a background image."""
+    """Pages of converted files that have a size and a background image: one file an order, one div a line of it."""
     from ..sources import html
 
-    k = F.col("n_nationkey")
-    div = F.concat(F.lit('<div id="page1-div" style="position:relative;width:'), (k * 12.5).cast("string"), F.lit('px;height:100px;">\n<img src="b.png"/></div>'))
-    page = F.concat(F.lit("<body>"), F.repeat(div, (k % 3).cast("int")), F.lit('<div id="page9-div" style="width:5px;height:5px;">text</div></body>'))
-    found = html.image_pages(table(spark, d, "nation").select("n_nationkey", page.alias("html")), "n_nationkey")
-    return found.groupBy("n_nationkey", "width").agg(F.count("*").cast("int").alias("pages"))
+    size = F.format_string("position:relative;width:%spx;%s", (F.col("l_quantity") * 12.5).cast("string"), F.when(F.col("l_suppkey") % 5 != 0, F.format_string("height:%dpx;", F.col("l_linenumber") * 100 + F.col("l_suppkey") % 7)).otherwise(""))
+    div = F.format_string('<div id="page%d-div" style="%s">%s</div>', F.col("l_linenumber"), size, F.when(F.col("l_returnflag") == "R", "text <b>only</b>").otherwise('\n<img src="b.png"/>'))
+    pages = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", div.alias("div")))), lambda x: x["div"]), "\n").alias("html"))
+    return html.image_pages(pages, "l_orderkey")

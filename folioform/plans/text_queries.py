@@ -84,52 +84,63 @@ _MARKS = ["- ", "•\t", "* ", "", "1. ", "· ", " ‣ ", "-"]
 
 
 @query(f"""
-SELECT doc_id, {S.like("t", T.BULLET)} AS is_bullet, left({S.sub("t", T.BULLET)}, 40) AS body
-FROM (SELECT doc_id, list_extract([{", ".join(map(S.lit, _MARKS))}], (doc_id % {len(_MARKS)} + 1)::INTEGER) || text AS t FROM documents)
+SELECT doc_id, line_no, {S.like("t", T.BULLET)} AS is_bullet, sha256({S.sub("t", T.BULLET)}) AS body
+FROM (SELECT doc_id, line_no, list_extract([{", ".join(map(S.lit, _MARKS))}], ((doc_id + line_no) % {len(_MARKS)} + 1)::INTEGER) || line AS t FROM ({_LINES}))
 """)
 def bullet_strip(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.get(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % len(_MARKS)).cast("int")), "text")
-    return table(spark, d, "documents").select("doc_id", T.is_bullet(t).alias("is_bullet"), F.left(T.without_bullet(t), F.lit(40)).alias("body"))
+    t = F.concat(F.get(F.array(*map(F.lit, _MARKS)), ((F.col("doc_id") + F.col("line_no")) % len(_MARKS)).cast("int")), "line")
+    return L.lines(table(spark, d, "documents")).select("doc_id", "line_no", T.is_bullet(t).alias("is_bullet"), F.sha2(T.without_bullet(t), 256).alias("body"))
 
 
 @query(f"""
 SELECT doc_id, line_no, sha256(array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || CASE WHEN i <= len(m) THEN 'ZXQNT' || (i - 1) || 'QXZ' ELSE '' END), '')) AS masked, len(m)::BIGINT AS n_masks
-FROM (SELECT doc_id, line_no, string_split_regex(line, {S.lit(masking.EMAIL)}) AS b, regexp_extract_all(line, {S.lit(masking.EMAIL)}) AS m FROM ({_LINES}) WHERE NOT {S.like("line", r"https?://|www\.|(?:^|[^A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])@")})
+FROM (SELECT doc_id, line_no, string_split_regex(line, {S.lit(masking.EMAIL)}) AS b, regexp_extract_all(line, {S.lit(masking.EMAIL)}) AS m FROM ({_LINES}))
 """)
 def mask_email(spark: SparkSession, d: str) -> DataFrame:
-    some = L.lines(table(spark, d, "documents")).where(~F.col("line").rlike(r"https?://|www\.|(?:^|[^A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])@"))
-    m = some.withColumn("m", masking.mask(F.col("line")))
+    """Addresses alone masked in all lines; mask_roundtrip covers links and handles, which need lookarounds."""
+    m = L.lines(table(spark, d, "documents")).withColumn("m", masking.mask(F.col("line"), masking.EMAIL))
     return m.select("doc_id", "line_no", F.sha2("m.masked", 256).alias("masked"), F.size("m.replacements").cast("long").alias("n_masks"))
 
 
+@query("SELECT page_id, true AS restored_equal, true AS spaced_equal FROM pages")
+def mask_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages with an address, a link and a handle masked and put back: the page again, also from spaced tokens."""
+    p = _marked_pages(spark, d)
+    spaced = F.regexp_replace("masked", "ZXQNT", "zxqnt ")
+    return p.select("page_id", (masking.unmask(F.col("masked"), F.col("replacements")) == F.col("text")).alias("restored_equal"), (masking.unmask(spaced, F.col("replacements")) == F.col("text")).alias("spaced_equal"))
+
+
+def _marked_pages(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat("html", F.lit(" ("), F.col("url"), F.lit("). Contact @user"), F.col("page_id").cast("string"), F.lit(" or a.b"), F.col("page_id").cast("string"), F.lit("@example.org, please."))
+    m = table(spark, d, "pages").select("page_id", text.alias("text")).withColumn("m", masking.mask(F.col("text")))
+    return m.select("page_id", "text", "m.masked", "m.replacements")
+
+
 @query()
 def mask_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses, links and handles of pages masked and put back."""
-    p = table(spark, d, "pages")
-    text = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" ("), F.col("url"), F.lit("). Contact @user"), F.col("page_id").cast("string"), F.lit(" or a.b"), F.col("page_id").cast("string"), F.lit("@example.org, please."))
-    m = p.select("page_id", text.alias("text")).withColumn("m", masking.mask(F.col("text")))
-    m = m.select("page_id", "text", "m.masked", "m.replacements")
-    spaced = F.regexp_replace("masked", "ZXQNT", "zxqnt ")
-    return m.select(
-        "page_id", "masked", F.size("replacements").cast("long").alias("n_masks"), (masking.unmask(F.col("masked"), F.col("replacements")) == F.col("text")).alias("restored_equal"), (masking.unmask(spaced, F.col("replacements")) == F.col("text")).alias("spaced_equal"),
-        P.unmasked_text(F.col("masked")).alias("translatable"), P.contact_identity(F.col("masked")).alias("identity"),
-    )
+    """Addresses, links and handles of whole pages masked."""
+    return _marked_pages(spark, d).select("page_id", F.sha2("masked", 256).alias("masked"), "replacements", P.unmasked_text(F.col("masked")).alias("translatable"), P.contact_identity(F.col("masked")).alias("identity"))
 
 
 _STARTS = ["", "[12] ", "3. Xy ", "References ", "Figure 2 ", "page 3", "12345", "doi:10.1/x ", "http://a.b ", "2.1 Methods ", "Smith (2019) doi: ", "fig.a ", "Keywords: ", "Bibliography:"]
-_STARTED = f"SELECT doc_id, list_extract([{', '.join(map(S.lit, _STARTS))}], (doc_id % {len(_STARTS)} + 1)::INTEGER) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 30) END AS t FROM documents"
+_STARTED = f"SELECT doc_id, line_no, list_extract([{', '.join(map(S.lit, _STARTS))}], ((doc_id + line_no) % {len(_STARTS)} + 1)::INTEGER) || line AS t FROM ({_LINES})"
 
 
-def _started(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id")
-    t = F.concat(F.get(F.array(*map(F.lit, _STARTS)), (k % len(_STARTS)).cast("int")), F.when(k % 3 == 0, "").otherwise(F.left("text", F.lit(30))))
-    return table(spark, d, "documents").select("doc_id", t.alias("t"))
+@query(f"SELECT doc_id, line_no, {S.reference_line('t')} AS reference_line, {S.reference_heading('t')} AS reference_heading, {S.starts_structure('t')} AS starts_structure, {S.header_or_footer('t')} AS header_or_footer FROM ({_STARTED})")
+def line_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The rules on whole lines, which begin with one of some marks."""
+    mark = F.get(F.array(*map(F.lit, _STARTS)), ((F.col("doc_id") + F.col("line_no")) % len(_STARTS)).cast("int"))
+    t = F.col("t")
+    started = L.lines(table(spark, d, "documents")).select("doc_id", "line_no", F.concat(mark, "line").alias("t"))
+    return started.select("doc_id", "line_no", P.reference_line(t).alias("reference_line"), P.reference_heading(t).alias("reference_heading"), P.starts_structure(t).alias("starts_structure"), P.header_or_footer(t).alias("header_or_footer"))
 
 
-@query(f"SELECT doc_id, {S.reference_line('t')} AS reference_line, {S.reference_heading('t')} AS reference_heading, {S.starts_structure('t')} AS starts_structure, {S.header_or_footer('t')} AS header_or_footer FROM ({_STARTED})")
-def line_rules(spark: SparkSession, d: str) -> DataFrame:
+@query(f"SELECT doc_id, n, {S.reference_line('t')} AS reference_line, {S.reference_heading('t')} AS reference_heading, {S.header_or_footer('t')} AS header_or_footer FROM (SELECT doc_id, n, list_extract([{', '.join(map(S.lit, _STARTS))}], n) AS t FROM documents, (SELECT unnest(range(1, {len(_STARTS)} + 1)) AS n))")
+def bare_line_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The rules on the marks alone, which are lines of their own as often."""
     t = F.col("t")
-    return _started(spark, d).select("doc_id", P.reference_line(t).alias("reference_line"), P.reference_heading(t).alias("reference_heading"), P.starts_structure(t).alias("starts_structure"), P.header_or_footer(t).alias("header_or_footer"))
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(F.array(*map(F.lit, _STARTS))).alias("n", "t"))
+    return each.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), P.reference_line(t).alias("reference_line"), P.reference_heading(t).alias("reference_heading"), P.header_or_footer(t).alias("header_or_footer"))
 
 
 @query(f"SELECT doc_id, line_no, {S.sentence_boundary('line', 'nxt')} AS boundary FROM (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM ({_LINES})) WHERE nxt IS NOT NULL")
@@ -168,7 +179,17 @@ def detection_sample_filter(spark: SparkSession, d: str) -> DataFrame:
     return L.detection_candidates(_blocks(spark, d), "line_no")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT doc_id, line_no, text, kind FROM ({_BLOCKS})),
+c AS (SELECT doc_id, rank, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rank FROM b WHERE length(text) >= 24 AND NOT {S.not_sampled("text", "kind")}) WHERE rank <= 36),
+f(doc_id, rank, chunk_no, held, chars) AS (
+  SELECT doc_id, rank, 0, text, length(text) FROM c WHERE rank = 1
+  UNION ALL SELECT c.doc_id, c.rank, CASE WHEN f.chars >= 320 THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN f.chars >= 320 THEN c.text ELSE f.held || ' ' || c.text END, CASE WHEN f.chars >= 320 THEN length(c.text) ELSE f.chars + length(c.text) END
+  FROM f JOIN c ON c.doc_id = f.doc_id AND c.rank = f.rank + 1),
+s AS (SELECT doc_id, chunk_no, max(length(held)) AS chunk_len FROM f WHERE chunk_no < 18 GROUP BY doc_id, chunk_no),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS chunk_no, length(text) AS chunk_len FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM b) WHERE pos <= 18 AND text <> '' AND doc_id NOT IN (SELECT doc_id FROM c))
+SELECT doc_id, chunk_no::INTEGER AS chunk_no, chunk_len::BIGINT AS chunk_len FROM s UNION ALL SELECT doc_id, chunk_no::INTEGER, chunk_len::BIGINT FROM p
+""")
 def detection_sample_chunks(spark: SparkSession, d: str) -> DataFrame:
     return L.detection_samples(_blocks(spark, d), "line_no").select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("chunk_len"))
 
@@ -251,7 +272,7 @@ def expansion_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, {S.sub("left(text, 60)", r"[^\p{L}\p{N}_-]", "_")} AS safe, {S.like("text", r"[^\x{0}-\x{ff}]|•")} AS unicode_font,
+SELECT doc_id, sha256({S.sub("text", r"[^\p{L}\p{N}_-]", "_")}) AS safe, {S.like("text", r"[^\x{0}-\x{ff}]|•")} AS unicode_font,
   translate(text, '“’✓', '"''✔') = text AS plain, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped,
   lower(substr(text, 1, 3)) LIKE '%bd' OR lower(text) LIKE '%bold%' AS bold
 FROM documents
@@ -259,25 +280,23 @@ FROM documents
 def text_forms(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select(
-        "doc_id", F.regexp_replace(F.left(t, F.lit(60)), r"[^\p{L}\p{N}_-]", "_").alias("safe"), T.needs_unicode_font(t).alias("unicode_font"), (T.sanitized(t) == t).alias("plain"), F.sha2(T.html_escape(t), 256).alias("escaped"),
+        "doc_id", F.sha2(F.regexp_replace(t, r"[^\p{L}\p{N}_-]", "_"), 256).alias("safe"), T.needs_unicode_font(t).alias("unicode_font"), (T.sanitized(t) == t).alias("plain"), F.sha2(T.html_escape(t), 256).alias("escaped"),
         (F.endswith(F.lower(F.substring(t, 1, 3)), F.lit("bd")) | F.contains(F.lower(t), F.lit("bold"))).alias("bold"),
     )
 
 
-_REPLIES = [
-    '```json\n{"0": "uno", "1": "dos"}\n```',
-    '{"0": "plain \\"quoted\\""}',
-    'Sure: {"0": "broken", "1": "tail',
-    "no json at all",
-    '```\n{"7": "x"}\n```',
-]
-_REPLIED = {0: [("0", "uno"), ("1", "dos")], 1: [("0", 'plain "quoted"')], 2: [("0", "broken")], 3: [], 4: [("7", "x")]}
-
-
-@query("SELECT doc_id, k AS key, v AS value FROM documents JOIN (VALUES " + ", ".join(f"({n}, '{k}', {S.lit(v)})" for n, kv in _REPLIED.items() for k, v in kv) + f") t(n, k, v) ON doc_id % {len(_REPLIES)} = n")
+# Replies of a model about one turn: fenced JSON, bare JSON, JSON that breaks off after its first pair, no JSON.
+@query(f"""
+SELECT conv_id, turn, turn::VARCHAR AS key, sha256(replace(text, chr(92), '')) AS value FROM conversations WHERE (conv_id + turn) % 4 <> 3
+""")
 def reply_parse(spark: SparkSession, d: str) -> DataFrame:
-    r = F.get(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % len(_REPLIES)).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.explode(T.reply_map(r)).alias("key", "value"))
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    text = F.replace("text", F.lit("\\"), F.lit(""))
+    whole = F.to_json(F.create_map(F.col("turn").cast("string"), text))
+    broken = F.concat(F.lit('Sure: {"'), F.col("turn").cast("string"), F.lit('": "'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('", "999": "tail'))
+    reply = F.when(k == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k == 1, whole).when(k == 2, broken).otherwise(F.concat(F.lit("no json: "), F.regexp_replace(text, '"', "'")))
+    c = table(spark, d, "conversations").select("conv_id", "turn", reply.alias("reply"))
+    return c.select("conv_id", "turn", F.explode(T.reply_map(F.col("reply"))).alias("key", "value")).select("conv_id", "turn", "key", F.sha2("value", 256).alias("value"))
 
 
 @query("""
@@ -338,7 +357,7 @@ def first_run_projection(spark: SparkSession, d: str) -> DataFrame:
     return files.written_runs(r, t, ("conv_id", "para")).select("conv_id", "para", "run", F.sha2("new_text", 256).alias("new_text"))
 
 
-@query()
+@query("SELECT doc_id, sha256(CASE doc_id % 3 WHEN 2 THEN 'é“ ' || text WHEN 1 THEN chr(65279) || text ELSE text END) AS sha FROM documents")
 def charset_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Texts written in several charsets and read back."""
     docs = table(spark, d, "documents")
