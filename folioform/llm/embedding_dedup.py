@@ -1,7 +1,7 @@
 """Embedding near-dedup: random-hyperplane signatures in several tables, exact cosines, distributed connected components.
 
 Equal vectors of a label are one member of the search. Each table cuts the members of a label by the signs of their products with
-its random hyperplanes. Members that share a bucket in some table are first compared by a sketch, the signs for 64 more hyperplanes:
+its random hyperplanes. Members that share a bucket in some table are first compared by a sketch, the signs for 128 more hyperplanes:
 pairs whose sketches are farther apart than pairs at the threshold are by any real chance do not count. What is left connects members
 to clusters, of which a task sends on spanning forests only. All links of a member lie within its cluster, so its vector is sent
 there once, and the cluster's pairs are compared exactly, in double precision, in blocks. A cluster of very many members is compared
@@ -25,12 +25,15 @@ THRESHOLD = 0.98
 #: Chance that a pair exactly at the threshold meets in no table, or is told apart by its sketches; pairs above it are missed more rarely.
 MISS = 1e-6
 #: Members of a bucket that the number of hyperplanes aims at, were the vectors of the largest label spread evenly.
-BUCKET = 64
+BUCKET = 128
+#: Hyperplanes of a sketch.
+SKETCH = 128
 #: Members of a bucket or cluster that are compared in one piece.
 BLOCK = 512
 #: Members of a cluster up to which it is compared as a whole.
 CLUSTER = 8192
 SEED = 11
+_WORDS = [f"sketch{k}" for k in range(SKETCH // 64)]
 
 
 def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int, int]:
@@ -41,7 +44,7 @@ def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int,
     tail, most = 1.0, -1
     while tail > miss / 2:
         most += 1
-        tail -= math.comb(64, most) * apart**most * (1 - apart) ** (64 - most)
+        tail -= math.comb(SKETCH, most) * apart**most * (1 - apart) ** (SKETCH - most)
     return bits, tables, most
 
 
@@ -58,7 +61,8 @@ def signatures(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def sketches(vectors: np.ndarray) -> np.ndarray:
-    return np.packbits(signs(vectors, 64, SEED + 1), axis=1, bitorder="little").view("<i8")[:, 0]
+    """(n, SKETCH // 64) words."""
+    return np.packbits(signs(vectors, SKETCH, SEED + 1), axis=1, bitorder="little").view("<i8")
 
 
 def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -105,22 +109,27 @@ def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int
 
 
 def clusters(signed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect the members of signed (member, label, dims, sigs, sketch) as their pairs do that share a bucket and
+    """Edges (a, b) that connect the members of signed (member, label, dims, sigs, sketch words) as their pairs do that share a bucket and
     whose sketches differ in at most `most` bits."""
-    keyed = signed.select("member", "label", "dims", "sketch", F.posexplode("sigs").alias("tab", "sig"))
-    keyed = keyed.select("member", "sketch", F.xxhash64("label", "dims", "tab", "sig").alias("key"))
-    dealt = in_blocks(keyed, ["key"], "member", block).select("key", "part", "side", "member", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", "side", "member")
+    keyed = signed.select("member", "label", "dims", *_WORDS, F.posexplode("sigs").alias("tab", "sig"))
+    keyed = keyed.select("member", *_WORDS, F.xxhash64("label", "dims", "tab", "sig").alias("key"))
+    dealt = in_blocks(keyed, ["key"], "member", block).select("key", "part", "side", "member", *_WORDS).repartition("key", "part").sortWithinPartitions("key", "part", "side", "member")
 
     def flush(pdf: pd.DataFrame, group: np.ndarray):
-        member, side, sketch = pdf["member"].to_numpy(), pdf["side"].to_numpy(), pdf["sketch"].to_numpy().view(np.uint64)
+        member, side = pdf["member"].to_numpy(), pdf["side"].to_numpy()
+        words = [pdf[k].to_numpy().view(np.uint64) for k in _WORDS]
+
+        def near(x, y) -> np.ndarray:
+            return sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in words) <= most
+
         first, count = spans_of(group)
         found = [np.zeros((0, 2), dtype=np.int64)]
         for i, j in few_pairs(first, count, side):
-            near = np.bitwise_count(sketch[i] ^ sketch[j]) <= most
-            if near.any():
-                found.append(np.stack([i[near], j[near]], axis=1))
+            close = near(i, j)
+            if close.any():
+                found.append(np.stack([i[close], j[close]], axis=1))
         for part, whole, meet in many_pairs(first, count, side):
-            i, j = np.nonzero(meet & (np.bitwise_count(sketch[part, None] ^ sketch[None, whole]) <= most))
+            i, j = np.nonzero(meet & near((part, None), (None, whole)))
             if len(i):
                 found.append(spanning(np.stack([i + part.start, j + whole.start], axis=1)))
         yield pd.DataFrame(member[spanning(np.concatenate(found))], columns=["a", "b"])
@@ -153,14 +162,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
     def sign(batches):
         for pdf in batches:
             size = pdf["embedding"].map(len).to_numpy()
-            sigs, sketch = np.zeros((len(pdf), tables), dtype=np.int32), np.zeros(len(pdf), dtype=np.int64)
+            sigs, sketch = np.zeros((len(pdf), tables), dtype=np.int32), np.zeros((len(pdf), len(_WORDS)), dtype=np.int64)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 x = np.stack(pdf["embedding"].iloc[at].to_numpy()).astype(np.float64)
                 sigs[at], sketch[at] = signatures(x, bits, tables), sketches(x)
-            yield pdf.assign(dims=size, sigs=list(sigs), sketch=sketch)
+            yield pdf.assign(dims=size, sigs=list(sigs), **dict(zip(_WORDS, sketch.T)))
 
-    signed = classes.mapInPandas(sign, f"one long, two long, copies long, least long, label string, embedding {narrow}, dims int, sigs array<int>, sketch long")
+    signed = classes.mapInPandas(sign, f"one long, two long, copies long, least long, label string, embedding {narrow}, dims int, sigs array<int>, {', '.join(f'{k} long' for k in _WORDS)}")
     signed = checkpointed(signed.withColumn("member", F.monotonically_increasing_id()))  # the numbers stay, as the rows are written
     nodes = checkpointed(connected_components(clusters(signed, most, block)))
     sizes = nodes.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "root2")
