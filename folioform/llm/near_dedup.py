@@ -6,6 +6,10 @@ principle, Qin and Xiao 2018). For r = 3 the first five segments of that chain m
 candidates together: 16 keys of 20 bits a fingerprint. A candidate pair must then keep to the budget of each longer chain (one
 difference within ten segments, two within fifteen) before its whole Hamming distance is looked at.
 
+Where there are so many fingerprints that 20 bits no longer part them, the budget of ten segments lends more: of the five segments
+after the equal ones at most one bit differs, so of two (or four) pieces of these all but one are equal as well. A key then has 30 (or
+35) bits, and there are two (or four) times as many keys.
+
 Equal fingerprints are one member of the search. Pairs never leave the task that finds them: each key's members are compared in
 blocks and only a spanning forest of the links goes on. A key with more members than a block is dealt out as pairs of blocks.
 """
@@ -147,13 +151,34 @@ def in_blocks(members: DataFrame, keys: list[str], member: str, most: int) -> Da
     return dealt.withColumn("part", part).withColumn("side", side.cast("int")).drop("own", "other", "blocks", *[f"{k}_2" for k in keys])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints fp (long) as their links of at most radius bits do."""
+def pieces_for(n: int) -> int:
+    """Pieces of the segments after the equal ones, so that n fingerprints spread over buckets of some sixteen at most."""
+    return 1 if n <= 1 << 24 else 2 if n <= 1 << 34 else 4
+
+
+def key_masks(radius: int, pieces: int) -> list[int]:
+    """The bits of a turned fingerprint that make its keys: the leading ones, and all but one of the pieces of those after them."""
     exact, rest = chain_masks(radius)
+    lead = ((1 << exact) - 1) << (64 - exact)
+    reach = int(rest[0][0]).bit_count() - exact
+    if pieces == 1 or rest[0][1] != 1 or reach % pieces:  # only where at most one bit differs in what comes next
+        return [lead]
+    size = reach // pieces
+    part = [((1 << size) - 1) << (64 - exact - size * (k + 1)) for k in range(pieces)]
+    return [lead | sum(part) - part[k] for k in range(pieces)]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, pieces: int = 1) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints fp (long) as their links of at most radius bits do."""
+    _, rest = chain_masks(radius)
     width = 64 // SEGMENTS
     turns = [F.shiftleft("fp", width * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - width * k)) if k else F.col("fp") for k in range(SEGMENTS)]
-    keys = fps.select("fp", F.posexplode(F.array(*turns)).alias("seg", "turned"))
-    keys = keys.select(F.shiftrightunsigned("turned", 64 - exact).bitwiseOR(F.shiftleft(F.col("seg").cast("long"), exact)).alias("key"), "turned")
+    masks = key_masks(radius, pieces)
+    # The last bits of a key say where the chain begins and which piece is left out: the masks leave them free.
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = fps.select(F.posexplode(F.array(*turns)).alias("seg", "turned"))
+    keys = keys.select("seg", "turned", F.posexplode(F.array(*[F.col("turned").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("piece", "bits"))
+    keys = keys.select(F.col("bits").bitwiseOR(F.col("seg").cast("long") * len(masks) + F.col("piece")).alias("key"), "turned")
     dealt = in_blocks(keys, ["key"], "turned", block).repartition("key", "part").sortWithinPartitions("key", "part", "side", "turned")
 
     def compare(batches):
@@ -166,7 +191,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
             fp = pdf["turned"].to_numpy().view(np.uint64)
             edges = links_within(group, pdf["side"].to_numpy(), fp, rest)
-            seg = (key >> exact) * width
+            seg = (key & 0xFF) // len(masks) * width
             back = _rotated(fp, (64 - seg) % 64).view(np.int64)
             return pd.DataFrame({"a": back[edges[:, 0]], "b": back[edges[:, 1]]})
 
@@ -196,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     rows = checkpointed(fingerprints(docs, shingle))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = connected_components(links(classes.select("fp"), radius))
+    nodes = connected_components(links(classes.select("fp"), radius, pieces=pieces_for(classes.count())))
     named = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
     named = named.join(least, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id")

@@ -467,7 +467,7 @@ def _fp(text):
 
 @pytest.mark.parametrize("block", [4096, 3])
 def test_simhash_as_brute_force(spark, make, block, monkeypatch):
-    monkeypatch.setattr(near_dedup.links, "__defaults__", (near_dedup.RADIUS, block))
+    monkeypatch.setattr(near_dedup.links, "__defaults__", (near_dedup.RADIUS, block, 1))
     rng = random.Random(9)
     rows = list(ODD[1:8])
     for i in range(60):
@@ -494,7 +494,8 @@ def test_simhash_as_brute_force(spark, make, block, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in want if want[i][1] == i)
 
 
-def test_every_near_pair_of_fingerprints_is_found(spark):
+@pytest.mark.parametrize("pieces", [1, 2, 4])
+def test_every_near_pair_of_fingerprints_is_found(spark, pieces):
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(50)} | {0, (1 << 64) - 1}
     for f in list(fps):
@@ -502,8 +503,10 @@ def test_every_near_pair_of_fingerprints_is_found(spark):
             for k in rng.sample(range(64), n):
                 f ^= 1 << k
             fps.add(f)
+    for m in near_dedup.key_masks(3, pieces):
+        assert m.bit_count() == {1: 20, 2: 30, 4: 35}[pieces] and not m & 0xFF
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = near_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), block=5)
+    edges = near_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), block=5, pieces=pieces)
     roots = {r["node"]: r["root"] for r in common.connected_components(edges).collect()}
     for a, x in zip(signed, fps):
         for b, y in zip(signed, fps):
