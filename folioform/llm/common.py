@@ -48,6 +48,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of results that nothing reads any more, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def joined_back(rows: DataFrame, totals: DataFrame, on: list[tuple[str, str]], how: str = "inner") -> DataFrame:
     """rows joined with an aggregate of them by its keys, (name in rows, name in totals).
 
