@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioform.llm import decontamination, mixing, quality, sharding, similar
-from folioform.llm.common import checkpoint_folder, table
+from folioform.llm.common import checkpoint_folder, remove_folder, table
 
 SHARDS = 40
 
@@ -25,14 +25,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays.
 
-    Groups are linked by SimHash: fingerprints of 64 bits over three-word shingles that differ in at most 3, and wide ones that
-    show a similarity of 0.8 or more of the sets of five-word shingles.
+    Wide SimHash fingerprints propose pairs; the similarity of the sets of five-word shingles, 0.8 or more, decides.
     """
     return similar.drop_similar(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; each row is judged by itself."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -59,12 +58,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's folder goes when the next is written.
+
+    The last one that is written stays, as the result reads it. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            here = f"{folder}/{k}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if before:
+                remove_folder(spark, before)
+            before = here
     return docs
