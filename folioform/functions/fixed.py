@@ -43,6 +43,9 @@ MEDIA_TYPES = {
     ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
 }
 
+# Image types.
+IMAGE_TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp", ".bmp": "image/bmp", ".svg": "image/svg+xml"}
+
 # Counters whose non-zero value is a defect, and its label.
 DEFECTS = {
     "blocks_residual_source": "residual_source_text",

@@ -238,6 +238,28 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+def data_url(content: Column, name: Column) -> Column:
+    """The content as a URL of its own, of the type that the file name shows, an image if it shows none."""
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in fixed.IMAGE_TYPES.items() for x in kv]), suffix(name)), F.lit("image/png"))
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
+
+
+def excerpt(c: Column, length: int) -> Column:
+    """At most so many characters, with a mark where more follow."""
+    return F.concat(F.left(c, F.lit(length)), F.when(F.length(c) > length, "…").otherwise(""))
+
+
+def listed_samples(samples: Column, most: int = 10, length: int = 280) -> Column:
+    """The first samples that are not blank, cut short, one a line; what a model is asked about a language."""
+    some = F.slice(F.filter(samples, lambda s: strip(s) != ""), 1, most)
+    return F.array_join(F.transform(some, lambda s: F.concat(F.lit("- "), F.left(s, F.lit(length)))), "\n")
+
+
+def first_sample(samples: Column, length: int = 200) -> Column:
+    """The beginning of the first sample that is not blank, null without one; what a service is asked about a language."""
+    return F.left(F.get(F.filter(F.transform(samples, strip), lambda s: s != ""), F.lit(0)), F.lit(length))
+
+
 def css_pixels(style: Column, name: str) -> Column:
     """Width or height in pixels from a style attribute, 0 without one."""
     return F.coalesce(F.regexp_extract(style, name + r":[ \t\r\n]*([0-9.]+)px", 1).try_cast("double"), F.lit(0.0))

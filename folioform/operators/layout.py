@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as T
+from ..schema import TEXT_BLOCK
 
 PAGE = ["doc_id", "page_index"]
 
@@ -20,6 +21,12 @@ def _box() -> Column:
     return F.struct("x0", "y0", "x1", "y1")
 
 
+def lines_of_text(lines: DataFrame, raw_blocks: DataFrame) -> DataFrame:
+    """The lines whose raw block (schema.RAW_BLOCK) is one of text."""
+    keys = [*PAGE, "raw_block_id"]
+    return lines.join(raw_blocks.where(F.col("block_type") == TEXT_BLOCK).select(*keys), keys, "left_semi")
+
+
 def row_order() -> list[Column]:
     return [F.bround("y0", 1), F.bround("x0", 1), F.col("line_id")]
 

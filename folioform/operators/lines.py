@@ -101,3 +101,9 @@ def detection_samples(blocks: DataFrame, order: str, limit: int = 18) -> DataFra
     spare = spare.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("spare"))
     both = spare.join(chunks, "doc_id", "full").select("doc_id", F.posexplode(F.coalesce("chunks", "spare")).alias("chunk_no", "chunk"))
     return both
+
+
+def first_rows(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """At most so many rows of each key, in order: blocks of an image that are used, samples of a page."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")

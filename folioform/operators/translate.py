@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import partial
 from typing import Protocol
+from urllib.parse import parse_qsl
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,16 +78,21 @@ class Dictionary(Identity):
 
 
 #: Makers of providers by name.
-PROVIDERS: dict[str, Callable[[], Provider]] = {"identity": Identity, "marking": Marking}
+PROVIDERS: dict[str, Callable[..., Provider]] = {"identity": Identity, "marking": Marking}
 
 
 def makers(names: str) -> list[Callable[[], Provider]]:
-    """Makers for names parted by '>': each is asked where those before it fail."""
-    wanted = [n.strip() for n in names.split(">")]
-    for n in wanted:
-        if n not in PROVIDERS:
-            raise ValueError(f"unknown provider {n!r}; known: {', '.join(sorted(PROVIDERS))}")
-    return [PROVIDERS[n] for n in wanted]
+    """Makers for names parted by '>': each is asked where those before it fail.
+
+    A name may be followed by options for its maker, as in "reader?prompt=Read+this&max_tokens=512"; their values are strings.
+    """
+    found = []
+    for wanted in names.split(">"):
+        name, _, options = wanted.strip().partition("?")
+        if name not in PROVIDERS:
+            raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(PROVIDERS))}")
+        found.append(partial(PROVIDERS[name], **dict(parse_qsl(options, strict_parsing=bool(options)))))
+    return found
 
 
 class Desk:
@@ -217,7 +224,10 @@ def translate_batches(rows: DataFrame, key: str, order: str, names: str, source:
 
 
 def detect_languages(blocks: DataFrame, order: str, names: str) -> DataFrame:
-    """(doc_id, source_lang) of every document of blocks (doc_id, text, kind): the provider's word on its samples, null if it has none."""
+    """(doc_id, source_lang) of every document of blocks (doc_id, text, kind): the provider's word on its samples, null if it has none.
+
+    A document without any sample counts as English.
+    """
     samples = detection_samples(blocks, order).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]).alias("samples"))
     chain, kind = makers(names), dict(blocks.dtypes)["doc_id"]
 
@@ -226,8 +236,9 @@ def detect_languages(blocks: DataFrame, order: str, names: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source_lang": [desk.call(k, "detect", list(s))[0] for k, s in zip(pdf["doc_id"], pdf["samples"])]})
 
-    told = samples.mapInPandas(serve, f"doc_id {kind}, source_lang string").withColumn("source_lang", T.detected_code(F.col("source_lang")))
-    return blocks.select("doc_id").distinct().join(told, "doc_id", "left")
+    told = samples.mapInPandas(serve, f"doc_id {kind}, source_lang string").select(F.col("doc_id").alias("__id"), F.struct(T.detected_code(F.col("source_lang")).alias("code")).alias("told"))
+    all_ = blocks.select("doc_id").distinct().join(told, F.col("doc_id") == F.col("__id"), "left")
+    return all_.select("doc_id", F.when(F.col("told").isNull(), "en").otherwise(F.col("told.code")).alias("source_lang"))
 
 
 def apply_replies(rows: DataFrame, replies: DataFrame, on: list[str]) -> DataFrame:
@@ -258,8 +269,7 @@ def route(calls: DataFrame, key: str, order: str, failed: Column, unsupported: C
 def residual_blocks(blocks: DataFrame, placed: DataFrame, on: list[str], samples: int = 5, length: int = 80) -> DataFrame:
     """(doc_id, residual, samples) of translatable blocks (masked, text, kind) that were never placed."""
     left = blocks.where(P.unmasked_text(F.col("masked")) & ~P.contact_identity(F.col("masked")) & (F.col("kind") != "reference")).join(placed, on, "left_anti")
-    flat = T.collapse(F.col("text"))
-    short = F.concat(F.left(flat, F.lit(length)), F.when(F.length(flat) > length, "…").otherwise(""))
+    short = T.excerpt(T.collapse(F.col("text")), length)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[k for k in on if k != "doc_id"]))
     left = left.withColumn("__rank", rank).withColumn("__short", short)
     some = F.transform(F.array_sort(F.collect_list(F.when(F.col("__rank") <= samples, F.struct("__rank", "__short")))), lambda x: x["__short"])

@@ -357,3 +357,47 @@ def image_pages(spark: SparkSession, d: str) -> DataFrame:
     div = F.format_string('<div id="page%d-div" style="%s">%s</div>', F.col("l_linenumber"), size, F.when(F.col("l_returnflag") == "R", "text <b>only</b>").otherwise('\n<img src="b.png"/>'))
     pages = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", div.alias("div")))), lambda x: x["div"]), "\n").alias("html"))
     return html.image_pages(pages, "l_orderkey")
+
+
+_SIDES = "SELECT l_orderkey, l_linenumber, (l_partkey * 7919 + l_suppkey)::BIGINT % 16777216 AS packed, (l_partkey % 401 - 200) / 200.0::DOUBLE AS dx, (l_suppkey % 41 - 20) / 20.0::DOUBLE AS dy, l_quantity AS w, l_linenumber * 0.75::DOUBLE AS h FROM lineitem"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, round((packed >> 16) / 255.0::DOUBLE, 9) AS r, round(((packed >> 8) & 255) / 255.0::DOUBLE, 9) AS g, round((packed & 255) / 255.0::DOUBLE, 9) AS b,
+  CASE WHEN dx <= -0.92 THEN 180 WHEN dy <= -0.92 THEN 90 WHEN dy >= 0.92 THEN 270 ELSE 0 END::INTEGER AS rotation, round(w / 72, 9) AS inches, round(least(300 / w, 100 / h), 9) AS scale,
+  h >= 1 AND w >= 1 AS usable, w < 3 OR h < 3 AS degenerate FROM ({_SIDES})
+""")
+def box_forms(spark: SparkSession, d: str) -> DataFrame:
+    packed = (F.col("l_partkey") * 7919 + F.col("l_suppkey")) % 16777216
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", packed.cast("int").alias("packed"), ((F.col("l_partkey") % 401 - 200) / 200.0).alias("dx"), ((F.col("l_suppkey") % 41 - 20) / 20.0).alias("dy"), F.col("l_quantity").alias("w"), (F.col("l_linenumber") * 0.75).alias("h"))
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("w").alias("x1"), F.col("h").alias("y1"))
+    color = G.rgb(F.col("packed"))
+    return s.select(
+        "l_orderkey", "l_linenumber", *[F.round(color[k], 9).alias(k) for k in "rgb"], G.rotation(F.col("dx"), F.col("dy")).alias("rotation"), F.round(G.inches(F.col("w")), 9).alias("inches"),
+        F.round(G.page_scale(F.col("w"), F.col("h"), F.lit(300.0), F.lit(100.0)), 9).alias("scale"), G.usable(box).alias("usable"), ((G.width(box) < 3) | (G.height(box) < 3)).alias("degenerate"),
+    )
+
+
+@query(f"""
+WITH RECURSIVE b AS (SELECT doc_id, page_index, line_id, x0 + (m % 3) * 0.25 - w * 0.0 AS x0, y0 - (k % 3) * 12.5 AS y0 FROM ({_BOXES})),
+r(doc_id, page_index, line_id, kept) AS (
+  SELECT doc_id, page_index, 0, [{{'x': x0, 'y': y0}}] FROM b WHERE line_id = 0
+  UNION ALL SELECT r.doc_id, r.page_index, r.line_id + 1, CASE WHEN len(list_filter(r.kept, lambda q: abs(q.x - b.x0) <= 0.5 AND abs(q.y - b.y0) <= 0.5)) > 0 THEN r.kept ELSE list_append(r.kept, {{'x': b.x0, 'y': b.y0}}) END
+  FROM r JOIN b ON b.doc_id = r.doc_id AND b.page_index = r.page_index AND b.line_id = r.line_id + 1)
+SELECT doc_id, page_index, max(len(kept))::INTEGER AS kept FROM r GROUP BY doc_id, page_index
+""")
+def tolerant_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page, many of them nearly the same, in order; those kept."""
+    m = F.col("m")
+    b = placed(spark, d).withColumn("x0", F.col("x0") + (m % 3) * 0.25).withColumn("y0", F.col("y0") - (F.col("k") % 3) * 12.5)
+    box = F.struct("line_id", "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    pages = b.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    return pages.select("doc_id", "page_index", F.size(Y.apart_boxes(F.col("boxes"))).alias("kept"))
+
+
+@query(f"SELECT doc_id, page_index, line_id FROM ({_BOXES}) WHERE (doc_id + raw_block_id) % 3 = 0")
+def raw_block_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of raw blocks of text; others are images."""
+    lines = placed(spark, d)
+    raw = lines.select("doc_id", "page_index", "raw_block_id").distinct().withColumn("block_type", ((F.col("doc_id") + F.col("raw_block_id")) % 3).cast("int"))
+    return Y.lines_of_text(lines, raw).select("doc_id", "page_index", "line_id")

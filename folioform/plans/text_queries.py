@@ -312,6 +312,21 @@ def html_nodes(spark: SparkSession, d: str) -> DataFrame:
     return html.text_nodes(table(spark, d, "pages")).select("page_id", "node_id", "tag", "core", F.col("translatable").alias("ok"))
 
 
+# The tables' pages have no more than these references, and no element without its end but void ones.
+_BARE = "regexp_replace(regexp_replace(html, '(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g')"
+_TEXT = "t"
+for _name, _code in (("lt", 60), ("gt", 62), ("quot", 34), ("nbsp", 160), ("copy", 169), ("middot", 183), ("amp", 38)):
+    _TEXT = f"replace({_TEXT}, '&{_name};', chr({_code}))"
+
+
+@query(f"""
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS node_id, {S.strip(_TEXT)} AS core
+FROM (SELECT page_id, unnest(range(len(p))) AS k, unnest(p) AS t FROM (SELECT page_id, string_split_regex({_BARE}, '<[^>]*>') AS p FROM pages)) WHERE t <> ''
+""")
+def html_node_texts(spark: SparkSession, d: str) -> DataFrame:
+    return html.text_nodes(table(spark, d, "pages")).select("page_id", "node_id", "core")
+
+
 _MAPPING = "SELECT DISTINCT ON (text) text AS key, upper(text) AS value FROM conversations WHERE conv_id % 3 = 0 AND turn % 2 = 0"
 
 
@@ -364,3 +379,27 @@ def charset_cascade(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 3
     data = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8"))).otherwise(F.concat(F.lit(b"\xe9\x93 "), F.encode("text", "ISO-8859-1")))
     return docs.select("doc_id", F.sha2(files.decoded(data), 256).alias("sha"))
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, list(line ORDER BY line_no) AS s FROM ({_LINES}) GROUP BY doc_id)
+SELECT doc_id, sha256(array_to_string(list_transform(s[1:10], lambda x: '- ' || left(x, 280)), chr(10))) AS listed, left({S.strip("s[1]")}, 200) AS first_sample,
+  left({S.strip("s[-1]")}, 60) || CASE WHEN length({S.strip("s[-1]")}) > 60 THEN '…' ELSE '' END AS snippet FROM s
+""")
+def sample_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """What is asked about a document's language, and how a text is named in a report."""
+    s = L.lines(table(spark, d, "documents")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("s"))
+    return s.select("doc_id", F.sha2(T.listed_samples(F.col("s")), 256).alias("listed"), T.first_sample(F.col("s")).alias("first_sample"), T.excerpt(T.strip(F.element_at("s", -1)), 60).alias("snippet"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem) WHERE n <= 20")
+def first_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of an image that are used: the first twenty."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("no"))
+    return L.first_rows(rows, "l_suppkey", "no", 20).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT page_id, 'data:' || CASE page_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' ELSE 'image/svg+xml' END || ';base64,' || base64(encode(html)) AS url FROM pages")
+def data_urls(spark: SparkSession, d: str) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, ("no suffix", "a.JPG", "b.c.svg"))), (F.col("page_id") % 3).cast("int"))
+    return table(spark, d, "pages").select("page_id", T.data_url(F.encode("html", "UTF-8"), name).alias("url"))

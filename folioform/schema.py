@@ -22,6 +22,12 @@ LINE = t.StructType(
         t.StructField("confidence", t.DoubleType()),
     ]
 )
+#: What an adapter for page files brings besides lines: the page's size in points, its links, its raw blocks. A raw block's type is
+#: TEXT_BLOCK for text; others (images) have no lines.
+PAGE = t.StructType([t.StructField("doc_id", t.LongType()), t.StructField("page_index", t.IntegerType()), t.StructField("width", t.DoubleType()), t.StructField("height", t.DoubleType())])
+LINK = t.StructType([t.StructField("doc_id", t.LongType()), t.StructField("page_index", t.IntegerType()), *BOX.fields, t.StructField("kind", t.IntegerType()), t.StructField("uri", t.StringType()), t.StructField("target", t.LongType())])
+RAW_BLOCK = t.StructType([t.StructField("doc_id", t.LongType()), t.StructField("page_index", t.IntegerType()), t.StructField("raw_block_id", t.IntegerType()), t.StructField("block_type", t.IntegerType()), *BOX.fields])
+TEXT_BLOCK = 0
 #: A paragraph run of an office document.
 RUN = t.StructType([t.StructField("path", t.StringType()), t.StructField("part", t.StringType()), t.StructField("para", t.IntegerType()), t.StructField("run", t.IntegerType()), t.StructField("text", t.StringType())])
 #: A text node of a page.

@@ -272,6 +272,20 @@ def test_providers_in_order():
         R.makers("identity>none")
 
 
+def test_provider_options(monkeypatch):
+    class Reader(R.Identity):
+        def __init__(self, prompt="Read all text.", max_tokens="2048"):
+            self.prompt, self.max_tokens = prompt, int(max_tokens)
+
+    monkeypatch.setitem(R.PROVIDERS, "reader", Reader)
+    one, two = (m() for m in R.makers("reader?prompt=Only+words%3F&max_tokens=64 > reader"))
+    assert (one.prompt, one.max_tokens, two.prompt, two.max_tokens) == ("Only words?", 64, "Read all text.", 2048)
+    with pytest.raises(TypeError):
+        R.makers("reader?other=1")[0]()
+    with pytest.raises(ValueError):
+        R.makers("reader?broken")
+
+
 def test_fallback_in_the_dataflow(spark, monkeypatch):
     monkeypatch.setitem(R.PROVIDERS, "down", lambda: Scripted(R.Unavailable()))
     rows = spark.createDataFrame([(1, i, f"some words {i}") for i in range(5)], "k int, no int, text string")
@@ -283,7 +297,7 @@ def test_languages_are_detected(spark):
     english = "This is the story of a house that is on the hill and of all that was in it"
     other = "Voici une histoire assez longue pour dire quelque chose de sa langue"
     rows = spark.createDataFrame([("a", 0, english, "line"), ("a", 1, english, "line"), ("b", 0, other, "line"), ("c", 0, "", "line")], "doc_id string, no int, text string, kind string")
-    assert {r["doc_id"]: r["source_lang"] for r in R.detect_languages(rows, "no", "identity").collect()} == {"a": "en", "b": None, "c": None}
+    assert {r["doc_id"]: r["source_lang"] for r in R.detect_languages(rows, "no", "identity").collect()} == {"a": "en", "b": None, "c": "en"}
 
 
 def test_batches_call_counts(spark):
