@@ -316,7 +316,7 @@ def html_nodes(spark: SparkSession, d: str) -> DataFrame:
 _BARE = "regexp_replace(regexp_replace(html, '(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g')"
 _TEXT = "t"
 for _name, _code in (("lt", 60), ("gt", 62), ("quot", 34), ("nbsp", 160), ("copy", 169), ("middot", 183), ("amp", 38)):
-    _TEXT = f"replace({_TEXT}, '&{_name};', chr({_code}))"
+    _TEXT = f"regexp_replace({_TEXT}, '&{_name};?', chr({_code}), 'g')"
 
 
 @query(f"""
