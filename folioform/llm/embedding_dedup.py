@@ -28,8 +28,9 @@ MISS = 1e-6
 BUCKET = 128
 #: Hyperplanes of a sketch.
 SKETCH = 128
-#: Members of a bucket or cluster that are compared in one piece.
-BLOCK = 512
+#: Members of a bucket whose sketches, and of a cluster whose vectors, are compared in one piece.
+MEET = 4096
+BLOCK = 256
 #: Members of a cluster up to which it is compared as a whole.
 CLUSTER = 8192
 SEED = 11
@@ -108,7 +109,7 @@ def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int
     return links, spanning(np.concatenate(forest))
 
 
-def clusters(signed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+def clusters(signed: DataFrame, most: int, block: int = MEET) -> DataFrame:
     """Edges (a, b) that connect the members of signed (member, label, dims, sigs, sketch words) as their pairs do that share a bucket and
     whose sketches differ in at most `most` bits."""
     keyed = signed.select("member", "label", "dims", *_WORDS, F.posexplode("sigs").alias("tab", "sig"))
@@ -137,7 +138,7 @@ def clusters(signed: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     return dealt.mapInPandas(lambda batches: by_group(batches, flush), "a long, b long")
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, cluster: int = CLUSTER) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, cluster: int = CLUSTER, meet: int = MEET) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id long, embedding array, label).
 
     Rows link if their labels are equal and not null and their cosine is at least threshold. A vector that is null, empty, zero or
@@ -171,7 +172,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
 
     signed = classes.mapInPandas(sign, f"one long, two long, copies long, least long, label string, embedding {narrow}, dims int, sigs array<int>, {', '.join(f'{k} long' for k in _WORDS)}")
     signed = checkpointed(signed.withColumn("member", F.monotonically_increasing_id()))  # the numbers stay, as the rows are written
-    nodes = checkpointed(connected_components(clusters(signed, most, block)))
+    nodes = checkpointed(connected_components(clusters(signed, most, meet)))
     sizes = nodes.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "root2")
     inside = checkpointed(joined_back(nodes, sizes, [("root", "root2")]).select("node", "root", (F.col("n") <= cluster).alias("whole")))
     # A cluster is one place of comparison, or, where it is large, its buckets are; the vectors come in once these are dealt out.

@@ -60,7 +60,7 @@ def _links(rows, threshold=0.98):
     return out
 
 
-@pytest.mark.parametrize("block, whole", [(512, 8192), (7, 8192), (512, 3), (7, 3)])
+@pytest.mark.parametrize("block, whole", [(256, 8192), (7, 8192), (256, 3), (7, 3)])
 def test_embedding_links_are_those_of_brute_force(spark, block, whole):
     rng = np.random.default_rng(3)
     rows = []
@@ -72,7 +72,7 @@ def test_embedding_links_are_those_of_brute_force(spark, block, whole):
     rows += [(len(rows) + c, (cluster + 0.02 * rng.standard_normal(8)).tolist(), 0) for c in range(40)]
     rows += [(900, rows[0][1], 0), (901, rows[0][1], 0), (902, rows[0][1], 1), (903, rows[0][1], None)]
     want = _links(rows)
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(_vectors(spark, rows), block=block, cluster=whole).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(_vectors(spark, rows), block=block, cluster=whole, meet=block).collect()}
     assert len(got) == len(rows)
     for i, (k, _, _) in enumerate(rows):
         seen, todo = {i}, [i]
