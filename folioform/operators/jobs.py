@@ -68,10 +68,11 @@ def unsupported_languages(wanted: DataFrame) -> DataFrame:
 def job_matrix(inputs: DataFrame, languages: DataFrame, done: DataFrame | None = None, copy_source: bool = True) -> DataFrame:
     """(doc_id, filename, source_lang, target_lang, output_name, status) for every input and language.
 
-    The language table is a stated list of at most a few dozen codes, so it is sent to every task. done (output_name) are outputs
-    that exist: skipped_existing; the input's own language is copied; all else is pending.
+    Codes of no known language are left out, so the language table has a few dozen rows at most and is sent to every task. done
+    (output_name) are outputs that exist: skipped_existing; the input's own language is copied; all else is pending.
     """
-    each = inputs.crossJoin(F.broadcast(languages.select(F.col("code").alias("target_lang"))))
+    known = languages.where(F.col("code").isin(*fixed.LANGUAGES)).select(F.col("code").alias("target_lang")).distinct()
+    each = inputs.crossJoin(F.broadcast(known))
     each = each.withColumn("output_name", output_name(F.col("filename"), F.col("target_lang")))
     if done is not None:
         each = each.join(done.select(F.col("output_name").alias("__done")).distinct(), F.col("output_name") == F.col("__done"), "left")
