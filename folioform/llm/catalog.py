@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, toxicity, url_filter
+from . import conversation_repair, decontamination, embedding_dedup, html_extraction, mixing, near_dedup, periodic_runs, quality, secret_scan, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 SQL = {

@@ -20,8 +20,8 @@ def duck(data):
 def test_query(spark, data, duck, name):
     df = QUERIES[name](spark, data)
     rows = df.collect()
-    source = {"op1_embedding_dedup": "embeddings", "op2_url_filter": "pages"}.get(name, "documents")
-    assert len(rows) == duck.execute(f"SELECT count(*) FROM {source}").fetchone()[0]
+    source = {"op1_embedding_dedup": "embeddings", "op2_url_filter": "pages", "op12_html_extraction": "pages", "op13_conversation_repair": "(SELECT DISTINCT conv_id FROM conversations)"}
+    assert len(rows) == duck.execute(f"SELECT count(*) FROM {source.get(name, 'documents')}").fetchone()[0]
     if name in SQL:
         res = duck.execute(SQL[name])
         columns = [c[0] for c in res.description]
