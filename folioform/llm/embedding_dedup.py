@@ -3,9 +3,9 @@
 Equal vectors of a label are one member of the search. Each table cuts the members of a label by the signs of their products with
 its random hyperplanes. Members that share a bucket in some table are first compared by a sketch, the signs for 128 more hyperplanes:
 pairs whose sketches are farther apart than pairs at the threshold are by any real chance do not count. What is left connects members
-to clusters, of which a task sends on spanning forests only. All links of a member lie within its cluster, so its vector is sent
-there once, and the cluster's pairs are compared exactly, in double precision, in blocks. A cluster of very many members is compared
-by its buckets instead, where a pair counts in the first table that brings it together. Tasks send on only each member's number of
+to clusters, of which a task sends on spanning forests only. All links of a member lie within its cluster, and the cluster's
+pairs are compared exactly, in double precision, in blocks: a vector is sent to each part of its cluster that holds its block. A cluster
+of very many members is compared by its buckets instead, where a pair counts in the first table that brings it together. Tasks send on only each member's number of
 links and a spanning forest, never the pairs.
 """
 
@@ -49,6 +49,11 @@ def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int,
     return bits, tables, most
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector over a power of two that brings its largest component near 1: no product or norm of any finite vector over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 def signs(vectors: np.ndarray, count: int, seed: int) -> np.ndarray:
     """(n, count) signs of the products with so many random hyperplanes."""
     planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], count))
@@ -90,7 +95,7 @@ def links_in(group: np.ndarray, rows: pd.DataFrame, threshold: float, step: int
     for d in np.unique(size):
         mine = np.flatnonzero(size == d)
         x = np.zeros((len(rows), d)) if len(mine) < len(rows) else np.empty((len(rows), d))
-        x[mine] = np.stack(rows["embedding"].to_numpy()[mine]).astype(np.float64)
+        x[mine] = scaled(np.stack(rows["embedding"].to_numpy()[mine]).astype(np.float64))
         norm = np.sqrt((x * x).sum(axis=1))
         at, k = mine[np.repeat(length <= 64, length)[mine]], 1
         while len(at := at[at + k < end[at]]):
@@ -144,7 +149,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
     Rows link if their labels are equal and not null and their cosine is at least threshold. A vector that is null, empty, zero or
     holds a null or non-finite component links with nothing, neither do vectors of different lengths. n_links counts the other
     rows linked directly (a repeated row is another row); component_id is the smallest vec_id reachable, kept whether it is the
-    row's own. A null vec_id is never the smallest unless its component has no other, and is not kept. An empty table gives no
+    row's own. Vectors are scaled by powers of two first, so very large and very small ones link as their directions do. A small cluster
+    compares all of its pairs, one of more than `cluster` members those that share a bucket: of pairs exactly at the threshold `miss`
+    may be lost there, as everywhere where pairs must first meet. A null vec_id is never the smallest unless its component has no other, and is not kept. An empty table gives no
     rows; other columns are ignored.
     """
     narrow = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
@@ -166,7 +173,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
             sigs, sketch = np.zeros((len(pdf), tables), dtype=np.int32), np.zeros((len(pdf), len(_WORDS)), dtype=np.int64)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                x = np.stack(pdf["embedding"].iloc[at].to_numpy()).astype(np.float64)
+                x = scaled(np.stack(pdf["embedding"].iloc[at].to_numpy()).astype(np.float64))
                 sigs[at], sketch[at] = signatures(x, bits, tables), sketches(x)
             yield pdf.assign(dims=size, sigs=list(sigs), **dict(zip(_WORDS, sketch.T)))
 
