@@ -66,6 +66,12 @@ def joined_back(rows: DataFrame, totals: DataFrame, on: list[tuple[str, str]], h
     return rows.join(totals, match, how)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (doc_id). Those with a null doc_id stay, and stay where they are."""
+    gone = gone.select(F.col("doc_id").alias("__id")).distinct()
+    return joined_back(docs.where("doc_id is not null"), gone, [("doc_id", "__id")], "left_anti").unionByName(docs.where("doc_id is null"))
+
+
 def running_totals(rows: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
     """Adds, for each name in totals, the sum of its column over all rows before a row in that order (0 for the first).
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, connected_components, joined_back, spanning, table
+from .common import LOWER, checkpointed, connected_components, joined_back, spanning, table, without
 
 SHINGLE = 3
 RADIUS = 3
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     nodes = connected_components(links(classes.select("fp"), radius, pieces=pieces_for(classes.count())))
     named = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
-    named = named.join(least, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id")
+    named = joined_back(named, least, [("root", "root2")]).select(F.col("fp").alias("fp2"), "component_id")
     return rows.join(named, F.col("fp") == F.col("fp2")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -233,8 +233,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
     Of a doc_id that repeats, all rows stay or go together; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "__id"), docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select("doc_id"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ needs several times fewer tables than equal bits do. By the pigeonring principle
 which on every chain of l consecutive words (round the ring) holds at most l / WORDS of the radius: pairs without such a chain are
 dropped before their whole distance is counted.
 
+Of small sets the votes say little, so pairs with a set of at most FEW shingles are found besides by an exact join: the shingles of a set
+are put in order, the rarest first, and two sets that are similar enough share one of their first few (prefix filtering).
+
 Of a large group of copies not all pairs are decided. First every document proposes two partners, the smallest and the nearest that
 it met. Then, where documents that met are not connected by these, their pairs are decided where they meet, nearest first, until they
 are. So no refused pair stands for another, a group that is connected costs few decisions a document, and pairs never leave a task.
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, by_group, checkpointed, connected_components, few_pairs, joined_back, many_pairs, spans_of
+from .common import LOWER, by_group, checkpointed, connected_components, few_pairs, joined_back, many_pairs, spanning, spans_of, without
 from .near_dedup import in_blocks
 
 SHINGLE = 5
@@ -41,6 +44,8 @@ MISS = 0.005
 BLOCK = 4096
 #: The same where their shingle sets are at hand.
 SETS = 512
+#: Shingles of a set up to which its pairs are found by an exact join of sets; larger sets' votes tell them apart well enough.
+FEW = 16
 #: Documents up to which their ids are made known to all tasks (32 MB); more are met by a shuffle.
 KNOWN = 4_000_000
 SEED = 23
@@ -269,6 +274,41 @@ def still_alike(classes: DataFrame, roots: DataFrame, docs: DataFrame, similarit
     return dealt.mapInPandas(lambda batches: by_group(batches, flush, 5_000), "a long, b long").distinct()
 
 
+def _small_edges(classes: DataFrame, similarity: float, block: int = SETS) -> DataFrame:
+    """Edges (a, b) that connect, as all pairs of that Jaccard similarity do, the classes (node, size, own) of which one has at most FEW shingles."""
+    largest = math.floor(FEW / similarity)  # that a similar set has
+    each = classes.where(F.col("size").between(1, largest)).select("node", "size", F.explode("own").alias("key"))
+    often = each.groupBy(F.col("key").alias("key2")).agg(F.count("*").alias("often")).where("often > 1")
+    # The rarest first: those that no other set holds take up places of a prefix, but need not meet anybody.
+    placed = joined_back(each, often, [("key", "key2")], "left").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key"))).alias("keys"))
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
+    own = F.transform("keys", lambda k: k["key"])
+    first = placed.select("node", own.alias("own"), F.explode(F.slice("keys", F.lit(1), prefix.cast("int"))).alias("k")).where("k.often > 1")
+    members = first.select("node", F.col("k.key").alias("key"), "own")
+    dealt = in_blocks(members, ["key"], "node", block).select("key", "part", "side", "node", "own").repartition("key", "part").sortWithinPartitions("key", "part", "side", "node")
+
+    def flush(pdf: pd.DataFrame, group: np.ndarray):
+        node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        sizes = pdf["own"].map(len).to_numpy()
+        sets = np.zeros((len(pdf), largest), dtype=np.int64)
+        sets[np.arange(largest) < sizes[:, None]] = np.concatenate(pdf["own"].to_numpy())
+        held = np.arange(largest) < sizes[:, None]
+        edges = []
+        for at, n in zip(*spans_of(group)):
+            label = np.arange(n)  # members of one label are connected; a member is compared with those of other labels only
+            for k in range(n - 1):
+                other = at + 1 + k + np.flatnonzero((label[k + 1 :] != label[k]) & ((side[at + k] == 0) | (side[at + k + 1 : at + n] != side[at + k])))
+                both = (np.isin(sets[other], sets[at + k, : sizes[at + k]]) & held[other]).sum(axis=1)
+                close = other[both >= similarity * (sizes[other] + sizes[at + k] - both) - 1e-9]
+                if len(close):
+                    edges += [(node[at + k], node[j]) for j in close]
+                    label[np.isin(label, label[close - at])] = label[k]
+        if edges:
+            yield pd.DataFrame(spanning(np.array(edges, dtype=np.int64)), columns=["a", "b"])
+
+    return dealt.mapInPandas(lambda batches: by_group(batches, flush, 20_000), "a long, b long")
+
+
 def _words_in(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
 
@@ -320,20 +360,22 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
                 rows = np.stack([votes(x) for x in own])
                 words = np.packbits(rows > 0, axis=1, bitorder="little").view("<i8")
                 keys = keys_of(rows, group, symbols, tables)
-                lists = [pa.array(list(x), pa.list_(t)) for x, t in ((words, pa.int64()), (keys, pa.int64() if wide else pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), same, pa.array([len(x) for x in own], pa.int32()), *lists], names=["doc_id", "same", "size", "words", "keys"])
+                few = [x.view(np.int64) if len(x) * similarity <= FEW else x[:0].view(np.int64) for x in own]
+                lists = [pa.array(list(x), pa.list_(t)) for x, t in ((words, pa.int64()), (keys, pa.int64() if wide else pa.int32()), (few, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), same, pa.array([len(x) for x in own], pa.int32()), *lists], names=["doc_id", "same", "size", "words", "keys", "own"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id long, same binary, size int, words array<long>, keys array<{'long' if wide else 'int'}>")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id long, same binary, size int, words array<long>, keys array<{'long' if wide else 'int'}>, own array<long>")
     rows = checkpointed(rows)
     # A class has one shingle set, so that deciding on its first document decides on all.
-    classes = checkpointed(rows.groupBy("same").agg(F.min(F.struct("doc_id", "size", "words", "keys")).alias("x")).select("same", F.col("x.doc_id").alias("node"), "x.size", "x.words", "x.keys"))
+    classes = checkpointed(rows.groupBy("same").agg(F.min(F.struct("doc_id", "size", "words", "keys", "own")).alias("x")).select("same", F.col("x.doc_id").alias("node"), "x.size", "x.words", "x.keys", "x.own"))
     met = checkpointed(partners(classes, similarity, block))
     edges = met.select(F.col("node").alias("x"), F.explode(F.array("least", "nearest")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
     named = rows.select("doc_id", "same").join(classes.select(F.col("same").alias("same2"), F.col("node").alias("first")), F.col("same") == F.col("same2")).select("doc_id", "first")
     named = checkpointed(named)
     least = named.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select(F.col("doc_id").alias("doc2"), "a")  # several texts
     several = named.join(least, F.col("doc_id") == F.col("doc2")).select("a", F.col("first").alias("b"))
-    roots = connected_components(alike(edges, classes, docs, similarity, shingle).union(several))
+    small = _small_edges(classes, similarity, min(block, SETS))
+    roots = connected_components(alike(edges, classes, docs, similarity, shingle).union(several).union(small))
     # Those that met, but are not connected by their partners.
     known = met.select(F.col("node").alias("met")).join(roots, F.col("met") == F.col("node"), "left").select(F.col("met").alias("node"), F.coalesce("root", "met").alias("root"))
     rest = checkpointed(still_alike(classes, known, docs, similarity, shingle, min(block, SETS)))
@@ -344,5 +386,4 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
 
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The documents' rows with the smallest doc_id of each group; columns as in docs. Rows with a null doc_id stay."""
-    gone = similar_documents(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, similar_documents(docs, similarity, shingle).where("doc_id <> component_id").select("doc_id"))

@@ -245,11 +245,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, base: int = BASE, wi
     if lengths.pop() != window or not lengths:
         raise ValueError("window must be base times a power of two, and more than base")
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")).distinct()
+    unnamed, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")  # the first meet no list: they stay where they are
+    texts = docs.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")).distinct()
     least = texts.groupBy(F.col("sha").alias("sha2")).agg(F.min("doc_id").alias("least"))
     copies = joined_back(texts, least, [("sha", "sha2")]).where("doc_id > least").select("doc_id")
     unclear = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    found = docs.where("doc_id is not null").mapInArrow(_level(lengths[0], None, window), "doc_id long, f long, times int")
+    found = docs.mapInArrow(_level(lengths[0], None, window), "doc_id long, f long, times int")
     found = _repeated(found).join(copies.union(unclear), "doc_id", "left_anti")
     for before, length in zip(lengths, lengths[1:]):
         at = docs.join(_lists(found, "f"), F.col("doc_id") == F.col("id2"), "left").select("doc_id", "text", "list")
@@ -261,7 +262,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, base: int = BASE, wi
     firsts = _lists(firsts, "pos").select(F.col("id2").alias("id3"), F.col("list").alias("firsts"))
     whole = copies.join(unclear, "doc_id", "left_anti").select(F.col("doc_id").alias("id4"), F.lit(True).alias("copy")).distinct()
     at = docs.join(lists, F.col("doc_id") == F.col("id2"), "left").join(firsts, F.col("doc_id") == F.col("id3"), "left").join(whole, F.col("doc_id") == F.col("id4"), "left")
-    out = at.select("doc_id", "text", "list", "firsts", "copy").mapInArrow(_finish(lengths[-1], window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    at = at.select("doc_id", "text", "list", "firsts", "copy")
+    at = at.unionByName(unnamed.select("*", *[F.lit(None).cast(at.schema[k].dataType).alias(k) for k in ("list", "firsts", "copy")]))
+    out = at.mapInArrow(_finish(lengths[-1], window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
 
 

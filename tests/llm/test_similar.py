@@ -160,3 +160,46 @@ def test_odd_rows(spark, make):
     assert similar.drop_similar(make(*ODD)).columns == make(*ODD).columns
     assert similar.similar_documents(make((1, "x")).limit(0)).count() == 0
     assert len(similar.wide_fingerprint(prose(3).encode())) == 8 * similar.WORDS
+
+
+@pytest.mark.parametrize("shingles", [1, 2, 5, 6, 9, 16])
+def test_recall_of_short_texts(spark, make, shingles):
+    """Sets of so many shingles against as large ones as have a similarity of 0.8 still, and one too large."""
+    rows = []
+    for i in range(150):
+        w = [f"s{i}x{k}" for k in range(shingles + 4)]
+        more = int(shingles / 0.8 + 1e-9) - shingles
+        rows += [(4 * i, " ".join(w)), (4 * i + 1, " ".join(w[: len(w)] + [f"m{i}x{k}" for k in range(more)])), (4 * i + 2, " ".join([f"o{i}x{k}" for k in range(more + 1)] + w))]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(make(*rows)).collect()}
+    text = dict(rows)
+    for i in range(150):
+        for j in (1, 2):
+            assert (got[4 * i + j] == 4 * i) == (jaccard(text[4 * i], text[4 * i + j]) >= 0.8 or (j == 2 and jaccard(text[4 * i + 1], text[4 * i + 2]) >= 0.8))
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_small_sets_against_all_pairs(spark, make, block):
+    """Families of short texts that share most words, some of them very common."""
+    rng, rows = random.Random(12), []
+    common = [f"c{k}" for k in range(22)]
+    for i in range(300):
+        n = rng.randint(1, 20)
+        w = common[rng.randrange(3) :][:n] if rng.random() < 0.7 else [f"f{i % 9}x{k}" for k in range(n)]
+        rows.append((i, " ".join(w + ([f"tail{i}"] if rng.random() < 0.5 else []))))
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(make(*rows), block=block).collect()}
+    least = {i: i for i, _ in rows}
+    pairs = [(i, j) for i, a in rows for j, b in rows if i < j and jaccard(a, b) >= 0.8]
+    for _ in range(30):
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    assert len(pairs) > 300 and got == least
+
+
+def test_rows_without_an_id_stay_where_they_are(spark, make):
+    from folioform.llm import substring_dedup
+    from pyspark.sql import functions as F
+
+    docs = make(*[(None, f"t{i} " * 30) for i in range(400)], (1, "a b c d e f"), (2, "a b c d e f")).repartition(8)
+    for out in (similar.drop_similar(docs), substring_dedup.dedup_substrings(docs)):
+        where = out.where("doc_id is null").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in where) == 400 and len(where) >= 4 and max(r["count"] for r in where) < 150

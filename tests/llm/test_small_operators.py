@@ -810,3 +810,22 @@ def test_captures_of_odd_urls(spark, known, monkeypatch):
     assert sorted(((r["page_id"], r["n_active"], r["pattern"], r["verdict"]) for r in got), key=repr) == sorted(
         [(1, 1, "a.org", "block")] * 3 + [(None, 1, "a.org", "allow"), (2, 2, "a.org/x", "allow"), (3, 0, None, "allow"), (4, 0, None, "allow"), (5, 0, None, "allow")], key=repr
     )
+
+
+def test_vectors_of_any_scale(spark):
+    """Cosines of vectors whose squares over- or underflow are those of their directions."""
+    from fractions import Fraction
+
+    from folioform.llm import embedding_dedup as E
+
+    tiny = 5e-324
+    v = [[1e-200, 0.0], [0.9, 0.436], [1e200, 1e200], [1e200, 1.0001e200], [1e-200, 1e-200], [2e-200, 2e-200], [tiny, 0.0], [3.0, tiny], [1e300, -1e300], [-1e-300, 1e-300], [1.7e308, 1.6e308], [1e300, 1e-300], [0.0, tiny]]
+
+    def linked(a, b):
+        a, b = [Fraction(x) for x in a], [Fraction(x) for x in b]
+        dot = sum(x * y for x, y in zip(a, b))
+        return dot > 0 and dot * dot >= Fraction(98, 100) ** 2 * sum(x * x for x in a) * sum(x * x for x in b)
+
+    df = spark.createDataFrame([(i, x, "l") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicate_vectors(df).collect()}
+    assert got == {i: sum(linked(a, b) for j, b in enumerate(v) if j != i) for i, a in enumerate(v)}
