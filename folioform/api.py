@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed
@@ -12,6 +14,7 @@ from .functions import text as T
 from .operators import jobs, lines, qa
 from .operators import translate as R
 from .sources import files, html
+from .sources.runs import Runs
 
 
 @dataclass(frozen=True)
@@ -60,6 +63,13 @@ class Texts:
         texts = lines.join_segments(done.select("doc_id", "seg_no", F.col("final_text").alias("segment")))
         return Texts(texts, done)
 
+    def written(self, put: Callable[[DataFrame], DataFrame]) -> Texts:
+        """The same from segments that put has written, so that texts and counters of one translation ask the provider once."""
+        if self.done is None:
+            raise ValueError("nothing is translated yet")
+        done = put(self.done)
+        return Texts(lines.join_segments(done.select("doc_id", "seg_no", F.col("final_text").alias("segment"))), done)
+
     def mapped(self, mapping: DataFrame) -> Texts:
         """Segments replaced where the mapping (key, value) holds their stripped text."""
         out = R.replace_mapped(self.segments().withColumnRenamed("segment", "text"), mapping)
@@ -111,74 +121,170 @@ class Pages:
         return qa.html_stats(nodes, "page_id")
 
 
-def translate_office(found: DataFrame, provider: str, source: str | None, target: str, batch_size: int = 50) -> DataFrame:
+def translate_office(found: DataFrame, provider: str, source: str | None, target: str, batch_size: int = 50, keep: Callable[[DataFrame], DataFrame] = lambda done: done) -> DataFrame:
     """(path, content) of Word and PowerPoint files with their paragraphs translated; each goes into its first run.
 
-    With source None the files bring source_lang.
+    With source None the files bring source_lang. keep is given the paragraphs with their replies and gives back what is used of them:
+    a table they were written to, so that the provider is asked once. Files that cannot be read are left out.
     """
     runs = files.office_runs(found)
     keyed = files.paragraphs(runs).withColumn("at", F.concat_ws("\n", "part", F.lpad(F.col("para").cast("string"), 9, "0")))
     if source is None:
         keyed = keyed.join(found.select("path", "source_lang"), "path")
-    done = R.translate_batches(keyed, "path", "at", provider, source, target, batch_size).where("state = 'translated'")
+    done = keep(R.translate_batches(keyed, "path", "at", provider, source, target, batch_size)).where("state = 'translated'")
     spread = done.select("path", F.split("at", "\n")[0].alias("part"), F.split("at", "\n")[1].cast("int").alias("para"), F.col("final_text").alias("translation"))
     return files.rewritten(found, files.written_runs(runs, spread))
 
 
-def file_languages(found: DataFrame, provider: str) -> DataFrame:
-    """(path, source_lang) of text and office files (path, content), told by the provider from samples; null if it cannot tell."""
-    text = found.where(T.suffix(F.col("path")) == ".txt").select(F.col("path").alias("doc_id"), files.decoded(F.col("content")).alias("text"))
-    told = Texts(text).languages(provider)
-    paragraphs = files.paragraphs(files.office_runs(found.where(T.suffix(F.col("path")) != ".txt")))
+def file_languages(texts: DataFrame, office: DataFrame, provider: str) -> DataFrame:
+    """(path, source_lang) of texts (path, text) and office files (path, content), told by the provider from samples; null if it cannot tell."""
+    told = Texts(texts.select(F.col("path").alias("doc_id"), "text")).languages(provider)
+    paragraphs = files.paragraphs(files.office_runs(office))
     blocks = paragraphs.select(F.col("path").alias("doc_id"), F.struct("part", "para").alias("at"), "text", F.lit("line").alias("kind"))
     return told.unionByName(R.detect_languages(blocks, "at", provider)).withColumnRenamed("doc_id", "path")
 
 
-def run(spark: SparkSession, source_dir: str, output_dir: str, targets: list[str], source: str | None, provider: str = "identity", batch_size: int = 50, overwrite: bool = False) -> DataFrame:
-    """Translate the text and office files of a folder into each target language; (path, target_lang, output_name, status).
+#: Statuses of jobs whose output is there.
+_DONE = ("translated", "copied_source_language")
+#: Counters of segments, and their names in a job's JSON.
+_COUNTERS = {"total": "segments_total", "translated": "segments_translated", "rejected": "segments_rejected", "calls": "api_calls"}
+_OUTPUT = "path string, output_name string, content binary"
 
-    Results are Parquet tables under output_dir/target_lang, the jobs go to output_dir/manifest. With overwrite off, outputs named
-    in the manifest that is there are skipped; a file in the target language is copied. Without a source language each file's own is
-    detected; where the provider cannot tell, the job has failed.
-    """
-    asked = spark.createDataFrame([(t,) for t in targets], "code string")
-    unknown = [r["code"] for r in jobs.unsupported_languages(asked).collect()]
-    if unknown:
-        raise ValueError(f"unsupported language codes: {', '.join(sorted(unknown))}")
-    found = files.read_files(spark, source_dir, (".txt", ".docx", ".pptx"))
+
+def _named(content: DataFrame, mark: str) -> DataFrame:
+    return content.select("path", jobs.output_name(F.regexp_extract("path", "([^/]*)$", 1), F.lit(mark)).alias("output_name"), "content")
+
+
+def _jobs(found: DataFrame, texts: DataFrame, judged: DataFrame | None, asked: DataFrame, source: str | None, provider: str, done: DataFrame | None) -> DataFrame:
+    """The matrix of jobs with source_lang, status and the reason for what is not to be translated."""
     inputs = found.select(F.col("path").alias("doc_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"))
     if source is None:
-        told = file_languages(found, provider)
+        told = file_languages(texts, found.where(T.suffix(F.col("path")).isin(".docx", ".pptx")), provider)
         inputs = inputs.join(told.withColumnRenamed("path", "__path"), F.col("doc_id") == F.col("__path"), "left").drop("__path")
     else:
         inputs = inputs.withColumn("source_lang", F.lit(source))
-    done = None
-    if not overwrite:
-        try:
-            done = spark.read.json(f"{output_dir}/manifest").select("output_name")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
     matrix = jobs.job_matrix(inputs, asked, done)
-    matrix = matrix.withColumn("status", F.when(F.col("source_lang").isNull() & (F.col("status") == "pending"), "failed").otherwise(F.col("status")))
+    if judged is None:
+        matrix = matrix.withColumn("refusal", F.lit(None).cast("string"))
+    else:
+        refused = lines.formula_policy(lines.pages(judged.select(F.col("path").alias("doc_id"), "text"))).where("not allowed").select(F.col("doc_id").alias("__path"), F.col("reason").alias("refusal"))
+        matrix = matrix.join(refused, F.col("doc_id") == F.col("__path"), "left").drop("__path")
+    open_ = F.col("status") == "pending"
+    reason = F.when(open_ & F.col("refusal").isNotNull(), F.col("refusal")).when(open_ & F.col("source_lang").isNull(), "language_unknown")
+    status = F.when(open_ & F.col("refusal").isNotNull(), "refused").when(open_ & F.col("source_lang").isNull(), "failed").otherwise(F.col("status"))
+    return matrix.select(F.col("doc_id").alias("path"), "target_lang", "output_name", "source_lang", status.alias("status"), reason.alias("reason"))
+
+
+def run(
+    spark: SparkSession, source_dir: str, output_dir: str, targets: list[str], source: str | None, provider: str = "identity", batch_size: int = 50, overwrite: bool = False,
+    extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> DataFrame:
+    """Translate the text and office files of a folder into each target language; returns manifest().
+
+    Tables under output_dir are those of sources.runs: a folder for each target with the outputs (path, output_name, content), and
+    `manifest` with one row for each input and target: status (translated, copied_source_language, skipped_existing, refused, failed),
+    its reason, counters as JSON, quality flags and times. A run counts once all of it is written; one that dies has done nothing. With
+    overwrite off, outputs of earlier runs are skipped. A file in the target language is copied; without a source language each file's
+    own is detected, once for all targets, and where the provider cannot tell, the job has failed. So has one without an output.
+
+    extractors give the texts (path, text) of files with other suffixes from (path, content). The formula policy is applied to these: the
+    jobs of a document that it refuses have the status refused. Their outputs are texts.
+    """
+    asked = spark.createDataFrame([(t,) for t in targets], "code string")
+    unknown = [r["code"] for r in jobs.unsupported_languages(asked).collect()]
+    if unknown:
+        raise ValueError(f"unsupported language codes: {', '.join(sorted(unknown))}")
+    began, runs, others = time.time(), Runs(spark, output_dir), extractors or {}
+    own = runs.new()
+    found = files.read_files(spark, source_dir, (".txt", ".docx", ".pptx", *others))
+    suffix = T.suffix(F.col("path"))
+    texts = found.where(suffix == ".txt").select("path", files.decoded(F.col("content")).alias("text"))
+    judged = None
+    for name, extract in others.items():
+        more = extract(found.where(suffix == name)).select("path", "text")
+        judged = more if judged is None else judged.unionByName(more)
+    if judged is not None:
+        texts = texts.unionByName(judged)
+    earlier = None if overwrite else runs.last("manifest", "output_name")
+    done = None if earlier is None else earlier.where(F.col("status").isin(*_DONE, "skipped_existing")).select("output_name")
+    matrix = runs.put(_jobs(found, texts, judged, asked, source, provider, done), "_jobs", own)
+    counted = []
     for target in targets:
-        todo = found.join(matrix.where((F.col("target_lang") == target) & ~F.col("status").isin("skipped_existing", "failed")).select(F.col("doc_id").alias("path"), "source_lang", "output_name", "status"), "path")
-        text = todo.where(T.suffix(F.col("path")) == ".txt").select(F.col("path").alias("doc_id"), "source_lang", files.decoded(F.col("content")).alias("text"))
-        office = todo.where(T.suffix(F.col("path")) != ".txt").select("path", "content", "source_lang")
-        out = [text.where(F.col("source_lang") == target).select("doc_id", "text"), office.where(F.col("source_lang") == target).select("path", "content")]
-        if target != source:
-            out.append(Texts(text.where(F.col("source_lang") != target)).allowed().translate(provider, source, target, batch_size).docs)
-            out.append(translate_office(office.where(F.col("source_lang") != target), provider, source, target, batch_size))
-        content = [x.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")) if "text" in x.columns else x for x in out]
-        whole = content[0]
-        for x in content[1:]:
-            whole = whole.unionByName(x)
-        whole = whole.withColumn("output_name", jobs.output_name(F.regexp_extract("path", "([^/]*)$", 1), F.lit(target)))
-        whole.write.mode("append").parquet(f"{output_dir}/{target}")
-    status = F.when(F.col("status") == "pending", "translated").otherwise(F.col("status"))
-    result = matrix.select(F.col("doc_id").alias("path"), "target_lang", "output_name", status.alias("status"))
-    result.where("status <> 'skipped_existing'").write.mode("append").json(f"{output_dir}/manifest")
-    return spark.read.json(f"{output_dir}/manifest")
+        mine = matrix.where(F.col("target_lang") == target)
+        copied = found.join(mine.where("status = 'copied_source_language'").select("path"), "path").select("path", "content")
+        open_ = mine.where("status = 'pending'").select("path", "source_lang")
+        text = texts.join(open_, "path").select(F.col("path").alias("doc_id"), "source_lang", "text")
+        said = Texts(text).translate(provider, None, target, batch_size).written(lambda rows, t=target: runs.put(rows, f"_segments-{t}", own))
+        office = found.where(suffix.isin(".docx", ".pptx")).join(open_, "path").select("path", "content", "source_lang")
+        kept: list[DataFrame] = []
+
+        def keep(rows: DataFrame, t: str = target, kept: list[DataFrame] = kept) -> DataFrame:
+            kept.append(runs.put(rows, f"_paragraphs-{t}", own))
+            return kept[0]
+
+        made = translate_office(office, provider, None, target, batch_size, keep)
+        content = said.docs.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")).unionByName(made).unionByName(copied)
+        written = runs.put(_named(content, target), target, own)
+        stats = said.stats().withColumnRenamed("doc_id", "path").unionByName(qa.segment_stats(kept[0], "path"))
+        stats = stats.select("path", *[F.col(k).alias(v) for k, v in _COUNTERS.items()])
+        counted.append(written.select("path").distinct().join(stats, "path", "left").withColumn("target_lang", F.lit(target)).withColumn("seconds", F.lit(time.time() - began)))
+    whole = counted[0]
+    for x in counted[1:]:
+        whole = whole.unionByName(x)
+    whole = whole.select(F.col("path").alias("__path"), F.col("target_lang").alias("__target"), F.when(F.col("api_calls").isNotNull(), qa.sidecar(whole.select(*_COUNTERS.values()), "segments")).alias("stats"), "seconds")
+    both = matrix.join(whole, (F.col("path") == F.col("__path")) & (F.col("target_lang") == F.col("__target")), "left")
+    open_, there = F.col("status") == "pending", F.col("__path").isNotNull()
+    status = F.when(open_ & there, "translated").when(open_ | (F.col("status") == "copied_source_language") & ~there, "failed").otherwise(F.col("status"))
+    reason = F.when(open_ & ~there, "no_output").otherwise(F.col("reason"))
+    told = both.select(
+        "path", "target_lang", "output_name", "source_lang", status.alias("status"), reason.alias("reason"), "stats", qa.quality_flags(F.col("stats")).alias("flags"),
+        F.timestamp_seconds(F.lit(began)).alias("started"), F.when(there, T.duration(F.col("seconds"))).alias("took"),
+    )
+    runs.put(told, "manifest", own)
+    runs.publish(own)
+    return manifest(spark, output_dir)
+
+
+def run_mapped(spark: SparkSession, source_dir: str, output_dir: str, mapping_path: str) -> DataFrame:
+    """Text and HTML files of a folder with segments and text nodes replaced by a JSON mapping; returns manifest().
+
+    Outputs go to the table `mapped`, published with its manifest as those of run().
+    """
+    began, runs = time.time(), Runs(spark, output_dir)
+    own = runs.new()
+    mapping = files.mapping(spark.read.text(mapping_path, wholetext=True), "value")
+    found = files.read_files(spark, source_dir, (".txt", ".html", ".htm"))
+    rows = found.select("path", files.decoded(F.col("content")).alias("text"))
+    is_text = T.suffix(F.col("path")) == ".txt"
+    texts = Texts(rows.where(is_text).select(F.col("path").alias("doc_id"), "text")).mapped(mapping)
+    pages = Pages(rows.where(~is_text).select(F.col("path").alias("page_id"), F.col("text").alias("html"))).mapped(mapping)
+    content = texts.docs.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")).unionByName(pages.pages.select(F.col("page_id").alias("path"), F.encode("html", "UTF-8").alias("content")))
+    written = runs.put(_named(content, "mapped"), "mapped", own)
+    there = F.col("__path").isNotNull()
+    told = found.select("path").join(written.select(F.col("path").alias("__path"), "output_name"), F.col("path") == F.col("__path"), "left").select(
+        "path", F.lit(None).cast("string").alias("target_lang"), "output_name", F.lit(None).cast("string").alias("source_lang"), F.when(there, "translated").otherwise("failed").alias("status"),
+        F.when(~there, "no_output").alias("reason"), F.lit(None).cast("string").alias("stats"), F.array().cast("array<string>").alias("flags"), F.timestamp_seconds(F.lit(began)).alias("started"), F.lit(None).cast("string").alias("took"),
+    )
+    runs.put(told, "manifest", own)
+    runs.publish(own)
+    return manifest(spark, output_dir)
+
+
+def manifest(spark: SparkSession, output_dir: str) -> DataFrame:
+    """What became of each output: the row of the last published run that did something about it."""
+    runs = Runs(spark, output_dir)
+    rows = runs.read("manifest")
+    if rows is None:
+        raise ValueError(f"no run has been published in {output_dir}")
+    # A skipped job says nothing new of its output.
+    rank = F.row_number().over(Window.partitionBy("output_name").orderBy(F.col("status") == "skipped_existing", F.desc("run")))
+    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+
+
+def outputs(spark: SparkSession, output_dir: str, target: str) -> DataFrame:
+    """(path, output_name, content, run): each output of a target once, from the last published run that made it."""
+    found = Runs(spark, output_dir).last(target, "output_name")
+    return spark.createDataFrame([], f"{_OUTPUT}, run string") if found is None else found
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -187,14 +293,16 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="folioform", description="Translate the documents of a folder.")
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
-    p.add_argument("--target-lang", required=True, action="append", choices=sorted(fixed.LANGUAGES))
+    what = p.add_mutually_exclusive_group(required=True)
+    what.add_argument("--target-lang", action="append", choices=sorted(fixed.LANGUAGES))
+    what.add_argument("--mapping", help="a JSON object of texts and their replacements, for text and HTML files")
     p.add_argument("--source-lang", choices=sorted(fixed.LANGUAGES), help="detected where it is left out")
     p.add_argument("--provider", default="identity", help="one of " + ", ".join(sorted(R.PROVIDERS)) + ", or several in order, parted by '>'")
     p.add_argument("--batch-size", type=int, default=50)
     p.add_argument("--overwrite", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("folioform").getOrCreate()
-    jobs_done = run(spark, a.input, a.output, a.target_lang, a.source_lang, a.provider, a.batch_size, a.overwrite)
+    jobs_done = run_mapped(spark, a.input, a.output, a.mapping) if a.mapping else run(spark, a.input, a.output, a.target_lang, a.source_lang, a.provider, a.batch_size, a.overwrite)
     for row in jobs_done.groupBy("status").count().orderBy("status").collect():
         print(f"{row['status']}: {row['count']}")
     return 0

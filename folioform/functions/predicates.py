@@ -149,7 +149,3 @@ def english_left(dst: Column) -> Column:
     found = F.regexp_extract_all(dst, F.lit("[a-zA-Z']+"), F.lit(0))
     both = lambda f: F.struct(F.size(f).alias("n"), F.size(F.filter(f, lambda t: t.isin(*fixed.STOPWORDS))).alias("hits"))
     return T.let(T.let(found, both), lambda x: (x["n"] >= 10) & (x["hits"] >= 6) & (x["hits"] / x["n"] >= 0.22))
-
-
-def allowed_suffix(name: Column) -> Column:
-    return T.suffix(name).isin(*fixed.DOCUMENT_SUFFIXES)

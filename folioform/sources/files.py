@@ -17,6 +17,8 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _WORD_PARTS = re.compile(r"word/(?:document|footnotes|endnotes|comments|(?:header|footer)[^/]*)\.xml")
 _SLIDE_PARTS = re.compile(r"ppt/(?:slides/slide|notesSlides/notesSlide)\d+\.xml")
+#: The part of a Word file that holds its text.
+BODY = "word/document.xml"
 RUNS = "path string, part string, para int, run int, text string"
 
 
@@ -124,22 +126,55 @@ def rewritten(files: DataFrame, runs: DataFrame) -> DataFrame:
 
     def write(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         new = {(r.part, r.para, r.run): r.new_text for r in b.itertuples() if r.new_text != r.text}
-        return pd.DataFrame([(p, rewrite_office(bytes(c), new)) for p, c in zip(a["path"], a["content"])], columns=["path", "content"])
+        made = []
+        for path, content in zip(a["path"], a["content"]):
+            try:
+                made.append((path, rewrite_office(bytes(content), new)))
+            except (zipfile.BadZipFile, ElementTree.ParseError):
+                continue  # no archive, no output
+        return pd.DataFrame(made, columns=["path", "content"])
 
     return files.select("path", "content").groupBy("path").cogroup(runs.select("path", "part", "para", "run", "text", "new_text").groupBy("path")).applyInPandas(write, "path string, content binary")
 
 
-def mapping(c: DataFrame, column: str = "json") -> DataFrame:
-    """(key, value) of JSON objects, both as strings; anything but an object is an error."""
-    parsed = F.from_json(column, "map<string,string>", {"mode": "FAILFAST"})
-    return c.select(F.explode(parsed).alias("key", "value"))
+def document_of(paragraphs_: list[list[str]]) -> bytes:
+    """A Word file of these paragraphs, each a list of runs."""
+    root = ElementTree.Element(f"{_WORD}document")
+    body = ElementTree.SubElement(root, f"{_WORD}body")
+    for texts in paragraphs_:
+        p = ElementTree.SubElement(body, f"{_WORD}p")
+        for text in texts:
+            run = ElementTree.SubElement(ElementTree.SubElement(p, f"{_WORD}r"), f"{_WORD}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+            run.text = text
+    main = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    kinds = f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/{BODY}" ContentType="{main}"/></Types>'
+    links = f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="{BODY}"/></Relationships>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+        made.writestr("[Content_Types].xml", kinds)
+        made.writestr("_rels/.rels", links)
+        made.writestr(BODY, ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True))
+    return out.getvalue()
 
 
-def write_manifest(jobs: DataFrame, path: str) -> None:
-    """All jobs as JSON lines, replacing what was there."""
-    jobs.write.mode("overwrite").json(path)
+def new_documents(runs: DataFrame) -> DataFrame:
+    """(path, content): a new Word file for each path of runs (path, para, run, text), which meet in one task of that file."""
+    ordered = runs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("para", "run", "text"))).alias("runs"))
 
+    def write(batches):
+        for pdf in batches:
+            made = []
+            for runs_ in pdf["runs"]:
+                paras: dict[int, list[str]] = {}
+                for r in runs_:
+                    paras.setdefault(r["para"], []).append(r["text"] or "")
+                made.append(document_of(list(paras.values())))
+            yield pd.DataFrame({"path": pdf["path"], "content": made})
 
-def write_texts(docs: DataFrame, path: str) -> None:
-    """Texts as Parquet, replacing what was there."""
-    docs.select("doc_id", "text").write.mode("overwrite").parquet(path)
+    return ordered.mapInPandas(write, "path string, content binary")
+
+
+def mapping(c: DataFrame, column: str = "json") -> DataFrame:
+    """(key, value) of JSON objects, both as strings; anything but an object is an error."""
+    parsed = F.from_json(column, "map<string,string>", {"mode": "FAILFAST"})
+    return c.select(F.explode(parsed).alias("key", "value"))
