@@ -13,6 +13,8 @@ from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as T
 from ..schema import TEXT_BLOCK
+from . import boxes as B
+from . import ranks as R
 
 PAGE = ["doc_id", "page_index"]
 
@@ -195,28 +197,33 @@ def mark_references(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.withColumn("is_reference", F.coalesce(F.col("__no") >= first, F.lit(False))).drop("__no", "__n")
 
 
-def room_below(blocks_: DataFrame, obstacles: DataFrame, page_bottom: float = 842.0) -> DataFrame:
-    """(doc_id, page_index, block_id, vertical_limit): how far down a block may grow before the nearest obstacle below it.
+def _edges() -> tuple[Column, Column]:
+    """The boxes of a block and an obstacle that nearest() brings together."""
+    return _box(), F.struct(*[F.col(f"o_{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
 
-    Rows of both sides meet on the page only; a page's boxes are few.
-    """
-    o = obstacles.select(*[F.col(k).alias(f"o_{k}") for k in (*PAGE, "x0", "y0", "x1", "y1")])
-    b, ob = _box(), F.struct(*[F.col(f"o_{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
-    below = (F.col("o_y0") > F.col("y0") + F.greatest(F.lit(4.0), F.col("font_size") * 0.6)) & (G.overlap(F.col("x0"), F.col("x1"), F.col("o_x0"), F.col("o_x1")) > F.least(G.width(b), G.width(ob)) * 0.30) & ~G.same(b, ob)
-    met = blocks_.join(o, (F.col("doc_id") == F.col("o_doc_id")) & (F.col("page_index") == F.col("o_page_index")) & below, "left")
-    near = met.groupBy(*PAGE, "block_id", "y0").agg(F.min(F.col("o_y0") - 1).alias("near"))
-    return near.select(*PAGE, "block_id", F.greatest(F.col("y0") + 10, F.least(F.lit(page_bottom - 2), F.coalesce("near", F.lit(page_bottom)))).alias("vertical_limit"))
+
+def room_below(blocks_: DataFrame, obstacles: DataFrame, page_bottom: float = 842.0) -> DataFrame:
+    """(doc_id, page_index, block_id, vertical_limit): how far down a block may grow before the nearest obstacle below it."""
+    b, ob = _edges()
+    since = F.col("y0") + F.greatest(F.lit(4.0), F.col("font_size") * 0.6)
+    blocks_ = blocks_.select(*PAGE, "block_id", "x0", "y0", "x1", "y1", since.alias("since"), F.col("x0").alias("side0"), F.col("x1").alias("side1"))
+    o = obstacles.select(*PAGE, "x0", "y0", "x1", "y1", F.col("y0").alias("at"), F.col("x0").alias("side0"), F.col("x1").alias("side1"))
+    meets = (F.col("o_y0") > F.col("since")) & (G.overlap(F.col("x0"), F.col("x1"), F.col("o_x0"), F.col("o_x1")) > F.least(G.width(b), G.width(ob)) * 0.30) & ~G.same(b, ob)
+    near = B.nearest(blocks_, o, PAGE, ["block_id", "y0"], meets)
+    return near.select(*PAGE, "block_id", F.greatest(F.col("y0") + 10, F.least(F.lit(page_bottom - 2), F.coalesce(F.col("near") - 1, F.lit(page_bottom)))).alias("vertical_limit"))
 
 
 def room_beside(blocks_: DataFrame, obstacles: DataFrame, page_width: float = 600.0, margin: float = 2.0, gap: float = 2.0) -> DataFrame:
     """(doc_id, page_index, block_id, left_limit, right_limit): free room in a block's rows."""
-    o = obstacles.select(*[F.col(k).alias(f"o_{k}") for k in (*PAGE, "x0", "y0", "x1", "y1")])
-    b, ob = _box(), F.struct(*[F.col(f"o_{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
-    beside = (G.overlap(F.col("y0"), F.col("y1"), F.col("o_y0"), F.col("o_y1")) > 0.5) & ~G.same(b, ob)
-    met = blocks_.join(o, (F.col("doc_id") == F.col("o_doc_id")) & (F.col("page_index") == F.col("o_page_index")) & beside, "left")
-    left = F.max(F.when(F.col("o_x1") <= F.col("x0"), F.col("o_x1") + gap))
-    right = F.min(F.when((F.col("o_x1") > F.col("x0")) & (F.col("o_x0") >= F.col("x1")), F.col("o_x0") - gap))
-    return met.groupBy(*PAGE, "block_id").agg(F.greatest(F.lit(margin), F.coalesce(left, F.lit(margin))).alias("left_limit"), F.least(F.lit(page_width - margin), F.coalesce(right, F.lit(page_width))).alias("right_limit"))
+    b, ob = _edges()
+    meets = (G.overlap(F.col("y0"), F.col("y1"), F.col("o_y0"), F.col("o_y1")) > 0.5) & ~G.same(b, ob)
+    box = [*PAGE, "x0", "y0", "x1", "y1", F.col("y0").alias("side0"), F.col("y1").alias("side1")]
+    own = blocks_.select("block_id", *box)
+    right = B.nearest(own.withColumn("since", F.col("x1")), obstacles.select(*box, F.col("x0").alias("at")), PAGE, ["block_id"], meets & (F.col("o_x1") > F.col("x0")))
+    left = B.nearest(own.withColumn("since", -F.col("x0")), obstacles.select(*box, (-F.col("x1")).alias("at")), PAGE, ["block_id"], meets)
+    keys = [*PAGE, "block_id"]
+    both = left.withColumnRenamed("near", "__left").join(right, keys)
+    return both.select(*keys, F.greatest(F.lit(margin), F.coalesce(-F.col("__left") + gap, F.lit(margin))).alias("left_limit"), F.least(F.lit(page_width - margin), F.coalesce(F.col("near") - gap, F.lit(page_width))).alias("right_limit"))
 
 
 def trimmed(box: Column, avoid: Column) -> Column:
@@ -239,18 +246,27 @@ def trimmed(box: Column, avoid: Column) -> Column:
 
 
 def trim_redactions(blocks_: DataFrame, preserved: DataFrame) -> DataFrame:
-    """(doc_id, page_index, block_id, x0, y0, x1, y1, usable) of blocks cut back from the page's preserved boxes, in their order."""
-    o = preserved.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("block_id", "x0", "y0", "x1", "y1"))).alias("avoid"))
-    met = blocks_.join(o, PAGE, "left").withColumn("r", trimmed(_box(), F.coalesce("avoid", F.array().cast("array<struct<block_id:int,x0:double,y0:double,x1:double,y1:double>>"))))
+    """(doc_id, page_index, block_id, x0, y0, x1, y1, usable) of blocks cut back from the page's preserved boxes, in their order.
+
+    A block only shrinks, so boxes that it does not touch at first never count: each block gets those that it meets.
+    """
+    met = B.meeting(blocks_.select(*PAGE, "block_id", "x0", "y0", "x1", "y1"), preserved.select(*PAGE, "block_id", "x0", "y0", "x1", "y1"), PAGE)
+    o = met.groupBy(*PAGE, "block_id").agg(F.array_sort(F.collect_list(F.struct(F.col("o_block_id").cast("int").alias("block_id"), *[F.col(f"o_{k}").alias(k) for k in ("x0", "y0", "x1", "y1")]))).alias("avoid"))
+    met = blocks_.join(o, [*PAGE, "block_id"], "left").withColumn("r", trimmed(_box(), F.coalesce("avoid", F.array().cast("array<struct<block_id:int,x0:double,y0:double,x1:double,y1:double>>"))))
     return met.select(*PAGE, "block_id", "r.*", G.usable(F.col("r")).alias("usable"))
 
 
 def harmonize(plans: DataFrame, by: list[str], key: str = "key", size: str = "font_size", least: int = 3, floor: float = 0.85) -> DataFrame:
-    """Adds harmonized: blocks that share a key shrink to their smallest size, or to 85 % of their median size if that is more."""
-    w = Window.partitionBy(*by, key)
-    target = F.greatest(F.min(size).over(w), F.median(size).over(w) * floor)
-    shrink = F.col(key).isNotNull() & (F.count("*").over(w) >= least) & (F.col(size) > target)
-    return plans.withColumn("harmonized", F.when(shrink, F.bround(target, 2)).otherwise(F.col(size)))
+    """Adds harmonized: blocks that share a key shrink to their smallest size, or to 85 % of their median size if that is more.
+
+    Medians are exact for groups of any size; a null key shares nothing.
+    """
+    keys = [*by, key]
+    shared = R.medians(plans.where(F.col(key).isNotNull()), keys, size)
+    target = F.greatest(F.col("least"), F.col("median") * floor)
+    shared = shared.where(F.col("n") >= least).select(*keys, target.alias("__target"))
+    joined = R.group_join(plans, shared, keys, "left")
+    return joined.withColumn("harmonized", F.when(F.col(size) > F.col("__target"), F.bround("__target", 2)).otherwise(F.col(size))).drop("__target")
 
 
 #: Ems that a character takes where there is no font renderer to ask.

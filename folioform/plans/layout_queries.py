@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as T
+from ..operators import boxes as B
 from ..operators import layout as Y
 from ..operators import lines as L
 from ..operators import qa
@@ -209,10 +210,12 @@ WITH b AS (SELECT doc_id, page_index, line_id AS block_id, x0, y0, x1, y1 FROM (
 SELECT b.doc_id, b.page_index, b.block_id, o.block_id AS other FROM b JOIN b o ON b.doc_id = o.doc_id AND b.page_index = o.page_index AND b.block_id % 5 <> 0 AND o.block_id % 5 = 0 AND least(b.x1, o.x1) > greatest(b.x0, o.x0) AND least(b.y1 + 5.0, o.y1) > greatest(b.y0 - 2.0, o.y0)
 """)
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    b = placed(spark, d).withColumn("block_id", F.col("line_id"))
-    o = b.where("block_id % 5 = 0").select(F.col("doc_id").alias("d2"), F.col("page_index").alias("p2"), F.col("block_id").alias("other"), *[F.col(k).alias(f"o_{k}") for k in ("x0", "y0", "x1", "y1")])
-    met = (F.col("doc_id") == F.col("d2")) & (F.col("page_index") == F.col("p2")) & (G.overlap(F.col("x0"), F.col("x1"), F.col("o_x0"), F.col("o_x1")) > 0) & (G.overlap(F.col("y0") - 2.0, F.col("y1") + 5.0, F.col("o_y0"), F.col("o_y1")) > 0)
-    return b.where("block_id % 5 <> 0").join(o, met).select("doc_id", "page_index", "block_id", "other")
+    """Boxes grown a little and the boxes of every fifth line that they overlap."""
+    b = placed(spark, d).select("doc_id", "page_index", F.col("line_id").alias("block_id"), "x0", "y0", "x1", "y1")
+    grown = b.where("block_id % 5 <> 0").withColumn("y0", F.col("y0") - 2.0).withColumn("y1", F.col("y1") + 5.0)
+    met = B.meeting(grown, b.where("block_id % 5 = 0"), Y.PAGE)
+    over = [G.overlap(F.col(f"{k}0"), F.col(f"{k}1"), F.col(f"o_{k}0"), F.col(f"o_{k}1")) > 0 for k in "xy"]
+    return met.where(over[0] & over[1]).select("doc_id", "page_index", "block_id", F.col("o_block_id").alias("other"))
 
 
 @query("""
@@ -227,6 +230,20 @@ def harmonize_sizes(spark: SparkSession, d: str) -> DataFrame:
     return Y.harmonize(p, []).select("o_orderkey", F.col("harmonized").alias("size"))
 
 
+@query(f"""
+WITH p AS (SELECT doc_id, page_index, line_id, column_index, CASE WHEN {S.like("text", S.T.BULLET)} OR w < 360 THEN 'body' ELSE 'caption' END AS kind_class, 9.0::DOUBLE + (m % 37) / 16.0::DOUBLE AS size, k % 7 = 3 AS rotated FROM ({_COLUMNS})),
+t AS (SELECT doc_id, column_index, kind_class, round_even(size, 0) AS r, greatest(min(size)::DOUBLE, median(size)::DOUBLE * 0.85::DOUBLE) AS target FROM p WHERE NOT rotated GROUP BY ALL HAVING count(*) >= 3)
+SELECT p.doc_id, p.page_index, p.line_id, CASE WHEN NOT rotated AND size > target THEN round_even(target, 2) ELSE size END::DOUBLE AS size
+FROM p LEFT JOIN t ON p.doc_id = t.doc_id AND p.column_index IS NOT DISTINCT FROM t.column_index AND p.kind_class = t.kind_class AND round_even(p.size, 0) = t.r
+""")
+def harmonize_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a document that share column, kind and rounded size, and are not rotated, with the sizes they shrink to."""
+    p = Y.detect_columns(placed(spark, d)).withColumn("font_size", 9.0 + (F.col("m") % 37) / 16.0)
+    kind = F.when(T.is_bullet(F.col("text")), "bullet").when(G.is_wide(F.struct("x0", "y0", "x1", "y1"), F.col("page_width")), "caption").otherwise("line")
+    p = p.withColumn("key", G.harmonize_key(kind, F.col("column_index"), F.col("font_size"), F.col("k") % 7 == 3))
+    return Y.harmonize(p, ["doc_id"]).select("doc_id", "page_index", "line_id", F.col("harmonized").alias("size"))
+
+
 @query("""
 WITH r AS (SELECT l_orderkey, l_linenumber, (l_quantity * 4 + (l_orderkey % 2) * 0.001)::DOUBLE AS x0, (l_quantity % 3)::DOUBLE AS y0, (l_quantity * 4 + 60 + l_quantity)::DOUBLE AS x1, (40 + l_quantity)::DOUBLE AS y1, l_suppkey FROM lineitem),
 f AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, round_even(x0, 2), round_even(y0, 2), round_even(x1, 2), round_even(y1, 2) ORDER BY l_orderkey * 10 + l_linenumber) AS k FROM r)
