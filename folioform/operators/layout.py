@@ -331,21 +331,21 @@ def missing_links(links: DataFrame, present: DataFrame) -> DataFrame:
     return want.join(have, on, "left_anti")
 
 
-#: Ranges of fonts up to which they are made known to all tasks.
-KNOWN_RANGES = 10_000
+#: Code points of a bucket in which characters meet the ranges that cover some of it.
+POINTS = 256
 
 
 def covering_font(texts: DataFrame, coverage: DataFrame, key: str) -> DataFrame:
     """(key, font): the first font, by priority, that covers all characters of a text but white space, else the first of all.
 
     coverage (font, priority, first, last) lists ranges of code points. Each code point that occurs is looked up once, however many
-    texts hold it.
+    texts hold it: ranges are cut at buckets of POINTS, by which both sides meet.
     """
     chars = texts.select(key, F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("c")).where((F.col("c") != "") & ~F.col("c").rlike(f"^{T.SPACE}$"))
     need = chars.select(key, F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long").alias("point"))
     fonts = coverage.select("font", "priority").distinct()
-    some = coverage.limit(KNOWN_RANGES + 1).count() <= KNOWN_RANGES
-    met = need.select("point").distinct().join(F.broadcast(coverage) if some else coverage, F.col("point").between(F.col("first"), F.col("last")))
+    cut = coverage.select("font", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / POINTS), F.floor(F.col("last") / POINTS))).alias("bucket"))
+    met = need.select("point").distinct().join(cut, (F.floor(F.col("point") / POINTS) == F.col("bucket")) & F.col("point").between(F.col("first"), F.col("last")))
     by_point = met.groupBy("point").agg(F.collect_set("font").alias("fonts")).withColumnRenamed("point", "point2")
     each = need.join(by_point, F.col("point") == F.col("point2"), "left").select(key, F.coalesce("fonts", F.array().cast("array<string>")).alias("fonts"))
     # The fonts that a text has in common to all of its characters: those that are named as often as it has characters.

@@ -41,17 +41,22 @@ def formula_policy(page_lines: DataFrame) -> DataFrame:
 def segments(docs: DataFrame) -> DataFrame:
     """(doc_id, seg_no, segment, is_blank): runs of non-blank lines in one piece, each blank line by itself, line ends kept.
 
-    Joined in order the segments are the text again.
+    Joined in order the segments are the text again. A text's lines are numbered and joined within its row: nothing is shuffled, and the
+    work is linear in the text. A null text is one null segment.
     """
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]*(?:" + T.LINE_END + r")|[^\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]+"), F.lit(0))
     pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array("text"))
-    each = docs.select("doc_id", F.posexplode(pieces).alias("line_no", "line"))
-    blank = T.strip(F.col("line")) == ""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    starts = blank | F.coalesce(F.lag(blank).over(order), F.lit(True))
-    numbered = each.withColumn("blank", blank).withColumn("seg_no", F.sum(starts.cast("int")).over(order) - 1)
-    joined = numbered.groupBy("doc_id", "seg_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "").alias("segment"), F.max("blank").alias("is_blank"))
-    return joined.select("doc_id", F.col("seg_no").cast("int").alias("seg_no"), "segment", "is_blank")
+
+    def cut(x: Column) -> Column:
+        lines_, blank = x["lines"], x["blank"]
+        starts = lambda i: (i == 0) | F.get(blank, i) | F.get(blank, i - 1)
+        at = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), starts)
+        whole = lambda at: F.transform(at, lambda s, k: F.array_join(F.slice(lines_, s + 1, F.coalesce(F.get(at, k + 1), F.size(lines_)) - s), ""))
+        return T.let(at, whole)
+
+    held = F.struct(F.col("__lines").alias("lines"), F.transform("__lines", lambda l: F.coalesce(T.strip(l) == "", F.lit(True))).alias("blank"))
+    each = docs.select("doc_id", "text", pieces.alias("__lines")).select("doc_id", F.posexplode(F.when(F.col("text").isNull(), F.array("text")).otherwise(T.let(held, cut))).alias("seg_no", "segment"))
+    return each.select("doc_id", "seg_no", "segment", (T.strip(F.col("segment")) == "").alias("is_blank"))
 
 
 def join_segments(segs: DataFrame) -> DataFrame:

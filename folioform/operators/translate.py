@@ -184,18 +184,33 @@ def overlap(src: Column, dst: Column) -> Column:
     return measure(src, dst)
 
 
+def shared_at_most(a: Column, b: Column) -> Column:
+    """How many characters two texts have in common at most, wherever they stand: no common stretch is longer, no matching has more."""
+
+    def both(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        held = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+        common = F.array_intersect(F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, "")))
+        return F.aggregate(F.filter(common, lambda c: c != ""), F.lit(0), lambda n, c: n + F.least(held(a, c), held(b, c)))
+
+    return T.let(F.struct(a.alias("a"), b.alias("b")), both)
+
+
 def suspicious(rows: DataFrame, source: str = "source_lang", target: str = "target_lang", src: str = "src", dst: str = "dst", out: str = "suspicious") -> DataFrame:
     """Adds a boolean to rows: the translation is empty, the source itself, degenerate, leaks the source or stays English.
 
-    Only rows that no other rule decides, and whose source is long enough, reach Python for the measure of what they share.
+    Only rows that no other rule decides, whose source is long enough, and which have as many characters in common as a leak needs, reach
+    Python for the measure of what they share in order.
     """
     a, b = T.comparable(F.col(src)), T.comparable(F.coalesce(dst, F.lit("")))
     rows = rows.withColumn("__a", a).withColumn("__b", b)
     a, b = F.col("__a"), F.col("__b")
     clear = (b == "") | (a == b) | P.degenerate(a, b) | ((F.col(source) == "en") & (F.col(target) != "en") & P.english_left(b))
     rows = rows.withColumn("__clear", F.when(F.col(source) == F.col(target), False).when(clear, True).when(F.length(a) < 40, False))
-    rows = rows.withColumn("__shared", overlap(F.when(F.col("__clear").isNull(), a), F.when(F.col("__clear").isNull(), b)))
     least = F.greatest(F.lit(LEAK_CHARS), F.floor(F.length(a) * LEAK_SHARE))
+    enough = lambda n: (n >= least) | (2 * n / (F.length(a) + F.length(b)) > LEAK_RATIO)
+    rows = rows.withColumn("__clear", F.when(F.col("__clear").isNull() & ~T.let(shared_at_most(a, b), enough), False).otherwise(F.col("__clear")))
+    rows = rows.withColumn("__shared", overlap(F.when(F.col("__clear").isNull(), a), F.when(F.col("__clear").isNull(), b)))
     leak = (F.col("__shared.longest") >= least) | (F.col("__shared.ratio") > LEAK_RATIO)
     return rows.withColumn(out, F.coalesce("__clear", leak)).drop("__a", "__b", "__clear", "__shared")
 

@@ -264,11 +264,12 @@ def language_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT code, ratio, round(least(1.0, 1 / sqrt(ratio)), 6)::DOUBLE AS scale FROM (VALUES {", ".join(f"('{k}', {fixed.EXPANSION.get(k, fixed.DEFAULT_EXPANSION)}::DOUBLE)" for k in fixed.LANGUAGES)}) t(code, ratio)
+SELECT doc_id, ratio, round(least(1.0, 1 / sqrt(ratio)), 6)::DOUBLE AS scale
+FROM (SELECT doc_id, CASE {" ".join(f"WHEN lang = '{k}' THEN {v}" for k, v in fixed.EXPANSION.items())} ELSE {fixed.DEFAULT_EXPANSION} END::DOUBLE AS ratio FROM documents)
 """)
 def expansion_scale(spark: SparkSession, d: str) -> DataFrame:
-    langs = spark.createDataFrame([(k,) for k in fixed.LANGUAGES], "code string")
-    return langs.select("code", T.expansion_ratio(F.col("code")).alias("ratio"), F.round(T.area_scale(F.col("code")), 6).alias("scale"))
+    """How much longer a document gets in its language, and how much smaller its letters for that."""
+    return table(spark, d, "documents").select("doc_id", T.expansion_ratio(F.col("lang")).alias("ratio"), F.round(T.area_scale(F.col("lang")), 6).alias("scale"))
 
 
 @query(f"""
@@ -348,8 +349,7 @@ def mapping_replace(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, key, value FROM (SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events)")
 def mapping_scan(spark: SparkSession, d: str) -> DataFrame:
-    parsed = F.from_json("props", "map<string,string>", {"mode": "FAILFAST"})
-    return table(spark, d, "events").select("event_id", F.explode(parsed).alias("key", "value"))
+    return files.mapping(table(spark, d, "events"), "props", ["event_id"])
 
 
 @query(f"""

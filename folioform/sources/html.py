@@ -115,7 +115,7 @@ def replaced_nodes(nodes: DataFrame) -> DataFrame:
     """Adds new_text to nodes (prefix_ws, core, suffix_ws, translation): the translation on one line in the core's white space; null
     for a missing or empty one, whose node stays."""
     line = T.strip(T.one_line(F.col("translation")))
-    return nodes.withColumn("new_text", F.when(F.col("translation") != "", F.concat("prefix_ws", line, "suffix_ws")))
+    return nodes.withColumn("new_text", F.when(F.col("translation") != "", T.rewrap(F.concat("prefix_ws", "core", "suffix_ws"), line)))
 
 
 def rewritten_pages(pages: DataFrame, nodes: DataFrame, skip: tuple[str, ...] = fixed.SKIPPED_TAGS, key: str = "page_id") -> DataFrame:
