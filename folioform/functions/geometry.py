@@ -27,7 +27,11 @@ def overlap_ratio(a: Column, b: Column) -> Column:
     return F.when(flat, 0.0).otherwise(shared / F.least(height(a), height(b)))
 
 
-def same(a: Column, b: Column, tolerance: float = 0.5) -> Column:
+#: How far edges of boxes may be apart that are the same.
+SAME = 0.5
+
+
+def same(a: Column, b: Column, tolerance: float = SAME) -> Column:
     near = F.lit(True)
     for k in ("x0", "y0", "x1", "y1"):
         near = near & (F.abs(a[k] - b[k]) <= tolerance)

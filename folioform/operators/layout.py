@@ -6,6 +6,7 @@ page's lines (a bounded list) are folded in order with aggregate(), inside the J
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,20 +74,31 @@ def style_span(spans: Column) -> Column:
     return F.array_max(F.transform(scored, lambda s: F.struct(s["n"].alias("n"), s["size"].alias("size"), s["first"].alias("first"), s["span"].alias("span"))))["span"]
 
 
+def _rows_of(boxes: list, least: float) -> list[int]:
+    """Heads of rows lie in all bands of the page that they touch, so that a box looks at those near it only."""
+    size = max(1.0, sum(b["y1"] - b["y0"] for b in boxes) / max(len(boxes), 1))
+    bands: dict[int, list[int]] = {}
+    heads, rows = [], []
+    for b in boxes:
+        y0, y1 = b["y0"], b["y1"]
+        near = range(int(y0 // size), int(max(y0, y1) // size) + 1)
+        fits = [k for band in near for k in bands.get(band, ()) if (shared := min(heads[k][1], y1) - max(heads[k][0], y0)) > 0 and shared / min(heads[k][1] - heads[k][0], y1 - y0) >= least]
+        rows.append(min(fits, default=len(heads)))
+        if not fits:
+            for band in near:
+                bands.setdefault(band, []).append(len(heads))
+            heads.append((y0, y1))
+    return rows
+
+
 def cluster_rows(boxes: Column, least: float = 0.6) -> Column:
     """array<int>: the row of each box in order; a box joins the first row whose first box it overlaps enough in height."""
-    start = F.struct(F.array().cast("array<struct<y0:double,y1:double>>").alias("heads"), F.array().cast("array<int>").alias("rows"))
 
-    def step(acc: Column, b: Column) -> Column:
-        fits = F.transform(acc["heads"], lambda h: G.overlap_ratio(h, b) >= least)
-        at = F.array_position(fits, F.lit(True))
-        new = at == 0
-        return F.struct(
-            F.when(new, F.concat(acc["heads"], F.array(F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"))))).otherwise(acc["heads"]).alias("heads"),
-            F.concat(acc["rows"], F.array(F.when(new, F.size(acc["heads"])).otherwise(at - 1).cast("int"))).alias("rows"),
-        )
+    @F.pandas_udf("array<int>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda boxes: None if boxes is None else _rows_of(list(boxes), least))
 
-    return F.aggregate(boxes, start, step, lambda acc: acc["rows"])
+    return run(F.transform(boxes, lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"))))
 
 
 def mergeable(p: Column, c: Column) -> Column:
@@ -316,9 +328,30 @@ def distinct_boxes(boxes: DataFrame, keys: list[str], order: str) -> DataFrame:
     return boxes.withColumn("__first", first).where("__first = 1").drop("__first")
 
 
+def _apart(boxes: list) -> list[int]:
+    """Kept boxes lie in cells twice as wide as the tolerance, by where they begin: one that is the same is in a cell's neighbours at most."""
+    cells: dict[tuple[int, int], list] = {}
+    kept = []
+    for k, b in enumerate(boxes):
+        edges = tuple(b[e] for e in ("x0", "y0", "x1", "y1"))
+        if None not in edges:
+            x, y = int(edges[0] // 1), int(edges[1] // 1)
+            if any(all(abs(p - q) <= G.SAME for p, q in zip(edges, o)) for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for o in cells.get((i, j), ())):
+                continue
+            cells.setdefault((x, y), []).append(edges)
+        kept.append(k)
+    return kept
+
+
 def apart_boxes(boxes: Column) -> Column:
     """Boxes in order without those that are the same, within tolerance, as one kept before."""
-    return F.aggregate(boxes, F.slice(boxes, 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: G.same(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
+
+    @F.pandas_udf("array<int>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda boxes: None if boxes is None else _apart(list(boxes)))
+
+    edges = F.transform(boxes, lambda b: F.struct(*[b[k].cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")]))
+    return F.transform(run(edges), lambda k: F.get(boxes, k))
 
 
 def missing_links(links: DataFrame, present: DataFrame) -> DataFrame:

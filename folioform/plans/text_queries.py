@@ -102,12 +102,15 @@ def mask_email(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", "line_no", F.sha2("m.masked", 256).alias("masked"), F.size("m.replacements").cast("long").alias("n_masks"))
 
 
-@query("SELECT page_id, true AS restored_equal, true AS spaced_equal FROM pages")
+@query("""
+WITH p AS (SELECT page_id, html || ' (' || url || '). Contact @user' || page_id || ' or a.b' || page_id || '@example.org, please.' AS text FROM pages)
+SELECT page_id, sha256(text) AS restored, sha256(text) AS from_spaced FROM p
+""")
 def mask_restored(spark: SparkSession, d: str) -> DataFrame:
-    """Whole pages with an address, a link and a handle masked and put back: the page again, also from spaced tokens."""
+    """Whole pages with an address, a link and a handle masked and put back, also from spaced tokens."""
     p = _marked_pages(spark, d)
     spaced = F.regexp_replace("masked", "ZXQNT", "zxqnt ")
-    return p.select("page_id", (masking.unmask(F.col("masked"), F.col("replacements")) == F.col("text")).alias("restored_equal"), (masking.unmask(spaced, F.col("replacements")) == F.col("text")).alias("spaced_equal"))
+    return p.select("page_id", F.sha2(masking.unmask(F.col("masked"), F.col("replacements")), 256).alias("restored"), F.sha2(masking.unmask(spaced, F.col("replacements")), 256).alias("from_spaced"))
 
 
 def _marked_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +138,14 @@ def line_rules(spark: SparkSession, d: str) -> DataFrame:
     return started.select("doc_id", "line_no", P.reference_line(t).alias("reference_line"), P.reference_heading(t).alias("reference_heading"), P.starts_structure(t).alias("starts_structure"), P.header_or_footer(t).alias("header_or_footer"))
 
 
-@query(f"SELECT doc_id, n, {S.reference_line('t')} AS reference_line, {S.reference_heading('t')} AS reference_heading, {S.header_or_footer('t')} AS header_or_footer FROM (SELECT doc_id, n, list_extract([{', '.join(map(S.lit, _STARTS))}], n) AS t FROM documents, (SELECT unnest(range(1, {len(_STARTS)} + 1)) AS n))")
+@query(f"SELECT doc_id, line_no, {S.reference_line('t')} AS reference_line, {S.reference_heading('t')} AS reference_heading, {S.header_or_footer('t')} AS header_or_footer FROM (SELECT doc_id, line_no, left(t, (8 + line_no % 11)::INTEGER) AS t FROM ({_STARTED}))")
 def bare_line_rules(spark: SparkSession, d: str) -> DataFrame:
-    """The rules on the marks alone, which are lines of their own as often."""
+    """The rules on short lines: what all lines begin with, marks that stand nearly alone among them."""
+    mark = F.get(F.array(*map(F.lit, _STARTS)), ((F.col("doc_id") + F.col("line_no")) % len(_STARTS)).cast("int"))
+    short = F.left(F.concat(mark, "line"), (8 + F.col("line_no") % 11).cast("int"))
     t = F.col("t")
-    each = table(spark, d, "documents").select("doc_id", F.posexplode(F.array(*map(F.lit, _STARTS))).alias("n", "t"))
-    return each.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), P.reference_line(t).alias("reference_line"), P.reference_heading(t).alias("reference_heading"), P.header_or_footer(t).alias("header_or_footer"))
+    each = L.lines(table(spark, d, "documents")).select("doc_id", "line_no", short.alias("t"))
+    return each.select("doc_id", "line_no", P.reference_line(t).alias("reference_line"), P.reference_heading(t).alias("reference_heading"), P.header_or_footer(t).alias("header_or_footer"))
 
 
 @query(f"SELECT doc_id, line_no, {S.sentence_boundary('line', 'nxt')} AS boundary FROM (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM ({_LINES})) WHERE nxt IS NOT NULL")
