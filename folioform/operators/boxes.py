@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.runs import checkpointed
 from .ranks import group_join
 
 #: A cell is so many average boxes wide and high; a strip so many wide, a band so many high.
@@ -64,12 +65,13 @@ def nearest(blocks: DataFrame, obstacles: DataFrame, keys: list[str], ids: list[
     through the rest of its band and the next one; where nothing is found, through bands that are GROWTH times as high, until these are
     as high as the page. ids tell a page's blocks apart.
     """
-    sized = blocks.select(*keys, "side0", "side1").unionByName(obstacles.select(*keys, "side0", "side1"))
-    reach = obstacles.groupBy(*keys).agg(F.min("at").alias("__first"), F.max("at").alias("__last"), F.count("*").alias("__n"))
-    # Bands as high as hold some boxes of every strip, were they spread evenly.
-    sizes = group_join(_average(sized, keys, {"__w": (F.col("side1") - F.col("side0")) * STRIP}), reach, keys)
-    sizes = sizes.withColumn("__h", F.greatest((F.col("__last") - F.col("__first")) * BAND / F.sqrt("__n"), F.lit(1.0)))
-    most = sizes.agg(F.max((F.col("__last") - F.col("__first")) / F.col("__h"))).first()[0] or 0.0
+    sized = blocks.select(*keys, "side0", "side1", F.lit(None).cast("double").alias("at")).unionByName(obstacles.select(*keys, "side0", "side1", "at"))
+    width = F.sum(F.ceil(F.greatest((F.col("side1") - F.col("side0")) * STRIP, F.lit(0.0)))) / F.count("*")
+    # Bands as high as hold some boxes of every strip, were they spread evenly. A page without an obstacle has no row.
+    height = (F.max("at") - F.min("at")) * BAND / F.sqrt(F.count("at"))
+    sizes = sized.groupBy(*keys).agg(F.greatest(width, F.lit(1.0)).alias("__w"), F.greatest(height, F.lit(1.0)).alias("__h"), (F.max("at") - F.min("at")).alias("__reach")).where("__reach is not null")
+    sizes = checkpointed(sizes)  # one row a page, read by both sides
+    most = sizes.agg(F.max(F.col("__reach") / F.col("__h"))).first()[0] or 0.0
     rounds = 1 + math.ceil(math.log(max(most, 1.0), GROWTH))
     held = group_join(blocks, sizes.select(*keys, "__w", "__h"), keys, "left").withColumn("near", F.lit(None).cast("double"))
     others = group_join(obstacles, sizes.select(*keys, "__w", "__h"), keys).withColumn("__strip", F.explode(_cells(F.col("side0"), F.col("side1"), F.col("__w"))))

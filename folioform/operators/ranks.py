@@ -43,12 +43,14 @@ def medians(rows: DataFrame, keys: list[str], value: str, middle: int = MIDDLE)
     Cuts decide on what is counted together, never on the result.
     """
     held = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
-    total = held.groupBy(*keys).agg(F.sum("__c").alias("n"), F.min("__v").alias("least"), F.count("*").alias("__distinct"))
-    total = total.withColumn("__below", F.lit(0).cast("long"))
     first, last = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    if (total.agg(F.max("__distinct")).first()[0] or 0) > middle:
-        held, total = checkpointed(held), checkpointed(total)
-    while (total.agg(F.max("__distinct")).first()[0] or 0) > middle:
+    widest = lambda groups: groups.agg(F.max("__distinct")).first()[0] or 0
+    total, most = None, widest(held.groupBy(*keys).agg(F.count("*").alias("__distinct")))
+    if most > middle:
+        held = checkpointed(held)
+        total = held.groupBy(*keys).agg(F.sum("__c").alias("n"), F.min("__v").alias("least"))
+        total = checkpointed(total.withColumn("__below", F.lit(0).cast("long")))
+    while most > middle:
         cuts = held.groupBy(*keys).agg(F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
         ranged = group_join(held, cuts, keys).withColumn("__r", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
         sums = ranged.groupBy(*keys, "__r").agg(F.sum("__c").alias("n"))
@@ -58,7 +60,12 @@ def medians(rows: DataFrame, keys: list[str], value: str, middle: int = MIDDLE)
         near = both.withColumn("__low", low).withColumn("__high", high).select(*keys, "n", "least", F.col("__low.at").alias("__from"), F.col("__high.at").alias("__to"), F.col("__low.before").alias("__below"))
         held = checkpointed(group_join(ranged, near.select(*keys, "__from", "__to"), keys).where(F.col("__r").between(F.col("__from"), F.col("__to"))).select(*keys, "__v", "__c"))
         left = held.groupBy(*keys).agg(F.count("*").alias("__distinct"))
-        total = checkpointed(group_join(near.drop("__from", "__to"), left, keys))
+        total, most = checkpointed(near.drop("__from", "__to")), widest(left)
     values = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__v", F.col("__c").alias("n")))).alias("__values"))  # `middle` at most
     low, high = (_found(F.col("__values"), F.col("__below"), rank, "__v")["at"] for rank in (first, last))
-    return group_join(total, values, keys).select(*keys, "n", "least", ((low + high) / 2).alias("median"))
+    if total is None:
+        all_ = F.aggregate("__values", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+        whole = values.select("*", all_.alias("n"), F.get("__values", F.lit(0))["__v"].alias("least"), F.lit(0).cast("long").alias("__below"))
+    else:
+        whole = group_join(total, values, keys)
+    return whole.select(*keys, "n", "least", ((low + high) / 2).alias("median"))
