@@ -6,6 +6,8 @@ page's lines (a bounded list) are folded in order with aggregate(), inside the J
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as T
+from ..functions import widths as M
 from ..schema import TEXT_BLOCK
 from . import boxes as B
 from . import ranks as R
@@ -285,32 +288,51 @@ def harmonize(plans: DataFrame, by: list[str], key: str = "key", size: str = "fo
 CHAR_WIDTH = 0.5
 
 
-def first_fit(start: Column, least: float, heights: list[Column], width: Column, room: Column, text: Column, shrink: float = 0.92) -> Column:
-    """struct<size, line_height>: the first that fits of sizes that go down by 8 % from start, for each line height in turn.
+def characters(text: Column, width: Column) -> Callable[[Column], Column]:
+    """Lines of a text at a size, at CHAR_WIDTH ems a character and broken into lines of whole characters: an estimate."""
+    return lambda size: F.ceil(F.length(text) / F.greatest(F.floor(width / (size * CHAR_WIDTH)), F.lit(1)))
+
 
-    There is no font renderer here: a text takes CHAR_WIDTH ems a character, broken into lines of whole characters. So sizes are
-    estimates. Null where nothing of least or more fits.
+def first_fit(start: Column, least: float, heights: list[Column], room: Column, lines: Callable[[Column], Column], shrink: float = 0.92) -> Column:
+    """struct<size, line_height, lines>: the first that fits of sizes that go down by 8 % from start, for each line height in turn.
+
+    lines(size) says how many lines the text takes. Null where nothing of least or more fits.
     """
     floor_ = F.least(start, F.lit(least))
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log(start / floor_) / -F.log(F.lit(shrink))).cast("int"), F.lit(0)))
-    candidates = F.flatten(F.transform(F.array(*heights), lambda h: F.transform(steps, lambda k: F.struct((start * F.pow(F.lit(shrink), k)).alias("size"), h.alias("line_height")))))
-    a_line = lambda c: F.greatest(F.floor(width / (c["size"] * CHAR_WIDTH)), F.lit(1))
-    fits = F.filter(candidates, lambda c: (c["size"] >= floor_ - 0.01) & (F.ceil(F.length(text) / a_line(c)) * c["size"] * c["line_height"] <= room))
-    return F.get(fits, F.lit(0))
+    sizes = F.filter(F.transform(steps, lambda k: start * F.pow(F.lit(shrink), k)), lambda s: s >= floor_ - 0.01)
+    tried = F.flatten(F.transform(F.array(*heights), lambda h: F.transform(sizes, lambda s: F.struct(s.alias("size"), h.alias("line_height"), F.lit(None).cast("long").alias("lines")))))
+    counted = lambda c: T.let(lines(c["size"]).cast("long"), lambda n: F.when(n * c["size"] * c["line_height"] <= room, c.withField("lines", n)))
+    return F.aggregate(tried, F.lit(None).cast("struct<size:double,line_height:double,lines:bigint>"), lambda best, c: F.when(best.isNotNull(), best).otherwise(counted(c)))
+
 
+def fit_size(plans: DataFrame, least: float = 6.5, advances: DataFrame | None = None) -> DataFrame:
+    """Adds fitted_size, fitted_line_height and fitted_lines to plans (start struct<size, line_height>, x0, x1, room, text), null where nothing fits.
 
-def fit_size(plans: DataFrame, least: float = 6.5) -> DataFrame:
-    """Adds fitted_size and fitted_line_height to plans (start struct<size, line_height>, x0, x1, room, text), null where nothing fits."""
+    With advances (font, code, advance in thousandths of an em) lines break between words by the widths of the plans' font
+    (functions.widths); without them they are estimated.
+    """
     heights = [F.least(F.col("start.line_height"), F.lit(h)) for h in (9.0, 1.0, 0.94)]
-    fit = first_fit(F.col("start.size"), least, heights, F.col("x1") - F.col("x0"), F.col("room"), F.col("text"))
-    return plans.withColumn("fit", fit).withColumn("fitted_size", F.col("fit.size")).withColumn("fitted_line_height", F.col("fit.line_height")).drop("fit")
+    fit = _fit(F.col("x1") - F.col("x0"), advances, lambda lines: first_fit(F.col("start.size"), least, heights, F.col("room"), lines))
+    plans = plans.withColumn("fit", fit).withColumn("fitted_size", F.col("fit.size")).withColumn("fitted_line_height", F.col("fit.line_height"))
+    return plans.withColumn("fitted_lines", F.col("fit.lines").cast("int")).drop("fit")
+
+
+def _fit(width: Column, advances: DataFrame | None, fit: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """fit(lines) of rows (text, with advances also font), where lines(size) is the number of lines in the width."""
+    if advances is None:
+        return fit(characters(F.col("text"), width))
+    metrics = M.Metrics(advances)
+    known = F.struct(metrics.paragraphs(F.col("font"), F.col("text")).alias("paragraphs"), metrics.space(F.col("font")).alias("space"), width.alias("width"))
+    room = lambda k, size: F.floor(k["width"] * 1000 / size)
+    return T.let(known, lambda k: fit(lambda size: T.let(room(k, size), lambda r: M.wrapped(k["paragraphs"], k["space"], r))))
 
 
-def fit_overlay(boxes: DataFrame) -> DataFrame:
+def fit_overlay(boxes: DataFrame, advances: DataFrame | None = None) -> DataFrame:
     """Adds target (struct<x0, y0, x1, y1>) and overlay_size to boxes (x0, y0, x1, y1, text) of text in images.
 
     The target is the box with a little room around, at least so large that a word is legible; the size starts at 72 % of its height,
-    within 7.5 and 18, and is null where nothing of 6 points fits.
+    within 7.5 and 18, and is null where nothing of 6 points fits. Advances count as in fit_size.
     """
     wide = F.struct((F.col("x0") - 1.5).alias("x0"), (F.col("y0") - 1.5).alias("y0"), (F.col("x1") + 1.5).alias("x1"), (F.col("y1") + 1.5).alias("y1"))
     small = lambda b: (G.width(b) < 12) | (G.height(b) < 8)
@@ -318,7 +340,7 @@ def fit_overlay(boxes: DataFrame) -> DataFrame:
     boxes = boxes.withColumn("target", T.let(wide, lambda b: F.when(small(b), grown(b)).otherwise(b)))
     height = G.height(F.col("target"))
     start = F.greatest(F.lit(7.5), F.least(F.lit(18.0), height * 0.72))
-    return boxes.withColumn("overlay_size", first_fit(start, 6.0, [F.lit(1.08)], G.width(F.col("target")), height, F.col("text"))["size"])
+    return boxes.withColumn("overlay_size", _fit(G.width(F.col("target")), advances, lambda lines: first_fit(start, 6.0, [F.lit(1.08)], height, lines))["size"])
 
 
 def distinct_boxes(boxes: DataFrame, keys: list[str], order: str) -> DataFrame:

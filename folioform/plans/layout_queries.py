@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import predicates as P
 from ..functions import text as T
+from ..functions import widths as M
 from ..operators import boxes as B
 from ..operators import layout as Y
 from ..operators import lines as L
@@ -291,6 +292,43 @@ def fitted_sizes_estimate(spark: SparkSession, d: str) -> DataFrame:
     return Y.fit_size(p).select("doc_id", "page_index", "line_id", F.round("fitted_size", 4).alias("fitted_size"), "fitted_line_height")
 
 
+def _advance(c: str, bold: str) -> str:
+    """SQL: thousandths of an em of a character, by where it is in the lists of characters."""
+
+    def of(table: dict[int, str]) -> str:
+        return "CASE " + " ".join(f"WHEN contains({S.lit(chars)}, strip_accents({c})) THEN {width}" for width, chars in table.items()) + " END"
+
+    return f"CASE WHEN unicode({c}) NOT BETWEEN 32 AND 383 THEN 500 WHEN strip_accents({c}) = 'i' AND {c} <> 'i' THEN 278 WHEN {bold} THEN coalesce({of(M.BOLD)}, 500) ELSE coalesce({of(M.REGULAR)}, 500) END"
+
+
+# Words fold into lines: n lines so far, x used of the last one, f before the first word.
+_GLYPH = "CASE WHEN b.x > 0 AND b.x + g.x > room THEN {'n': b.n + 1, 'x': g.x} ELSE {'n': b.n, 'x': b.x + g.x} END"
+_BROKEN = f"list_reduce(list_transform(u.g, lambda y: {{'n': 0, 'x': y}}), lambda b, g: {_GLYPH}, {{'n': a.n + CASE WHEN a.f THEN 0 ELSE 1 END, 'x': 0}})"
+_WORD = f"""CASE WHEN NOT a.f AND a.x + 278 + u.x <= room THEN {{'n': a.n, 'x': a.x + 278 + u.x, 'f': false, 'g': u.g}}
+  WHEN u.x <= room THEN {{'n': a.n + CASE WHEN a.f THEN 0 ELSE 1 END, 'x': u.x, 'f': false, 'g': u.g}}
+  ELSE {{'n': ({_BROKEN}).n, 'x': ({_BROKEN}).x, 'f': false, 'g': u.g}} END"""
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, page_index, line_id, w, m % 3 = 0 AS bold, text, greatest(6.5, least(font_size, 28.0))::DOUBLE AS s FROM ({_BOXES})),
+c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM b),
+v AS (SELECT map(list(c), list({_advance("c", "false")})) AS regular, map(list(c), list({_advance("c", "true")})) AS bold_ FROM c),
+g AS (SELECT b.*, list_transform(string_split(text, ' '), lambda t: list_transform(regexp_extract_all(t, '(?s).'), lambda c: CASE WHEN bold THEN bold_[c] ELSE regular[c] END::INTEGER)) AS glyphs FROM b, v),
+p AS (SELECT *, list_transform(glyphs, lambda t: {{'n': 0, 'x': coalesce(list_sum(t), 0)::INTEGER, 'f': false, 'g': t}}) AS words FROM g),
+z AS (SELECT *, k, s * pow(0.92::DOUBLE, k) AS size FROM (SELECT *, unnest(range(0, ceil(ln(s / 6.5::DOUBLE) / -ln(0.92::DOUBLE))::BIGINT + 1)) AS k FROM p)),
+n AS (SELECT doc_id, page_index, line_id, k, size, (list_reduce(words, lambda a, u: {_WORD}, {{'n': 1, 'x': 0, 'f': true, 'g': []::INTEGER[]}})).n AS lines
+  FROM (SELECT *, floor(w * 1000 / size) AS room FROM z WHERE size >= 6.5 - 0.01)),
+f AS (SELECT doc_id, page_index, line_id, arg_min({{'z': size, 'h': h, 'n': lines}}, i * 1000 + k) FILTER (lines * size * h <= 36.0::DOUBLE) AS f
+  FROM (SELECT *, [1.18::DOUBLE, 1.0::DOUBLE, 0.94::DOUBLE][i] AS h FROM (SELECT *, unnest([1, 2, 3]) AS i FROM n)) GROUP BY ALL)
+SELECT doc_id, page_index, line_id, round(f.z, 4) AS fitted_size, f.h AS fitted_line_height, f.n::INTEGER AS fitted_lines FROM f
+""")
+def fitted_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Largest size at which a line's words, by the advances of its font, fit a box of three lines' height."""
+    font = T.base_font(F.when(F.col("m") % 3 == 0, "Text-Bold").otherwise("Text-Roman"))
+    p = placed(spark, d).withColumn("font", font).withColumn("start", G.start_size(F.lit("paragraph"), F.col("font_size"))).withColumn("room", F.lit(36.0))
+    return Y.fit_size(p, advances=M.base_advances(spark)).select("doc_id", "page_index", "line_id", F.round("fitted_size", 4).alias("fitted_size"), "fitted_line_height", "fitted_lines")
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, page_index, line_id, text, x0 - 1.5 AS x0, y0 - 1.5 AS y0, CASE WHEN w + 3 < 12 OR h + 3 < 8 THEN greatest(24.0, w + 3) ELSE w + 3 END::DOUBLE AS w, CASE WHEN w + 3 < 12 OR h + 3 < 8 THEN greatest(12.0, h + 3) ELSE h + 3 END::DOUBLE AS h
   FROM (SELECT doc_id, page_index, line_id, text, x0, y0, CASE WHEN m % 4 = 0 THEN (m % 16)::DOUBLE ELSE w END AS w, (m % 60)::DOUBLE AS h FROM ({_BOXES})))
