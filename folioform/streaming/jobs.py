@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def new_jobs(jobs: DataFrame, time: str = "ts", late: str = "1 day") -> DataFrame:
@@ -24,21 +25,45 @@ def keep_manifest(jobs: DataFrame, path: str, checkpoint: str):
     return jobs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
-def sticky_route(calls: DataFrame, key: str = "user_id", order: str = "event_id") -> DataFrame:
+class Sticky(StatefulProcessor):
+    """Keeps the failed keys, and nothing of others; a key that no call touches for `idle` milliseconds is forgotten (0: never)."""
+
+    def __init__(self, key: str, order: str, idle: int):
+        self.key, self.order, self.idle = key, order, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.down = handle.getValueState("down", "down boolean", self.idle or None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.down.exists():
+            self.down.update((True,))  # touched: its time begins again
+            for pdf in rows:
+                yield self.routed(pdf, pd.Series("down", pdf.index))
+            return
+        held = list(rows)  # numbers and flags of one key and one batch: where the first failure lies decides on all of them
+        first = min((f[self.order].min() for pdf in held if len(f := pdf[pdf["failed"]])), default=None)
+        if first is not None:
+            self.down.update((True,))
+        for pdf in held:
+            routes = pd.Series("first", pdf.index).mask(pdf["failed"] | pdf["unsupported"], "fallback")
+            yield self.routed(pdf, routes if first is None else routes.mask(pdf[self.order] > first, "down"))
+
+    def routed(self, pdf: pd.DataFrame, routes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({self.key: pdf[self.key], self.order: pdf[self.order], "route": routes})
+
+    def close(self) -> None:
+        pass
+
+
+def sticky_route(calls: DataFrame, key: str = "user_id", order: str = "event_id", idle: timedelta | None = None) -> DataFrame:
     """(key, order, route) of a stream of calls (key, order, failed boolean, unsupported boolean).
 
-    As operators.translate.route, with the flag kept in the key's state; within a batch calls go in order.
+    As operators.translate.route, with the flag kept in the key's state; within a batch calls go in order. A null flag is false, a
+    null order comes before any failure. State is kept of keys with a failure alone; with `idle` it goes when a key's last call is
+    that long ago, and the key's next call asks the first provider again. Needs a state store with values of several states, as
+    spark.sql.streaming.stateStore.providerClass names it (RocksDB's).
     """
     kinds = dict(calls.dtypes)
-
-    def go(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        down = bool(state.getOption[0]) if state.exists else False
-        pdf = pd.concat(list(pdfs)).sort_values(order)
-        failed, unsupported = pdf["failed"].astype(bool), pdf["unsupported"].astype(bool)
-        after = failed.cummax().shift(fill_value=False) | down
-        routes = after.map({True: "down", False: "first"}).mask(~after & (failed | unsupported), "fallback")
-        down = down or bool(failed.any())
-        state.update((down,))
-        yield pd.DataFrame({key: pdf[key], order: pdf[order], "route": routes})
-
-    return calls.select(key, order, F.col("failed"), F.col("unsupported")).groupBy(key).applyInPandasWithState(go, f"{key} {kinds[key]}, {order} {kinds[order]}, route string", "down boolean", "append", GroupStateTimeout.NoTimeout)
+    flags = [F.coalesce(F.col(k), F.lit(False)).alias(k) for k in ("failed", "unsupported")]
+    sticky = Sticky(key, order, int(idle / timedelta(milliseconds=1)) if idle else 0)
+    return calls.select(key, order, *flags).groupBy(key).transformWithStateInPandas(sticky, f"{key} {kinds[key]}, {order} {kinds[order]}, route string", "Append", "ProcessingTime" if idle else "None")

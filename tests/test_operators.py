@@ -420,20 +420,6 @@ def test_charsets():
     assert files.decode(b"\x81") == "\x81"
 
 
-def test_streaming_route_is_the_batch_route(spark, tmp_path):
-    from folioform.streaming.jobs import sticky_route
-
-    calls = [(1, 1, False, False), (1, 2, True, False), (1, 3, False, False), (2, 4, False, True), (2, 5, False, False)]
-    df = spark.createDataFrame(calls, "user_id long, event_id long, failed boolean, unsupported boolean")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = sticky_route(stream).writeStream.outputMode("append").format("memory").queryName("routes").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    want = R.route(df, "user_id", "event_id", F.col("failed"), F.col("unsupported")).select("event_id", "route").collect()
-    assert sorted(map(tuple, spark.table("routes").select("event_id", "route").collect())) == sorted(map(tuple, want))
-
-
 def test_boxes_apart(spark):
     boxes = [(0.0, 0.0, 10.0, 10.0), (0.4, 0.0, 10.0, 10.0), (0.8, 0.0, 10.0, 10.0), (50.0, 0.0, 60.0, 10.0)]
     df = spark.createDataFrame([(boxes,)], "b array<struct<x0:double,y0:double,x1:double,y1:double>>")
