@@ -7,6 +7,7 @@ an order; which of them a call goes to follows from a table of what each kind of
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
@@ -67,6 +68,13 @@ class Marking(Identity):
         return [" ".join(w[::-1] for w in t.split()) or None for t in texts]
 
 
+class Cipher(Identity):
+    """Deterministic stand-in whose replies share few letters with their source: each Latin letter goes 13 places on."""
+
+    def translate(self, texts: list[str], source: str, target: str) -> list[str | None]:
+        return [codecs.encode(t, "rot13") for t in texts]
+
+
 class Dictionary(Identity):
     """Looks whole texts up."""
 
@@ -78,7 +86,7 @@ class Dictionary(Identity):
 
 
 #: Makers of providers by name.
-PROVIDERS: dict[str, Callable[..., Provider]] = {"identity": Identity, "marking": Marking}
+PROVIDERS: dict[str, Callable[..., Provider]] = {"identity": Identity, "marking": Marking, "cipher": Cipher}
 
 
 def makers(names: str) -> list[Callable[[], Provider]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +55,38 @@ def translation_apply(spark: SparkSession, d: str) -> DataFrame:
     return R.apply_replies(c, replies, ["conv_id", "turn"]).select("conv_id", "turn", "final_text")
 
 
-@query()
+_PLAIN = string.ascii_lowercase + string.ascii_uppercase
+_TURNED = codecs.encode(_PLAIN, "rot13")
+# Replies, the rules on them, and calls of three rows. The SQL lacks the rule on common stretches: letters go 13 places on, so nothing
+# of 28 characters stays, nor is a reply much like its source. The second reply is the first one, so what is doubtful is refused.
+_ASKED = f"""
+SELECT conv_id, turn, text, {S.collapse("lower(text)")} AS src, translate(text, '{_PLAIN}', '{_TURNED}') AS reply, {S.strip("text")} <> '' AS asked,
+  count(*) FILTER ({S.strip("text")} <> '') OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations"""
+_JUDGED = f"""
+WITH r AS (SELECT *, {S.collapse("lower(reply)")} AS dst FROM ({_ASKED})),
+w AS (SELECT *, {S.words("dst")} AS w, regexp_extract_all(dst, '[a-zA-Z'']+') AS t FROM r),
+g AS (SELECT conv_id, turn, max(n) AS most FROM (SELECT conv_id, turn, g, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w) GROUP BY ALL) GROUP BY ALL),
+h AS (SELECT w.*, most, len(list_filter(t, lambda x: {S.among("x", fixed.STOPWORDS)})) AS hits FROM w LEFT JOIN g USING (conv_id, turn)),
+j AS (SELECT *, dst = '' OR src = dst OR length(dst) > greatest(length(src) * 2.4, length(src) + 120.0) OR (len(w) >= 16 AND (len(list_distinct(w)) / len(w) < 0.4 OR coalesce(most, 0) >= 3))
+  OR (len(t) >= 10 AND hits >= 6 AND hits / len(t) >= 0.22) AS doubtful FROM h),
+done AS (SELECT conv_id, turn, CASE WHEN asked AND NOT doubtful THEN reply ELSE text END AS final_text, CASE WHEN asked AND doubtful THEN 'rejected' WHEN asked THEN 'translated' ELSE 'blank' END AS state,
+  CASE WHEN asked THEN (nth % 3 = 0)::INTEGER + (doubtful AND reply <> '')::INTEGER ELSE 0 END AS calls FROM j)
+"""
+
+
+def _translated(spark: SparkSession, d: str) -> DataFrame:
+    return R.translate_batches(table(spark, d, "conversations"), "conv_id", "turn", "cipher", "en", "fr", 3)
+
+
+@query(f"{_JUDGED} SELECT conv_id, turn, final_text, state, calls FROM done")
 def batch_translation(spark: SparkSession, d: str) -> DataFrame:
     """Turns translated in batches by a stand-in provider, with retry and what stays."""
-    return R.translate_batches(table(spark, d, "conversations"), "conv_id", "turn", "marking", "en", "fr", 3).select("conv_id", "turn", "final_text", "state", "calls")
+    return _translated(spark, d).select("conv_id", "turn", "final_text", "state", "calls")
 
 
-@query()
+@query(f"{_JUDGED} SELECT conv_id, count(*) AS total, count(*) FILTER (state = 'translated') AS translated, count(*) FILTER (state = 'rejected') AS rejected, sum(calls)::BIGINT AS calls FROM done GROUP BY conv_id")
 def segment_stats(spark: SparkSession, d: str) -> DataFrame:
-    done = R.translate_batches(table(spark, d, "conversations"), "conv_id", "turn", "marking", "en", "fr", 3)
-    return qa.segment_stats(done, "conv_id")
+    return qa.segment_stats(_translated(spark, d), "conv_id")
 
 
 @query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS translated, count(*) FILTER (event_type = 'error') AS rejected, sum(event_id % 3)::BIGINT AS calls FROM events GROUP BY user_id")
