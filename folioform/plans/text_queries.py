@@ -119,12 +119,60 @@ def _marked_pages(spark: SparkSession, d: str) -> DataFrame:
     return m.select("page_id", "text", "m.masked", "m.replacements")
 
 
-@query()
+# RE2 looks neither back nor ahead, so handles are put between two control characters first, and these are taken out again.
+_HANDLES = r"(^|[^\p{L}\p{N}_.@!#$%&'*+/=?^`{|}~\x{1}-])(@[A-Za-z0-9_]{2,30})($|[^\p{L}\p{N}_])"
+_MASKABLE = rf"{masking.EMAIL}|{masking.URL}|\x{{1}}@[A-Za-z0-9_]+\x{{2}}"
+_OWN_MASK = r"(?:^|[^\p{L}\p{N}_])ZXQNT\p{Nd}+QXZ"
+
+
+def _masked_sql(rows: str) -> str:
+    """The columns of rows, which have a text, and masked, replacements, unmasked (the words besides the masks)."""
+    marked = lambda c: f"regexp_replace({c}, {S.lit(_HANDLES)}, '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+    link = f"NOT regexp_matches(v, {S.lit(f'^(?:{masking.EMAIL})$')}) AND regexp_matches(v, '^(?:https?://|www[.])')"
+    return f"""
+SELECT * EXCLUDE (marked, b, v, k), {S.sub("masked", _OWN_MASK, " ")} AS unmasked FROM (
+  SELECT *, k AS replacements, translate(array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || CASE WHEN i <= len(v) THEN 'ZXQNT' || (i - 1) || 'QXZ' || substr(v[i], length(k[i]) + 1) ELSE '' END), ''), chr(1) || chr(2), '') AS masked FROM (
+  SELECT *, list_transform(v, lambda v: CASE WHEN {link} THEN regexp_replace(v, {S.lit(r"""[.,;:!?)\]}"']+$""")}, '') ELSE v END) AS k FROM (
+  SELECT *, string_split_regex(marked, {S.lit(_MASKABLE)}) AS b, list_transform(regexp_extract_all(marked, {S.lit(_MASKABLE)}), lambda v: translate(v, chr(1) || chr(2), '')) AS v
+  FROM (SELECT *, {marked(marked("text"))} AS marked FROM ({rows})))))"""
+
+
+_TWO_LETTERS = f"{S.letters('unmasked')} >= 2"
+_NAME = r"\p{L}+(?:[-']\p{L}+)?"
+_NAMED = f"len(replacements) > 0 AND len(f) BETWEEN 2 AND 8 AND len(list_filter(f, lambda w: NOT ({S.among('lower(w)', fixed.CONTACT_WORDS)} OR regexp_matches(w, '^\\p{{Lu}}')))) = 0"
+
+
+def _identity_sql(rows: str) -> str:
+    """_masked_sql of rows, and translatable and identity."""
+    return f"SELECT *, {_TWO_LETTERS} AS translatable, {_NAMED} AS identity FROM (SELECT *, regexp_extract_all(unmasked, {S.lit(_NAME)}) AS f FROM ({_masked_sql(rows)}))"
+
+
+_PAGE_TEXTS = "SELECT page_id, html || ' (' || url || '). Contact @user' || page_id || ' or a.b' || page_id || '@example.org, please.' AS text FROM pages"
+
+
+@query(f"SELECT page_id, sha256(masked) AS masked, replacements, translatable, identity FROM ({_identity_sql(_PAGE_TEXTS)})")
 def mask_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Addresses, links and handles of whole pages masked."""
     return _marked_pages(spark, d).select("page_id", F.sha2("masked", 256).alias("masked"), "replacements", P.unmasked_text(F.col("masked")).alias("translatable"), P.contact_identity(F.col("masked")).alias("identity"))
 
 
+_HEADED = ["", "Contact: Ann Lee, ", "@editor_1 ", "Web page (www.example.org/a_b), "]
+_HEADED_SQL = f"SELECT doc_id, line_no, list_extract([{', '.join(map(S.lit, _HEADED))}], ((doc_id + line_no) % {len(_HEADED)} + 1)::INTEGER) || CASE WHEN length(line) < 40 OR line_no % 3 = 0 THEN line ELSE 'Oslo' END AS text FROM ({_LINES})"
+
+
+@query(f"SELECT doc_id, line_no, sha256(masked) AS masked, len(replacements)::BIGINT AS n_masks, len(replacements) > 0 AS has_mask, translatable, identity FROM ({_identity_sql(_HEADED_SQL)})")
+def contact_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines under labels and names: what is masked, whether words are left to translate, whether they only say whom to ask."""
+    head = F.get(F.array(*map(F.lit, _HEADED)), ((F.col("doc_id") + F.col("line_no")) % len(_HEADED)).cast("int"))
+    body = F.when((F.length("line") < 40) | (F.col("line_no") % 3 == 0), F.col("line")).otherwise("Oslo")
+    m = L.lines(table(spark, d, "documents")).select("doc_id", "line_no", masking.mask(F.concat(head, body)).alias("m"))
+    masked = F.col("m.masked")
+    return m.select(
+        "doc_id", "line_no", F.sha2(masked, 256).alias("masked"), F.size("m.replacements").cast("long").alias("n_masks"), P.has_mask(masked).alias("has_mask"), P.unmasked_text(masked).alias("translatable"),
+        P.contact_identity(masked).alias("identity"),
+    )
+
+
 _STARTS = ["", "[12] ", "3. Xy ", "References ", "Figure 2 ", "page 3", "12345", "doi:10.1/x ", "http://a.b ", "2.1 Methods ", "Smith (2019) doi: ", "fig.a ", "Keywords: ", "Bibliography:"]
 _STARTED = f"SELECT doc_id, line_no, list_extract([{', '.join(map(S.lit, _STARTS))}], ((doc_id + line_no) % {len(_STARTS)} + 1)::INTEGER) || line AS t FROM ({_LINES})"
 
