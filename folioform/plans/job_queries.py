@@ -16,6 +16,7 @@ from ..operators import qa
 from ..operators import translate as R
 from . import sql as S
 from .registry import query, table
+from .text_queries import DECODED, html_text_sql
 
 _PAIRS = "SELECT conv_id, turn, text AS src, CASE WHEN turn % 5 = 0 THEN repeat(left(text, 20) || ' ', 12) WHEN turn % 7 = 1 THEN text ELSE lead(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS dst FROM conversations"
 
@@ -59,23 +60,30 @@ _PLAIN = string.ascii_lowercase + string.ascii_uppercase
 _TURNED = codecs.encode(_PLAIN, "rot13")
 # Replies, the rules on them, and calls of three rows. The SQL lacks the rule on common stretches: letters go 13 places on, so nothing
 # of 28 characters stays, nor is a reply much like its source. The second reply is the first one, so what is doubtful is refused.
-_ASKED = f"""
-SELECT conv_id, turn, text, {S.collapse("lower(text)")} AS src, translate(text, '{_PLAIN}', '{_TURNED}') AS reply, {S.strip("text")} <> '' AS asked,
-  count(*) FILTER ({S.strip("text")} <> '') OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations"""
-_JUDGED = f"""
-WITH r AS (SELECT *, {S.collapse("lower(reply)")} AS dst FROM ({_ASKED})),
-w AS (SELECT *, {S.words("dst")} AS w, regexp_extract_all(dst, '[a-zA-Z'']+') AS t FROM r),
-g AS (SELECT conv_id, turn, max(n) AS most FROM (SELECT conv_id, turn, g, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w) GROUP BY ALL) GROUP BY ALL),
-h AS (SELECT w.*, most, len(list_filter(t, lambda x: {S.among("x", fixed.STOPWORDS)})) AS hits FROM w LEFT JOIN g USING (conv_id, turn)),
+def judged(rows: str, key: str, order: str, size: int) -> str:
+    """SQL: tables up to done (key, order, text, final_text, state, calls, retried), of rows (key, order, text) in calls of `size`."""
+    return f"""
+r AS (SELECT {key}, {order}, text, {S.collapse("lower(text)")} AS src, translate(text, '{_PLAIN}', '{_TURNED}') AS reply, {S.strip("text")} <> '' AS asked,
+  count(*) FILTER ({S.strip("text")} <> '') OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS nth FROM {rows}),
+s AS (SELECT *, {S.collapse("lower(reply)")} AS dst FROM r),
+w AS (SELECT *, {S.words("dst")} AS w, regexp_extract_all(dst, '[a-zA-Z'']+') AS t FROM s),
+g AS (SELECT {key}, {order}, max(n) AS most FROM (SELECT {key}, {order}, g, count(*) AS n FROM (SELECT {key}, {order}, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w) GROUP BY ALL) GROUP BY ALL),
+h AS (SELECT w.*, most, len(list_filter(t, lambda x: {S.among("x", fixed.STOPWORDS)})) AS hits FROM w LEFT JOIN g USING ({key}, {order})),
 j AS (SELECT *, dst = '' OR src = dst OR length(dst) > greatest(length(src) * 2.4, length(src) + 120.0) OR (len(w) >= 16 AND (len(list_distinct(w)) / len(w) < 0.4 OR coalesce(most, 0) >= 3))
   OR (len(t) >= 10 AND hits >= 6 AND hits / len(t) >= 0.22) AS doubtful FROM h),
-done AS (SELECT conv_id, turn, CASE WHEN asked AND NOT doubtful THEN reply ELSE text END AS final_text, CASE WHEN asked AND doubtful THEN 'rejected' WHEN asked THEN 'translated' ELSE 'blank' END AS state,
-  CASE WHEN asked THEN (nth % 3 = 0)::INTEGER + (doubtful AND reply <> '')::INTEGER ELSE 0 END AS calls FROM j)
-"""
+done AS (SELECT {key}, {order}, text, CASE WHEN asked AND NOT doubtful THEN reply ELSE text END AS final_text, CASE WHEN asked AND doubtful THEN 'rejected' WHEN asked THEN 'translated' ELSE 'blank' END AS state,
+  CASE WHEN asked THEN (nth % {size} = 0)::INTEGER + (doubtful AND reply <> '')::INTEGER ELSE 0 END AS calls, asked AND doubtful AND reply <> '' AS retried FROM j)"""
+
+
+# Some turns say the same again and again, or hold no letter that changes: these are asked for twice and stay.
+_SPOKEN = "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN repeat(left(text, 20) || ' ', 12) WHEN turn % 7 = 3 THEN length(text) || ' %' ELSE text END AS text FROM conversations"
+_JUDGED = f"WITH {judged(f'({_SPOKEN})', 'conv_id', 'turn', 3)}"
 
 
 def _translated(spark: SparkSession, d: str) -> DataFrame:
-    return R.translate_batches(table(spark, d, "conversations"), "conv_id", "turn", "cipher", "en", "fr", 3)
+    turn = F.col("turn")
+    spoken = F.when(turn % 5 == 4, F.repeat(F.concat(F.left("text", F.lit(20)), F.lit(" ")), F.lit(12))).when(turn % 7 == 3, F.concat(F.length("text").cast("string"), F.lit(" %"))).otherwise(F.col("text"))
+    return R.translate_batches(table(spark, d, "conversations").select("conv_id", "turn", spoken.alias("text")), "conv_id", "turn", "cipher", "en", "fr", 3)
 
 
 @query(f"{_JUDGED} SELECT conv_id, turn, final_text, state, calls FROM done")
@@ -106,12 +114,26 @@ def html_counters(spark: SparkSession, d: str) -> DataFrame:
     return qa.html_stats(nodes, "user_id")
 
 
-@query()
+_PARTS = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->|<[^>]*>|[^<]+"
+_EDGE = T.SPACE + "*"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, unnest(range(len(p))) AS k, unnest(p) AS t FROM (SELECT page_id, regexp_extract_all(html, {S.lit(_PARTS)}) AS p FROM pages)),
+c AS (SELECT *, {S.strip("body")} AS core FROM (SELECT *, {DECODED} AS body FROM p WHERE t NOT LIKE '<%')),
+q AS (SELECT page_id, k, core AS text FROM c WHERE {html_text_sql("core")}),
+{judged("q", "page_id", "k", R.MOST_ROWS)},
+f AS (SELECT c.page_id, c.k, c.body, d.state, d.calls, d.retried, {S.strip(S.sub("d.final_text", f"{T.SPACE}*\n+{T.SPACE}*", " "))} AS line FROM c LEFT JOIN done d ON c.page_id = d.page_id AND c.k = d.k),
+n AS (SELECT page_id, k, state, calls, retried, CASE WHEN state = 'translated' AND line <> '' THEN
+  replace(replace(replace(regexp_extract(body, {S.lit("^" + _EDGE)}) || line || regexp_extract(body, {S.lit(_EDGE + "$")}), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS new_text FROM f)
+SELECT page_id, sha256(string_agg(coalesce(new_text, t), '' ORDER BY k)) AS html_sha256, count(new_text) AS nodes_translated, count(*) FILTER (t NOT LIKE '<%') - count(new_text) AS nodes_skipped,
+  count(*) FILTER (retried) AS nodes_retried, count(*) FILTER (state = 'rejected') AS nodes_rejected, coalesce(sum(calls), 0)::BIGINT AS api_calls FROM p LEFT JOIN n USING (page_id, k) GROUP BY page_id
+""")
 def html_applied(spark: SparkSession, d: str) -> DataFrame:
     """Pages with their text nodes translated by a stand-in and put back, and the counters."""
     from ..api import Pages
 
-    done = Pages(table(spark, d, "pages").select("page_id", "html")).translate("marking", "en", "fr")
+    done = Pages(table(spark, d, "pages").select("page_id", "html")).translate("cipher", "en", "fr")
     return done.pages.select("page_id", F.sha2("html", 256).alias("html_sha256")).join(done.stats(), "page_id", "left")
 
 

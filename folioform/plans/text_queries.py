@@ -363,15 +363,19 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
 
 # The tables' pages have no more than these references, and no element without its end but void ones.
 _BARE = "regexp_replace(regexp_replace(html, '(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g')"
-_TEXT = "t"
+DECODED = "t"
 for _name, _code in (("lt", 60), ("gt", 62), ("quot", 34), ("nbsp", 160), ("copy", 169), ("middot", 183), ("amp", 38)):
-    _TEXT = f"regexp_replace({_TEXT}, '&{_name};?', chr({_code}), 'g')"
+    DECODED = f"regexp_replace({DECODED}, '&{_name};?', chr({_code}), 'g')"
 
 
 # A text is under the last tag that opened at its depth, where each element ends as it should.
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "x")
 _OPENED = r"lower(regexp_extract(t, '^<([a-zA-Z][a-zA-Z0-9]*)', 1))"
-_NUMBER = "regexp_replace(core, '[.,-]', '', 'g')"
+
+
+def html_text_sql(c: str) -> str:
+    number = f"regexp_replace({c}, '[.,-]', '', 'g')"
+    return f"(length({c}) >= 3 AND {S.letters(c)} >= 2 AND NOT {S.like(c, r'^&(?:[\p{L}\p{N}_]+|#\p{Nd}+);$')} AND NOT {S.like(number, r'^\p{Nd}+$')})"
 
 
 @query(f"""
@@ -379,16 +383,16 @@ WITH p AS (SELECT page_id, unnest(range(len(p))) AS k, unnest(p) AS t FROM (SELE
 o AS (SELECT *, CASE WHEN {_OPENED} <> '' AND NOT {S.among(_OPENED, _VOID)} AND t NOT LIKE '%/>' THEN {_OPENED} END AS opened FROM p),
 e AS (SELECT *, sum(CASE WHEN opened IS NOT NULL THEN 1 WHEN t LIKE '</%' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k) AS depth FROM o),
 n AS (SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY page_id, depth ORDER BY k) AS tag FROM e),
-c AS (SELECT page_id, k, tag, {S.strip(_TEXT)} AS core FROM n WHERE t NOT LIKE '<%')
+c AS (SELECT page_id, k, tag, {S.strip(DECODED)} AS core FROM n WHERE t NOT LIKE '<%')
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS node_id, tag, core,
-  length(core) >= 3 AND {S.letters("core")} >= 2 AND NOT {S.like("core", r"^&(?:[\p{L}\p{N}_]+|#\p{Nd}+);$")} AND NOT {S.like(_NUMBER, r"^\p{Nd}+$")} AS ok FROM c
+  {html_text_sql("core")} AS ok FROM c
 """)
 def html_nodes(spark: SparkSession, d: str) -> DataFrame:
     return html.text_nodes(table(spark, d, "pages")).select("page_id", "node_id", "tag", "core", F.col("translatable").alias("ok"))
 
 
 @query(f"""
-SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS node_id, {S.strip(_TEXT)} AS core
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS node_id, {S.strip(DECODED)} AS core
 FROM (SELECT page_id, unnest(range(len(p))) AS k, unnest(p) AS t FROM (SELECT page_id, string_split_regex({_BARE}, '<[^>]*>') AS p FROM pages)) WHERE t <> ''
 """)
 def html_node_texts(spark: SparkSession, d: str) -> DataFrame:
