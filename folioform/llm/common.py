@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,11 +21,25 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Deletes nothing, maps A-Z to a-z and keeps every other byte.
 LOWER = bytes(range(256)).lower()
 
+#: Bytes of a text that are split into words at a time.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 
 #: Members of a bucket up to which buckets are compared many at a time.
 FEW = 32
 
 
+def between_words(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """The text in pieces of some `size` bytes, each but the last ended by white space; a longer word is not cut."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + size - 1)
+        end = space.end() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, connected_components, joined_back, spanning, table, without
+from .common import LOWER, PIECE, between_words, checkpointed, connected_components, joined_back, spanning, table, without
 
 SHINGLE = 3
 RADIUS = 3
@@ -32,23 +32,29 @@ SEGMENTS = 16
 BLOCK = 4096
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the text's word shingles, repeats included: a bit is 1 if it is set in over half of their XXH64 (seed 42)."""
-    seq = text.translate(LOWER).split() if text else []
-    if not seq:
-        return 0
-    line = b" ".join(seq)
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, piece: int = PIECE) -> int:
+    """SimHash of the text's word shingles, repeats included: a bit is 1 if it is set in over half of their XXH64 (seed 42).
+
+    A long text is gone through by pieces; the last words of one begin the next.
+    """
     h = xxhash.xxh64_intdigest
-    if len(seq) <= shingle:
-        return h(line, 42)
-    ends = np.cumsum(np.fromiter(map(len, seq), dtype=np.int64, count=len(seq)) + 1)
-    starts = [0, *ends[: -shingle].tolist()]
-    ends = (ends[shingle - 1 :] - 1).tolist()
-    hashes = np.array([h(line[a:b], 42) for a, b in zip(starts, ends)], dtype="<u8")
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+    votes, n, seq = np.zeros(64, dtype=np.int64), 0, []
+    for part in between_words(text or b"", piece):
+        seq += part.translate(LOWER).split()
+        if len(seq) < shingle:
+            continue
+        line = b" ".join(seq)
+        ends = np.cumsum(np.fromiter(map(len, seq), dtype=np.int64, count=len(seq)) + 1)
+        starts = [0, *ends[: len(seq) - shingle].tolist()]
+        ends = (ends[shingle - 1 :] - 1).tolist()
+        hashes = np.array([h(line[a:b], 42) for a, b in zip(starts, ends)], dtype="<u8")
+        for at in range(0, len(hashes), 1 << 16):
+            votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+        seq = seq[len(seq) - shingle + 1 :]
+    if not n:
+        return h(b" ".join(seq), 42) if seq else 0
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

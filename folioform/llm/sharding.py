@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, repeated, table
@@ -122,6 +122,15 @@ def atoms_of(rows: DataFrame, n_shards: int, most: int = 1024) -> tuple[np.ndarr
     return first, cells["bytes"].to_numpy(), int(np.sum(cells["n"].to_numpy()))
 
 
+def reached(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds a value reaches: binary search in one literal array, so that the plan stays small for any number."""
+    if not bounds:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def shard(docs: DataFrame, n_shards: int) -> DataFrame:
     """Assign every row to a shard: (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
@@ -138,9 +147,7 @@ def shard(docs: DataFrame, n_shards: int) -> DataFrame:
     rows = checkpointed(rows)
     first, sizes, n = atoms_of(rows, n_shards)
     _, cuts = cut_points(sizes, n_shards)
-    shard_of = F.lit(0)
-    for k in cuts:
-        shard_of = shard_of + (F.col("hash") >= (int(first[k]) if k < len(first) else 1 << HASH_BITS)).cast("int")
+    shard_of = reached(F.col("hash"), [int(first[k]) if k < len(first) else 1 << HASH_BITS for k in cuts])
     parts = max(1, -(-n // (n_shards * SLOT_ROWS)))
     place = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(parts)).cast("int")
     # Equal rows go as one until they have their slots.

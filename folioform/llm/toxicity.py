@@ -9,6 +9,7 @@ streams Arrow batches, each document on its own, without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import PIECE, between_words, table
 from .quality import labelled_sample, remainder
 
 SIZES = (3, 4, 5, 6)
@@ -33,22 +34,41 @@ THRESHOLD = 0.7
 _U = np.uint64
 
 
-def characters(text: bytes | None) -> str:
-    """The text that n-grams are taken from: lower case, one space for each run of white space, one before and one after."""
-    return f" {' '.join((text or b'').decode('utf-8', 'replace').lower().split())} "
-
-
-def slots(text: bytes | None) -> np.ndarray:
-    """The slot of every n-gram of the text's characters; n-grams repeat."""
-    data = np.frombuffer(characters(text).encode("utf-32-le"), dtype="<u4").astype(_U)
-    out, h = [], data
-    for n in range(2, max(SIZES) + 1):
-        if len(data) < n:
-            break
-        h = h[:-1] * _U(0x100000001B3) + data[n - 1 :]
-        if n in SIZES:
-            out.append(((h + _U(n)) * _U(0x9E3779B97F4A7C15) >> _U(64 - BITS)).astype(np.int32))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+def characters(text: bytes | None, piece: int = PIECE) -> Iterator[str]:
+    """What n-grams are taken from, by pieces: lower case, one space for each run of white space, one before and one after."""
+    held = ""
+    for part in between_words(text or b"", piece):
+        if seq := part.decode("utf-8", "replace").lower().split():
+            if held:
+                yield held
+            held = f" {' '.join(seq)}"
+    yield f"{held or ' '} "
+
+
+def grams(text: bytes | None, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """The slot of every n-gram of the text's characters, by pieces; n-grams repeat. An n-gram is in the piece that it ends in."""
+    before = ""
+    for part in characters(text, piece):
+        for at in range(0, len(part), piece):
+            line = before + part[at : at + piece]
+            h = data = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(_U)
+            out = []
+            for n in range(2, max(SIZES) + 1):
+                if len(data) < n:
+                    break
+                h = h[:-1] * _U(0x100000001B3) + data[n - 1 :]
+                if n in SIZES:
+                    new = h[max(0, len(before) - n + 1) :]
+                    out.append(((new + _U(n)) * _U(0x9E3779B97F4A7C15) >> _U(64 - BITS)).astype(np.int32))
+            if out:
+                yield np.concatenate(out)
+            before = line[1 - max(SIZES) :]
+
+
+def slots(text: bytes | None, among: np.ndarray | None = None, piece: int = PIECE) -> np.ndarray:
+    """The distinct slots of the text's n-grams, in order; with `among` only those where it is not zero."""
+    found = [np.unique(g if among is None else g[among[g] != 0]) for g in grams(text, piece)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate([np.zeros(0, dtype=np.int32), *found]))
 
 
 @dataclass
@@ -57,8 +77,7 @@ class Model:
     shift: float
 
     def score(self, text: bytes | None) -> float:
-        found = slots(text)
-        found = np.unique(found[self.weight[found] != 0])
+        found = slots(text, self.weight)
         return float(1 / (1 + np.exp(-np.clip(self.weight[found].sum(dtype=np.float64) + self.shift, -60, 60))))
 
 
@@ -70,15 +89,12 @@ def train(texts: list[bytes | None], labels: np.ndarray, l2: float = 1e-6, steps
         return Model(weight, 0.0 if len(y) == 0 else 4 * (2 * y[0] - 1))
     docs, toxic = np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
     for t, label in zip(texts, y):
-        found = np.unique(slots(t))
+        found = slots(t)
         docs[found] += 1
         toxic[found] += int(label)
     r = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((docs - toxic + 0.5) / (len(y) - y.sum() + 1))
     r[(docs < least_docs) | (np.abs(r) < LEAST_RATIO)] = 0
-    held = []  # only the learned slots of each text, so that memory goes with these
-    for t in texts:
-        found = slots(t)
-        held.append(np.unique(found[r[found] != 0]))
+    held = [slots(t, r) for t in texts]  # only the learned slots of each text, so that memory goes with these
     every, doc = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
     names, every = np.unique(every, return_inverse=True)
     r = r[names]

@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -231,9 +233,11 @@ def _plain_slots(text):
 def test_character_grams_as_plain_loops():
     rng = np.random.default_rng(5)
     model = toxicity.Model(rng.standard_normal(1 << toxicity.BITS).astype(np.float32) * (rng.random(1 << toxicity.BITS) < 0.5), -0.3)
-    for text in ("", "a", "ab", "You  FOOL\n é\U0001f600", "ÀÉ ÀÉ " * 30, prose(50)):
+    for text in ("", "a", "ab", "You  FOOL\n é\U0001f600", "ÀÉ ÀÉ " * 30, prose(50), " ΑΣ ΣΟΦΟΣ.Σ \u00a0\x1cΣ\t" * 9, "unbroken" * 40):
         want = _plain_slots(text)
-        assert sorted(toxicity.slots(text.encode()).tolist()) == sorted(want)
+        for piece in (1, 7, 64, common.PIECE):
+            assert sorted(np.concatenate([np.zeros(0, dtype=int), *toxicity.grams(text.encode(), piece)]).tolist()) == sorted(want)
+            assert toxicity.slots(text.encode(), piece=piece).tolist() == sorted(set(want))
         z = sum(float(model.weight[k]) for k in set(want)) - 0.3
         assert abs(model.score(text.encode()) - 1 / (1 + math.exp(-z))) < 1e-6
     assert model.score(None) == model.score(b"")
@@ -465,6 +469,32 @@ def _fp(text):
     return sum(1 << k for k in range(64) if 2 * votes[k] > len(grams))
 
 
+def test_pieces_of_texts():
+    for text in (b"", b" ", b"one", b"  a bb\tccc\n" * 20 + b"unbroken" * 9, b"x" * 100):
+        for size in (1, 2, 5, 64, common.PIECE):
+            parts = list(common.between_words(text, size))
+            assert b"".join(parts) == text and all(parts)
+            assert [w for p in parts for w in p.split()] == text.split()
+            assert all(len(p) <= size + 72 for p in parts) or len(text) == 100
+
+
+def test_fingerprints_by_pieces():
+    rng = random.Random(3)
+    for text in ["", "one", "one two", "A b C", " \n", prose(500, rng), "é " * 99 + "x" * 300, *(prose(n, rng) for n in range(1, 12))]:
+        for piece in (1, 5, 40, common.PIECE):
+            assert near_dedup.fingerprint(text.encode(), piece=piece) == _fp(text)
+        for shingle in (1, 2, 5):
+            assert near_dedup.fingerprint(text.encode(), shingle, 9) == near_dedup.fingerprint(text.encode(), shingle)
+
+
+@pytest.mark.parametrize("call", ["near_dedup.fingerprint(text)", "toxicity.Model(np.ones(1 << toxicity.BITS, np.float32), 0.0).score(text)"])
+def test_long_texts_take_bounded_memory(call):
+    """Beyond the text itself a process takes no more for 48 MB than for 12 MB, but for some slack."""
+    code = "import resource, numpy as np; from folioform.llm import near_dedup, toxicity; text = b'some words, and Others ' * (n * 1000000 // 23); {}; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    peak = [int(subprocess.run([sys.executable, "-c", f"n = {n}; " + code.format(call)], capture_output=True, check=True, text=True).stdout) / 1024 for n in (12, 48)]
+    assert peak[1] - peak[0] < 36 + 60, peak
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_simhash_as_brute_force(spark, make, block, monkeypatch):
     monkeypatch.setattr(near_dedup.links, "__defaults__", (near_dedup.RADIUS, block, 1))
@@ -587,6 +617,26 @@ def test_capacity_is_that_of_single_groups(spark, make, monkeypatch, bits):
     assert max(sums) <= sharding.smallest_capacity(np.array([r["b"] for r in groups]), 10)
 
 
+def test_bounds_that_values_reach(spark):
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 7, 8, 39, 20000):
+        bounds = np.sort(rng.integers(0, 1 << 62, n))
+        if n > 2:
+            bounds[1], bounds[-1] = bounds[0], 1 << 62  # an empty shard, and one beyond all groups
+            bounds = np.sort(bounds)
+        values = np.concatenate([[0, (1 << 62) - 1], bounds[:50], np.maximum(bounds[:50] - 1, 0), rng.integers(0, 1 << 62, 50)])
+        df = spark.createDataFrame([(int(v),) for v in values], "v long").select("v", sharding.reached(F.col("v"), bounds.tolist()).alias("at"))
+        rows = df.collect()
+        assert [r["at"] for r in rows] == np.searchsorted(bounds, [r["v"] for r in rows], side="right").tolist()
+
+
+def test_thousands_of_shards(spark, make):
+    rows = [(i, "t%d" % i) for i in range(12000)]
+    got = sharding.shard(make(*rows), 5000)
+    sums = {r["shard"]: r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    assert sum(sums.values()) == sum(len(t) + 16 for _, t in rows) and max(sums.values()) <= 66 and max(sums) < 5000
+
+
 def test_slots_of_a_hot_row(spark, make):
     rows = [(None, "hot")] * 9000 + [(1, "x"), (1, "x"), (1, "y"), (None, None), (None, "")]
     got = sharding.shard(make(*rows), 3).collect()
