@@ -53,6 +53,10 @@ def test_line_rules(spark):
     assert one(spark, ["page 3", "12", "http://x", "doi: 1", "a long line with page 3"], P.header_or_footer(F.col("t"))) == [True, True, True, True, False]
 
 
+def test_noisy_sample_counts_a_share_of_whole_numbers(spark):
+    assert one(spark, ["7" * d + "a" * 180 for d in (62, 63)] + ["7" * d + "a" * 340 for d in (118, 119)], P.noisy_sample(F.col("t"))) == [False, True, False, True]
+
+
 def test_formula_lines(spark):
     rows = ["E = mc (1)", "sin(x) = 1", "a = b = c = d", "plain words only here", "x=1", "10 20 30"]
     assert one(spark, rows, P.formula_line(F.col("t"))) == [True, True, True, False, True, False]
