@@ -9,12 +9,17 @@ from ..functions import predicates as P
 from ..functions import text as T
 
 LINES_A_PAGE = 40
+_ENDS = r"\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
+#: A whole blank line with its end: from the start of the text or an end of a line on, not from within a two-character end.
+#: The first test, which costs least, is for what most characters are.
+_BLANK_LINE = rf"(?![!-~])(?<![^{_ENDS}])(?!(?<=\r)\n)(?:[{T.SPACE}&&[^{_ENDS}]]*+(?:{T.LINE_END})|[{T.SPACE}&&[^{_ENDS}]]++\z)"
 
 
 def lines(docs: DataFrame, keep_blank: bool = False) -> DataFrame:
     """(doc_id, line_no, line): the lines of each text, without their ends."""
-    out = docs.select("doc_id", F.posexplode(F.split("text", T.LINE_END, -1)).alias("line_no", "line"))
-    return out if keep_blank else out.where(T.strip(F.col("line")) != "")
+    # Outer, as the optimizer would make a filter of the other kind, which splits all texts once more.
+    out = docs.select("doc_id", F.posexplode_outer(F.split("text", T.LINE_END, -1)).alias("line_no", "line")).where("line_no is not null")
+    return out if keep_blank else out.where(T.lstrip(F.col("line")) != "")
 
 
 def pages(docs: DataFrame, lines_a_page: int = LINES_A_PAGE) -> DataFrame:
@@ -41,27 +46,20 @@ def formula_policy(page_lines: DataFrame) -> DataFrame:
 def segments(docs: DataFrame) -> DataFrame:
     """(doc_id, seg_no, segment, is_blank): runs of non-blank lines in one piece, each blank line by itself, line ends kept.
 
-    Joined in order the segments are the text again. A text's lines are numbered and joined within its row: nothing is shuffled, and the
-    work is linear in the text. A null text is one null segment.
+    Joined in order the segments are the text again. A text is cut within its row, before and after its blank lines: nothing is
+    shuffled, and the work is linear in the text. A null text is one null segment.
     """
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]*(?:" + T.LINE_END + r")|[^\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]+"), F.lit(0))
-    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array("text"))
-
-    def cut(x: Column) -> Column:
-        lines_, blank = x["lines"], x["blank"]
-        starts = lambda i: (i == 0) | F.get(blank, i) | F.get(blank, i - 1)
-        at = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), starts)
-        whole = lambda at: F.transform(at, lambda s, k: F.array_join(F.slice(lines_, s + 1, F.coalesce(F.get(at, k + 1), F.size(lines_)) - s), ""))
-        return T.let(at, whole)
-
-    held = F.struct(F.col("__lines").alias("lines"), F.transform("__lines", lambda l: F.coalesce(T.strip(l) == "", F.lit(True))).alias("blank"))
-    each = docs.select("doc_id", "text", pieces.alias("__lines")).select("doc_id", F.posexplode(F.when(F.col("text").isNull(), F.array("text")).otherwise(T.let(held, cut))).alias("seg_no", "segment"))
-    return each.select("doc_id", "seg_no", "segment", (T.strip(F.col("segment")) == "").alias("is_blank"))
+    mark, cut = "\x01a", "\x01b"  # of a text's own \x01 each becomes a mark, so that a cut is none of the text's characters
+    marked = F.replace(F.col("text"), F.lit("\x01"), F.lit(mark))
+    pieces = F.filter(F.split(F.regexp_replace(marked, _BLANK_LINE, f"{cut}$0{cut}"), cut), lambda s: s != "")
+    own = F.transform(pieces, lambda s: F.when(F.contains(s, F.lit(mark)), F.replace(s, F.lit(mark), F.lit("\x01"))).otherwise(s))
+    each = docs.select("doc_id", F.posexplode_outer(F.when(F.col("text") != "", own).otherwise(F.array("text"))).alias("seg_no", "segment"))
+    return each.select("doc_id", "seg_no", "segment", (T.lstrip(F.col("segment")) == "").alias("is_blank"))
 
 
 def join_segments(segs: DataFrame) -> DataFrame:
     """(doc_id, text) from ordered segments."""
-    ordered = F.array_sort(F.collect_list(F.struct("seg_no", "segment")))
+    ordered = F.sort_array(F.collect_list(F.struct("seg_no", "segment")))
     return segs.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["segment"]), "").alias("text"))
 
 

@@ -21,6 +21,7 @@ from folioform.operators import layout as Y
 from folioform.operators import lines as L
 from folioform.operators import qa
 from folioform.operators import translate as R
+from folioform.plans.catalog import QUERIES
 from folioform.sources import files, html
 
 
