@@ -144,7 +144,7 @@ def _folded(items: Column, joins) -> Column:
         go_on = F.when(F.size(acc) > 0, joins(last, c)).otherwise(F.lit(False))
         return F.when(go_on, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_merged(last, c)))).otherwise(F.concat(acc, F.array(c)))
 
-    return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 1, 1), step)
+    return T.let(items, lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, 1), step))
 
 
 def continues_word(p: Column, c: Column) -> Column:
@@ -192,12 +192,13 @@ def blocks(lines: DataFrame, hyphens: bool = True) -> DataFrame:
     # What does not depend on merging is worked out once a line, before the fold. A tab shows a table row, but not at a bullet.
     plain = _plain(F.col("text")) & ~P.table_row(F.col("text"))
     item = F.struct("order_no", *[F.col(k) for k in _FIELDS[:-4]], F.lit(1).alias("line_count"), box.alias("boxes"), plain.alias("plain"), P.starts_structure(F.col("text")).alias("starts"))
-    page = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    page = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("items"))
     items = F.transform("items", lambda x: F.struct(*[x[k].alias(k) for k in _FIELDS]))
     page = page.select(*PAGE, _folded(items, mergeable).alias("items"))
     if hyphens:
         page = page.select(*PAGE, _folded(F.col("items"), continues_word).alias("items"))
-    each = page.select(*PAGE, F.posexplode("items").alias("block_no", "b")).select(*PAGE, "block_no", "b.*")
+    # No page is without an item; from an explode that is not outer the optimizer makes a filter, which folds all pages once more.
+    each = page.select(*PAGE, F.posexplode_outer("items").alias("block_no", "b")).select(*PAGE, "block_no", "b.*")
     kind = block_kind(F.col("text"), F.col("line_count"), F.col("y0"), F.col("font_size"), F.col("page_width"), F.col("x1") - F.col("x0"))
     each = each.withColumn("kind", kind)
     return each.withColumn("alignment", alignment(F.col("boxes"), F.col("text"), F.col("kind"))).drop("boxes", "multi_column", "plain", "starts")

@@ -32,7 +32,8 @@ _BOXES = f"SELECT *, x0 + w AS x1, y0 + 11.25 AS y1 FROM ({_PLACED})"
 
 def placed(spark: SparkSession, d: str) -> DataFrame:
     """Lines with boxes (schema.LINE, and k, m, w)."""
-    l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", _SPLIT, -1)).alias("k", "text"))
+    # Outer, as the optimizer would make a filter of the other kind, which splits all texts once more.
+    l = table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", _SPLIT, -1)).alias("k", "text")).where("k is not null")
     k, two, m = F.col("k"), F.col("doc_id") % 2 == 0, F.col("m")
     wide = two & (k % 20 == 0)
     row = k % 40
