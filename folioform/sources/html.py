@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..functions import text as T
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements that an opening tag of the same kind closes.
 _ALONE = frozenset(("p", "li", "td", "th", "tr", "option", "dt", "dd"))
+#: Characters of texts that a task holds before it hands them on, pages whole.
+HELD = 1 << 22
 
 
 class _Nodes(HTMLParser):
@@ -98,15 +101,27 @@ def with_nodes(html: str, texts: dict[int, str], skip: tuple[str, ...] = fixed.S
     return "".join([*out, html[at:]])
 
 
-def text_nodes(pages: DataFrame, skip: tuple[str, ...] = fixed.SKIPPED_TAGS, key: str = "page_id") -> DataFrame:
-    """(key, node_id, tag, prefix_ws, core, suffix_ws, translatable) of the text nodes of pages (key, html), those under skip left out."""
+def node_batches(batches: Iterator[pa.RecordBatch], key: str, skip: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, node_id, tag, text) of batches (key, html): pages are read one at a time, and nodes handed on when HELD is reached."""
+    for batch in batches:
+        own = batch.schema.field(key).type
+        string = batch.schema.field("html").type
+        made = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (own, pa.int32(), string, string))], [key, "node_id", "tag", "text"])
+        found, size = [], 0
+        for k, source in zip(batch.column(key), batch.column("html")):
+            for i, (tag, text) in enumerate(x for x in nodes_of(source.as_py()) if x[0] not in skip):
+                found.append((k.as_py(), i, tag, text))
+                size += len(text) + 64
+            if size >= HELD:
+                yield made(found)
+                found, size = [], 0
+        if found:
+            yield made(found)
 
-    def scan(batches):
-        for pdf in batches:
-            found = [(k, i, tag, text) for k, html in zip(pdf[key], pdf["html"]) for i, (tag, text) in enumerate(x for x in nodes_of(html) if x[0] not in skip)]
-            yield pd.DataFrame(found, columns=[key, "node_id", "tag", "text"])
 
-    nodes = pages.select(key, "html").mapInPandas(scan, f"{key} {dict(pages.dtypes)[key]}, node_id int, tag string, text string")
+def text_nodes(pages: DataFrame, skip: tuple[str, ...] = fixed.SKIPPED_TAGS, key: str = "page_id") -> DataFrame:
+    """(key, node_id, tag, prefix_ws, core, suffix_ws, translatable) of the text nodes of pages (key, html), those under skip left out."""
+    nodes = pages.select(key, "html").mapInArrow(lambda batches: node_batches(batches, key, skip), f"{key} {dict(pages.dtypes)[key]}, node_id int, tag string, text string")
     before, core, after = T.outer_space(F.col("text"))
     return nodes.select(key, "node_id", "tag", before.alias("prefix_ws"), core.alias("core"), after.alias("suffix_ws"), P.html_text(core).alias("translatable"))
 
@@ -127,12 +142,20 @@ def rewritten_pages(pages: DataFrame, nodes: DataFrame, skip: tuple[str, ...] =
     both = pages.select(key, "html").join(some, F.col(key) == F.col("__key"), "left").select(key, "html", "texts")
 
     def write(batches):
-        for pdf in batches:
-            texts = [dict(t) if t is not None else {} for t in pdf["texts"]]
-            html = [None if h is None else with_nodes(h, t, skip) for h, t in zip(pdf["html"], texts)]
-            yield pd.DataFrame({key: pdf[key], "html": html, "applied": [len(t) for t in texts]})
-
-    return both.mapInPandas(write, f"{key} {dict(pages.dtypes)[key]}, html string, applied long")
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(key), batch.schema.field("html"), pa.field("applied", pa.int64())])
+            done, size = [], 0
+            for k, source, some_ in zip(*(batch.column(c) for c in (key, "html", "texts"))):
+                source, texts = source.as_py(), dict(some_.as_py() or ())
+                done.append((k.as_py(), None if source is None else with_nodes(source, texts, skip), len(texts)))
+                size += len(done[-1][1] or "")
+                if size >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+                    done, size = [], 0
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    return both.mapInArrow(write, f"{key} {dict(pages.dtypes)[key]}, html string, applied long")
 
 
 def image_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:

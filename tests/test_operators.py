@@ -7,6 +7,7 @@ import random
 import re
 import zipfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -376,6 +377,15 @@ def test_html_nodes(spark):
     assert [(r["tag"], r["prefix_ws"], r["core"], r["suffix_ws"], r["translatable"]) for r in got] == [("p", " ", "one", " ", True), ("b", "", "two", "", True), ("p", " ", "three", "", True), ("p", "", "four", "", True), ("p", "", "five", "", True)]
 
 
+def test_nodes_are_handed_on_before_a_batch_ends():
+    """A task never holds the nodes of all pages of a batch."""
+    page = "<p>" + "word " * 200_000 + "</p><b>x</b>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "html": [page] * 39 + [None]})
+    out = list(html.node_batches(iter([batch]), "page_id", ("script",)))
+    assert [r["page_id"] for b in out for r in b.to_pylist()] == [k for k in range(39) for _ in range(2)]
+    assert max(b.num_rows for b in out) <= 10 and {b.schema.field("page_id").type for b in out} == {pa.int64()}
+
+
 def test_html_is_written_back(spark):
     page = "<!DOCTYPE html>\n<html><head><title>a &amp; b</title><style>p > q {}</style></head>\n<body><p id='x' > one <b>t&lt;wo</b> three<!-- no --> <br/>four&nbsp;<p>five</body></html>\n"
     nodes = [x for x in html.nodes_of(page) if x[0] not in fixed.SKIPPED_TAGS]
