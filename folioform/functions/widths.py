@@ -95,6 +95,16 @@ class Metrics:
         return found
 
 
+def total(paragraphs: Column) -> Column:
+    """The widths of all words of Metrics.paragraphs, without spaces."""
+    return F.aggregate(F.flatten(paragraphs), F.lit(0).cast("long"), lambda s, w: s + w["width"])
+
+
+def widest(paragraphs: Column) -> Column:
+    """The widest glyph of Metrics.paragraphs, 0 of none."""
+    return F.aggregate(F.flatten(paragraphs), F.lit(0), lambda m, w: F.greatest(m, F.coalesce(F.array_max(w["glyphs"]), F.lit(0))))
+
+
 def wrapped(paragraphs: Column, space: Column, room: Column) -> Column:
     """Lines that Metrics.paragraphs take in a room as wide as `room` thousandths of an em.
 

@@ -294,17 +294,20 @@ def characters(text: Column, width: Column) -> Callable[[Column], Column]:
     return lambda size: F.ceil(F.length(text) / F.greatest(F.floor(width / (size * CHAR_WIDTH)), F.lit(1)))
 
 
-def first_fit(start: Column, least: float, heights: list[Column], room: Column, lines: Callable[[Column], Column], shrink: float = 0.92) -> Column:
+def first_fit(start: Column, least: float, heights: list[Column], room: Column, lines: Callable[[Column], Column], shrink: float = 0.92, at_least: Callable[[Column], Column] | None = None) -> Column:
     """struct<size, line_height, lines>: the first that fits of sizes that go down by 8 % from start, for each line height in turn.
 
-    lines(size) says how many lines the text takes. Null where nothing of least or more fits.
+    lines(size) says how many lines the text takes; at_least(size), never more than that, spares the count where even so many do not
+    fit. Null where nothing of least or more fits.
     """
     floor_ = F.least(start, F.lit(least))
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log(start / floor_) / -F.log(F.lit(shrink))).cast("int"), F.lit(0)))
     sizes = F.filter(F.transform(steps, lambda k: start * F.pow(F.lit(shrink), k)), lambda s: s >= floor_ - 0.01)
     tried = F.flatten(F.transform(F.array(*heights), lambda h: F.transform(sizes, lambda s: F.struct(s.alias("size"), h.alias("line_height"), F.lit(None).cast("long").alias("lines")))))
     counted = lambda c: T.let(lines(c["size"]).cast("long"), lambda n: F.when(n * c["size"] * c["line_height"] <= room, c.withField("lines", n)))
-    return F.aggregate(tried, F.lit(None).cast("struct<size:double,line_height:double,lines:bigint>"), lambda best, c: F.when(best.isNotNull(), best).otherwise(counted(c)))
+    hopeless = lambda c: F.lit(False) if at_least is None else F.coalesce(at_least(c["size"]) * c["size"] * c["line_height"] > room, F.lit(False))
+    tried_one = lambda best, c: F.when(best.isNotNull(), best).when(~hopeless(c), counted(c))
+    return F.aggregate(tried, F.lit(None).cast("struct<size:double,line_height:double,lines:bigint>"), tried_one)
 
 
 def fit_size(plans: DataFrame, least: float = 6.5, advances: DataFrame | None = None) -> DataFrame:
@@ -314,19 +317,22 @@ def fit_size(plans: DataFrame, least: float = 6.5, advances: DataFrame | None =
     (functions.widths); without them they are estimated.
     """
     heights = [F.least(F.col("start.line_height"), F.lit(h)) for h in (9.0, 1.0, 0.94)]
-    fit = _fit(F.col("x1") - F.col("x0"), advances, lambda lines: first_fit(F.col("start.size"), least, heights, F.col("room"), lines))
+    fit = _fit(F.col("x1") - F.col("x0"), advances, lambda lines, at_least=None: first_fit(F.col("start.size"), least, heights, F.col("room"), lines, at_least=at_least))
     plans = plans.withColumn("fit", fit).withColumn("fitted_size", F.col("fit.size")).withColumn("fitted_line_height", F.col("fit.line_height"))
     return plans.withColumn("fitted_lines", F.col("fit.lines").cast("int")).drop("fit")
 
 
-def _fit(width: Column, advances: DataFrame | None, fit: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """fit(lines) of rows (text, with advances also font), where lines(size) is the number of lines in the width."""
+def _fit(width: Column, advances: DataFrame | None, fit: Callable[..., Column]) -> Column:
+    """fit(lines, at_least) of rows (text, with advances also font), where lines(size) is the number of lines in the width."""
     if advances is None:
         return fit(characters(F.col("text"), width))
     metrics = M.Metrics(advances)
-    known = F.struct(metrics.paragraphs(F.col("font"), F.col("text")).alias("paragraphs"), metrics.space(F.col("font")).alias("space"), width.alias("width"))
+    told = lambda p: F.struct(p.alias("paragraphs"), M.total(p).alias("total"), M.widest(p).alias("widest"), metrics.space(F.col("font")).alias("space"), width.alias("width"))
     room = lambda k, size: F.floor(k["width"] * 1000 / size)
-    return T.let(known, lambda k: fit(lambda size: T.let(room(k, size), lambda r: M.wrapped(k["paragraphs"], k["space"], r))))
+    lines = lambda k: lambda size: T.let(room(k, size), lambda r: M.wrapped(k["paragraphs"], k["space"], r))
+    # Lines hold no more than the room, but for a glyph that is wider than that.
+    at_least = lambda k: lambda size: F.when(k["widest"] <= room(k, size), F.ceil(k["total"] / F.greatest(room(k, size), F.lit(1)))).otherwise(0)
+    return T.let(T.let(metrics.paragraphs(F.col("font"), F.col("text")), told), lambda k: fit(lines(k), at_least(k)))
 
 
 def fit_overlay(boxes: DataFrame, advances: DataFrame | None = None) -> DataFrame:
@@ -341,7 +347,7 @@ def fit_overlay(boxes: DataFrame, advances: DataFrame | None = None) -> DataFram
     boxes = boxes.withColumn("target", T.let(wide, lambda b: F.when(small(b), grown(b)).otherwise(b)))
     height = G.height(F.col("target"))
     start = F.greatest(F.lit(7.5), F.least(F.lit(18.0), height * 0.72))
-    return boxes.withColumn("overlay_size", _fit(G.width(F.col("target")), advances, lambda lines: first_fit(start, 6.0, [F.lit(1.08)], height, lines))["size"])
+    return boxes.withColumn("overlay_size", _fit(G.width(F.col("target")), advances, lambda lines, at_least=None: first_fit(start, 6.0, [F.lit(1.08)], height, lines, at_least=at_least))["size"])
 
 
 def distinct_boxes(boxes: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -98,3 +98,20 @@ def test_overlays_by_advances(spark):
     df = df.selectExpr("*", "0.0d x0", "0.0d y0", "80.0d x1", "20.0d y1")
     got = [r["overlay_size"] for r in Y.fit_overlay(df, M.base_advances(spark)).collect()]
     assert got[0] == pytest.approx(23 * 0.72) and got[1] < got[0] and got[2] is None
+
+
+def test_sizes_at_which_even_the_fewest_lines_do_not_fit_are_not_counted(spark):
+    never = lambda size: F.raise_error(F.lit("counted")).cast("long")
+    fit = Y.first_fit(F.col("s"), 6.5, [F.lit(1.0)], F.lit(36.0), never, at_least=lambda size: F.lit(99))
+    assert spark.createDataFrame([(10.0,)], "s double").select(fit.alias("fit")).first()["fit"] is None
+
+
+def test_narrow_boxes_and_empty_texts_fit_as_their_lines_are_counted(spark):
+    """No bound on lines divides by a room of nothing or goes beyond the count."""
+    rows = [(x1, text) for x1 in (-5.0, 0.0, 0.001, 3.0, 9.0, 60.0, 200.0) for text in ("", " ", "W", "iii", "WWWW iii\n\nl", "the quick brown fox jumps over it", "m" * 90)]
+    p = spark.createDataFrame(rows, "x1 double, text string").selectExpr("'helv' as font", "named_struct('size', 10.25D, 'line_height', 1.18D) as start", "0.0D as x0", "x1", "36.0D as room", "text")
+    metrics = M.Metrics(M.base_advances(spark))
+    lines = lambda size: M.wrapped(metrics.paragraphs(F.col("font"), F.col("text")), metrics.space(F.col("font")), F.floor((F.col("x1") - F.col("x0")) * 1000 / size))
+    plain = Y.first_fit(F.col("start.size"), 6.5, [F.lit(h) for h in (1.18, 1.0, 0.94)], F.col("room"), lines)
+    got = Y.fit_size(p, advances=M.base_advances(spark)).withColumn("plain", plain).collect()
+    assert len(got) == len(rows) and all((r["fitted_size"], r["fitted_lines"]) == ((r["plain"]["size"], r["plain"]["lines"]) if r["plain"] else (None, None)) for r in got)
