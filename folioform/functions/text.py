@@ -74,7 +74,7 @@ def letters(c: Column) -> Column:
 
 
 def digits(c: Column) -> Column:
-    return times(c, DIGIT)
+    return times(c, f"(?![ -/:-~]){DIGIT}")  # what most characters are is told apart first
 
 
 def words(c: Column) -> Column:
