@@ -348,6 +348,14 @@ def test_suspicious_is_the_plain_rule(spark):
     assert 50 < sum(r["suspicious"] for r in got) < 250
 
 
+def test_a_reply_that_keeps_long_numbers_leaks(spark):
+    """As a title of the tables' pages does under the stand-in that turns letters."""
+    a = "Hean. Esanwh 2353820953013749 4550997810720808 thheed hand,"
+    b = R.Cipher().translate([a], "en", "fr")[0]
+    row = spark.createDataFrame([(a, b, "en", "fr")], "src string, dst string, source_lang string, target_lang string")
+    assert R.suspicious(row).first()["suspicious"] and _must_retry(a, b, "en", "fr")
+
+
 def test_batches_as_one_by_one(spark, data):
     """translate_batches over the conversations, against the same steps in plain Python."""
     rows = spark.read.parquet(f"{data}/conversations.parquet").where("conv_id < 60").select("conv_id", "turn", "text")
