@@ -8,6 +8,7 @@ Sizes of cells are worked out from sums of whole numbers, which come out the sam
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ CELL, STRIP, BAND = 2, 2, 8
 #: How many times higher the bands of the next round are, for boxes without another one in the last round's.
 GROWTH = 16
 
+#: Obstacles of a page that each of its blocks is compared with, at most; the boxes of pages with more are compared by cells.
+SMALL = 128
+
 _EDGES = ("x0", "y0", "x1", "y1")
 
 
@@ -93,3 +97,22 @@ def nearest(blocks: DataFrame, obstacles: DataFrame, keys: list[str], ids: list[
         carried = [c for c in held.columns if c not in (*keys, *ids, "near")]
         held = found.groupBy(*keys, *ids).agg(*[F.first(c).alias(c) for c in carried], F.coalesce(F.min("o_at"), F.first("near")).alias("near"))
     return held.select(*keys, *ids, "near")
+
+
+def by_crowd(blocks: DataFrame, obstacles: DataFrame, keys: list[str], few: Callable[[DataFrame, DataFrame], DataFrame], many: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """few(blocks, obstacles) of the pages with SMALL obstacles at most and many(blocks, obstacles) of the others, as one."""
+    crowded = checkpointed(obstacles.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > SMALL))
+    if crowded.isEmpty():
+        return few(blocks, obstacles)
+    part = lambda rows, there: group_join(rows, crowded, keys, "left").where(F.col("__n").isNotNull() if there else F.col("__n").isNull()).drop("__n")
+    return few(part(blocks, False), part(obstacles, False)).unionByName(many(part(blocks, True), part(obstacles, True)))
+
+
+def compared(blocks: DataFrame, obstacles: DataFrame, keys: list[str], ids: list[str], meets: Column, least: dict[str, Column]) -> DataFrame:
+    """(keys, ids, names of least) of every block: the least of each column over the page's obstacles that meet it, whose columns have o_
+    before their names. For pages with few obstacles."""
+    others = obstacles.select(*[F.col(c).alias(f"o_{c}") for c in obstacles.columns])
+    for k in keys:
+        meets = meets & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    found = blocks.join(others, meets, "left")
+    return found.groupBy(*keys, *ids).agg(*[F.min(c).alias(name) for name, c in least.items()])

@@ -225,7 +225,8 @@ def room_below(blocks_: DataFrame, obstacles: DataFrame, page_bottom: float = 84
     blocks_ = blocks_.select(*PAGE, "block_id", "x0", "y0", "x1", "y1", since.alias("since"), F.col("x0").alias("side0"), F.col("x1").alias("side1"))
     o = obstacles.select(*PAGE, "x0", "y0", "x1", "y1", F.col("y0").alias("at"), F.col("x0").alias("side0"), F.col("x1").alias("side1"))
     meets = (F.col("o_y0") > F.col("since")) & (G.overlap(F.col("x0"), F.col("x1"), F.col("o_x0"), F.col("o_x1")) > F.least(G.width(b), G.width(ob)) * 0.30) & ~G.same(b, ob)
-    near = B.nearest(blocks_, o, PAGE, ["block_id", "y0"], meets)
+    ids, least = ["block_id", "y0"], {"near": F.when(F.col("o_at") >= F.col("since"), F.col("o_at"))}
+    near = B.by_crowd(blocks_, o, PAGE, lambda own, others: B.compared(own, others, PAGE, ids, meets, least), lambda own, others: B.nearest(own, others, PAGE, ids, meets))
     return near.select(*PAGE, "block_id", F.greatest(F.col("y0") + 10, F.least(F.lit(page_bottom - 2), F.coalesce(F.col("near") - 1, F.lit(page_bottom)))).alias("vertical_limit"))
 
 
@@ -234,11 +235,18 @@ def room_beside(blocks_: DataFrame, obstacles: DataFrame, page_width: float = 60
     b, ob = _edges()
     meets = (G.overlap(F.col("y0"), F.col("y1"), F.col("o_y0"), F.col("o_y1")) > 0.5) & ~G.same(b, ob)
     box = [*PAGE, "x0", "y0", "x1", "y1", F.col("y0").alias("side0"), F.col("y1").alias("side1")]
-    own = blocks_.select("block_id", *box)
-    right = B.nearest(own.withColumn("since", F.col("x1")), obstacles.select(*box, F.col("x0").alias("at")), PAGE, ["block_id"], meets & (F.col("o_x1") > F.col("x0")))
-    left = B.nearest(own.withColumn("since", -F.col("x0")), obstacles.select(*box, (-F.col("x1")).alias("at")), PAGE, ["block_id"], meets)
-    keys = [*PAGE, "block_id"]
-    both = left.withColumnRenamed("near", "__left").join(right, keys)
+    keys, after = [*PAGE, "block_id"], F.col("o_x1") > F.col("x0")
+
+    def few(own: DataFrame, others: DataFrame) -> DataFrame:
+        least = {"near": F.when(after & (F.col("o_x0") >= F.col("x1")), F.col("o_x0")), "__left": F.when(F.col("o_x1") <= F.col("x0"), -F.col("o_x1"))}
+        return B.compared(own, others, PAGE, ["block_id"], meets, least)
+
+    def many(own: DataFrame, others: DataFrame) -> DataFrame:
+        right = B.nearest(own.withColumn("since", F.col("x1")), others.withColumn("at", F.col("x0")), PAGE, ["block_id"], meets & after)
+        left = B.nearest(own.withColumn("since", -F.col("x0")), others.withColumn("at", -F.col("x1")), PAGE, ["block_id"], meets)
+        return R.group_join(left.withColumnRenamed("near", "__left"), right, keys)
+
+    both = B.by_crowd(blocks_.select("block_id", *box), obstacles.select(*box), PAGE, few, many)
     return both.select(*keys, F.greatest(F.lit(margin), F.coalesce(-F.col("__left") + gap, F.lit(margin))).alias("left_limit"), F.least(F.lit(page_width - margin), F.coalesce(F.col("near") - gap, F.lit(page_width))).alias("right_limit"))
 
 

@@ -87,3 +87,23 @@ def test_many_boxes_on_one_page(spark):
     assert all(v == (max(k // 100 * 8.0 + 10, (k // 100 + 1) * 8.0 - 1) if k < 19_900 else 4998.0) for k, v in got.items())
     assert boxes.meeting(df, df, layout.PAGE).count() == 20_000
     assert layout.room_beside(df, df, 2000.0).where("left_limit = 2.0").count() == 200
+
+
+@pytest.mark.parametrize("room", [layout.room_beside, layout.room_below])
+def test_crowded_pages_and_others_as_one(spark, monkeypatch, room):
+    """Pages with few obstacles in one join, the others by cells: the same limits wherever the border between them lies."""
+    rng = random.Random(8)
+    rows = [(None if doc == 4 else doc, *r[1:]) for doc, n in enumerate((3, 40, 90, 1, 25)) for r in some_boxes(rng, n, 200)]
+    b = spark.createDataFrame(rows, BOXES)
+    obstacles = b.where("doc_id is null or doc_id <> 3")
+    got = {}
+    for small in (0, 30, 1000):
+        monkeypatch.setattr(boxes, "SMALL", small)
+        got[small] = sorted(map(repr, room(b, obstacles).collect()))
+    assert got[0] == got[30] == got[1000] and len(got[0]) == len(rows)
+
+
+def test_pages_of_few_boxes_meet_in_one_join(spark):
+    b = spark.createDataFrame(some_boxes(random.Random(9), 60, 200), BOXES)
+    plan = layout.room_beside(b, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
